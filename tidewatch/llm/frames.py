@@ -35,7 +35,7 @@ FRAME_IDS = 1 << 16
 #: Pieces that a worker remembers; at a few tens of bytes each this bounds its memory.
 CACHE = 300_000
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
-_WHITE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+_WHITE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 @lru_cache(maxsize=2)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, frames
+from . import bpe, frames, quality_fm, quality_rules
 
 MULTI_RANKS, BPE_JSON = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json"
 
@@ -22,14 +22,37 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged, _ = quality_rules.judge(table(spark, sf_dir, "documents"))
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    return judged.select(
+        F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        failed.alias("base_failed"), (~failed & F.col("verdict")).alias("kept"), "p_good",
+    )
+
+
 def op7_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = frames.round_trip(spark, table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_JSON))
     return out.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def held_out(doc_id: str = "doc_id"):
+    """Rows that never train: those with crc32 of the id as text divisible by 5."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def op9_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_fm.fit(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    scored = quality_fm.score(docs, model).withColumnRenamed("id", "doc_id")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
+    "op6_quality_rules": op6_quality_rules,
     "op7_frames": op7_frames,
+    "op9_quality_fm": op9_quality_fm,
 }
 
 ORACLES: dict[str, str] = {}
