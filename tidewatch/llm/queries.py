@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, frames, quality_fm, quality_rules
+from . import bpe, frames, quality_fm, quality_rules, warc, workspace
 
 MULTI_RANKS, BPE_JSON = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json"
 
@@ -17,6 +17,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = workspace.new_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    records, response = warc.read(spark, folder), F.col("type") == "response"
+    return records.select(
+        warc.page_id(F.col("record_id")).alias("page_id"),
+        F.when(response, F.octet_length("payload").cast("long")).otherwise(F.col("stated_bytes")).alias("payload_bytes"),
+        F.when(response, warc.base32_sha1(F.col("payload"))).otherwise(F.col("stated_digest")).alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        warc.page_id(F.col("refers_to_id")).alias("refers_to"),
+    )
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(MULTI_RANKS), public_tokenizers.PATTERN)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -49,6 +62,7 @@ def op9_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_bpe": op2_bpe,
     "op6_quality_rules": op6_quality_rules,
     "op7_frames": op7_frames,
