@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, frames, quality_fm, quality_rules, warc, workspace
+from . import bpe, frames, quality_fm, quality_rules, topk, url_filters, warc, workspace
 
 MULTI_RANKS, BPE_JSON = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json"
 
@@ -35,6 +35,76 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+OP3_SQL = """
+with v as (
+  select distinct vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as a from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x::double))) = 0
+), scored as (
+  select q.vec_id as query_id, c.vec_id as vec_id, list_dot_product(q.a, c.a)::bigint as score
+  from v q join v c on q.vec_id <> c.vec_id and len(q.a) = len(c.a) where q.vec_id % 50 = 0
+), ranked as (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) as r from scored
+)
+select query_id, r::int as rank, vec_id, score from ranked where r <= 5
+"""
+
+
+def list_changes(pages: DataFrame) -> DataFrame:
+    """A dated block list over the hosts of pages, as the tables hold none: a hash of each host gives its entry's date,
+    action and end; three parent domains have entries of their own."""
+    hosts = pages.select(url_filters.host_of(F.col("url")).alias("key")).where("key is not null").distinct()
+    at = F.conv(F.substring(F.md5("key"), 1, 2), 16, 10).cast("int")
+    span = F.conv(F.substring(F.md5("key"), 3, 2), 16, 10).cast("int")
+    since = F.date_add(F.lit("2024-01-01").cast("date"), at)
+    added = hosts.select("key", since.alias("at"), F.when(span % 2 == 0, "block").otherwise("allow").alias("action"))
+    removed = hosts.select("key", F.date_add(since, 30 + span).alias("at"), F.lit("remove").alias("action"))
+    fixed = pages.sparkSession.createDataFrame(
+        [("example.org", "2024-03-01", "block"), ("example.org", "2024-06-01", "remove"), ("example.net", "2024-02-01", "allow"), ("example.net", "2024-08-01", "block"), ("example.com", "2024-11-01", "block")],
+        "key string, at string, action string",
+    )
+    return added.unionByName(removed).unionByName(fixed.withColumn("at", F.col("at").cast("date")))
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    captures = pages.withColumn("fetched_at", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 365).cast("int")))
+    out = url_filters.judge(captures, list_changes(pages))
+    return out.select(F.col("id").alias("page_id"), "host", F.col("fetched_at").cast("string").alias("fetched_at"), "rule", F.col("since").cast("string").alias("since"), "verdict")
+
+
+OP4_SQL = """
+with p as (
+  select page_id, date '2024-01-01' + (page_id % 365)::int as fetched_at,
+    nullif(lower(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '\\.+$', '')), '') as host
+  from pages
+), h as (
+  select distinct host as k, ('0x' || substr(md5(host), 1, 2))::int as a, ('0x' || substr(md5(host), 3, 2))::int as b from p where host is not null
+), c as (
+  select k, date '2024-01-01' + a as d, case when b % 2 = 0 then 2 else 1 end as s from h
+  union all select k, date '2024-01-01' + a + 30 + b, 0 from h
+  union all select * from (values ('example.org', date '2024-03-01', 2), ('example.org', date '2024-06-01', 0),
+    ('example.net', date '2024-02-01', 1), ('example.net', date '2024-08-01', 2), ('example.com', date '2024-11-01', 2))
+), i as (
+  select k, d as since, s, lead(d) over (partition by k order by d) as until from (select k, d, max(s) as s from c group by k, d)
+), keys as (
+  select page_id, fetched_at, host, unnest(list_transform(generate_series(1, greatest(1, len(string_split(host, '.')) - 1)),
+    lambda x: array_to_string(list_slice(string_split(host, '.'), x, len(string_split(host, '.'))), '.'))) as k
+  from p where host is not null
+), hits as (
+  select page_id, i.k, since, s, row_number() over (partition by page_id order by length(i.k) desc) as r
+  from keys join i on keys.k = i.k and s > 0 and fetched_at >= since and (until is null or fetched_at < until)
+)
+select p.page_id, host, cast(fetched_at as varchar) as fetched_at, k as rule, cast(since as varchar) as since,
+  case s when 2 then 'block' when 1 then 'allow' else 'none' end as verdict
+from p left join (select * from hits where r = 1) t on p.page_id = t.page_id
+"""
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged, _ = quality_rules.judge(table(spark, sf_dir, "documents"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
@@ -64,9 +134,11 @@ def op9_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_bpe": op2_bpe,
+    "op3_topk": op3_topk,
+    "op4_url_filters": op4_url_filters,
     "op6_quality_rules": op6_quality_rules,
     "op7_frames": op7_frames,
     "op9_quality_fm": op9_quality_fm,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_topk": OP3_SQL, "op4_url_filters": OP4_SQL}
