@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, frames, mixing, quality_fm, quality_rules, topk, url_filters, warc, workspace
+from . import bpe, frames, mixing, pii, quality_fm, quality_rules, topk, url_filters, warc, workspace
 
 MULTI_RANKS, BPE_JSON = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json"
 
@@ -145,6 +145,17 @@ def op9_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", pii.text_key(F.col("text")).alias("key")).join(pii.spans(docs), "key", "left")
+
+    def count(kind: int):
+        return F.when(F.col("base").isNull(), 0).otherwise(F.size(F.filter("base", lambda x: x["kind"] == kind))).cast("long")
+
+    number = [count(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS, 1)]
+    return rows.select("doc_id", *number, F.sha2(pii.as_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.as_text(F.col("all")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_bpe": op2_bpe,
@@ -154,6 +165,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_frames": op7_frames,
     "op8_mixing": op8_mixing,
     "op9_quality_fm": op9_quality_fm,
+    "op10_pii": op10_pii,
 }
 
 ORACLES: dict[str, str] = {"op3_topk": OP3_SQL, "op4_url_filters": OP4_SQL}
