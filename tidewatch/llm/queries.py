@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, frames, mixing, pii, quality_fm, quality_rules, topk, url_filters, warc, workspace
+from . import bpe, frames, jaccard, mixing, pii, quality_fm, quality_rules, topk, url_filters, warc, workspace
 
 MULTI_RANKS, BPE_JSON = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json"
 
@@ -105,6 +105,10 @@ from p left join (select * from hits where r = 1) t on p.page_id = t.page_id
 """
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged, _ = quality_rules.judge(table(spark, sf_dir, "documents"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
@@ -122,15 +126,8 @@ def op7_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1))
     sources = spark.createDataFrame([(q.source, q.size, q.target) for q in made.sources], "source string, source_size long, target double")
-    # repeated rows share what they take; each gets an even part, the first of them the rest
-    taken = made.taken().select("id", "hash", F.col("source").alias("s"), "taken", "size")
-    rows = made.sizes.groupBy("id", "hash", "source", "size").agg(F.count("*").alias("copies"))
-    rows = rows.alias("r").join(taken.alias("t"), (F.col("r.hash") == F.col("t.hash")) & F.col("r.id").eqNullSafe(F.col("t.id")) & F.col("r.source").eqNullSafe(F.col("t.s")), "left")
-    rows = rows.select("r.id", "r.source", "r.size", "copies", F.coalesce("taken", F.lit(0)).alias("all_taken"))
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    part = F.expr("all_taken div copies + if(copy <= all_taken % copies, 1, 0)")
-    out = rows.alias("r").join(F.broadcast(sources).alias("q"), F.col("r.source").eqNullSafe(F.col("q.source")))
-    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", part.alias("taken"))
+    out = made.taken().alias("r").join(F.broadcast(sources).alias("q"), F.col("r.source").eqNullSafe(F.col("q.source")))
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -161,6 +158,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_topk": op3_topk,
     "op4_url_filters": op4_url_filters,
+    "op5_jaccard": op5_jaccard,
     "op6_quality_rules": op6_quality_rules,
     "op7_frames": op7_frames,
     "op8_mixing": op8_mixing,
