@@ -94,21 +94,21 @@ def _before(rows: DataFrame, bits: int) -> DataFrame:
 
 
 def positions(rows: DataFrame, count: int) -> DataFrame:
-    """Adds `at`, the words of the source before each row of rows (source, id, hash, size, ...), of which there are
+    """Adds `at`, the words of the source before each row of rows (source, row, hash, size, ...), of which there are
     `count`: about 16 rows a leaf, 64 nodes a window."""
     bits = max(1, math.ceil(math.log2(max(count, 1) / 16 + 1)))
     rows = rows.withColumn("node", F.shiftrightunsigned("hash", 64 - bits))
     leaves = _before(rows.groupBy("source", "node").agg(F.sum("size").alias("sum")), bits)
     leaves = leaves.select(F.col("source").alias("s"), F.col("node").alias("leaf"), "before")
-    within = Window.partitionBy("source", "node").orderBy("hash", "id").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "node").orderBy("hash", "row").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
     joined = rows.join(leaves, F.col("source").eqNullSafe(F.col("s")) & (F.col("node") == F.col("leaf")))
     return joined.withColumn("at", F.col("inner") + F.col("before")).drop("node", "inner", "s", "leaf", "before")
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(row, id, source, hash, size) per row of docs, written out; row tells repeated rows apart in this table."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("hash"), word_count(F.col(text_col)).alias("size"))
+    """(row, id, source, hash, size) per row of docs, written out; row numbers the rows of docs, a table that is read."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("hash"), word_count(F.col(text_col)).alias("size"))
     return workspace.materialize(rows, "sizes")
 
 
@@ -147,12 +147,12 @@ def slots(docs: DataFrame, sources: list[Quota], block: int = BLOCK, shard_slots
 
 
 def pieces(sizes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(id, hash, source, size, block, from, words): the words [from, from + words) of each row in each of its blocks."""
+    """(row, source, block, from, words): the words [from, from + words) of each row in each of its blocks."""
     placed = positions(sizes, sizes.count()).where("size > 0")
     spread = placed.withColumn("block", F.explode(F.expr(f"sequence(at div {block}, (at + size - 1) div {block})")))
     start = F.greatest(F.col("block") * block, F.col("at"))
     end = F.least((F.col("block") + 1) * block, F.col("at") + F.col("size"))
-    return spread.select("id", "hash", "source", "size", "block", (start - F.col("at")).alias("from"), (end - start).alias("words"))
+    return spread.select("row", "source", "block", (start - F.col("at")).alias("from"), (end - start).alias("words"))
 
 
 @dataclass(frozen=True)
@@ -165,17 +165,19 @@ class Mix:
     pieces: DataFrame
 
     def blocks(self) -> DataFrame:
-        """The mix in full: a row per slot and piece of a document, (shard, slot, pass, id, hash, from, words)."""
+        """The mix in full: a row per slot and piece of a document, (shard, slot, pass, row, from, words)."""
         left, right = self.slots.alias("a"), self.pieces.alias("b")
         same = F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.block") == F.col("b.block"))
-        return left.join(right, same).select("shard", "slot", "pass", "id", "hash", "b.source", "from", "words")
+        return left.join(right, same).select("shard", "slot", "pass", "row", "from", "words")
 
     def taken(self) -> DataFrame:
-        """(id, hash, taken) of the rows of which the mix takes words. Uses are counted by block before the join."""
+        """sizes with taken, the words that the mix takes of a row. Uses are counted by block before the join."""
         uses = self.slots.groupBy("source", "block").agg(F.count("*").alias("uses")).alias("a")
         right = self.pieces.alias("b")
         same = F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.block") == F.col("b.block"))
-        return uses.join(right, same).groupBy("id", "hash", "b.source", "size").agg(F.sum(F.col("uses") * F.col("words")).alias("taken"))
+        used = uses.join(right, same).groupBy("row").agg(F.sum(F.col("uses") * F.col("words")).alias("taken"))
+        out = self.sizes.join(used, "row", "left")
+        return out.withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] | dict[str | None, float], share: float = 1.0, most: float = 3.0, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = 0) -> Mix:
@@ -183,3 +185,17 @@ def mix(docs: DataFrame, weights: Sequence[float] | dict[str | None, float], sha
     sizes = sized(docs)
     sources = quotas(sizes, weights, share, most)
     return Mix(sizes, sources, slots(docs, sources, block, shard_slots, seed, most), pieces(sizes, block))
+
+
+def mixed(docs: DataFrame, made: Mix, text_col: str = "text") -> DataFrame:
+    """The mix as documents: for every pass over its source that takes words of a row, the row with the text of those
+    words - the whole text where all are taken, else its words in order with the white space after each."""
+    row, parts, turn = (workspace.fresh(docs, x) for x in ("mix_row", "mix_parts", "mix_pass"))
+    uses = made.blocks().groupBy("row", "pass").agg(F.sort_array(F.collect_list(F.struct("from", "words"))).alias(parts), F.sum("words").alias("n"))
+    uses = uses.join(made.sizes.select("row", "size"), "row")
+    uses = uses.select(F.col("row").alias(row), F.col("pass").alias(turn), F.when(F.col("n") < F.col("size"), F.col(parts)).alias(parts))
+    uses = workspace.materialize(uses, "uses")
+    words = F.regexp_extract_all(F.col(text_col), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    some = F.array_join(F.flatten(F.transform(parts, lambda x: F.slice(words, (x["from"] + 1).cast("int"), x["words"].cast("int")))), "")
+    joined = docs.withColumn(row, F.monotonically_increasing_id()).join(uses, row)
+    return joined.withColumn(text_col, F.when(F.col(parts).isNull(), F.col(text_col)).otherwise(some)).select(*docs.columns)

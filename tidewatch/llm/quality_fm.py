@@ -19,8 +19,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .quality_rules import MEASURES, measure
@@ -155,3 +156,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.score(x.as_py()) for x in batch.column(1)], pa.float64())], ["id", "score"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(task, f"id {key}, score double")
+
+
+def score_of(text: Column, model: Model) -> Column:
+    """The score as a column, to filter rows in place."""
+
+    @F.pandas_udf("double")
+    def scores(batch: pd.Series) -> pd.Series:
+        return pd.Series([model.score(x) for x in batch], dtype=float)
+
+    return scores(text)
