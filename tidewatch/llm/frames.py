@@ -33,15 +33,37 @@ SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1  # fixed values of the seekable for
 CHECKSUMS = 0x80  # descriptor: entries have checksums
 FRAME_IDS = 1 << 16
 #: Pieces that a worker remembers; at a few tens of bytes each this bounds its memory.
-CACHE = 300_000
+CACHE = 600_000
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _WHITE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
+def cut(text: str) -> list[str]:
+    """Pieces that join to text. Every cut is one where the pre-tokenizer begins a new match whatever surrounds it:
+    before a single space or around a single line feed between characters that aren't white space, and between a
+    letter and a comma or full stop that ends such a piece."""
+    if "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " " or _WHITE.search(text):
+        first, *rest = _SAFE.split(text)
+        return [first, *[f" {x}" for x in rest]]
+    pieces: list[str] = []
+    lines = text.split("\n") if "\n\n" not in text and text[0] != "\n" and text[-1] != "\n" else [text]
+    for n, line in enumerate(lines):
+        if n:
+            pieces.append("\n")
+        words = line.split(" ")
+        words[1:] = [f" {x}" for x in words[1:]]
+        for x in words:
+            if x[-1] in ",." and x[-2:-1].isalpha():
+                pieces += (x[:-1], x[-1])
+            else:
+                pieces.append(x)
+    return pieces
+
+
 @lru_cache(maxsize=2)
 def piece_encoder(vocabulary: str) -> Callable[[str], bytes]:
-    """text -> packed ids, by the tokenizers library. Texts are cut at single spaces, where a byte-level pre-tokenizer
-    always begins a new match, and the ids of each piece are remembered: words repeat, so most are encoded once."""
+    """text -> packed ids, by the tokenizers library. Texts are cut where a byte-level pre-tokenizer always begins a
+    new match, and the ids of each piece are remembered: words repeat, so most are encoded once."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -54,16 +76,12 @@ def piece_encoder(vocabulary: str) -> Callable[[str], bytes]:
     def ids(text: str) -> bytes:
         if not text:
             return b""
-        if "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " " or _WHITE.search(text):
-            first, *rest = _SAFE.split(text)
-        else:
-            first, *rest = text.split(" ")
-        pieces = [first, *[f" {x}" for x in rest]]
-        new = [x for x in dict.fromkeys(pieces) if x not in known]
+        pieces = cut(text)
+        new = list(set(pieces).difference(known))
         if new:
             if len(known) + len(new) > CACHE:
                 known.clear()
-                new = list(dict.fromkeys(pieces))
+                new = list(set(pieces))
             for piece, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
                 known[piece] = struct.pack(f"<{len(e.ids)}I", *e.ids)
         return b"".join([known[x] for x in pieces])
