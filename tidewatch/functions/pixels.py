@@ -14,11 +14,11 @@ AIR_LIGHT, FOG_TOP, HAZE_TOP, CAMERA = (225.0, 225.0, 201.0), 70.0, 34.0, 1.8
 def fog(pixels: Column, gray: float, blend: float, noise: Column | None = None, noise_level: float = 0.0) -> Column:
     """Blends pixels with a gray plane; noise, an array of values from -1 to 1, is added on top."""
 
-    def mixed(x: Column, n: Column | None = None) -> Column:
-        value = 255 * gray * blend + x * (1 - blend) + (0 if n is None else n * (255 * noise_level))
+    def mixed(x: Column, n: Column) -> Column:
+        value = 255 * gray * blend + x * (1 - blend) + n * (255 * noise_level)
         return F.least(F.greatest(value, F.lit(0.0)), F.lit(255.0))
 
-    return F.transform(pixels, mixed) if noise is None else F.zip_with(pixels, noise, mixed)
+    return F.transform(pixels, lambda x: mixed(x, F.lit(0.0))) if noise is None else F.zip_with(pixels, noise, mixed)
 
 
 def flood(water: Column, base: Column, heights: Column, threshold: float, transition: float) -> Column:
@@ -35,11 +35,11 @@ def haze(pixels: Column, channel: int, visibility_air: float, visibility_fog: fl
     in_haze, in_fog = (HAZE_TOP - CAMERA) * distance / rise, (FOG_TOP - HAZE_TOP) * distance / rise
     air, thick = 3.912 / visibility_air, 3.912 / visibility_fog
 
-    def seen(x: Column, p: Column | None = None) -> Column:
-        depth = F.lit(air * in_haze + thick * in_fog) if p is None else F.lit(thick * in_fog) + air * in_haze * p / 255
+    def seen(x: Column, density: Column) -> Column:
+        depth = F.lit(thick * in_fog) + air * in_haze * density
         return x * F.exp(-depth) + (1 - F.exp(-depth)) * AIR_LIGHT[channel]
 
-    return F.transform(pixels, seen) if perlin is None else F.zip_with(pixels, perlin, seen)
+    return F.transform(pixels, lambda x: seen(x, F.lit(1.0))) if perlin is None else F.zip_with(pixels, perlin, lambda x, p: seen(x, p / 255))
 
 
 def box_kernel(radius: int, alpha: float) -> list[list[float]]:

@@ -19,7 +19,7 @@ def density_grid(intervals: DataFrame, start: float, end: float, step: float = 1
     points = math.ceil((end - start) / step)
     overall = intervals.agg(F.avg("aggregated").alias("_mean"))
     rows = intervals.select("interval_idx", "mean", "std_dev").crossJoin(F.broadcast(overall))
-    rows = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(points - 1))) * F.lit(float(step)) + F.lit(float(start)))
+    rows = rows.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", F.col("_k") * F.lit(float(step)) + F.lit(float(start)))
     zp, zq = (F.col("x") - F.col("_mean")) / F.col("std_dev"), (F.col("x") - F.col("mean")) / F.col("std_dev")
     return rows.select(
         "interval_idx", "x",

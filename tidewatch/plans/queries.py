@@ -587,7 +587,8 @@ def logistic_predictions(spark, sf_dir):
 def stream_monitor(spark, sf_dir):
     """Scores of embeddings as a stream of ten keys: accuracy over the latest seven and alert levels."""
     place = f"{sf_dir}/embeddings.parquet"
-    stream = spark.readStream.schema(spark.read.parquet(place).schema).parquet(place)
+    # a pattern, as the source takes a folder or a pattern but no single file
+    stream = spark.readStream.schema(spark.read.parquet(place).schema).parquet(place.replace(".parquet", "[.]parquet"))
     probs = classify.softmax(F.slice(F.col("embedding").cast("array<double>"), 1, 10))
     scores = stream.select((F.col("vec_id") % 10).alias("key"), F.col("vec_id").alias("pos"), confidence.entropy_score(probs).alias("score"))
     return monitor.run_to_end(monitor.monitor(scores, -2.29, 7, [(30.0, "critical"), (60.0, "warning")]), "monitor")
