@@ -87,13 +87,13 @@ def min_hashes(grams: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.n
 
 
 def signatures(docs: DataFrame, p: int, trees: int = TREES, n: int = N, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, id, node: digest of the n-gram set or null without words, keys: array<long>, the prefix of p labels in each
-    tree, sketch). row numbers the rows of docs."""
+    """(row, id, node: digest of the n-gram set or null without words, keys: array<long>, a hash of each tree's number and
+    its prefix of p labels, sketch). row numbers the rows of docs."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second = _seeds(trees * p)
-        mix = _MIX[:p]
+        mix, tree = _MIX[:p], np.arange(trees, dtype=np.uint64) * _MIX[p]
         for batch in batches:
             nodes, keys, sketches = [], [], []
             for text in batch.column(2):
@@ -104,7 +104,7 @@ def signatures(docs: DataFrame, p: int, trees: int = TREES, n: int = N, id_col:
                 values = min_hashes(grams, first, second)
                 nodes.append(hashlib.md5(grams.tobytes()).hexdigest())
                 labels = values.reshape(trees, p).astype(np.uint64)
-                key = ((labels + np.uint64(0x9E3779B9)) * mix).sum(1, dtype=np.uint64)
+                key = ((labels + np.uint64(0x9E3779B9)) * mix).sum(1, dtype=np.uint64) + tree
                 keys.append((key ^ (key >> np.uint64(31))).view(np.int64))
                 sketches.append((values[:SKETCH] >> np.uint32(24)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
@@ -119,10 +119,10 @@ def signatures(docs: DataFrame, p: int, trees: int = TREES, n: int = N, id_col:
 def _tiles(rows: DataFrame, group: list[str], size: str, tile: int) -> DataFrame:
     """Sends each row to the pairs of tiles (a <= b) that it is needed in; own tells which of the two is its own."""
     tiles = F.ceil(F.col(size) / tile).cast("int")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), tiles).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("row"), tiles).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
     rows = rows.withColumn("a", F.least("own", "other")).withColumn("b", F.greatest("own", "other")).drop("other")
-    return rows.repartition(*group, "a", "b").sortWithinPartitions(*group, "a", "b", "node")
+    return rows.repartition(*group, "a", "b").sortWithinPartitions(*group, "a", "b", "row")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
@@ -154,31 +154,32 @@ def spanning(linked, n: int) -> Iterator[tuple[int, int]]:
 
 
 def candidate_edges(nodes: DataFrame, threshold: float) -> DataFrame:
-    """nodes (node, keys, sketch) -> edges (u, v) that connect what shares a prefix and may reach the threshold."""
-    labels = nodes.select("node", F.posexplode("keys").alias("tree", "key"))
-    shared = labels.groupBy("tree", "key").agg(F.count("*").alias("n")).where("n > 1")
+    """nodes (row, keys, sketch) -> edges (u, v) that connect what shares a prefix and may reach the threshold. The joins
+    are merge joins at every size: what they match grows with the input, so it is never broadcast."""
+    labels = nodes.select("row", F.explode("keys").alias("key"))
+    shared = labels.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = workspace.materialize(shared, "prefixes")
-    members = workspace.materialize(labels.join(shared, ["tree", "key"]), "members").join(nodes.select("node", "sketch"), "node")
+    members = workspace.materialize(labels.join(shared.hint("merge"), "key"), "members").join(nodes.select("row", "sketch").hint("merge"), "row")
     least = SKETCH * (threshold - 5 * (threshold * (1 - threshold) / SKETCH) ** 0.5)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: tuple[list, list] = ([], [])
-        for rows in _groups(batches, 4):
-            names = [r[4] for r in rows]
-            sketches = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(len(rows), SKETCH)
+        for rows in _groups(batches, 3):
+            names = [r[3] for r in rows]
+            sketches = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), SKETCH)
             for i, j in spanning(lambda i, rest, s=sketches: np.count_nonzero(s[rest] == s[i], axis=1) >= least, len(rows)):
                 out[0].append(names[i])
                 out[1].append(names[j])
             if len(out[0]) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in out], ["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["u", "v"])
                 out = ([], [])
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in out], ["u", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["u", "v"])
 
-    tiled = _tiles(members, ["tree", "key"], "n", PREFIX_TILE)
-    return tiled.select("tree", "key", "a", "b", "node", "sketch").mapInArrow(task, "u string, v string").distinct()
+    tiled = _tiles(members, ["key"], "n", PREFIX_TILE)
+    return tiled.select("key", "a", "b", "row", "sketch").mapInArrow(task, "u long, v long").distinct()
 
 
-def _exact(threshold: float, n: int):
+def _exact(threshold: float):
     ratio = Fraction(str(threshold))
 
     def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -219,8 +220,8 @@ def _exact(threshold: float, n: int):
             edges = list(spanning(lambda i, rest, m=linked: m[i, rest], len(names)))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(u + [names[i] for i, _ in edges], pa.string()),
-                    pa.array([None] * len(u) + [names[j] for _, j in edges], pa.string()),
+                    pa.array(u + [names[i] for i, _ in edges], pa.int64()),
+                    pa.array([None] * len(u) + [names[j] for _, j in edges], pa.int64()),
                     pa.array(links[texts > 0].tolist() + [0] * len(edges), pa.int64()),
                     pa.array(texts[texts > 0].tolist() + [0] * len(edges), pa.int64()),
                 ],
@@ -232,23 +233,23 @@ def _exact(threshold: float, n: int):
 
 def verify(docs: DataFrame, nodes: DataFrame, groups: DataFrame, threshold: float, n: int, text_col: str = "text") -> DataFrame:
     """Intersects all pairs within each component. nodes (node, row: of a document that has the set, copies), groups
-    (node, component) -> rows (u, v null, links, texts): u's links by copies and by texts; and (u, v): spanning links."""
+    (row, component) -> rows (u, v null, links, texts): u's links by copies and by texts; and (u, v): spanning links."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             packed = pa.array([ngrams(x.as_py(), n).tobytes() for x in batch.column(4)], pa.binary())
-            if any(hashlib.md5(x.as_py()).hexdigest() != y.as_py() for x, y in zip(packed, batch.column(2), strict=True)):
+            if any(hashlib.md5(x.as_py()).hexdigest() != y.as_py() for x, y in zip(packed, batch.column(5), strict=True)):
                 raise RuntimeError("docs has other rows when it is read again; write it as a table first")
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], packed], ["component", "size", "node", "copies", "grams"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], packed], ["component", "size", "row", "copies", "grams"])
 
     sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
-    wanted = groups.join(sizes, "component").join(nodes.select("node", "row", "copies"), "node")
+    wanted = groups.join(sizes, "component").join(nodes.select("row", "node", "copies").hint("merge"), "row")
     wanted = workspace.materialize(wanted, "to-verify")
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text")).join(wanted, "row")
-    packed = rows.select("component", "size", "node", "copies", "text").mapInArrow(sets, "component string, size long, node string, copies long, grams binary")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text")).join(wanted.hint("merge"), "row")
+    packed = rows.select("component", "size", "row", "copies", "text", "node").mapInArrow(sets, "component long, size long, row long, copies long, grams binary")
     tiled = _tiles(packed, ["component"], "size", TILE)
-    picked = tiled.select("component", "a", "b", "own", "node", "copies", "grams")
-    return workspace.materialize(picked.mapInArrow(_exact(threshold, n), "u string, v string, links long, texts long"), "verified")
+    picked = tiled.select("component", "a", "b", "own", "row", "copies", "grams")
+    return workspace.materialize(picked.mapInArrow(_exact(threshold), "u long, v long, links long, texts long"), "verified")
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, trees: int = TREES, depth: int = DEPTH, target: float = TARGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -258,15 +259,15 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, trees: int =
     signed = workspace.materialize(signatures(docs, p, trees, n, id_col, text_col), "signatures")
     nodes = signed.where("node is not null").groupBy("node").agg(F.min("row").alias("row"), F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     nodes = workspace.materialize(nodes, "nodes")
-    groups = components(candidate_edges(nodes, threshold))
+    groups = components(candidate_edges(nodes, threshold)).withColumnRenamed("node", "row")
     checked = verify(docs, nodes, groups, threshold, n, text_col)
-    found = components(checked.where("v is not null").select("u", "v"))
-    counts = checked.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
-    firsts = found.join(nodes.select("node", "row"), "node").groupBy("component").agg(F.min("row").alias("class_row"))
-    more = nodes.select("node", "copies", "row").join(counts, "node", "left").join(found, "node", "left").join(firsts, "component", "left")
-    more = more.where("copies > 1 or component is not null").select("node", "copies", "links", "texts", F.coalesce("class_row", "row").alias("class_row"))
+    # a node is its smallest row and a component its smallest node, so a component is the first row of its class
+    found = components(checked.where("v is not null").select("u", "v")).select(F.col("node").alias("row"), F.col("component").alias("class_row"))
+    counts = checked.where("v is null").groupBy(F.col("u").alias("row")).agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
+    more = nodes.select("node", "copies", "row").join(counts, "row", "left").join(found, "row", "left")
+    more = more.where("copies > 1 or class_row is not null").select("node", "copies", "links", "texts", F.coalesce("class_row", "row").alias("class_row"))
     more = workspace.materialize(more, "classes")
-    out = signed.select("row", "id", "node").join(more, "node", "left")
+    out = signed.select("row", "id", "node").join(more.hint("merge"), "node", "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     return out.select("row", "id", "node", F.coalesce("copies", F.lit(1).cast("long")).alias("copies"), zero("links"), zero("texts"), F.coalesce("class_row", "row").alias("class_row"))
 
@@ -285,4 +286,4 @@ def keep_first(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     """docs with one row of each near-duplicate class: the first of them in the table."""
     row = workspace.fresh(docs, "jaccard_row")
     stay = workspace.materialize(join(docs, id_col=id_col, text_col=text_col).where("row = class_row").select(F.col("row").alias(row)), "kept")
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(stay, row, "left_semi").select(*docs.columns)
+    return docs.withColumn(row, F.monotonically_increasing_id()).join(stay.hint("merge"), row, "left_semi").select(*docs.columns)
