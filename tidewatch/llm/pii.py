@@ -127,15 +127,15 @@ def bootstrap(edges: DataFrame, rounds: int = 3, min_known: float = 3.0, good_pa
     totals = workspace.materialize(totals.where(F.col("total") >= min_known), "patterns")
     live = edges.join(totals.select("pattern", "total"), "pattern")
     live = workspace.materialize(live, "live-edges")
-    known = live.where("kind is null").select("instance", F.lit(None).cast("string").alias("k"), F.lit(0.0).alias("confidence")).limit(0)
-    known = workspace.materialize(known, "known")
+    seeds = live.where("kind is not null").select("pattern", "total", F.col("kind").alias("k"), F.lit(1.0).alias("c"))
+    known = None
     for _ in range(rounds):
-        seeds = live.where("kind is not null").select("pattern", "total", F.col("kind").alias("k"), F.lit(1.0).alias("c"))
-        learnt = live.where("kind is null").join(known, "instance").select("pattern", "total", "k", F.col("confidence").alias("c"))
-        scored = seeds.unionByName(learnt).groupBy("pattern", "total", "k").agg(F.sum("c").alias("mass"))
+        sure = seeds
+        if known is not None:
+            sure = sure.unionByName(live.where("kind is null").join(known, "instance").select("pattern", "total", "k", F.col("confidence").alias("c")))
+        scored = sure.groupBy("pattern", "total", "k").agg(F.sum("c").alias("mass"))
         scored = scored.where(F.col("mass") >= min_known).withColumn("p", F.col("mass") / (F.col("total") + 1)).where(F.col("p") >= good_pattern)
-        scored = workspace.materialize(scored.select("pattern", "k", "p"), "good-patterns")
-        reached = live.where("kind is null").select("pattern", "instance").join(scored, "pattern")
+        reached = live.where("kind is null").select("pattern", "instance").join(scored.select("pattern", "k", "p"), "pattern")
         reached = reached.groupBy("instance", "k").agg((1 - F.exp(F.sum(F.log1p(-F.least("p", F.lit(0.999)))))).alias("confidence"))
         known = workspace.materialize(reached.where(F.col("confidence") >= good_instance), "known")
     best = F.max_by(F.struct("k", "confidence"), F.struct("confidence", "k"))
@@ -146,7 +146,7 @@ def spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(key, base, all): per distinct text with any, the spans of the format rules and those with the discovered ones,
     as sorted arrays of struct<rank of the kind, start, end>."""
     found = occurrences(docs, text_col)
-    new = workspace.materialize(bootstrap(graph(found)), "discovered")
+    new = bootstrap(graph(found))
     extra = found.where("kind = 'candidate'").withColumn("instance", F.lower("value")).drop("kind").join(new, "instance")
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
     both = found.where("kind != 'candidate'").select("key", rank.alias("kind"), "start", "end", F.lit(True).alias("is_base"))
