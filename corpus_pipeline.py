@@ -45,10 +45,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every whole text, and whether they decode to it."""
-    ranks, pattern = public_tokenizers.path(MULTI_RANKS), public_tokenizers.PATTERN
-    out = docs.select("doc_id", "source", "lang", "text", bpe.encode(F.col("text"), ranks, pattern).alias("ids"))
-    exact = bpe.decode(F.col("ids"), ranks, pattern) == F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return out.select("doc_id", "source", "lang", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", exact.alias("decodes"))
+    out = bpe.round_trip(docs, public_tokenizers.path(MULTI_RANKS), public_tokenizers.PATTERN, keep=("source", "lang"), decoded=False)
+    return out.select("doc_id", "source", "lang", "n_tokens", "ids", F.col("exact").alias("decodes"))
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("private_data", private_data), ("mix", mix), ("tokens", tokens)]

@@ -18,10 +18,13 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import workspace
+
 #: Texts of more characters than this are cut into pieces of about this many.
 PIECE_CHARS = 1 << 16
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
@@ -90,12 +93,27 @@ def unpack(ids: Column) -> Column:
     return as_array(ids)
 
 
-def round_trip(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids packed, n_tokens, decoded bytes) of every document; one narrow stage, no shuffle."""
-    encoded = docs.select(F.col(id_col), encode(F.col(text_col), rank_file, pattern).alias("ids"))
-    return encoded.select(
-        id_col,
-        "ids",
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        decode(F.col("ids"), rank_file, pattern).alias("decoded"),
-    )
+def round_trip(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), decoded: bool = True) -> DataFrame:
+    """(id, columns to keep, ids packed, n_tokens, exact: whether the ids decode to the text, decoded bytes if asked for)
+    of every document. One narrow stage without a shuffle, and one Python worker a task for both directions."""
+    workspace.small_batches(docs.sparkSession)
+    passed = docs.select(id_col, *keep, F.col(text_col).alias(workspace.fresh(docs, "_text")))
+    schema = T.StructType([*passed.schema.fields[:-1], T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("exact", T.BooleanType())])
+    if decoded:
+        schema = schema.add("decoded", T.BinaryType())
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        back = encoding(rank_file, pattern).decode_bytes
+        for batch in batches:
+            ids, exact, whole = [], [], []
+            for x in batch.column(batch.num_columns - 1):
+                text = x.as_py() or ""
+                ids.append(encode_text(text, rank_file, pattern))
+                data = back(np.frombuffer(ids[-1], dtype="<u4").tolist())
+                exact.append(data == text.encode("utf-8", "surrogatepass"))
+                whole.append(data)
+            made = [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(exact, pa.bool_())]
+            made += [pa.array(whole, pa.binary())] if decoded else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], schema.names)
+
+    return passed.mapInArrow(task, schema)

@@ -178,6 +178,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0, id_col
             schema = pa.schema([("id", pa.int64()), ("file", pa.string()), ("frame", pa.int32()), ("at", pa.int64()), ("n", pa.int64())])
             yield pa.RecordBatch.from_pydict(rows, schema=schema)
 
+    workspace.small_batches(docs.sparkSession)
     ordered = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     spread = F.xxhash64("text")  # rows that share an id are still dealt over partitions
     ordered = ordered.repartitionByRange("id", spread).sortWithinPartitions("id", spread)

@@ -255,6 +255,7 @@ def verify(docs: DataFrame, nodes: DataFrame, groups: DataFrame, threshold: floa
 def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, trees: int = TREES, depth: int = DEPTH, target: float = TARGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: row, id, node (copy class), copies (rows of the class), links (rows of other classes with a
     similarity of at least threshold), texts (such classes), class_row (the first row of the near-duplicate class)."""
+    workspace.small_batches(docs.sparkSession)
     p = prefix_length(threshold, trees, depth, target)
     signed = workspace.materialize(signatures(docs, p, trees, n, id_col, text_col), "signatures")
     nodes = signed.where("node is not null").groupBy("node").agg(F.min("row").alias("row"), F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))

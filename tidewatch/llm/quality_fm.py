@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import workspace
 from .quality_rules import MEASURES, measure
 
 BUCKETS = 1 << 15
@@ -126,6 +127,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], epochs: in
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Fits on the rows of docs that have a label (0 or 1). Where more than max_rows ids have one, a hash of the id
     picks about max_rows of them: the sample is bounded, its features (not its texts) go to the driver."""
+    workspace.small_batches(docs.sparkSession)
     clean = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).where("id is not null and y in (0, 1)")
     clean = clean.groupBy("id").agg(F.avg("y").alias("y")).where("y != 0.5")
     share = min(1.0, max_rows / max(clean.count(), 1))
@@ -149,6 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, id_col: str =
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of every row: the probability of label 1. One narrow stage."""
+    workspace.small_batches(docs.sparkSession)
     key = docs.schema[id_col].dataType.simpleString()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

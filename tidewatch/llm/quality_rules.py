@@ -153,6 +153,7 @@ def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 200, strength:
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, MEASURES) of every row; one narrow stage."""
+    workspace.small_batches(docs.sparkSession)
     key = docs.schema[id_col].dataType.simpleString()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,6 +15,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _MADE: list[tuple[SparkSession, str]] = []
+#: Rows an Arrow batch, where rows hold whole texts or sets.
+BATCH_ROWS = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,6 +48,14 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows an Arrow batch to BATCH_ROWS, which bounds a Python worker's memory; a lower setting
+    stays. Plans read the setting when they run."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def drop(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
