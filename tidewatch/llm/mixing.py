@@ -30,6 +30,8 @@ from . import workspace
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words a block, slots an output shard, rounds of a permutation, and slots made by one row of work.
 BLOCK, SHARD_SLOTS, ROUNDS, CHUNK = 128, 4096, 20, 256
+#: Chunks a task, and most tasks, that make slots.
+TASK_CHUNKS, MOST_TASKS = 64, 20_000
 #: More sources than this aren't listed on the driver.
 MAX_SOURCES = 1_000_000
 _FAN_BITS = 6
@@ -133,8 +135,10 @@ def slots(docs: DataFrame, sources: list[Quota], block: int = BLOCK, shard_slots
             rows.append((q.source, first, n, blocks))
         first += n
     total = max(first, 1)
+    # a stated number of partitions, as these few bytes become many rows; MOST_TASKS bounds what the driver schedules
+    tasks = min(max(-(-total // (CHUNK * TASK_CHUNKS)), 1), MOST_TASKS)
     listed = spark.createDataFrame(rows, "source string, first long, n long, blocks long")
-    chunks = listed.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {CHUNK}")))).repartition("source", "chunk")
+    chunks = listed.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {CHUNK}")))).repartition(tasks, "source", "chunk")
     mine = chunks.withColumn("j", F.explode(F.expr(f"sequence(chunk * {CHUNK}, least(n, (chunk + 1) * {CHUNK}) - 1)")))
     place = permuted(F.col("first") + F.col("j"), F.lit(total), F.lit(seed))
     turn = F.expr("j div blocks")
@@ -166,14 +170,14 @@ class Mix:
 
     def blocks(self) -> DataFrame:
         """The mix in full: a row per slot and piece of a document, (shard, slot, pass, row, from, words)."""
-        left, right = self.slots.alias("a"), self.pieces.alias("b")
+        left, right = self.slots.alias("a"), self.pieces.hint("merge").alias("b")  # neither side's size is bounded
         same = F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.block") == F.col("b.block"))
         return left.join(right, same).select("shard", "slot", "pass", "row", "from", "words")
 
     def taken(self) -> DataFrame:
         """sizes with taken, the words that the mix takes of a row. Uses are counted by block before the join."""
         uses = self.slots.groupBy("source", "block").agg(F.count("*").alias("uses")).alias("a")
-        right = self.pieces.alias("b")
+        right = self.pieces.hint("merge").alias("b")
         same = F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.block") == F.col("b.block"))
         used = uses.join(right, same).groupBy("row").agg(F.sum(F.col("uses") * F.col("words")).alias("taken"))
         out = self.sizes.join(used, "row", "left")
@@ -197,5 +201,5 @@ def mixed(docs: DataFrame, made: Mix, text_col: str = "text") -> DataFrame:
     uses = workspace.materialize(uses, "uses")
     words = F.regexp_extract_all(F.col(text_col), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     some = F.array_join(F.flatten(F.transform(parts, lambda x: F.slice(words, (x["from"] + 1).cast("int"), x["words"].cast("int")))), "")
-    joined = docs.withColumn(row, F.monotonically_increasing_id()).join(uses, row)
+    joined = docs.withColumn(row, F.monotonically_increasing_id()).join(uses.hint("merge"), row)
     return joined.withColumn(text_col, F.when(F.col(parts).isNull(), F.col(text_col)).otherwise(some)).select(*docs.columns)
