@@ -106,3 +106,10 @@ def test_only_requested_frames_are_read_and_checksums_hold(spark, odd_docs):
             assert sum(e[1] for e in table) < info.size
             with pytest.raises(ValueError):
                 frames.read_frame(source, (*table[0][:3], table[0][3] ^ 1))
+
+
+@pytest.mark.parametrize("text", ["a b, c.\nNext line", "a\n\nb c", "\na b", "a b\n", "a  b", "one", "a\tb c d", "x,\ny. z", "don't 'tis\n'ere", "a \nb"])
+def test_token_file_cuts(text, tokenizer):
+    assert "".join(frames.pieces(frames.cut(text))) == text
+    encode = frames.piece_encoder(public_tokenizers.path(BPE_JSON))
+    assert np.frombuffer(encode(text), "<u4").tolist() == tokenizer(text)[:-1] == np.frombuffer(encode(text), "<u4").tolist()

@@ -23,6 +23,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,31 +34,29 @@ SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1  # fixed values of the seekable for
 CHECKSUMS = 0x80  # descriptor: entries have checksums
 FRAME_IDS = 1 << 16
 #: Pieces that a worker remembers; at a few tens of bytes each this bounds its memory.
-CACHE = 600_000
+CACHE = 1_000_000
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _WHITE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def cut(text: str) -> list[str]:
-    """Pieces that join to text. Every cut is one where the pre-tokenizer begins a new match whatever surrounds it:
-    before a single space or around a single line feed between characters that aren't white space, and between a
-    letter and a comma or full stop that ends such a piece."""
+    """The first piece of text, then keys of the others: a key stands for itself after a space or, if it begins with a
+    line feed, for that and what follows as two pieces. Every cut is one where the pre-tokenizer begins a new match
+    whatever surrounds it: before a single space, or around a single line feed, between characters that aren't white
+    space."""
     if "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " " or _WHITE.search(text):
-        first, *rest = _SAFE.split(text)
-        return [first, *[f" {x}" for x in rest]]
-    pieces: list[str] = []
-    lines = text.split("\n") if "\n\n" not in text and text[0] != "\n" and text[-1] != "\n" else [text]
-    for n, line in enumerate(lines):
-        if n:
-            pieces.append("\n")
-        words = line.split(" ")
-        words[1:] = [f" {x}" for x in words[1:]]
-        for x in words:
-            if x[-1] in ",." and x[-2:-1].isalpha():
-                pieces += (x[:-1], x[-1])
-            else:
-                pieces.append(x)
-    return pieces
+        return _SAFE.split(text)
+    if "\n\n" not in text and text[0] != "\n" and text[-1] != "\n":
+        text = text.replace("\n", " \n")
+    return text.split(" ")
+
+
+def pieces(keys: list[str]) -> list[str]:
+    """The pieces that `cut` gave, in full."""
+    out = keys[:1]
+    for x in keys[1:]:
+        out += ("\n", x[1:]) if x[0] == "\n" else (f" {x}",)
+    return out
 
 
 @lru_cache(maxsize=2)
@@ -73,18 +72,46 @@ def piece_encoder(vocabulary: str) -> Callable[[str], bytes]:
     tokenizer.encode_special_tokens = True
     known: dict[str, bytes] = {}
 
+    def packed(texts: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    (line_end,) = packed(["\n"])
+    (end_id,) = struct.unpack("<I", line_end)
+
+    def learn(keys: list[str]) -> None:
+        """Words without white space inside are encoded in one call, a line feed between them, which is always an id of
+        its own and tells where each ends; other pieces are encoded one by one."""
+        new = list(set(keys).difference(known))
+        if len(known) + len(new) > CACHE:
+            known.clear()
+            new = list(set(keys))
+        bare = [x[1:] if x[0] == "\n" else x for x in new]
+        whole = [b if x[0] == "\n" else f" {b}" for x, b in zip(new, bare, strict=True)]
+        single = [i for i, b in enumerate(bare) if b.split() == [b]]
+        found = [b""] * len(new)
+        if single:
+            (row,) = tokenizer.encode_batch_fast(["\n".join([whole[i] for i in single])], add_special_tokens=False)
+            row = np.array(row.ids, "<u4")
+            data, start = row.tobytes(), 0
+            for i, end in zip(single, [*np.flatnonzero(row == end_id).tolist(), len(row)], strict=True):
+                found[i] = data[4 * start : 4 * end]
+                start = end + 1
+        rest = [i for i, x in enumerate(found) if not x]
+        for i, x in zip(rest, packed([whole[i] for i in rest]), strict=True):
+            found[i] = x
+        for x, ids in zip(new, found, strict=True):
+            known[x] = line_end + ids if x[0] == "\n" else ids
+
     def ids(text: str) -> bytes:
         if not text:
             return b""
-        pieces = cut(text)
-        new = list(set(pieces).difference(known))
-        if new:
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = list(set(pieces))
-            for piece, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[piece] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        return b"".join([known[x] for x in pieces])
+        first, *rest = cut(text)
+        (head,) = packed([first])
+        try:
+            return head + b"".join([known[x] for x in rest])
+        except KeyError:
+            learn(rest)
+        return head + b"".join([known[x] for x in rest])
 
     return ids
 
