@@ -1,4 +1,4 @@
-"""Distances between two normal densities per interval, over a fixed grid, and errors of single observations.
+"""Distances between two normal densities per interval, over a grid, and errors of single observations.
 
 P has the mean of all aggregated values, Q the forecast mean; both have the forecast standard deviation. The grid is
 exploded once and all pointwise distances come out of one aggregation per interval.
@@ -8,18 +8,36 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.math import normal_cdf, normal_density
 
 
+#: Standard deviations that a spanning grid reaches beyond every mean; less than 2e-9 of either density is outside.
+REACH = 6
+
+
 def density_grid(intervals: DataFrame, start: float, end: float, step: float = 1.0) -> DataFrame:
     """intervals (interval_idx, aggregated, mean, std_dev) -> (interval_idx, x, p, q, log_ratio: ln p - ln q)."""
     points = math.ceil((end - start) / step)
     overall = intervals.agg(F.avg("aggregated").alias("_mean"))
+    return _densities(intervals, overall, F.sequence(F.lit(0), F.lit(points - 1)), F.lit(float(start)), step)
+
+
+def spanning_grid(intervals: DataFrame, step: float = 1.0) -> DataFrame:
+    """Like density_grid, from REACH standard deviations below the least mean to as many above the greatest, in steps
+    from a multiple of step on: one grid for all intervals that holds both densities of each, whatever their size."""
+    mean, spread = F.avg("aggregated"), REACH * F.max("std_dev")
+    low = F.least(F.min(F.col("mean") - REACH * F.col("std_dev")), mean - spread)
+    high = F.greatest(F.max(F.col("mean") + REACH * F.col("std_dev")), mean + spread)
+    overall = intervals.agg(mean.alias("_mean"), F.floor(low / step).alias("_low"), F.ceil(high / step).alias("_high"))
+    return _densities(intervals, overall, F.sequence("_low", "_high"), F.lit(0.0), step)
+
+
+def _densities(intervals: DataFrame, overall: DataFrame, steps: Column, start: Column, step: float) -> DataFrame:
     rows = intervals.select("interval_idx", "mean", "std_dev").crossJoin(F.broadcast(overall))
-    rows = rows.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", F.col("_k") * F.lit(float(step)) + F.lit(float(start)))
+    rows = rows.withColumn("_k", F.explode(steps)).withColumn("x", F.col("_k") * F.lit(float(step)) + start)
     zp, zq = (F.col("x") - F.col("_mean")) / F.col("std_dev"), (F.col("x") - F.col("mean")) / F.col("std_dev")
     return rows.select(
         "interval_idx", "x",
@@ -62,9 +80,9 @@ def ks_error(intervals: DataFrame) -> DataFrame:
     return z_error(intervals).select("interval_idx", F.greatest(phi, 1 - phi).alias("ks"))
 
 
-def metrics(intervals: DataFrame, start: float, end: float, step: float = 1.0) -> DataFrame:
-    """All distances and errors, one row an interval."""
-    grid = density_grid(intervals, start, end, step)
+def metrics(intervals: DataFrame, start: float | None = None, end: float | None = None, step: float = 1.0) -> DataFrame:
+    """All distances and errors, one row an interval; without bounds over the spanning grid."""
+    grid = spanning_grid(intervals, step) if start is None or end is None else density_grid(intervals, start, end, step)
     return intervals.select("interval_idx", "interval").join(pointwise(grid), "interval_idx").join(energy(grid), "interval_idx").join(z_error(intervals), "interval_idx").join(ks_error(intervals), "interval_idx")
 
 

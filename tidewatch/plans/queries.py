@@ -120,6 +120,11 @@ def density_grid(spark, sf_dir):
     return grid.where(F.col("x") % 20 == 0).select("interval_idx", "x", F.round("p", 10).alias("p"), F.round("q", 10).alias("q"))
 
 
+# The queries over GRID see what lies in it and keep their SQL; those named _whole see all of both densities.
+SPANNED = GRIDDED.replace("o as (select avg(aggregated) as m from fc)", "o as (select avg(aggregated) as m, floor(least(min(mean - 6 * std_dev), avg(aggregated) - 6 * max(std_dev)))::bigint as low, ceil(greatest(max(mean + 6 * std_dev), avg(aggregated) + 6 * max(std_dev)))::bigint as high from fc)")
+SPANNED = SPANNED.replace("generate_series(0, 399)", "generate_series((select low from o), (select high from o))")
+
+
 def _pointwise(name: str, sql: str, digits: int) -> None:
     def run(spark, sf_dir):
         out = distances.pointwise(distances.density_grid(forecasts(spark, sf_dir), *GRID))
@@ -128,6 +133,13 @@ def _pointwise(name: str, sql: str, digits: int) -> None:
     run.__name__ = f"{name}_daily"
     query(f"with {GRIDDED} select interval_idx, round({sql}, {digits}) as {name} from y group by 1")(run)
 
+    def whole(spark, sf_dir):
+        out = distances.pointwise(distances.spanning_grid(forecasts(spark, sf_dir)))
+        return out.select("interval_idx", F.round(name, digits).alias(name))
+
+    whole.__name__ = f"{name}_daily_whole"
+    query(f"with {SPANNED} select interval_idx, round({sql}, {digits}) as {name} from y group by 1")(whole)
+
 
 _pointwise("kl", "sum(case when p <> 0 then p * log_ratio / ln(2) else 0 end)", 6)
 _pointwise("hellinger", "sqrt(sum(case when p <> 0 then (sqrt(p) - sqrt(q)) * (sqrt(p) - sqrt(q)) else 0 end)) / sqrt(2)", 6)
@@ -146,6 +158,16 @@ def energy_daily(spark, sf_dir):
     return distances.energy(grid).withColumn("energy", F.round("energy", 7))
 
 
+@query(
+    f"""with {SPANNED},
+b as (select interval_idx, p as v, 1 as s from y union all select interval_idx, q, -1 from y),
+c as (select interval_idx, lead(v) over w - v as gap, sum(s) over (w rows between unbounded preceding and current row) as ahead from b window w as (partition by interval_idx order by v, s))
+select interval_idx, round(sqrt(2) * sqrt(sum(ahead * ahead * coalesce(gap, 0)) / ((count(*) / 2.0) * (count(*) / 2.0))), 7) as energy from c group by 1"""
+)
+def energy_daily_whole(spark, sf_dir):
+    return distances.energy(distances.spanning_grid(forecasts(spark, sf_dir))).withColumn("energy", F.round("energy", 7))
+
+
 PHI = "(1 - ((((1.061405429::double * t - 1.453152027::double) * t + 1.421413741::double) * t - 0.284496736::double) * t + 0.254829592::double) * t * exp(-x * x))"
 
 
@@ -158,7 +180,7 @@ def ks_daily(spark, sf_dir):
 @query()
 def ts_metrics(spark, sf_dir):
     """Every metric and the accuracy of each interval in one frame."""
-    days = distances.metrics(forecasts(spark, sf_dir), *GRID)
+    days = distances.metrics(forecasts(spark, sf_dir))
     return days.join(events_daily_accuracy(spark, sf_dir), "interval_idx")
 
 
