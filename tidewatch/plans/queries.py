@@ -493,6 +493,13 @@ def tile_neighbours(spark, sf_dir):
     return rows.select("event_id", around("tx"), "ty").select("event_id", "tx", around("ty"))
 
 
+@query(f"with {GEO}, o as (select unnest([-1, 0, 1]) as d) select event_id, tx + a.d as tx, ty + b.d as ty from t, o a, o b")
+def tile_neighbours_whole(spark, sf_dir):
+    """The neighbours of every event; the SQL of tile_neighbours holds those below id 500."""
+    around = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)).alias(c)
+    return located(spark, sf_dir).select("event_id", around("tx"), "ty").select("event_id", "tx", around("ty"))
+
+
 @query("with g as (select event_id, (event_id * 37) % 160 - 80 + (event_id % 97) / 97.0::double as lat from events), w as (select event_id, lat, round(abs(lat) * 360000)::bigint as w from g) select event_id, w // 360000 as degrees, w // 6000 % 60 as minutes, w % 6000 as centiseconds, case when lat < 0 then 'S' else 'N' end as ref, round(case when lat < 0 then -1 else 1 end * (w / 360000.0::double), 8) as back from w")
 def dms_roundtrip(spark, sf_dir):
     lat = F.pmod(F.col("event_id") * 37, F.lit(160)) - 80 + F.pmod("event_id", F.lit(97)) / 97.0
