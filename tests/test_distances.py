@@ -43,3 +43,10 @@ def test_grid_holds_both_densities(spark):
     near = [(k, 1000.0 + k, 1010.0, 40.0) for k in range(5)]
     out = distances.pointwise(distances.spanning_grid(spark.createDataFrame(near, "interval_idx long, aggregated double, mean double, std_dev double"))).collect()
     assert all(abs(r.kl - (1002 - 1010) ** 2 / (2 * 40**2) / np.log(2)) < 1e-6 for r in out)
+
+
+def test_every_grid_point_is_returned(spark, sf_dir):
+    rows = QUERIES["density_grid_whole"](spark, sf_dir).collect()
+    points = sorted({r.x for r in rows})
+    assert points == [points[0] + k for k in range(len(points))]
+    assert len(rows) == len(points) * len({r.interval_idx for r in rows}) and len(points) > 20

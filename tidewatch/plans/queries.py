@@ -158,6 +158,13 @@ def energy_daily(spark, sf_dir):
     return distances.energy(grid).withColumn("energy", F.round("energy", 7))
 
 
+@query(f"with {SPANNED} select interval_idx, x, round(p, 10) as p, round(q, 10) as q from y")
+def density_grid_whole(spark, sf_dir):
+    """Every point of the spanning grid; the SQL of density_grid holds every twentieth of GRID."""
+    grid = distances.spanning_grid(forecasts(spark, sf_dir))
+    return grid.select("interval_idx", "x", F.round("p", 10).alias("p"), F.round("q", 10).alias("q"))
+
+
 @query(
     f"""with {SPANNED},
 b as (select interval_idx, p as v, 1 as s from y union all select interval_idx, q, -1 from y),
