@@ -79,3 +79,18 @@ def test_context_discovers_unseen_identifiers(spark):
     assert new == {"0555/010-42": "phone"}
     texts = {r.doc_id: r.text for r in pii.redact(docs).collect()}
     assert texts[100] == "please call me on <PHONE> today" and texts[200] == rows[-1][1] and "<PHONE>" in texts[0]
+
+
+def test_overlapping_spans_leave_nothing(spark):
+    """The rest of an identifier goes with the one that begins before its end."""
+    texts = ["mail +14155550100@sms.example.org now", "+14155550100@sms.example.org", "a 4111111111111111@cards.example.org, b 10.0.0.1", "10.0.0.1@host.example.org 10.0.0.2 é c@d.org", "x@y.org +14155550100@sms.example.org"]
+    want = ["mail <EMAIL> now", "<EMAIL>", "a <EMAIL>, b <IP>", "<EMAIL> <IP> é <EMAIL>", "<EMAIL> <EMAIL>"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert [out[k] for k in range(len(texts))] == want
+
+
+def test_union_runs_to_the_greatest_end(spark):
+    spans = [(4, 0, 6), (3, 2, 4), (1, 5, 14), (2, 14, 16), (4, 18, 20)]  # phone, card inside it, e-mail from its end on
+    df = spark.createDataFrame([("0123456789abcdefghijkl", spans)], "text string, found array<struct<kind:int,start:bigint,end:bigint>>")
+    assert df.select(pii.redacted(df.text, df.found)).first()[0] == "<EMAIL><IP>gh<PHONE>kl"

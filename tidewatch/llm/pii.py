@@ -163,17 +163,23 @@ def as_text(found: Column) -> Column:
 
 
 def redacted(text: Column, found: Column) -> Column:
-    """The text with each span replaced by its kind in angle brackets; where spans overlap, the earlier one stands."""
+    """The text with each span replaced by its kind in angle brackets; spans that overlap are replaced as one, to the
+    greatest end, under the kind of the longest of them."""
     ordered = F.array_sort(F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
-    begin = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
+    zero = F.lit(0).cast("long")
+    # out ends before the open union, which reaches to at; size and kind are those of its longest span
+    begin = F.struct(F.lit("").alias("out"), zero.alias("at"), zero.alias("size"), F.lit(0).alias("kind"))
+    name = lambda kind: F.element_at(F.array(F.lit(""), *(F.lit(f"<{k.upper()}>") for k in KINDS)), kind + 1)
 
     def step(done: Column, x: Column) -> Column:
-        name = F.concat(F.lit("<"), F.upper(F.element_at(F.array(*map(F.lit, KINDS)), x["kind"])), F.lit(">"))
+        size = x["end"] - x["start"]
         gap = text.substr((done["at"] + 1).cast("int"), (x["start"] - done["at"]).cast("int"))
-        taken = F.struct(F.concat(done["out"], gap, name).alias("out"), x["end"].alias("at"))
-        return F.when(x["start"] < done["at"], done).otherwise(taken)
+        taken = F.struct(F.concat(done["out"], name(done["kind"]), gap).alias("out"), x["end"].alias("at"), size.alias("size"), x["kind"].alias("kind"))
+        kind = F.when(size > done["size"], x["kind"]).otherwise(done["kind"])
+        wider = F.struct(done["out"].alias("out"), F.greatest(done["at"], x["end"]).alias("at"), F.greatest(done["size"], size).alias("size"), kind.alias("kind"))
+        return F.when(x["start"] < done["at"], wider).otherwise(taken)
 
-    whole = F.aggregate(ordered, begin, step, lambda done: F.concat(done["out"], text.substr((done["at"] + 1).cast("int"), F.length(text))))
+    whole = F.aggregate(ordered, begin, step, lambda done: F.concat(done["out"], name(done["kind"]), text.substr((done["at"] + 1).cast("int"), F.length(text))))
     return F.when(F.size(found) > 0, whole).otherwise(text)
 
 
