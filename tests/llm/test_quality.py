@@ -94,3 +94,16 @@ def test_sum_of_squares_identity():
     size = quality_fm.BUCKETS + len(quality_fm.STRUCTURE)
     model = quality_fm.Model(0.0, np.zeros(size), np.zeros((size, 2)), np.zeros(len(quality_fm.STRUCTURE)), np.ones(len(quality_fm.STRUCTURE)))
     assert model.score("any text") == 0.5
+
+
+def test_an_id_of_many_rows_trains_once(spark, monkeypatch):
+    """max_rows bounds what goes to the driver, however many rows hold a labelled id."""
+    rows = [(1, f"the same words {k % 3}") for k in range(300)] + [(k, f"words of text {k}") for k in range(2, 7)] + [(7, None), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 9)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality_fm, "train", lambda data: seen.append(data))
+    for parts in (1, 7):
+        quality_fm.fit(docs.repartition(parts), labels)
+    assert [len(x) for x in seen] == [7, 7]
+    assert [[a.tolist() for a in r[:3]] for r in seen[0]] == [[a.tolist() for a in r[:3]] for r in seen[1]]

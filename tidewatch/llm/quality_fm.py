@@ -1,12 +1,13 @@
-"""Quality classifier: a factorisation machine over hashed words, structure statistics and text metadata.
+"""Quality classifier: a factorisation machine over hashed words and structure statistics, all taken from the text.
 
 score = sigmoid(w0 + sum w_i x_i + sum over factors f of ((sum v_if x_i)^2 - sum (v_if x_i)^2) / 2), which is all
 pairwise interactions <v_i, v_j> x_i x_j in time linear in a text's distinct words (the sum-of-squares identity).
 
 The model has a fixed size (BUCKETS + structure features, times FACTORS + 1), so it travels with the task. It is fitted
-on at most about `max_rows` labelled rows, picked by a hash of the id; every text is scored, whole.
+on at most about `max_rows` labelled ids, picked by a hash of the id, one row each; every text is scored, whole.
 
-Defined cases: a null text is scored as the empty text; rows without a label don't train; an id whose repeated labels
+Defined cases: a null text is scored as the empty text; rows without a label don't train; where rows of a labelled id
+differ, the text with the smallest hash trains, as the label is one of the id and not of a row; an id whose repeated labels
 tie has none; with no labelled row at all every score is 0.5; an empty table gives an empty result; only the named
 columns are read.
 """
@@ -125,8 +126,8 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], epochs: in
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Fits on the rows of docs that have a label (0 or 1). Where more than max_rows ids have one, a hash of the id
-    picks about max_rows of them: the sample is bounded, its features (not its texts) go to the driver."""
+    """Fits on one row of docs for each id that has a label (0 or 1). Where more than max_rows ids have one, a hash of the
+    id picks about max_rows of them: the sample is bounded, its features (not its texts) go to the driver."""
     workspace.small_batches(docs.sparkSession)
     clean = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).where("id is not null and y in (0, 1)")
     clean = clean.groupBy("id").agg(F.avg("y").alias("y")).where("y != 0.5")
@@ -144,6 +145,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, id_col: str =
 
     # at most about max_rows ids, so a broadcast of a known size
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
+    # each task keeps one text of an id, so one with many rows isn't shuffled whole
+    sample = sample.groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     sample = sample.select(F.col("id").cast("string").alias("id"), "text", "y").mapInArrow(task, "id string, bucket binary, weight binary, shape binary, y int")
     rows = sorted(sample.collect(), key=lambda r: (r["id"], r["bucket"], r["weight"]))  # the same order in every run
     return train([(np.frombuffer(r["bucket"], np.int32), np.frombuffer(r["weight"], np.float32), np.frombuffer(r["shape"], np.float32), r["y"]) for r in rows])
