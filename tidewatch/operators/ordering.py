@@ -27,6 +27,18 @@ def with_position(df: DataFrame, key: str, name: str = "pos", width: int = WIDTH
     return ranked(df, [], F.floor(F.col(key) / width), [key], name)
 
 
+def range_bucket(df: DataFrame, order: Sequence[str], buckets: int = 128, sample: int = 8192) -> Column:
+    """Buckets for `ranked` that ascend with the order and hold about as many rows each. Their bounds come from about
+    `sample` rows, picked by a hash of the ordered columns; with a unique column in the order, equal names are split too."""
+    share = min(1.0, sample / max(df.count(), 1))
+    picked = df.where(F.pmod(F.xxhash64(*order), F.lit(1_000_000)) < int(share * 1_000_000)).select(*order).orderBy(*order).collect()
+    bounds = [picked[len(picked) * k // buckets] for k in range(1, buckets)] if picked else []
+    row = F.struct(*order)
+    types = [df.schema[c].dataType for c in order]
+    limits = [F.struct(*(F.lit(v).cast(t).alias(c) for v, t, c in zip(b, types, order, strict=True))) for b in dict.fromkeys(bounds)]
+    return F.size(F.filter(F.array(*limits), lambda b: b <= row)) if limits else F.lit(0)
+
+
 def sliding(df: DataFrame, pos: str, size: int, width: int = WIDTH, keys: Sequence[str] = ()) -> tuple[DataFrame, Column, Window]:
     """Rows with their chunk and copies of each chunk's last size - 1 rows in the next one; own marks the originals.
     Aggregates over the window see the `size` latest rows by dense position; keep `own` rows afterwards."""
