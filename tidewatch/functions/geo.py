@@ -56,6 +56,15 @@ def tile_corner(tx: Column, ty: Column, level: Column, dx: float = 0.0, dy: floa
     return lat_long((tx + dx) * TILE, (ty + dy) * TILE, level)
 
 
+def part_corners(lat: Column, long: Column, level: Column, part: Column) -> dict[str, Column]:
+    """Coordinates of the centre and two corners of a part (struct with x, y, w and h in pixels) of a picture whose top
+    left is at lat and long; half sizes are whole pixels."""
+    px, py = pixel_xy(lat, long, level)
+    x, y = px + part["x"], py + part["y"]
+    at = {"center": (x + F.floor(part["w"] / 2), y + F.floor(part["h"] / 2)), "top_left": (x, y), "bottom_right": (x + part["w"], y + part["h"])}
+    return {f"{name}_{axis}": value for name, (a, b) in at.items() for axis, value in zip(("lat", "long"), lat_long(a, b, level), strict=True)}
+
+
 def quad_key(tx: Column, ty: Column, level: Column) -> Column:
     """A digit a level, from the most significant bits down: bit of x plus twice the bit of y."""
     bit = lambda v, i: F.floor(v / F.pow(F.lit(2.0), i - 1)) % 2

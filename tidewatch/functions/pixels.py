@@ -94,3 +94,17 @@ def split_grid(width: int, height: int, part: int) -> Column:
         return F.struct(r.alias("row"), c.alias("col"), (c * part).alias("x"), (r * part).alias("y"), F.least(F.lit(part), width - c * part).alias("w"), F.least(F.lit(part), height - r * part).alias("h"))
 
     return F.transform(cells, cell)
+
+
+def mosaic(tiles: Column, cols: int, width: int, height: int) -> Column:
+    """The pixels of one picture, row by row, from row-major tiles of equal size in row-major order."""
+    count = (F.size(tiles) * (width * height)).cast("int")
+    line = cols * width
+
+    def at(i: Column) -> Column:
+        row, col = F.floor(i / line), i % line
+        tile = F.floor(row / height) * cols + F.floor(col / width)
+        return F.get(F.get(tiles, tile.cast("int")), ((row % height) * width + col % width).cast("int"))
+
+    # a sequence from 0 to -1 would run downwards
+    return F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), at)).otherwise(F.slice(F.get(tiles, F.lit(0)), 1, 0))

@@ -525,6 +525,16 @@ def grid_split(spark, sf_dir):
     return spark.range(1).select(F.inline(pixels.split_grid(2300, 1400, 1000)))
 
 
+@query(f"""with {GEO}, c as (select unnest(generate_series(0, 5)) as i), r as (select i, i % 3 * 1000 as x, i // 3 * 1000 as y, least(1000, 2300 - i % 3 * 1000) as w, least(1000, 1400 - i // 3 * 1000) as h from c),
+q as (select event_id, i, size, unnest([0, 1, 2]) as k, px + x + unnest([0, w // 2, w]) as ax, py + y + unnest([0, h // 2, h]) as ay from t, r),
+v as (select event_id, i, k, 90 - 360 * atan(exp(-(0.5 - least(ay, size - 1) / size::double) * 2 * pi())) / pi() as lat, 360 * (least(ax, size - 1) / size::double - 0.5) as long from q)
+select event_id, (i // 3)::int as row, (i % 3)::int as col, round(max(lat) filter (k = 1), 7) as center_lat, round(max(long) filter (k = 1), 7) as center_long, round(max(lat) filter (k = 0), 7) as top_left_lat, round(max(long) filter (k = 0), 7) as top_left_long, round(max(lat) filter (k = 2), 7) as bottom_right_lat, round(max(long) filter (k = 2), 7) as bottom_right_long from v group by event_id, i""")
+def part_corners(spark, sf_dir):
+    rows = located(spark, sf_dir).withColumn("part", F.explode(pixels.split_grid(2300, 1400, 1000)))
+    corners = geo.part_corners(F.col("lat"), F.col("long"), F.col("z"), F.col("part"))
+    return rows.select("event_id", "part.row", "part.col", *(F.round(c, 7).alias(n) for n, c in corners.items()))
+
+
 PIXELS = "x as (select vec_id, list_transform(embedding, lambda v: least(greatest(round((v::double + 1) * 127.5), 0), 255)) as px from embeddings)"
 
 
@@ -564,6 +574,15 @@ def fog_blur(spark, sf_dir):
     return _summed(pictures(spark, sf_dir).withColumn("px", pixels.blur(F.col("px"), 8, 8, 2, 0.5)))
 
 
+@query(f"""with {PIXELS}, i as (select unnest(generate_series(0, 63)) as i)
+select vec_id, i, px[(i // 8 // 4 * 2 + i % 8 // 4) * 16 + i // 8 % 4 * 4 + i % 4 + 1]::double as pixel from x, i""")
+def tile_mosaic(spark, sf_dir):
+    """Four tiles of 4 x 4 pixels as one picture of 8 x 8."""
+    tiles = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.slice("px", k * 16 + 1, 16))
+    rows = pictures(spark, sf_dir).select("vec_id", F.posexplode(pixels.mosaic(tiles, 2, 4, 4)).alias("i", "pixel"))
+    return rows
+
+
 @query("select vec_id, 'img-' || vec_id || '-v' || (vec_id % 10) || '-drifted.png' as name from embeddings")
 def drifted_names(spark, sf_dir):
     stem = F.concat(F.lit("v"), (F.col("vec_id") % 10).cast("string"))
