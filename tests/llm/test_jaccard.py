@@ -77,14 +77,67 @@ def test_empty_table(spark, odd_docs, folder):
     assert op5_jaccard(spark, folder(documents=odd_docs.limit(0))).count() == 0
 
 
-def test_prefix_reaches_the_target():
-    p = jaccard.prefix_length()
-    assert 1 - (1 - 0.8**p) ** jaccard.TREES >= jaccard.TARGET
+def test_every_link_of_a_larger_table(spark, sf_dir):
+    """Recall 1 against all pairs, of links and of classes."""
+    data = sf_dir.replace("sf0.001", "sf0.01")
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()]
+    assert found(op5_jaccard(spark, data)) == brute(rows)
+
+
+def test_floor_reaches_the_target():
+    p = jaccard.floor_depth()
+    loss = jaccard.sketch_loss(0.8, jaccard.TREES * jaccard.DEPTH)
+    assert 0 < loss < 1e-5 and jaccard.meets(0.8, p) - loss >= jaccard.TARGET > jaccard.meets(0.8, p + 1) - loss
     with pytest.raises(ValueError):
-        jaccard.prefix_length(threshold=0.01, trees=2)
+        jaccard.floor_depth(threshold=0.01, trees=2)
+
+
+def test_prefixes_are_shortened_only_where_recall_needs_it(spark):
+    """A node among many close copies is closed at full depth; a pair far from all others goes down to the floor."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(k, " ".join([*words[: 5 * k], f"new{k}", *words[5 * k + 1 :]])) for k in range(60)]
+    lone = [f"z{i}" for i in range(60)]
+    rows += [(100, " ".join(lone)), (101, " ".join([*lone[:57], "x", "y", "z"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    signed = jaccard.workspace.materialize(jaccard.signatures(docs), "signed")
+    ids = {r.row: r.id for r in signed.select("row", "id").collect()}
+    edges = jaccard.candidate_edges(signed.select("row", "paths")).collect()
+    deep = {r.depth for r in edges if ids[r.u] < 100}
+    assert deep == {jaccard.DEPTH} and {i for r in edges if ids[r.u] < 100 for i in (ids[r.u], ids[r.v])} == set(range(60))
+    assert any({ids[r.u], ids[r.v]} == {100, 101} for r in edges)
+    every = jaccard.candidate_edges(signed.select("row", "paths"), target=0.99)  # one whose floor is the full depth
+    assert {r.depth for r in every.collect()} == {jaccard.DEPTH}
+
+
+def test_recall_estimate(spark):
+    df = spark.createDataFrame([(0, 0.0), (5, 5.0), (40, 40.0), (40, 40.1)], "found long, expected double")
+    deep, floor = ([r[0] for r in df.select(jaccard.recall(df.found, df.expected, p, 0.8)).collect()] for p in (jaccard.DEPTH, jaccard.floor_depth()))
+    assert deep[0] < deep[1] < jaccard.TARGET <= deep[2] and deep[3] < jaccard.TARGET and floor[0] >= jaccard.TARGET
+
+
+def test_labels_of_large_sets_differ():
+    """16 bits of the smallest value itself would be near zero for large sets."""
+    import numpy as np
+
+    seeds = jaccard._seeds(256)
+    a, b = (np.unique(np.random.default_rng(k).integers(0, 1 << 63, 50_000).astype(np.uint64)) for k in (1, 2))
+    same = np.mean(np.frombuffer(jaccard.labels_of(a, *seeds), ">u2") == np.frombuffer(jaccard.labels_of(b, *seeds), ">u2"))
+    assert same < 0.05
+
+
+def test_another_table_on_the_second_read_is_an_error(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(20).select("id", F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    wrong = docs.withColumn("seen", F.xxhash64(F.lit("other")))
+    with pytest.raises(Exception, match="other rows"):
+        wrong.where(jaccard.workspace.same_text(F.col("text"), F.col("seen"))).collect()
 
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 200), (200, 100), (300, 300), (None, 4), (200, 150)]
     out = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert out == {**{i: 0 for i in range(51)}, 100: 100, 150: 100, 200: 100}
+    star = spark.createDataFrame([(i, 7) for i in range(8, 30)], "u long, v long")
+    assert {r.component for r in components.components(star).collect()} == {7}
+    assert components.components(star.limit(0)).count() == 0

@@ -1,33 +1,41 @@
 """N-gram Jaccard join: a MinHash LSH forest, followed by exact verification.
 
-1. A task reduces each whole text to the set of its word n-grams and that to TREES label sequences of MinHash values.
-   Texts with equal sets form one copy class and are one node from here on.
-2. The labels of a tree, sorted, are a prefix trie. From full depth on, the matched prefix is shortened until the chance
-   to meet in at least one tree, 1 - (1 - t**p)**TREES for a pair at the threshold t, reaches the target recall. Nodes
-   that share a prefix of that length in some tree are candidates.
-3. Within a shared prefix, sketches of the same MinHash values rule out pairs far below the threshold (five standard
-   errors), and what is left is connected. Its components hold every pair that the forest has found.
-4. Within a component every pair of sets is intersected exactly. A node's links are counted by copies; no pair is written
-   for each of them, only a spanning forest, of which components are the near-duplicate classes.
+1. A task reduces each whole text to the set of its word n-grams and that to TREES paths of DEPTH MinHash labels. Texts
+   with equal sets form one copy class and are one node from here on.
+2. The paths of a tree, sorted, are a prefix trie. Leaves that share no prefix of even the floor depth - the longest at
+   which a pair at the threshold meets in some tree with the target probability - can match nothing and go.
+3. Matching begins at full depth. Nodes that share a prefix of that length in some tree are compared by sketches of all
+   their labels, which rule out pairs far below the threshold. What a node has found, and how likely pairs of those
+   similarities were to be found at this depth, gives an estimate of the node's recall, one unseen partner at the
+   threshold itself included. Nodes that reach the target are closed; for the others the prefix is shortened by a label,
+   and again, down to the floor, where a node without any partner reaches the target too. A prefix is looked at again
+   only if it joins different subtrees and holds an open node, so large groups of copies end at long prefixes and lonely
+   texts pay for short ones. What the sketches may lose is part of every estimate.
+4. What was found is connected. Within a component every pair of sets is intersected exactly. A node's links are counted
+   by copies; no pair is written for each of them, only a spanning forest, of which components are the classes.
 
 Large groups. A prefix or a component with many nodes is cut into tiles by a hash of the node; a task gets two tiles at
-a time, so all pairs are covered and no task gets a whole group, while rows grow with size * tiles rather than with the
-square. Copies never leave their class, so a text that is a third of all rows counts as one node.
+a time, so all pairs are covered and no task gets a whole group. Tiles are cut by nodes and by bytes of their sets, so
+long texts get tiles of few. Copies never leave their class, so a text that is a third of all rows counts as one node.
 
 Defined cases: words are runs of characters that aren't ASCII white space; a text of fewer words than n has one n-gram,
-all its words; a text without words (null, empty or white) links to nothing and is a class of its own; repeated rows are
-copies; null ids are kept; an empty table gives an empty result; only id and text are read.
+all its words; a text without words (null, empty or white) links to nothing and is a class of its own; a very long text
+is used whole, and its set alone may be larger than TILE_BYTES; repeated rows are copies; null ids are kept; of equal
+similarities none goes before another; an empty table gives an empty result; only id and text are read, so other columns
+never clash. The table must give the same rows in the same order when it is read again, as written tables do; each text
+read again is compared with its first digest, and a difference is an error.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import workspace
@@ -35,19 +43,45 @@ from .components import components
 
 N, THRESHOLD = 5, 0.8
 TREES, DEPTH, TARGET = 32, 8, 0.9999
-SKETCH = 128
-#: Nodes a tile: of a shared prefix, and of a component.
-PREFIX_TILE, TILE = 2048, 256
+#: Nodes a tile: of a shared prefix, and of a component; and bytes of the sets of a component's tile.
+PREFIX_TILE, TILE, TILE_BYTES = 2048, 64, 32 << 20
+#: Neighbours on either side, in the order of the trie, that give a node's evidence.
+NEAR = 32
+_LABEL = 2  # bytes a label
 
 
-def prefix_length(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, target: float = TARGET) -> int:
-    """The longest prefix at which pairs at the threshold meet in some tree with the target probability."""
+def meets(similarity, depth: int, trees: int = TREES):
+    """The probability that a pair of this similarity shares a prefix of `depth` labels in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
+def least_matches(threshold: float, size: int) -> int:
+    """Labels of `size` that must agree: five standard errors below the threshold."""
+    return max(0, math.floor(size * (threshold - 5 * (threshold * (1 - threshold) / size) ** 0.5)))
+
+
+def sketch_loss(threshold: float, size: int) -> float:
+    """The probability that fewer labels than that agree for a pair at the threshold."""
+    log = lambda k: math.lgamma(size + 1) - math.lgamma(k + 1) - math.lgamma(size - k + 1) + k * math.log(threshold) + (size - k) * math.log1p(-threshold)
+    return math.fsum(math.exp(log(k)) for k in range(least_matches(threshold, size))) if 0 < threshold < 1 else 0.0
+
+
+def floor_depth(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, target: float = TARGET) -> int:
+    """The longest prefix at which pairs at the threshold meet in some tree and pass the sketches with the target
+    probability: no node needs a shorter one, whatever it has found."""
     for p in range(depth, 0, -1):
-        if 1 - (1 - threshold**p) ** trees >= target:
+        if meets(threshold, p, trees) - sketch_loss(threshold, trees * depth) >= target:
             return p
     raise ValueError("more trees are needed for this recall")
 
 
+def recall(found: Column, expected: Column, p: int, threshold: float, trees: int = TREES, depth: int = DEPTH) -> Column:
+    """A node's estimated recall at a depth: partners found over partners expected (the sum of 1 / probability to be found
+    over those found), with one more that no one has seen, at the threshold."""
+    unseen = meets(threshold, p, trees) - sketch_loss(threshold, trees * depth)
+    return (found + F.lit(unseen)) / (expected + F.lit(1.0))
+
+
 def _seeds(count: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20)
     return tuple(rng.integers(0, 1 << 31, count, dtype=np.uint32) * np.uint32(2) + np.uint32(1) for _ in range(2))
@@ -86,43 +120,38 @@ def min_hashes(grams: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.n
     return least
 
 
-def signatures(docs: DataFrame, p: int, trees: int = TREES, n: int = N, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, id, node: digest of the n-gram set or null without words, keys: array<long>, a hash of each tree's number and
-    its prefix of p labels, sketch). row numbers the rows of docs."""
+def labels_of(grams: np.ndarray, first: np.ndarray, second: np.ndarray) -> bytes:
+    """The labels of all trees, big-endian, so that bytes sort as labels do. A label is 16 bits of the mixed smallest
+    value: smallest values themselves crowd near zero for large sets."""
+    return ((min_hashes(grams, first, second) * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(">u2").tobytes()
+
+
+def signatures(docs: DataFrame, trees: int = TREES, depth: int = DEPTH, n: int = N, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, id, seen: a digest of the text, node: digest of the n-gram set or null without words, size: its n-grams, paths:
+    the labels of every tree). row numbers the rows of docs."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, second = _seeds(trees * p)
-        mix, tree = _MIX[:p], np.arange(trees, dtype=np.uint64) * _MIX[p]
+        first, second = _seeds(trees * depth)
         for batch in batches:
-            nodes, keys, sketches = [], [], []
-            for text in batch.column(2):
+            nodes, sizes, paths = [], [], []
+            for text in batch.column(3):
                 grams = ngrams(text.as_py(), n)
-                if not len(grams):
-                    nodes.append(None), keys.append(None), sketches.append(None)
-                    continue
-                values = min_hashes(grams, first, second)
-                nodes.append(hashlib.md5(grams.tobytes()).hexdigest())
-                labels = values.reshape(trees, p).astype(np.uint64)
-                key = ((labels + np.uint64(0x9E3779B9)) * mix).sum(1, dtype=np.uint64) + tree
-                keys.append((key ^ (key >> np.uint64(31))).view(np.int64))
-                sketches.append((values[:SKETCH] >> np.uint32(24)).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(nodes, pa.string()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                ["row", "id", "node", "keys", "sketch"],
-            )
+                nodes.append(hashlib.md5(grams.tobytes()).hexdigest() if len(grams) else None)
+                sizes.append(len(grams))
+                paths.append(labels_of(grams, first, second) if len(grams) else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(nodes, pa.string()), pa.array(sizes, pa.int64()), pa.array(paths, pa.binary())], ["row", "id", "seen", "node", "size", "paths"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(task, f"row long, id {kind}, node string, keys array<long>, sketch binary")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("seen"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(task, f"row long, id {kind}, seen long, node string, size long, paths binary")
 
 
-def _tiles(rows: DataFrame, group: list[str], size: str, tile: int) -> DataFrame:
+def _tiles(rows: DataFrame, group: list[str], tiles: Column, *order: str) -> DataFrame:
     """Sends each row to the pairs of tiles (a <= b) that it is needed in; own tells which of the two is its own."""
-    tiles = F.ceil(F.col(size) / tile).cast("int")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("row"), tiles).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    rows = rows.withColumn("a", F.least("own", "other")).withColumn("b", F.greatest("own", "other")).drop("other")
-    return rows.repartition(*group, "a", "b").sortWithinPartitions(*group, "a", "b", "row")
+    rows = rows.withColumn("tiles", tiles.cast("int")).withColumn("own", F.pmod(F.xxhash64("row"), "tiles").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.withColumn("a", F.least("own", "other")).withColumn("b", F.greatest("own", "other")).drop("other", "tiles")
+    return rows.repartition(*group, "a", "b").sortWithinPartitions(*group, "a", "b", *order)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
@@ -153,30 +182,82 @@ def spanning(linked, n: int) -> Iterator[tuple[int, int]]:
             rest = rest[~hit]
 
 
-def candidate_edges(nodes: DataFrame, threshold: float) -> DataFrame:
-    """nodes (row, keys, sketch) -> edges (u, v) that connect what shares a prefix and may reach the threshold. The joins
-    are merge joins at every size: what they match grows with the input, so it is never broadcast."""
-    labels = nodes.select("row", F.explode("keys").alias("key"))
-    shared = labels.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = workspace.materialize(shared, "prefixes")
-    members = workspace.materialize(labels.join(shared.hint("merge"), "key"), "members").join(nodes.select("row", "sketch").hint("merge"), "row")
-    least = SKETCH * (threshold - 5 * (threshold * (1 - threshold) / SKETCH) ** 0.5)
+def trie(nodes: DataFrame, floor: int, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
+    """nodes (row, paths) -> (tree, path, row, sketch) of the leaves that share a prefix of the floor depth with another.
+    The joins are merge joins at every size: what they match grows with the input, so it is never broadcast."""
+    width = _LABEL * depth
+    tree = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.substring("paths", t * width + 1, F.lit(_LABEL * floor)))).alias("tree", "prefix")
+    keys = nodes.select("row", tree).select("row", "tree", F.xxhash64("tree", "prefix").alias("key"))
+    shared = workspace.materialize(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "prefixes")
+    live = keys.join(shared.hint("merge"), "key", "left_semi").groupBy("row").agg(F.collect_list("tree").alias("trees"))  # at most `trees` of them
+    live = live.join(nodes.select("row", "paths").hint("merge"), "row").select("row", "paths", F.explode("trees").alias("tree"))
+    return workspace.materialize(live.select("tree", F.expr(f"substring(paths, tree * {width} + 1, {width})").alias("path"), "row", F.col("paths").alias("sketch")), "trie")
+
+
+def _compare(p: int, least: int, threshold: float, trees: int):
+    """Rows (tree, prefix, a, b, row, sketch) in the order of the trie -> (u, v) edges of a spanning forest of what the
+    sketches let pass, and (u, null, found, expected): what a node's neighbours in the trie say of its recall."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: tuple[list, list] = ([], [])
-        for rows in _groups(batches, 3):
-            names = [r[3] for r in rows]
-            sketches = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), SKETCH)
-            for i, j in spanning(lambda i, rest, s=sketches: np.count_nonzero(s[rest] == s[i], axis=1) >= least, len(rows)):
-                out[0].append(names[i])
-                out[1].append(names[j])
+        out: tuple[list, list, list, list] = ([], [], [], [])
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], ["u", "v", "found", "expected"])
+
+        for rows in _groups(batches, 4):
+            if len(rows) < 2:
+                continue
+            names, n = [r[4] for r in rows], len(rows)
+            sketches = np.frombuffer(b"".join(r[5] for r in rows), ">u2").reshape(n, -1)
+            size = sketches.shape[1]
+            for i, j in spanning(lambda i, rest, s=sketches: np.count_nonzero(s[rest] == s[i], axis=1) >= least, n):
+                for k, x in enumerate((names[i], names[j], None, None)):
+                    out[k].append(x)
+            found, expected = np.zeros(n, np.int64), np.zeros(n)
+            for gap in range(1, min(NEAR, n - 1) + 1):
+                share = np.count_nonzero(sketches[gap:] == sketches[:-gap], axis=1) / size
+                hit = share >= threshold
+                weight = np.where(hit, 1 / meets(np.maximum(share, threshold), p, trees), 0.0)
+                for part in (slice(gap, None), slice(None, -gap)):
+                    found[part] += hit
+                    expected[part] += weight
+            for i in np.flatnonzero(found):
+                for k, x in enumerate((names[i], None, int(found[i]), float(expected[i]))):
+                    out[k].append(x)
             if len(out[0]) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["u", "v"])
-                out = ([], [])
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["u", "v"])
+                yield batch()
+                out = ([], [], [], [])
+        yield batch()
+
+    return task
 
-    tiled = _tiles(members, ["key"], "n", PREFIX_TILE)
-    return tiled.select("key", "a", "b", "row", "sketch").mapInArrow(task, "u long, v long").distinct()
+
+def candidate_edges(nodes: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, target: float = TARGET) -> DataFrame:
+    """nodes (row, paths) -> edges (u, v) that connect what the forest finds, with the depth they were found at."""
+    floor, least = floor_depth(threshold, trees, depth, target), least_matches(threshold, trees * depth)
+    leaves = trie(nodes, floor, trees, depth)
+    edges, seen, closed = None, None, None
+    for p in range(depth, floor - 1, -1):
+        rows = leaves.withColumn("prefix", F.substring("path", 1, _LABEL * p)).withColumn("child", F.substring("path", 1, _LABEL * (p + 1)))
+        rows = rows.withColumn("open", F.lit(True)) if closed is None else rows.join(closed.hint("merge"), "row", "left").withColumn("open", F.col("done").isNull())
+        groups = rows.groupBy("tree", "prefix").agg(F.count("*").alias("n"), F.max("open").alias("any"), (F.min("child") != F.max("child")).alias("joins"))
+        groups = groups.where("n > 1 and any" + ("" if p == depth else " and joins")).select("tree", "prefix", "n")
+        members = rows.join(groups.hint("merge"), ["tree", "prefix"])
+        tiled = _tiles(members, ["tree", "prefix"], F.ceil(F.col("n") / PREFIX_TILE), "path", "row").select("tree", "prefix", "a", "b", "row", "sketch")
+        made = workspace.materialize(tiled.mapInArrow(_compare(p, least, threshold, trees), "u long, v long, found long, expected double"), f"depth-{p}")
+        new = made.where("v is not null").select("u", "v", F.lit(p).alias("depth"))
+        edges = new if edges is None else edges.unionByName(new)
+        if p == floor:
+            break
+        # the tree that shows a node the most partners; a longer prefix found them with less probability, so it bounds
+        proof = made.where("v is null").select(F.col("u").alias("row"), "found", "expected")
+        seen = proof if seen is None else seen.unionByName(proof)
+        best = seen.groupBy("row").agg(F.max_by(F.struct("found", "expected"), F.struct("found", -F.col("expected"))).alias("b")).select("row", "b.*")
+        closed = best.where(recall(F.col("found"), F.col("expected"), p, threshold, trees, depth) >= target).select("row", F.lit(True).alias("done"))
+        closed = workspace.materialize(closed, f"closed-{p}")
+        if leaves.join(closed.hint("merge"), "row", "left_anti").isEmpty():
+            break
+    return edges.groupBy("u", "v").agg(F.max("depth").alias("depth"))
 
 
 def _exact(threshold: float):
@@ -232,35 +313,37 @@ def _exact(threshold: float):
 
 
 def verify(docs: DataFrame, nodes: DataFrame, groups: DataFrame, threshold: float, n: int, text_col: str = "text") -> DataFrame:
-    """Intersects all pairs within each component. nodes (node, row: of a document that has the set, copies), groups
+    """Intersects all pairs within each component. nodes (node, row: of a document that has the set, copies, size), groups
     (row, component) -> rows (u, v null, links, texts): u's links by copies and by texts; and (u, v): spanning links."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             packed = pa.array([ngrams(x.as_py(), n).tobytes() for x in batch.column(4)], pa.binary())
             if any(hashlib.md5(x.as_py()).hexdigest() != y.as_py() for x, y in zip(packed, batch.column(5), strict=True)):
-                raise RuntimeError("docs has other rows when it is read again; write it as a table first")
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], packed], ["component", "size", "row", "copies", "grams"])
-
-    sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
-    wanted = groups.join(sizes, "component").join(nodes.select("row", "node", "copies").hint("merge"), "row")
-    wanted = workspace.materialize(wanted, "to-verify")
+                raise RuntimeError(workspace.REREAD)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], packed], ["component", "tiles", "row", "copies", "grams"])
+
+    own = groups.join(nodes.select("row", "node", "copies", "size").hint("merge"), "row")
+    own = workspace.materialize(own, "to-verify")
+    tiles = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("size") * 8 / TILE_BYTES))
+    tiles = own.groupBy("component").agg(tiles.alias("tiles"), F.count("*").alias("nodes"))
+    wanted = own.join(tiles.where("nodes > 1").hint("merge"), "component")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text")).join(wanted.hint("merge"), "row")
-    packed = rows.select("component", "size", "row", "copies", "text", "node").mapInArrow(sets, "component long, size long, row long, copies long, grams binary")
-    tiled = _tiles(packed, ["component"], "size", TILE)
+    packed = rows.select("component", "tiles", "row", "copies", "text", "node").mapInArrow(sets, "component long, tiles long, row long, copies long, grams binary")
+    tiled = _tiles(packed, ["component"], F.col("tiles"), "row")
     picked = tiled.select("component", "a", "b", "own", "row", "copies", "grams")
     return workspace.materialize(picked.mapInArrow(_exact(threshold), "u long, v long, links long, texts long"), "verified")
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, trees: int = TREES, depth: int = DEPTH, target: float = TARGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: row, id, node (copy class), copies (rows of the class), links (rows of other classes with a
-    similarity of at least threshold), texts (such classes), class_row (the first row of the near-duplicate class)."""
+    """Per row of docs: row, id, seen (a digest of the text), node (copy class), copies (rows of the class), links (rows of
+    other classes with a similarity of at least threshold), texts (such classes), class_row (the first row of the
+    near-duplicate class)."""
     workspace.small_batches(docs.sparkSession)
-    p = prefix_length(threshold, trees, depth, target)
-    signed = workspace.materialize(signatures(docs, p, trees, n, id_col, text_col), "signatures")
-    nodes = signed.where("node is not null").groupBy("node").agg(F.min("row").alias("row"), F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    signed = workspace.materialize(signatures(docs, trees, depth, n, id_col, text_col), "signatures")
+    nodes = signed.where("node is not null").groupBy("node").agg(F.min("row").alias("row"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("paths").alias("paths"))
     nodes = workspace.materialize(nodes, "nodes")
-    groups = components(candidate_edges(nodes, threshold)).withColumnRenamed("node", "row")
+    groups = components(candidate_edges(nodes, threshold, trees, depth, target)).withColumnRenamed("node", "row")
     checked = verify(docs, nodes, groups, threshold, n, text_col)
     # a node is its smallest row and a component its smallest node, so a component is the first row of its class
     found = components(checked.where("v is not null").select("u", "v")).select(F.col("node").alias("row"), F.col("component").alias("class_row"))
@@ -268,9 +351,10 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, trees: int =
     more = nodes.select("node", "copies", "row").join(counts, "row", "left").join(found, "row", "left")
     more = more.where("copies > 1 or class_row is not null").select("node", "copies", "links", "texts", F.coalesce("class_row", "row").alias("class_row"))
     more = workspace.materialize(more, "classes")
-    out = signed.select("row", "id", "node").join(more.hint("merge"), "node", "left")
+    workspace.discard(nodes, groups, checked)
+    out = signed.select("row", "id", "seen", "node").join(more.hint("merge"), "node", "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return out.select("row", "id", "node", F.coalesce("copies", F.lit(1).cast("long")).alias("copies"), zero("links"), zero("texts"), F.coalesce("class_row", "row").alias("class_row"))
+    return out.select("row", "id", "seen", "node", F.coalesce("copies", F.lit(1).cast("long")).alias("copies"), zero("links"), zero("texts"), F.coalesce("class_row", "row").alias("class_row"))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -285,6 +369,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def keep_first(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """docs with one row of each near-duplicate class: the first of them in the table."""
-    row = workspace.fresh(docs, "jaccard_row")
-    stay = workspace.materialize(join(docs, id_col=id_col, text_col=text_col).where("row = class_row").select(F.col("row").alias(row)), "kept")
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(stay.hint("merge"), row, "left_semi").select(*docs.columns)
+    row, seen = workspace.fresh(docs, "jaccard_row"), workspace.fresh(docs, "jaccard_seen")
+    stay = workspace.materialize(join(docs, id_col=id_col, text_col=text_col).where("row = class_row").select(F.col("row").alias(row), F.col("seen").alias(seen)), "kept")
+    joined = docs.withColumn(row, F.monotonically_increasing_id()).join(stay.hint("merge"), row)
+    return joined.where(workspace.same_text(F.col(text_col), F.col(seen))).select(*docs.columns)

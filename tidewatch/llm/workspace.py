@@ -1,9 +1,9 @@
 """Intermediate tables in the folder that driver and executors share.
 
-``spark.checkpoint.dir`` names the folder on a cluster. Where it is unset (local tests) a local folder is set once for
-the session. Tables are plain Parquet, so a lost executor costs the running tasks only, readers get size statistics
-(Catalyst broadcasts a table only if its files are small), and both sides of a later join have an exchange of their
-own, which lets adaptive execution split skewed keys.
+``spark.checkpoint.dir`` names the folder on a cluster. Where it is unset a local session (tests) gets a local folder
+once; on a cluster that is an error, as executors wouldn't see the driver's folders. Tables are plain Parquet, so a lost
+executor costs the running tasks only, readers get size statistics (Catalyst broadcasts a table only if its files are
+small), and both sides of a later join have an exchange of their own, which lets adaptive execution split skewed keys.
 """
 
 from __future__ import annotations
@@ -12,9 +12,12 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _MADE: list[tuple[SparkSession, str]] = []
+#: Said where row numbers of two reads of a table differ.
+REREAD = "the table has other rows when it is read again; write it first"
 #: Rows an Arrow batch, where rows hold whole texts or sets.
 BATCH_ROWS = 512
 
@@ -28,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidewatch-"))
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -62,10 +67,16 @@ def drop(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes the files of a table that ``materialize`` made, when nothing needs it any more."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/tidewatch/" in f}:
-        drop(df.sparkSession, path)
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of tables that ``materialize`` made, when no plan needs them any more."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/tidewatch/" in f}:
+            drop(df.sparkSession, path)
+
+
+def same_text(text: Column, seen: Column) -> Column:
+    """True; an error where a text isn't the one whose xxhash64 was seen for its row number."""
+    return F.when(F.xxhash64(text) == seen, F.lit(True)).otherwise(F.raise_error(F.lit(REREAD)).cast("boolean"))
 
 
 @atexit.register
