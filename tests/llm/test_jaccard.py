@@ -131,7 +131,7 @@ def test_another_table_on_the_second_read_is_an_error(spark, tmp_path):
     docs = spark.range(20).select("id", F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
     wrong = docs.withColumn("seen", F.xxhash64(F.lit("other")))
     with pytest.raises(Exception, match="other rows"):
-        wrong.where(jaccard.workspace.same_text(F.col("text"), F.col("seen"))).collect()
+        wrong.where(jaccard.workspace.same_row(F.col("seen"), F.col("text"))).collect()
 
 
 def test_components(spark):

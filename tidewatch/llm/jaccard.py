@@ -372,4 +372,4 @@ def keep_first(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     row, seen = workspace.fresh(docs, "jaccard_row"), workspace.fresh(docs, "jaccard_seen")
     stay = workspace.materialize(join(docs, id_col=id_col, text_col=text_col).where("row = class_row").select(F.col("row").alias(row), F.col("seen").alias(seen)), "kept")
     joined = docs.withColumn(row, F.monotonically_increasing_id()).join(stay.hint("merge"), row)
-    return joined.where(workspace.same_text(F.col(text_col), F.col(seen))).select(*docs.columns)
+    return joined.where(workspace.same_row(F.col(seen), F.col(text_col))).select(*docs.columns)

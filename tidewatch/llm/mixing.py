@@ -1,19 +1,26 @@
 """Mixing sources to target weights with DataFrame functions only.
 
 The words of a source, its documents one after another in the order of a hash, are packed into blocks of a fixed number
-of words. The mix has slots, dealt to output shards; a slot takes one block. A pseudorandom permutation of all slots
-deals each shard its number of slots per source: multinomial draws, conditioned on every source getting its target in
-total. Another permutation per source and pass maps the source's slots to its blocks, so a block comes once in each full
-pass over the source and never twice in one. Slots and blocks are joined by (source, block index).
+of words. The mix has slots, dealt to output shards of a fixed number of slots; a slot takes one block.
 
-Permutations are swap-or-not networks over 0..n-1: exact for every n, a function of (seed, source, pass) alone, so reruns
-agree and a lost executor's part is recomputed alike. Positions come from prefix sums over a tree of hash ranges, 64
-children a node: no window, join key or task holds a whole source, however much of the input is one source.
-
-The only thing that visits the driver is a row per source (name, size, quota), as the weights do.
+1. Sources are ranked and their targets found as a table: the weights' common level, up to which every source is filled,
+   rises in a few aggregations. However many sources there are, only sums visit the driver.
+2. The number of slots of each source in each shard is drawn: every slot of a source goes to a place of the mix by a
+   pseudorandom permutation of all places, and places are counted by shard and source. These are multinomial draws per
+   shard, conditioned on every source getting its target in total and every shard its slots, so nothing is left to mend.
+3. The slots of a shard are made from those counts: prefix sums over shards number a source's slots, and a permutation
+   per source and pass maps the numbers to its blocks, so a block comes once in each full pass and never twice in one.
+4. Slots and blocks are joined by (source, block index).
 
-Defined cases: a null text has size 0 and takes no words, as an empty one; a null source is a source of its own, last;
-null and repeated ids are rows like others; an empty table gives an empty mix; only the named columns are read.
+Permutations are swap-or-not networks over 0..n-1: exact for every n, a function of (seed, source, pass) alone, so reruns
+agree and a lost executor's part is recomputed alike. Positions and numbers come from prefix sums over trees, 64 children
+a node: no window, join key or task holds a whole source, however much of the input is one source.
+
+Defined cases: a null text has size 0 and takes no words, as an empty one; a very long text is cut over as many blocks as
+it fills and its words stay in order; a null source is a source of its own, last; null and repeated ids are rows like
+others, each with its own place; texts whose hashes tie go by row; an empty table gives an empty mix; only the named
+columns are read, so others never clash. The table must give the same rows in the same order when it is read again, as
+written tables do; a row that is another one then is an error.
 """
 
 from __future__ import annotations
@@ -32,8 +39,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLOCK, SHARD_SLOTS, ROUNDS, CHUNK = 128, 4096, 20, 256
 #: Chunks a task, and most tasks, that make slots.
 TASK_CHUNKS, MOST_TASKS = 64, 20_000
-#: More sources than this aren't listed on the driver.
-MAX_SOURCES = 1_000_000
 _FAN_BITS = 6
 
 
@@ -55,31 +60,6 @@ def permuted(i: Column, n: Column, *key: Column, rounds: int = ROUNDS) -> Column
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), i, swap)
 
 
-@dataclass(frozen=True)
-class Quota:
-    source: str | None
-    size: int
-    target: float
-
-
-def water_fill(sizes: Sequence[tuple[str | None, int]], weights: Sequence[float], total: float, most: float) -> list[Quota]:
-    """Shares total by weight; no target above most * size, the excess reshared by weight until none is above."""
-    target = [0.0] * len(sizes)
-    open_ = [i for i, (_, n) in enumerate(sizes) if n > 0 and weights[i] > 0]
-    left = float(total)
-    while open_ and left > 0:
-        share = left / sum(weights[i] for i in open_)
-        full = [i for i in open_ if share * weights[i] > most * sizes[i][1]]
-        for i in full or open_:
-            target[i] = most * sizes[i][1] if full else share * weights[i]
-            left -= target[i]
-        if not full:
-            break
-        done = set(full)
-        open_ = [i for i in open_ if i not in done]
-    return [Quota(s, n, t) for (s, n), t in zip(sizes, target, strict=True)]
-
-
 def _before(rows: DataFrame, bits: int) -> DataFrame:
     """rows (source, node, sum), unique by both, nodes of `bits` bits -> (source, node, before): the sum of all smaller
     nodes of the source."""
@@ -114,40 +94,83 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     return workspace.materialize(rows, "sizes")
 
 
-def quotas(sizes: DataFrame, weights: Sequence[float] | dict[str | None, float], share: float = 1.0, most: float = 3.0) -> list[Quota]:
-    """A row per source in code-point order, null last. weights by source, or a sequence to repeat in that order. The
-    targets sum to share of all words, as far as `most` times each source allows."""
-    found = sizes.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    ordered = sorted(((r["source"], r["size"]) for r in found), key=lambda x: (x[0] is None, x[0] or ""))
-    by = [weights.get(s, 0.0) if isinstance(weights, dict) else weights[i % len(weights)] for i, (s, _) in enumerate(ordered)]
-    return water_fill(ordered, by, share * sum(n for _, n in ordered), most)
-
-
-def slots(docs: DataFrame, sources: list[Quota], block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = 0, most: float = 3.0) -> DataFrame:
-    """(shard, slot, source, pass, block) of the whole mix."""
-    spark, rows, first = docs.sparkSession, [], 0
-    for q in sources:
-        blocks = -(-q.size // block)
-        n = min(round(q.target * blocks / q.size), int(most * blocks)) if q.size else 0
-        if n:
-            rows.append((q.source, first, n, blocks))
-        first += n
-    total = max(first, 1)
+def _running(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """Adds the sum of value over the rows before, for rows (part, place, ...) in the order of both. A window holds one part,
+    another a row a part."""
+    within = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("part").agg(F.sum(value).alias("sum"))
+    parts = parts.select("part", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("base"))
+    return rows.withColumn("inner", F.coalesce(F.sum(value).over(within), F.lit(0))).join(parts, "part").withColumn(name, F.col("base") + F.col("inner")).drop("base", "inner")
+
+
+def water_level(sources: DataFrame, total: float) -> float:
+    """The level at which sources (cap, weight), each filled to level * weight but not above its cap, hold total. It rises
+    from where no source is full; those that a level fills share no more."""
+    level = 0.0
+    while True:
+        full = F.col("weight") * F.lit(level) > F.col("cap")
+        held, weight = sources.agg(F.sum(F.when(full, F.col("cap")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight")))).first()
+        if not weight:
+            return level
+        now = (total - held) / weight
+        if now <= level:
+            return level
+        level = now
+
+
+def quotas(sizes: DataFrame, weights: Sequence[float] | dict[str | None, float], share: float = 1.0, most: float = 3.0, block: int = BLOCK) -> DataFrame:
+    """A row per source, written out: (source, number: its rank in code-point order, null last, size, weight, target, blocks,
+    n: slots, first: the slots of all before). weights by source, or a sequence to repeat in that order. The targets sum
+    to share of all words, as far as `most` times each source allows; the excess is reshared by weight."""
+    sums = sizes.groupBy("source").agg(F.sum("size").alias("size"))
+    ranked = sums.repartitionByRange(F.col("source").isNull(), "source").withColumn("part", F.spark_partition_id())
+    ranked = workspace.materialize(ranked, "source-sums")
+    order = Window.partitionBy("part").orderBy(F.col("source").isNull(), "source")
+    ranked = _running(ranked.withColumn("place", F.row_number().over(order)).withColumn("one", F.lit(1).cast("long")), "one", "number")
+    if isinstance(weights, dict):
+        listed = sizes.sparkSession.createDataFrame([(s, float(w)) for s, w in weights.items()], "s string, weight double")
+        ranked = ranked.join(F.broadcast(listed), F.col("source").eqNullSafe(F.col("s")), "left").drop("s").fillna(0.0, ["weight"])  # configuration
+    else:
+        ranked = ranked.withColumn("weight", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("number") % len(weights) + 1).cast("int")))
+    ranked = ranked.withColumn("cap", F.col("size") * F.lit(float(most)))
+    ranked = workspace.materialize(ranked.drop("one"), "source-ranks")
+    total = (ranked.agg(F.sum("size")).first()[0] or 0) * share
+    level = F.lit(water_level(ranked.where("size > 0 and weight > 0"), total))
+    ranked = ranked.withColumn("target", F.when(F.col("size") > 0, F.least(level * F.col("weight"), F.col("cap"))).otherwise(0.0))
+    ranked = ranked.withColumn("blocks", F.expr(f"(size + {block - 1}) div {block}"))
+    slots = F.least(F.round(F.try_divide(F.col("target") * F.col("blocks"), F.col("size"))), F.floor(F.col("blocks") * F.lit(float(most))))
+    ranked = ranked.withColumn("n", F.coalesce(slots, F.lit(0)).cast("long"))
+    return workspace.materialize(_running(ranked, "n", "first").select("source", "number", "size", "weight", "target", "blocks", "n", "first"), "sources")
+
+
+def draws(sources: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = 0) -> DataFrame:
+    """(number, shard, n: slots of the source in the shard, at: its slots in all shards before), written out; n sums to
+    the source's slots and, but in the last shard, to shard_slots."""
+    total = sources.agg(F.sum("n")).first()[0] or 0
     # a stated number of partitions, as these few bytes become many rows; MOST_TASKS bounds what the driver schedules
     tasks = min(max(-(-total // (CHUNK * TASK_CHUNKS)), 1), MOST_TASKS)
-    listed = spark.createDataFrame(rows, "source string, first long, n long, blocks long")
-    chunks = listed.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {CHUNK}")))).repartition(tasks, "source", "chunk")
+    chunks = sources.where("n > 0").select("number", "first", "n", F.explode(F.expr(f"sequence(0L, (n - 1) div {CHUNK})")).alias("chunk")).repartition(tasks, "number", "chunk")
     mine = chunks.withColumn("j", F.explode(F.expr(f"sequence(chunk * {CHUNK}, least(n, (chunk + 1) * {CHUNK}) - 1)")))
-    place = permuted(F.col("first") + F.col("j"), F.lit(total), F.lit(seed))
-    turn = F.expr("j div blocks")
+    place = permuted(F.col("first") + F.col("j"), F.lit(max(total, 1)), F.lit(seed))
+    counts = mine.select("number", place.alias("place")).groupBy("number", F.expr(f"place div {shard_slots}").alias("shard")).agg(F.count("*").alias("n"))
+    counts = workspace.materialize(counts, "draws")
+    bits = max(1, (total // shard_slots).bit_length())
+    before = _before(counts.select(F.col("number").alias("source"), F.col("shard").alias("node"), F.col("n").alias("sum")), bits)
+    numbered = counts.join(before.select(F.col("source").alias("number"), F.col("node").alias("shard"), F.col("before").alias("at")), ["number", "shard"])
+    return workspace.materialize(numbered, "numbered-draws")
+
+
+def slots(sources: DataFrame, drawn: DataFrame, seed: int = 0) -> DataFrame:
+    """(shard, slot, source, pass, block) of the whole mix, from the draws of each shard."""
+    in_shard = Window.partitionBy("shard").orderBy("number")  # at most as many rows as a shard has slots
+    before = F.sum("n").over(in_shard.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    held = F.sum("n").over(Window.partitionBy("shard"))
+    rows = drawn.withColumn("start", before).withColumn("held", held).join(sources.select("number", "source", "blocks"), "number")
+    rows = rows.withColumn("i", F.explode(F.expr("sequence(0L, n - 1)"))).withColumn("j", F.col("at") + F.col("i")).withColumn("pass", F.expr("j div blocks"))
     index = permuted(F.expr("j % blocks"), F.col("blocks"), F.lit(seed), F.col("source"), F.col("pass"))
-    out = mine.withColumn("place", place).withColumn("pass", turn)
-    return out.select(
-        F.expr(f"place div {shard_slots}").alias("shard"), F.expr(f"place % {shard_slots}").alias("slot"),
-        "source", "pass", index.alias("block"),
-    )
+    slot = permuted(F.col("start") + F.col("i"), F.col("held"), F.lit(seed), F.lit("slot"), F.col("shard"))
+    return rows.select("shard", slot.alias("slot"), "source", "pass", index.alias("block"))
 
 
 def pieces(sizes: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -161,10 +184,12 @@ def pieces(sizes: DataFrame, block: int = BLOCK) -> DataFrame:
 
 @dataclass(frozen=True)
 class Mix:
-    """sizes: a row per row of the input; sources: sizes and targets; slots: the mix; pieces: what blocks hold."""
+    """sizes: a row per row of the input; sources: sizes and targets; drawn: slots by shard and source; slots: the mix;
+    pieces: what blocks hold."""
 
     sizes: DataFrame
-    sources: list[Quota]
+    sources: DataFrame
+    drawn: DataFrame
     slots: DataFrame
     pieces: DataFrame
 
@@ -175,11 +200,12 @@ class Mix:
         return left.join(right, same).select("shard", "slot", "pass", "row", "from", "words")
 
     def taken(self) -> DataFrame:
-        """sizes with taken, the words that the mix takes of a row. Uses are counted by block before the join."""
-        uses = self.slots.groupBy("source", "block").agg(F.count("*").alias("uses")).alias("a")
+        """sizes with taken, the words that the mix takes of a row, and the first and last shard they go to. Uses are counted
+        by block before the join."""
+        uses = self.slots.groupBy("source", "block").agg(F.count("*").alias("uses"), F.min("shard").alias("low"), F.max("shard").alias("high")).alias("a")
         right = self.pieces.hint("merge").alias("b")
         same = F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.block") == F.col("b.block"))
-        used = uses.join(right, same).groupBy("row").agg(F.sum(F.col("uses") * F.col("words")).alias("taken"))
+        used = uses.join(right, same).groupBy("row").agg(F.sum(F.col("uses") * F.col("words")).alias("taken"), F.min("low").alias("first_shard"), F.max("high").alias("last_shard"))
         out = self.sizes.join(used, "row", "left")
         return out.withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
 
@@ -187,19 +213,20 @@ class Mix:
 def mix(docs: DataFrame, weights: Sequence[float] | dict[str | None, float], share: float = 1.0, most: float = 3.0, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = 0) -> Mix:
     """Plans the mix of docs (doc_id, text, source)."""
     sizes = sized(docs)
-    sources = quotas(sizes, weights, share, most)
-    return Mix(sizes, sources, slots(docs, sources, block, shard_slots, seed, most), pieces(sizes, block))
+    sources = quotas(sizes, weights, share, most, block)
+    drawn = draws(sources, shard_slots, seed)
+    return Mix(sizes, sources, drawn, slots(sources, drawn, seed), pieces(sizes, block))
 
 
-def mixed(docs: DataFrame, made: Mix, text_col: str = "text") -> DataFrame:
+def mixed(docs: DataFrame, made: Mix, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The mix as documents: for every pass over its source that takes words of a row, the row with the text of those
     words - the whole text where all are taken, else its words in order with the white space after each."""
-    row, parts, turn = (workspace.fresh(docs, x) for x in ("mix_row", "mix_parts", "mix_pass"))
+    row, parts, turn, seen = (workspace.fresh(docs, x) for x in ("mix_row", "mix_parts", "mix_pass", "mix_seen"))
     uses = made.blocks().groupBy("row", "pass").agg(F.sort_array(F.collect_list(F.struct("from", "words"))).alias(parts), F.sum("words").alias("n"))
-    uses = uses.join(made.sizes.select("row", "size"), "row")
-    uses = uses.select(F.col("row").alias(row), F.col("pass").alias(turn), F.when(F.col("n") < F.col("size"), F.col(parts)).alias(parts))
+    uses = uses.join(made.sizes.select("row", "size", "hash"), "row")
+    uses = uses.select(F.col("row").alias(row), F.col("pass").alias(turn), F.col("hash").alias(seen), F.when(F.col("n") < F.col("size"), F.col(parts)).alias(parts))
     uses = workspace.materialize(uses, "uses")
     words = F.regexp_extract_all(F.col(text_col), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     some = F.array_join(F.flatten(F.transform(parts, lambda x: F.slice(words, (x["from"] + 1).cast("int"), x["words"].cast("int")))), "")
-    joined = docs.withColumn(row, F.monotonically_increasing_id()).join(uses.hint("merge"), row)
+    joined = docs.withColumn(row, F.monotonically_increasing_id()).join(uses.hint("merge"), row).where(workspace.same_row(F.col(seen), F.col(id_col), F.col(text_col)))
     return joined.withColumn(text_col, F.when(F.col(parts).isNull(), F.col(text_col)).otherwise(some)).select(*docs.columns)

@@ -125,9 +125,9 @@ def op7_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1))
-    sources = spark.createDataFrame([(q.source, q.size, q.target) for q in made.sources], "source string, source_size long, target double")
-    out = made.taken().alias("r").join(F.broadcast(sources).alias("q"), F.col("r.source").eqNullSafe(F.col("q.source")))
-    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    sources = made.sources.select(F.col("source").alias("s"), F.col("size").alias("source_size"), "target")
+    out = made.taken().join(sources, F.col("source").eqNullSafe(F.col("s")))
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "first_shard", "last_shard")
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -74,9 +74,9 @@ def discard(*tables: DataFrame) -> None:
             drop(df.sparkSession, path)
 
 
-def same_text(text: Column, seen: Column) -> Column:
-    """True; an error where a text isn't the one whose xxhash64 was seen for its row number."""
-    return F.when(F.xxhash64(text) == seen, F.lit(True)).otherwise(F.raise_error(F.lit(REREAD)).cast("boolean"))
+def same_row(seen: Column, *parts: Column) -> Column:
+    """True; an error where a row's columns aren't those whose xxhash64 was seen for its row number."""
+    return F.when(F.xxhash64(*parts) == seen, F.lit(True)).otherwise(F.raise_error(F.lit(REREAD)).cast("boolean"))
 
 
 @atexit.register
