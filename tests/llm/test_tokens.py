@@ -29,7 +29,6 @@ def tokenizer():
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(public_tokenizers.path(BPE_JSON))
-    made.encode_special_tokens = True
     return lambda text: [*made.encode(text or "", add_special_tokens=False).ids, 0]
 
 
@@ -111,5 +110,32 @@ def test_only_requested_frames_are_read_and_checksums_hold(spark, odd_docs):
 @pytest.mark.parametrize("text", ["a b, c.\nNext line", "a\n\nb c", "\na b", "a b\n", "a  b", "one", "a\tb c d", "x,\ny. z", "don't 'tis\n'ere", "a \nb"])
 def test_token_file_cuts(text, tokenizer):
     assert "".join(frames.pieces(frames.cut(text))) == text
+    check_encoder(text, tokenizer)
+
+
+def check_encoder(text, tokenizer):
     encode = frames.piece_encoder(public_tokenizers.path(BPE_JSON))
     assert np.frombuffer(encode(text), "<u4").tolist() == tokenizer(text)[:-1] == np.frombuffer(encode(text), "<u4").tolist()
+
+
+END = "<|endoftext|>"
+
+
+@pytest.mark.parametrize("text", [END, f"a {END} b", f"{END}a b", f"a b{END}", f"{END}{END}", f"a{END}{END}\n\nb c {END} ", "<|endoftext", f"<|{END}|>", f"x\n{END}\ny z, x"])
+def test_added_tokens_are_what_the_library_makes_of_them(text, tokenizer):
+    assert (50256 in tokenizer(text)) == (END in text)
+    check_encoder(text, tokenizer)
+
+
+def test_token_files_with_added_tokens(spark, folder, tokenizer):
+    rows = [(1, f"a {END} b"), (2, END), (2, END), (3, None), (4, f"words {END}" * 3000), (5, f"{END} and the rest")]
+    docs = spark.createDataFrame([(i, t, 1, "x", 2) for i, t in rows], "doc_id long, text string, frame int, file string, n long")
+    check_op7(rows, op7_frames(spark, folder(documents=docs)).collect(), tokenizer)
+
+
+def test_a_text_longer_than_a_frame(spark, tokenizer):
+    where = workspace.new_path(spark, "frames-long")
+    docs = spark.createDataFrame([(1, "a b c"), (2, "word " * 500), (3, "d")], "doc_id long, text string").coalesce(1)
+    index = frames.write(docs, where, public_tokenizers.path(BPE_JSON), frame_ids=50)
+    back = {r.id: np.frombuffer(r.ids, "<u4").tolist() for r in frames.read(frames.starts(index), where).collect()}
+    assert back == {i: tokenizer(t) for i, t in [(1, "a b c"), (2, "word " * 500), (3, "d")]}

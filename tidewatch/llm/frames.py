@@ -11,8 +11,13 @@ with an index row per document; the index is committed as Parquet by Spark, so o
 in it, and the file of a lost or repeated attempt is never read. Readers get the index rows of a frame together, read
 the seek table and that frame only, and check its checksum.
 
+Texts are encoded as the library does without adding special tokens: an added token of the vocabulary that stands in a
+text is its one id there, and parts a text into pieces that are encoded by themselves.
+
 Defined cases: a null text is an empty document (the end id only); ids that repeat keep one row each, in the order of
-text; null ids come first; an empty table gives no files and an empty result.
+hashes of text; null ids come first; a text longer than a frame fills a frame of its own, however long, and a frame may
+so be larger than FRAME_IDS by its last text; an empty table gives no files and an empty result; other columns than id
+and text are not read, so they never clash.
 """
 
 from __future__ import annotations
@@ -69,7 +74,11 @@ def piece_encoder(vocabulary: str) -> Callable[[str], bytes]:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(vocabulary)
-    tokenizer.encode_special_tokens = True
+    added = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
+    plain = not any(t.lstrip or t.rstrip or t.single_word for t in tokenizer.get_added_tokens_decoder().values())
+    # longest first, as the library matches; with tokens that take in or ask for what surrounds them, whole texts are encoded
+    parts = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added and plain else None
+    own = {x: struct.pack("<I", i) for x, i in added.items()}
     known: dict[str, bytes] = {}
 
     def packed(texts: list[str]) -> list[bytes]:
@@ -103,6 +112,13 @@ def piece_encoder(vocabulary: str) -> Callable[[str], bytes]:
             known[x] = line_end + ids if x[0] == "\n" else ids
 
     def ids(text: str) -> bytes:
+        if added and parts is None:
+            return packed([text])[0]
+        found = parts.split(text) if parts and any(x in text for x in added) else [text]
+        return b"".join([own[x] if i % 2 else stretch(x) for i, x in enumerate(found)])
+
+    def stretch(text: str) -> bytes:
+        """ids of a text without added tokens."""
         if not text:
             return b""
         first, *rest = cut(text)
@@ -173,17 +189,23 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0, id_col
         compressor = zstandard.ZstdCompressor(level=level)
         entries: list[tuple[int, int, int]] = []
         held: list[bytes] = []
-        rows: dict[str, list] = {k: [] for k in ("id", "file", "frame", "at", "n")}
+        schema = pa.schema([("id", pa.int64()), ("file", pa.string()), ("frame", pa.int32()), ("at", pa.int64()), ("n", pa.int64())])
+        rows: dict[str, list] = {k: [] for k in schema.names}
         out, at = None, 0
 
-        def flush() -> None:
+        def flush() -> pa.RecordBatch:
+            """Writes the frame and gives the index rows of its documents."""
             nonlocal at
             plain = b"".join(held)
             packed = compressor.compress(plain)
             out.write(packed)
             entries.append((len(packed), len(plain), xxhash.xxh64_intdigest(plain) & 0xFFFFFFFF))
+            made = pa.RecordBatch.from_pydict(rows, schema=schema)
             held.clear()
+            for x in rows.values():
+                x.clear()
             at = 0
+            return made
 
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -196,14 +218,12 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0, id_col
                 held.append(ids)
                 at += len(ids) // 4
                 if at >= frame_ids:
-                    flush()
+                    yield flush()
         if out is not None:
             if held:
-                flush()
+                yield flush()
             out.write(seek_table(entries))
             out.close()
-            schema = pa.schema([("id", pa.int64()), ("file", pa.string()), ("frame", pa.int32()), ("at", pa.int64()), ("n", pa.int64())])
-            yield pa.RecordBatch.from_pydict(rows, schema=schema)
 
     workspace.small_batches(docs.sparkSession)
     ordered = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
