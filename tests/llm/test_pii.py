@@ -94,3 +94,59 @@ def test_union_runs_to_the_greatest_end(spark):
     spans = [(4, 0, 6), (3, 2, 4), (1, 5, 14), (2, 14, 16), (4, 18, 20)]  # phone, card inside it, e-mail from its end on
     df = spark.createDataFrame([("0123456789abcdefghijkl", spans)], "text string, found array<struct<kind:int,start:bigint,end:bigint>>")
     assert df.select(pii.redacted(df.text, df.found)).first()[0] == "<EMAIL><IP>gh<PHONE>kl"
+
+
+def planted(documents):
+    """documents with sentences that hold seeds, unseen identifiers in the same contexts, and numbers that are neither."""
+    rows, truth, clean = [], {}, set()
+    for k, (doc_id, text, _) in enumerate(documents):
+        more = ""
+        if k % 5 == 0:
+            more = f" you can reach our desk at +1 415 555 {1000 + k:04d} during the day"
+        elif k % 5 == 1:
+            more = f" the server answers at address 10.{k % 250}.{k // 7 % 250}.{k % 99} for now"
+        elif k % 20 == 2:
+            more = f" you can reach our desk at 0415/{5550000 + k} during the day"
+            truth[doc_id] = f"0415/{5550000 + k}", "phone"
+        elif k % 20 == 3:
+            more = f" the server answers at address fe80:{k:04d}:{k + 1:04d} for now"
+            truth[doc_id] = f"{k:04d}", "ip"
+        elif k % 5 == 4:
+            more = f" we ordered part {20000 + k}-B of the {1500 + k} series"
+            clean.add(doc_id)
+        rows.append((doc_id, (text or "") + more))
+    return rows, truth, clean
+
+
+def test_planted_identifiers_over_a_whole_table(spark, sf_dir):
+    """Precision and recall of what is added to the format rules, over all documents."""
+    data = sf_dir.replace("sf0.001", "sf0.01")
+    docs = [(r.doc_id, r.text, None) for r in spark.read.parquet(f"{data}/documents.parquet").orderBy("doc_id").collect()]
+    rows, truth, clean = planted(docs)
+    texts = dict(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    keyed = df.select("doc_id", pii.text_key(df.text).alias("key")).join(pii.spans(df), "key").collect()
+    added = {(r.doc_id, pii.KINDS[s.kind - 1], texts[r.doc_id][s.start : s.end]) for r in keyed for s in r["all"] if s not in r["base"]}
+    phones = {(i, k, v) for i, (v, k) in truth.items() if k == "phone"}
+    hit = {i for i, k, v in added if i in truth and truth[i][1] == k and truth[i][0] in v}
+    assert len(hit) >= 0.95 * len([i for i, (_, k) in truth.items() if k == "phone"]) and phones <= added
+    assert not {i for i, _, _ in added} & clean
+    assert len([1 for i, _, _ in added if i in truth]) >= 0.95 * len(added)
+
+
+def test_known_instances_make_patterns_known(spark):
+    """A second round reaches what shares a context only with the discoveries of the first; nothing stops before that."""
+    a = [(k, f"ring me up on +1 555 010 {1000 + k} please") for k in range(8)]
+    b = [(20 + k, f"ring me up on 0555/10-{10 + k} please") for k in range(4)]
+    c = [(40 + k, f"my old extension 0555/10-{10 + k} moved") for k in range(4)]
+    d = [(60, "my old extension 0777/20-99 moved"), (61, "lot 0777/20-98 sold")]
+    docs = spark.createDataFrame(a + b + c + d, "doc_id long, text string")
+    new = {r.instance: r.kind for r in pii.bootstrap(pii.graph(pii.occurrences(docs))).collect()}
+    assert new == {**{f"0555/10-{10 + k}": "phone" for k in range(4)}, "0777/20-99": "phone"}
+
+
+def test_context_is_whole_words(spark):
+    long = "w" * 60
+    docs = spark.createDataFrame([(1, f"one {long} two{long}  10.0.0.1\n {long} b c"), (2, "10.0.0.1"), (3, "x:10.0.0.1,y z")], "doc_id long, text string")
+    out = sorted((r.left, r.right) for r in pii.occurrences(docs).where("kind = 'ip'").collect())
+    assert out == sorted([(f"{long} two{long}", f"{long} b"), ("", ""), ("x:", ",y z")])

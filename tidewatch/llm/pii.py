@@ -1,18 +1,22 @@
 """Personal data: format rules, and bootstrapped contextual extraction on top, with DataFrame functions only.
 
-1. One narrow pass finds, per text, the matches of each format rule and candidates - tokens with digits - with the words
-   around them. No text leaves this pass, only its digest. Copies of a text are looked at once from here on.
+1. One narrow pass finds, per text, the matches of each format rule and candidates - tokens with digits - with the two
+   whole words on either side. No text leaves this pass, only its digest. Copies of a text are looked at once from here on.
 2. Offsets are prefix sums over a text's own matches; invalid matches and candidates inside valid ones go.
-3. Seeds (valid matches) and candidates form a bipartite graph with lexical patterns, the words left and right of them.
-   Spark scores it in rounds: a pattern is as good as the share of its instances that are known to be of a kind; an
-   instance gets the noisy-or of its good patterns; good instances count as known in the next round.
+3. Seeds (valid matches) and candidates form a bipartite graph with lexical patterns: the word or the two words before
+   them, the word after, and the words on both sides. Spark scores it in rounds: a pattern is as good as the share of its
+   instances that are known to be of a kind; an instance gets the noisy-or of its good patterns; good instances are known
+   from the next round on, as seeds are. What is known only grows, and rounds end when nothing is added.
 4. Candidates that high-confidence patterns reach are added to the spans of the format rules, which always stay.
 
 Offsets count code points, ends are exclusive. The rules' patterns are written with possessive runs and a look-behind, so
 no text takes quadratic time or deep recursion; they match what the plain ones in RULES' comments match.
 
-Defined cases: a null text counts as empty (no spans); repeated rows get equal spans; an empty table gives an empty
-result; common patterns are aggregated before they are shuffled; only the named columns are read.
+Defined cases: a null text counts as empty (no spans); a very long text is searched whole, and its words of context are
+whole however long; repeated rows get equal spans and count once as evidence; of equal confidences for two kinds of an
+instance the kind that sorts last wins; spans that overlap all count, and are redacted as one; an empty table gives an
+empty result; common patterns are aggregated before they are shuffled; only the named columns are read, so others never
+clash.
 """
 
 from __future__ import annotations
@@ -38,8 +42,8 @@ RULES = {
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]", "candidate": "[0-9]"}
 #: Candidates: runs of letters, digits and joining marks with at least 4 digits.
 CANDIDATE = r"(?<![A-Za-z0-9_.+/@-])[A-Za-z_.+/@-]*+(?:[0-9][A-Za-z_.+/@-]*+){4,}+"
-#: Characters of context on either side.
-CONTEXT = 40
+#: The two nearest words of context at the start of a text.
+CONTEXT = r"\A\s*+(\S++(?:\s++\S++)?)"
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 
@@ -63,8 +67,9 @@ def _valid(kind: Column, value: Column) -> Column:
 
 def _matches(text: Column, kind: str, pattern: str) -> Column:
     """array<struct<kind, i, gap, value, left, right>> of a pattern's matches in order. The text between two matches
-    gives their distance (gap) and, from its ends, the words around them."""
-    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.struct(F.length(x).alias("n"), F.substring(x, 1, CONTEXT).alias("head"), F.right(x, F.lit(CONTEXT)).alias("tail")))
+    gives their distance (gap) and, from its ends, the whole words around them."""
+    words = lambda x: F.regexp_extract(x, CONTEXT, 1)
+    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.struct(F.length(x).alias("n"), words(x).alias("head"), F.reverse(words(F.reverse(x))).alias("tail")))
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     zipped = F.transform(
         F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("a"), found.alias("v"), F.slice(gaps, 2, F.size(found)).alias("b")),
@@ -110,36 +115,48 @@ def _words(side: str) -> tuple[Column, Column]:
 
 
 def graph(found: DataFrame) -> DataFrame:
-    """Edges (pattern, instance, kind: the seed's or null) between lexical patterns and instances, each once."""
+    """Edges (pattern, instance, kind: the seed's or null) between lexical patterns and instances, each once. Patterns are
+    L1|word and L2|word word before, R1|word after, and B|before|after."""
     left, left2 = _words("left")
     right, _ = _words("right")
-    patterns = F.array(F.concat(F.lit("L|"), left2), F.concat(F.lit("B|"), left, F.lit("|"), right))
+    patterns = F.array(
+        F.when(left != "", F.concat(F.lit("L1|"), left)),
+        F.when(left2 != left, F.concat(F.lit("L2|"), left2)),
+        F.when(right != "", F.concat(F.lit("R1|"), right)),
+        F.when((left != "") | (right != ""), F.concat(F.lit("B|"), left, F.lit("|"), right)),
+    )
     kind = F.when(F.col("kind") != "candidate", F.col("kind"))
-    edges = found.select(F.explode(patterns).alias("pattern"), F.lower("value").alias("instance"), kind.alias("kind"))
-    edges = edges.where(~F.col("pattern").isin("L|", "B||"))
+    edges = found.select(F.explode(patterns).alias("pattern"), F.lower("value").alias("instance"), kind.alias("kind")).where("pattern is not null")
     return workspace.materialize(edges.groupBy("pattern", "instance").agg(F.min("kind").alias("kind")), "edges")
 
 
-def bootstrap(edges: DataFrame, rounds: int = 3, min_known: float = 3.0, good_pattern: float = 0.6, good_instance: float = 0.7) -> DataFrame:
-    """(instance, kind, confidence) of the candidates that high-confidence patterns discover."""
-    totals = edges.groupBy("pattern").agg(F.count("*").alias("total"), F.count("kind").alias("seeds"), F.count_if(F.col("kind").isNull()).alias("open"))
-    # only patterns that seeds induce and that reach something else can discover anything; more may come into reach later
-    totals = workspace.materialize(totals.where(F.col("total") >= min_known), "patterns")
-    live = edges.join(totals.select("pattern", "total"), "pattern")
-    live = workspace.materialize(live, "live-edges")
-    seeds = live.where("kind is not null").select("pattern", "total", F.col("kind").alias("k"), F.lit(1.0).alias("c"))
-    known = None
-    for _ in range(rounds):
-        sure = seeds
-        if known is not None:
-            sure = sure.unionByName(live.where("kind is null").join(known, "instance").select("pattern", "total", "k", F.col("confidence").alias("c")))
-        scored = sure.groupBy("pattern", "total", "k").agg(F.sum("c").alias("mass"))
-        scored = scored.where(F.col("mass") >= min_known).withColumn("p", F.col("mass") / (F.col("total") + 1)).where(F.col("p") >= good_pattern)
-        reached = live.where("kind is null").select("pattern", "instance").join(scored.select("pattern", "k", "p"), "pattern")
-        reached = reached.groupBy("instance", "k").agg((1 - F.exp(F.sum(F.log1p(-F.least("p", F.lit(0.999)))))).alias("confidence"))
-        known = workspace.materialize(reached.where(F.col("confidence") >= good_instance), "known")
-    best = F.max_by(F.struct("k", "confidence"), F.struct("confidence", "k"))
-    return known.groupBy("instance").agg(best.alias("b")).select("instance", F.col("b.k").alias("kind"), F.col("b.confidence").alias("confidence"))
+def bootstrap(edges: DataFrame, min_known: int = 3, good_pattern: float = 0.6, good_instance: float = 0.7) -> DataFrame:
+    """(instance, kind, confidence) of the candidates that high-confidence patterns discover. A pattern needs min_known known
+    instances of a kind, and a share of at least good_pattern of all it has (one more counted against it)."""
+    # only patterns with enough instances, some of them open, can discover anything; more may come into reach later
+    totals = edges.groupBy("pattern").agg(F.count("*").alias("total"), F.count_if(F.col("kind").isNull()).alias("open"))
+    totals = workspace.materialize(totals.where((F.col("total") > min_known) & (F.col("open") > 0)).select("pattern", "total"), "patterns")
+    live = workspace.materialize(edges.join(totals, "pattern"), "live-edges")
+    seeds = live.where("kind is not null").select("pattern", "total", F.col("kind").alias("k"))
+    open_ = live.where("kind is null").select("pattern", "total", "instance")
+    known, count = None, 0
+    while True:
+        sure = seeds if known is None else seeds.unionByName(open_.join(known.select("instance", "k"), "instance").select("pattern", "total", "k"))
+        scored = sure.groupBy("pattern", "total", "k").agg(F.count("*").alias("hits")).where(F.col("hits") >= min_known)
+        scored = scored.withColumn("p", F.col("hits") / (F.col("total") + 1)).where(F.col("p") >= good_pattern)
+        reached = open_.select("pattern", "instance").join(scored.select("pattern", "k", "p"), "pattern")
+        # in whole millionths, so that sums don't depend on their order
+        doubt = F.sum(F.round(F.log1p(-F.least("p", F.lit(0.999))) * 1_000_000).cast("long")) / 1_000_000
+        reached = reached.groupBy("instance", "k").agg((1 - F.exp(doubt)).alias("confidence")).where(F.col("confidence") >= good_instance)
+        best = F.max_by(F.struct("k", "confidence"), F.struct("confidence", "k"))
+        now = workspace.materialize(reached.groupBy("instance").agg(best.alias("b")).select("instance", "b.*"), "known")
+        if known is not None:  # what was known stays, under the kind it had
+            old = known.select("instance", F.col("k").alias("k0"), F.col("confidence").alias("c0"))
+            now = now.join(old, "instance", "full").select("instance", F.coalesce("k0", "k").alias("k"), F.greatest("confidence", "c0").alias("confidence"))
+            now = workspace.materialize(now, "known")
+        known, last, count = now, count, now.count()
+        if count == last:
+            return known.select("instance", F.col("k").alias("kind"), "confidence")
 
 
 def spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
