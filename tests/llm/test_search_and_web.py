@@ -70,6 +70,28 @@ def test_warc_records_inside_payloads(spark, folder):
     check_warc(rows, op1_warc(spark, folder(pages=df)).collect())
 
 
+def test_warc_over_many_byte_ranges(spark, folder):
+    """Files cut into ranges smaller than their records, with records inside payloads on either side of cuts."""
+    rows = [(k, [FAKE * (k % 5), "é" * (37 * k % 900), "x" * (k * 53 % 700) + FAKE, None, "WARC/1.1\r\n" * (k % 4)][k % 5]) for k in range(150)]
+    where = folder(pages=spark.createDataFrame([(i, f"http://a.org/{i}", h) for i, h in rows], "page_id long, url string, html string").coalesce(2))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1500b")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        check_warc(rows, op1_warc(spark, where).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_warc_repeated_rows_and_null_ids(spark, folder):
+    rows = [(1, "same"), (1, "same"), (2, "same"), (None, "alone"), (None, "same"), (3, None), (3, None), (4, "x" * 300_000)]
+    df = spark.createDataFrame([(i, None, h) for i, h in rows], "page_id long, url string, html string")
+    got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in op1_warc(spark, folder(pages=df)).collect()), key=str)
+    want = [(1, 4, "revisit", 2), (1, 4, "revisit", 2), (2, 4, "response", None), (None, 5, "response", None), (None, 4, "revisit", 2), (3, 0, "response", None), (3, 0, "response", None), (4, 300_000, "response", None)]
+    assert got == sorted(want, key=str)
+
+
 def test_warc_payloads_come_back(spark):
     where = workspace.new_path(spark, "warc-test")
     df = spark.createDataFrame([(1, "u", FAKE), (2, None, "b\r\n")], "page_id long, url string, html string")
@@ -94,5 +116,24 @@ def test_url_filters_by_hand(spark):
     assert url_filters.judge(rows, changes.limit(0)).where("verdict != 'none'").count() == 0
 
 
+def test_url_filters_of_a_hot_key_with_a_long_history(spark):
+    """One key holds most captures and changes, over many ranges; every verdict as by looking through the history."""
+    base = dt.datetime(2024, 1, 1)
+    at = lambda m: base + dt.timedelta(minutes=m)
+    changes = [("hot.org", at(7 * k), ("block", "remove", "allow")[k % 3]) for k in range(400)] + [("a.hot.org", at(500), "allow"), ("cold.net", at(90), "block")]
+    asked = [(k, f"http://{('a', 'b', 'c')[k % 3]}.hot.org/{k}", at((k * 13) % 3000)) for k in range(1500)] + [(2000, "http://cold.net", at(89)), (2001, "http://cold.net", at(90))]
+    done = {r.id: (r["rule"], r.verdict) for r in url_filters.judge(spark.createDataFrame(asked, "page_id long, url string, fetched_at timestamp").repartition(6), spark.createDataFrame(changes, "key string, at timestamp, action string")).collect()}
+
+    def slow(url, when):
+        host = url.split("/")[2]
+        for key in (host, ".".join(host.split(".")[-2:])):
+            past = [(t, a) for k, t, a in changes if k == key and t <= when]
+            if past and max(past)[1] != "remove":
+                return key, max(past)[1]
+        return None, "none"
+
+    assert done == {i: slow(u, t) for i, u, t in asked}
+
+
 def test_url_filters_of_nothing(spark, folder):
     assert op4_url_filters(spark, folder(pages=spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0

@@ -5,8 +5,10 @@ A task measures whole texts and casts the votes; votes are counted by pattern ov
 3 ** rules patterns however many documents there are, so the EM runs on that small table and its result joins back as a
 broadcast of the same bounded size.
 
-Defined cases: a null text counts as empty (all measures 0, every rule abstains but the length rule); repeated rows are
-measured alike; an empty table gives an empty result; only id and text are read, so other columns never clash.
+Defined cases: a null text counts as empty (all measures 0, every rule abstains but the length rule); a very long text is
+measured whole, in memory and time proportional to its length; repeated rows are measured alike; documents of equal votes
+tie and share their posterior; an empty table gives an empty result; only id and text are read, so other columns never
+clash. At most MAX_RULES rules can be given, as that bounds the number of patterns; more are an error.
 """
 
 from __future__ import annotations
@@ -103,6 +105,7 @@ RULES = (
         " and n_doubled <= 0.1 * n_words and n_digits <= 0.25 * word_chars",
     ),
 )
+MAX_RULES = 8
 #: Where EM begins, and what it is drawn to: P(bad vote), P(abstain), P(good vote) for bad and for good documents.
 START = np.array([[0.4, 0.5, 0.1], [0.02, 0.58, 0.4]])
 
@@ -168,9 +171,9 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep_at: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Accuracies]:
     """Per row of docs: id, MEASURES, votes (array of -1, 0, 1 by rule), p_good and verdict (p_good >= keep_at); and
-    the estimated accuracies."""
-    if len(rules) > 8:
-        raise ValueError("the number of vote patterns is bounded by at most 8 rules")
+    the estimated accuracies. rules: at most MAX_RULES."""
+    if len(rules) > MAX_RULES:
+        raise ValueError(f"the number of vote patterns is bounded by at most {MAX_RULES} rules")
     vote = [F.when(F.expr(r.bad), -1).when(F.expr(r.good), 1).otherwise(0).cast("int") for r in rules]
     voted = measures(docs, id_col, text_col).withColumn("votes", F.array(*vote))
     voted = workspace.materialize(voted, "votes")

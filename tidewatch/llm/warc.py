@@ -8,10 +8,16 @@ keeps what is reachable: after k rounds everything within 2**k pointers of the f
 reaches are part of a payload and are joined back into it. The payloads themselves are read in a second scan and don't
 take part in any shuffle, unless they hold such bytes.
 
+Joins of records' offsets are merge joins at every size. Joins that carry payloads leave the choice to Spark's threshold
+on the written size of the other table - repeated digests, and rows inside payloads that look like records - so payloads
+are shuffled only where that table is large.
+
 Defined cases: null and empty payloads are records with an empty body; a null url leaves the header out; line ends in a
 url are percent-encoded; repeated rows give repeated records; a null id is written as the empty id and read as null; an
-empty table gives an empty folder and an empty result; a record cut off by the end of its file is marked incomplete;
-bytes after the last whole record are ignored. Only the named columns are read.
+empty table gives an empty folder and an empty result; of repeated ids with one payload, all are the response; a very long
+payload is one row of the reader, or as many as hold it; a record cut off by the end of its file is marked incomplete;
+bytes after the last whole record are ignored. Only the named columns are read, so others never clash. The rows of the
+second scan are compared with those of the first where they are joined; a difference is an error.
 """
 
 from __future__ import annotations
@@ -111,7 +117,7 @@ def _record(rows: DataFrame, block: Column) -> DataFrame:
 
 def candidates(rows: DataFrame) -> DataFrame:
     """A row per reader row, without its content: file, block, seq, idx (its place in the file), start, next (null: no
-    candidate), whole (a record with nothing missing and nothing over), size (the file's bytes)."""
+    candidate), whole (a record with nothing missing and nothing over), size (the file's bytes), bytes (the row's)."""
     step = len(DELIMITER)
     parsed = _parse(rows).select("file", "block", "seq", F.octet_length("value").cast("long").alias("bytes"), "head_bytes", "length")
     parsed = workspace.materialize(parsed, "warc-rows")
@@ -129,7 +135,7 @@ def candidates(rows: DataFrame) -> DataFrame:
     end = F.col("content_at") + F.col("head_bytes") + F.col("length") + 4
     row_end = F.col("content_at") + F.col("bytes") + F.when(F.col("idx") == F.col("rows") - 1, 0).otherwise(1)
     return at.select(
-        "file", "block", "seq", "idx", "size",
+        "file", "block", "seq", "idx", "size", "bytes",
         F.when(F.col("idx") == 0, F.col("content_at")).otherwise(F.col("content_at") - len(MAGIC)).alias("start"),
         end.alias("next"), (end == row_end).alias("whole"),
     )
@@ -142,7 +148,7 @@ def reachable(found: DataFrame) -> DataFrame:
     near = cand.withColumn("before", F.lag("next").over(order)).withColumn("after", F.lead("start").over(order))
     near = workspace.materialize(near, "candidates")
     far = near.where("after is null or next != after").select("file", F.col("next").alias("start")).distinct().withColumn("aimed_at", F.lit(True))
-    heads = near.join(far, ["file", "start"], "left").withColumn("is_head", (F.col("before").isNull() | (F.col("before") != F.col("start")) | F.col("aimed_at").isNotNull()).cast("int"))
+    heads = near.join(far.hint("merge"), ["file", "start"], "left").withColumn("is_head", (F.col("before").isNull() | (F.col("before") != F.col("start")) | F.col("aimed_at").isNotNull()).cast("int"))
     heads = workspace.materialize(heads.withColumn("run", F.sum("is_head").over(order)).drop("before", "after", "aimed_at", "is_head"), "runs")
     runs = heads.groupBy("file", "block", "run").agg(F.min("start").alias("head"), F.max_by("next", "start").alias("jump"))
     nodes = workspace.materialize(runs.withColumn("reached", F.col("head") == 0), "jumps")
@@ -150,14 +156,15 @@ def reachable(found: DataFrame) -> DataFrame:
     while True:
         hit = nodes.where("reached").select("file", F.col("jump").alias("head")).distinct().withColumn("hit", F.lit(True))
         on = nodes.select("file", F.col("head").alias("jump"), F.col("jump").alias("twice"))
-        nodes = nodes.join(hit, ["file", "head"], "left").join(on, ["file", "jump"], "left")
+        last, nodes = nodes, nodes.join(hit.hint("merge"), ["file", "head"], "left").join(on.hint("merge"), ["file", "jump"], "left")
         nodes = nodes.select("file", "block", "run", "head", F.coalesce("twice", "jump").alias("jump"), (F.col("reached") | F.col("hit").isNotNull()).alias("reached"))
         nodes = workspace.materialize(nodes, "jumps")
+        workspace.discard(last)
         now = nodes.where("reached").count()
         if now == reached:
             break
         reached = now
-    return heads.join(nodes.where("reached").select("file", "block", "run"), ["file", "block", "run"], "left_semi").drop("run")
+    return heads.join(nodes.where("reached").select("file", "block", "run").hint("merge"), ["file", "block", "run"], "left_semi").drop("run")
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
@@ -167,18 +174,19 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     found = workspace.materialize(candidates(rows), "warc-offsets")
     kept = workspace.materialize(reachable(found), "warc-records")
     # Rows that aren't one whole record by themselves: parts of payloads, and records that go on over such rows.
-    odd = found.join(kept.where("whole").select("seq"), "seq", "left_anti").select("seq")
+    odd = found.join(kept.where("whole").select("seq").hint("merge"), "seq", "left_anti").select("seq")
     odd = workspace.materialize(odd, "warc-odd")
     plain = _parse(rows.join(odd, "seq", "left_anti"))
     plain = _record(plain, F.expr("substring(cast(value as binary), head_bytes + 1, length)"))
     split = kept.where("not whole").select("file", "start", "next", F.col("idx").alias("first"))
     until = kept.select("file", F.col("start").alias("next"), F.col("idx").alias("until"))
-    split = split.join(until, ["file", "next"], "left").withColumn("until", F.col("until") - 1)
+    split = split.join(until.hint("merge"), ["file", "next"], "left").withColumn("until", F.col("until") - 1)
     last = found.groupBy("file").agg(F.max("idx").alias("last"))
     split = split.join(last, "file").withColumn("idx", F.explode(F.sequence("first", F.greatest("first", F.coalesce("until", "last")))))
-    split = workspace.materialize(split.join(found.select("file", "idx", "seq"), ["file", "idx"]).select("seq", "first", "idx"), "warc-split")
+    split = workspace.materialize(split.join(found.select("file", "idx", "seq", "bytes").hint("merge"), ["file", "idx"]).select("seq", "first", "idx", "bytes"), "warc-split")
+    same = F.when(F.octet_length("value") == F.col("bytes"), F.lit(True)).otherwise(F.raise_error(F.lit(workspace.REREAD)).cast("boolean"))
     # the rows of one record: as large as the record itself
-    joined = rows.join(split, "seq").groupBy("file", "first").agg(F.sort_array(F.collect_list(F.struct("idx", "value"))).alias("parts"))
+    joined = rows.join(split, "seq").where(same).groupBy("file", "first").agg(F.sort_array(F.collect_list(F.struct("idx", "value"))).alias("parts"))
     joined = joined.select("file", F.array_join(F.col("parts.value"), DELIMITER).alias("value"))
     return plain.unionByName(_record(_parse(joined), F.expr("substring(cast(value as binary), head_bytes + 1, length)")))
 
