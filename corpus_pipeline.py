@@ -25,7 +25,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores below 0.3 go."""
     model = quality_fm.fit(docs, table(spark, sf_dir, "labels").where(~held_out()))
-    return docs.where(quality_fm.score_of(F.col("text"), model) >= 0.3)
+    return docs.where(quality_fm.score_of(docs, model) >= 0.3)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
