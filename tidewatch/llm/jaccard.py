@@ -326,8 +326,9 @@ def verify(docs: DataFrame, nodes: DataFrame, groups: DataFrame, threshold: floa
     own = groups.join(nodes.select("row", "node", "copies", "size").hint("merge"), "row")
     own = workspace.materialize(own, "to-verify")
     tiles = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("size") * 8 / TILE_BYTES))
-    tiles = own.groupBy("component").agg(tiles.alias("tiles"), F.count("*").alias("nodes"))
-    wanted = own.join(tiles.where("nodes > 1").hint("merge"), "component")
+    # written, so that both sides of the join have an exchange of their own and a large component is split
+    tiles = workspace.materialize(own.groupBy("component").agg(tiles.alias("tiles"), F.count("*").alias("nodes")).where("nodes > 1"), "component-tiles")
+    wanted = own.join(tiles.select("component", "tiles").hint("merge"), "component")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text")).join(wanted.hint("merge"), "row")
     packed = rows.select("component", "tiles", "row", "copies", "text", "node").mapInArrow(sets, "component long, tiles long, row long, copies long, grams binary")
     tiled = _tiles(packed, ["component"], F.col("tiles"), "row")
