@@ -9,7 +9,7 @@ from tidewatch.operators import distances
 from tidewatch.plans.queries import ORACLES, QUERIES, ts_metrics
 
 LARGE = "/root/testdata/sf0.1"
-WHOLE = ["kl_daily_whole", "hellinger_daily_whole", "tvd_daily_whole", "wasserstein_daily_whole", "energy_daily_whole"]
+WHOLE = ["kl_daily", "hellinger_daily", "tvd_daily", "wasserstein_daily", "energy_daily"]
 
 
 @pytest.fixture(scope="module")
@@ -46,7 +46,7 @@ def test_grid_holds_both_densities(spark):
 
 
 def test_every_grid_point_is_returned(spark, sf_dir):
-    rows = QUERIES["density_grid_whole"](spark, sf_dir).collect()
+    rows = QUERIES["density_grid"](spark, sf_dir).collect()
     points = sorted({r.x for r in rows})
     assert points == [points[0] + k for k in range(len(points))]
     assert len(rows) == len(points) * len({r.interval_idx for r in rows}) and len(points) > 20

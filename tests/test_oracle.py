@@ -1,4 +1,4 @@
-"""Every query of the drift operators against its SQL oracle; the others run and keep their rows."""
+"""Every query of the drift operators that SQL can express against its SQL; the others have tests of their own."""
 
 from __future__ import annotations
 
@@ -12,7 +12,5 @@ def test_query_equals_sql(name, spark, sf_dir, same_as_sql):
     same_as_sql(QUERIES[name](spark, sf_dir), ORACLES[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_query_without_sql_runs(name, spark, sf_dir):
-    df = QUERIES[name](spark, sf_dir)
-    assert df.count() >= 0 and len(set(df.columns)) == len(df.columns)
+def test_what_sql_cannot_express():
+    assert set(QUERIES) - set(ORACLES) == {"logistic_predictions", "stream_monitor"}  # tests/test_operators.py

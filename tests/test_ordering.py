@@ -9,7 +9,7 @@ from tidewatch.plans.queries import QUERIES, table
 
 
 def test_every_page_has_its_place(spark, sf_dir):
-    rows = QUERIES["natural_order_whole"](spark, sf_dir).collect()
+    rows = QUERIES["natural_order"](spark, sf_dir).collect()
     assert sorted(r.place for r in rows) == list(range(1, table(spark, sf_dir, "pages").count() + 1))
 
 

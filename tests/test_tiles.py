@@ -9,7 +9,7 @@ from tidewatch.plans.queries import QUERIES, table
 
 
 def test_every_event_has_its_neighbours(spark, sf_dir):
-    out = QUERIES["tile_neighbours_whole"](spark, sf_dir)
+    out = QUERIES["tile_neighbours"](spark, sf_dir)
     found = out.groupBy("event_id").agg(F.count("*").alias("n"), F.count_distinct("tx", "ty").alias("tiles")).collect()
     assert len(found) == table(spark, sf_dir, "events").count() and {(r.n, r.tiles) for r in found} == {(9, 9)}
 

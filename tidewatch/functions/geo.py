@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values of the projection.
@@ -65,11 +65,26 @@ def part_corners(lat: Column, long: Column, level: Column, part: Column) -> dict
     return {f"{name}_{axis}": value for name, (a, b) in at.items() for axis, value in zip(("lat", "long"), lat_long(a, b, level), strict=True)}
 
 
+def _spread(x: Column) -> Column:
+    """The low 31 bits of x, a zero above each."""
+    x = x.cast("long")
+    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+        x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask))
+    return x
+
+
+def neighbours(tiles: DataFrame, radius: int = 1) -> DataFrame:
+    """tiles (..., tx, ty) with every tile up to `radius` columns and rows away, itself included."""
+    around = lambda c: F.explode(F.sequence(F.col(c) - radius, F.col(c) + radius)).alias(c)
+    rest = [c for c in tiles.columns if c not in ("tx", "ty")]
+    return tiles.select(*rest, around("tx"), "ty").select(*rest, "tx", around("ty"))
+
+
 def quad_key(tx: Column, ty: Column, level: Column) -> Column:
-    """A digit a level, from the most significant bits down: bit of x plus twice the bit of y."""
-    bit = lambda v, i: F.floor(v / F.pow(F.lit(2.0), i - 1)) % 2
-    digits = F.transform(F.sequence(level, F.lit(1), F.lit(-1)), lambda i: (bit(tx, i) + 2 * bit(ty, i)).cast("int").cast("string"))
-    return F.when(level > 0, F.array_join(digits, "")).otherwise("")
+    """A digit a level, from the most significant bits down: bit of x plus twice the bit of y, which is the number of both
+    sets of bits interleaved, to base 4."""
+    number = _spread(tx) + 2 * _spread(ty)
+    return F.when(level > 0, F.lpad(F.conv(number.cast("string"), 10, 4), level, F.lit("0"))).otherwise("")
 
 
 def degrees_minutes_seconds(value: Column, is_lat: bool) -> Column:
@@ -89,11 +104,11 @@ def affine(col: Column, row: Column, m: tuple[float, float, float, float, float,
     return a * col + b * row + c, d * col + e * row + f
 
 
-#: Where map tiles are served, by provider; z, x and y are the tile's.
+#: Where map tiles are served, by provider; z, x and y are the tile's, q is its quad key.
 TILE_URLS = {
-    "arcgis": "https://services.arcgisonline.com/arcgis/rest/services/World_Imagery/MapServer/tile/{z}/{y}/{x}",
-    "google": "https://mt.google.com/vt/lyrs=s&x={x}&y={y}&z={z}",
-    "bing": "https://ecn.t0.tiles.virtualearth.net/tiles/a{q}.jpeg?g=1",
+    "arcgis": "https://server.arcgisonline.com/ArcGIS/rest/services/World_Imagery/MapServer/tile/{z}/{y}/{x}",
+    "google": "https://mt1.google.com/vt/lyrs=s&x={x}&y={y}&z={z}",
+    "bing": "http://ecn.t1.tiles.virtualearth.net/tiles/a{q}.png?g=441&mkt=en-us&n=z",
 }
 
 

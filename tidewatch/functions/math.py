@@ -31,3 +31,14 @@ def hashed(seed: int, *parts: Column) -> Column:
     """A whole number from 0 to 2**32 - 1 that any SQL engine with md5 computes alike."""
     text = F.concat_ws(":", F.lit(str(seed)), *(p.cast("string") for p in parts))
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+
+
+def permuted(i: Column, n: Column, *key: Column, rounds: int = 20) -> Column:
+    """The image of i under a pseudorandom permutation of 0..n-1 (n >= 1) chosen by key: in each round i and its mirror
+    image about a keyed point swap places, or not, as a keyed hash of the larger of the two says."""
+
+    def swap(x: Column, r: Column) -> Column:
+        mirror = F.pmod(F.pmod(F.xxhash64(F.lit("point"), r, *key), n) - x, n)
+        return F.when(F.xxhash64(F.lit("swap"), r, F.greatest(x, mirror), *key) % 2 == 0, mirror).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), i, swap)

@@ -28,18 +28,84 @@ def flood(water: Column, base: Column, heights: Column, threshold: float, transi
     return F.zip_with(pairs, alphas, lambda p, a: F.when(a < 0, p["w"]).when(a > 1, p["b"]).otherwise(F.floor(p["w"] + a * (p["b"] - p["w"]))).cast("int"))
 
 
-def haze(pixels: Column, channel: int, visibility_air: float, visibility_fog: float, perlin: Column | None = None, distance: float = 100.0, elevation: float = 100.0) -> Column:
-    """Attenuation and air light along a ray through a haze layer under a fog layer. perlin, from 0 to 255, thins the
-    haze per pixel. The ray's lengths in the layers are constants of the scene, so Catalyst folds them."""
-    rise = elevation - CAMERA
-    in_haze, in_fog = (HAZE_TOP - CAMERA) * distance / rise, (FOG_TOP - HAZE_TOP) * distance / rise
-    air, thick = 3.912 / visibility_air, 3.912 / visibility_fog
+def _within(low: float, high: float, bottom: float, top: float) -> float:
+    """Length that the ranges low..high and bottom..top share."""
+    return max(0.0, min(high, top) - max(low, bottom))
+
+
+def ray_lengths(fog_top: float, haze_top: float, elevation: float = 100.0, distance: float = 100.0, camera: float = CAMERA) -> tuple[float, float, float]:
+    """How much of a ray from the camera to a point at `elevation`, `distance` away, lies in the haze layer, in the fog layer
+    and above both. The layer with the lower top begins at the ground and the other on top of it; fog_top 0 is no fog, with
+    haze from the ground. A level ray lies in one layer."""
+    low, high = sorted((camera, elevation))
+    edge, top = sorted((fog_top, haze_top))
+    if high == low:
+        lower, upper = float(low <= edge), float(edge < low <= top)
+    else:
+        lower, upper = (_within(low, high, *r) / (high - low) for r in ((0.0, edge), (edge, top)))
+    in_haze, in_fog = (lower, upper) if haze_top <= fog_top else (upper, lower)
+    return in_haze * distance, in_fog * distance, (1 - lower - upper) * distance
+
+
+def haze(pixels: Column, channel: int, visibility_aerosol: float = 450.0, visibility_molecule: float = 12.0, fog_top: float = FOG_TOP, haze_top: float = HAZE_TOP, perlin: Column | None = None, elevation: float = 100.0, distance: float = 100.0) -> Column:
+    """Attenuation and air light along a ray through the layers. Haze attenuates by 3.912 / visibility_aerosol a metre. Fog
+    mixes that and 3.912 / visibility_molecule by the point's height in it - above the fog's top it has the aerosol's where
+    the fog reaches over the haze, else the molecules' - times perlin, noise from 0 to 255 a pixel; without it, fog is full.
+    Without fog (fog_top 0) what lies above the haze attenuates by the molecules' rate. The ray's lengths are constants of
+    the scene, so Catalyst folds them."""
+    aerosol, molecule = 3.912 / visibility_aerosol, 3.912 / visibility_molecule
+    in_haze, in_fog, free = ray_lengths(fog_top, haze_top, elevation, distance)
+    if fog_top == 0:
+        steady, noisy = aerosol * in_haze + molecule * free, 0.0
+    else:
+        height = max(1 - elevation / (fog_top + 0.00001), 0.0)
+        inner, outer = (molecule, aerosol) if fog_top > haze_top else (aerosol, molecule)
+        steady, noisy = aerosol * in_haze, (inner * height + outer * (1 - height)) * in_fog
+
+    def seen(x: Column, share: Column) -> Column:
+        through = F.exp(-(F.lit(steady) + noisy * share))
+        return x * through + (1 - through) * AIR_LIGHT[channel]
+
+    return F.transform(pixels, lambda x: seen(x, F.lit(1.0))) if perlin is None or not noisy else F.zip_with(pixels, perlin, lambda x, p: seen(x, p / 255))
+
+
+#: Scales of the three noise fields, what is added to each, and its weight.
+NOISE_FIELDS = ((1 / 130.0, 1.0, 1.0), (1 / 60.0, 0.5, 0.5), (1 / 10.0, 1.2, 0.25))
+
+
+def gradient_noise(x: Column, y: Column, z: Column, seed: int = 0) -> Column:
+    """Gradient noise at a point, from about -1 to 1 and 0 at lattice points: slopes of the eight corners around it, blended
+    by a quintic. A corner's slope is one of twelve, by a hash of the corner and the seed instead of a printed table."""
+    fade = lambda t: t * t * t * (t * (t * 6 - 15) + 10)
+    lattice = [(F.floor(v), v - F.floor(v)) for v in (x, y, z)]
+    weight = [fade(f) for _, f in lattice]
+
+    def slope(corner: tuple[int, int, int]) -> Column:
+        k = F.pmod(F.xxhash64(F.lit(seed), *(c + d for (c, _), d in zip(lattice, corner, strict=True))), F.lit(12))
+        a, b, c = (f - d for (_, f), d in zip(lattice, corner, strict=True))
+        first, second = F.when(k < 8, a).otherwise(b), F.when(k < 4, b).otherwise(c)
+        return F.when(k % 2 == 0, first).otherwise(-first) + F.when(F.floor(k / 2) % 2 == 0, second).otherwise(-second)
+
+    values = {(i, j, k): slope((i, j, k)) for i in (0, 1) for j in (0, 1) for k in (0, 1)}
+    for axis in range(3):
+        values = {key[1:]: low + weight[axis] * (values[(1, *key[1:])] - low) for key, low in values.items() if key[0] == 0}
+    return values[()]
+
+
+def noise_levels(*fields: Column) -> Column:
+    """One noise value from those of the three fields, each brought to whole levels first."""
+    parts = [F.floor((v + add) * 128) * weight for v, (_, add, weight) in zip(fields, NOISE_FIELDS, strict=True)]
+    return (parts[0] + parts[1] + parts[2]) / 3
+
+
+def layered_noise(width: int, height: int, depth: float = 3.0, seed: int = 0) -> Column:
+    """The noise of a picture, row by row, of one depth."""
 
-    def seen(x: Column, density: Column) -> Column:
-        depth = F.lit(thick * in_fog) + air * in_haze * density
-        return x * F.exp(-depth) + (1 - F.exp(-depth)) * AIR_LIGHT[channel]
+    def at(i: Column) -> Column:
+        x, y = (i % width).cast("double"), F.floor(i / width).cast("double")
+        return noise_levels(*(gradient_noise(x * s, y * s, F.lit(depth * s), seed) for s, _, _ in NOISE_FIELDS))
 
-    return F.transform(pixels, lambda x: seen(x, F.lit(1.0))) if perlin is None else F.zip_with(pixels, perlin, lambda x, p: seen(x, p / 255))
+    return F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), at)
 
 
 def box_kernel(radius: int, alpha: float) -> list[list[float]]:
@@ -71,9 +137,44 @@ def blur(pixels: Column, width: int, height: int, radius: int, alpha: float) ->
     return F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), at)
 
 
-def encoded(template: str, **values: float) -> str:
-    """Drift parameters as a key, for file names and caches."""
-    return template.format(**values)
+#: Forms of the keys that stand for drift parameters in names and caches, and default parameters.
+KEY_FORMS = {"fog": "g%03db%03dr%03da%03dn%03d", "flood": "t%da%dr%dg%db%d", "haze": "m%03da%03df%03dh%03d"}
+DEFAULTS = {
+    "fog": {"gray": 0.3, "blend": 0.5, "radius": 0, "alpha": 1, "noise": 0.0},
+    "flood": {"thresh": 4, "trans": 2, "r": 0x4B, "g": 0x36, "b": 0x19},
+    "haze": {"vrm": 12.0, "vra": 450.0, "ft": 70.0, "ht": 34.0},
+}
+_TIMES = {"fog": {"gray": 100, "blend": 100, "noise": 100}, "flood": {}, "haze": {"vrm": 10, "vra": 10, "ft": 10, "ht": 10}}
+
+
+def encoded(kind: str, **given: float) -> str:
+    """Drift parameters as a key, defaults filled in; shares count in hundredths, metres in tenths, all cut to whole."""
+    values = {**DEFAULTS[kind], **given}
+    if unknown := set(values) - set(DEFAULTS[kind]):
+        raise ValueError(f"{kind} has no parameter {sorted(unknown)}")
+    if kind == "fog":
+        values["radius"] = int(values["radius"])
+        values["alpha"] = values["alpha"] if values["radius"] > 1 else 0
+    return KEY_FORMS[kind] % tuple(int(float(v) * _TIMES[kind].get(k, 1)) for k, v in values.items())
+
+
+def _fog(px: Column, channel: int, width: int, height: int, p: dict) -> Column:
+    return blur(fog(px, p["gray"], p["blend"]), width, height, int(p["radius"]), p["alpha"])
+
+
+def _haze(px: Column, channel: int, width: int, height: int, p: dict) -> Column:
+    return haze(px, channel, p["vra"], p["vrm"], p["ft"], p["ht"], layered_noise(width, height))
+
+
+#: Image drifts by name: functions of a channel's pixels, the channel, the picture's width and height, and parameters.
+DRIFTS = {"fog": _fog, "haze": _haze}
+
+
+def drift(kind: str, px: Column, channel: int, width: int, height: int, **given: float) -> Column:
+    """A registered image drift with its parameters, defaults filled in; an unknown name is an error."""
+    if kind not in DRIFTS:
+        raise ValueError(f"unknown image drift {kind}; known are {sorted(DRIFTS)}")
+    return DRIFTS[kind](px, channel, width, height, {**DEFAULTS.get(kind, {}), **given})
 
 
 def drifted_name(position: Column, stem: Column) -> Column:

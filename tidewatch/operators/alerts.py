@@ -31,8 +31,11 @@ def config(thresholds: Column) -> Column:
 def cascade(values: DataFrame, rules: DataFrame, key: str = "id") -> DataFrame:
     """(key, alert_level): values (key, metric, value) against rules (metric, metric_ord, ord, less_than, alert_level). The
     first metric with a threshold above its value decides, by its first such threshold; else `none`. Metrics without
-    rules don't count. Rules are configuration, so they are broadcast."""
+    rules don't count; two values of one metric for one key are an error. Rules are configuration, so they are broadcast."""
     below = F.col("value") < F.col("less_than")
+    twice = F.raise_error(F.concat(F.lit("more than one value of metric "), F.col("metric"))).cast(values.schema["value"].dataType)
+    once = values.groupBy(key, "metric").agg(F.first("value").alias("one"), F.count("*").alias("n"))
+    values = once.select(key, "metric", F.when(F.col("n") > 1, twice).otherwise(F.col("one")).alias("value"))
     joined = values.join(F.broadcast(rules), "metric", "left")
     level = F.min_by("alert_level", F.when(below, F.struct("metric_ord", "ord")))
     return joined.groupBy(key).agg(F.when(F.count_if(below) > 0, level).otherwise("none").alias("alert_level"))

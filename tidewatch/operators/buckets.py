@@ -53,6 +53,20 @@ def series(df: DataFrame, value: str, unit: str, start_s: int, ts: str | None =
     return by_samples(df, pos, value, samples, unit, start_s)
 
 
+def interval_at(intervals: DataFrame, index: int) -> DataFrame:
+    """The interval of an index, one row; an error, when it is read, if the series has none."""
+    row = F.struct(*intervals.columns)
+    one = intervals.where(F.col("interval_idx") == index).agg(F.first(row).alias("_row"))
+    absent = F.raise_error(F.lit(f"the series has no interval {index}")).cast(one.schema["_row"].dataType)
+    return one.select(F.when(F.col("_row").isNull(), absent).otherwise(F.col("_row")).alias("_row")).select("_row.*")
+
+
+def index_of(intervals: DataFrame, interval: int) -> DataFrame:
+    """One row (interval_idx) of an interval's label; an error, when it is read, if there is none."""
+    hit = intervals.where(F.col("interval") == interval).agg(F.min("interval_idx").alias("i"))
+    return hit.select(F.coalesce("i", F.raise_error(F.lit(f"the series has no interval at {interval}")).cast("long")).alias("interval_idx"))
+
+
 def lagged_forecast(intervals: DataFrame, back: int = 7) -> DataFrame:
     """Adds mean and std_dev of the `back` intervals before; intervals without that many go. One row an interval, so the
     window is as long as the series, not the data."""

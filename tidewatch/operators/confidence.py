@@ -3,12 +3,18 @@ a labelled reference, and the share of target scores at or above it."""
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ordering import nth_smallest, sliding
 
 
+#: Fixed value: the window that is recommended where none is configured.
+RECOMMENDED_WINDOW = 7
+
+
 def entropy_score(probabilities: Column) -> Column:
     """Sum of p ln(p + 1e-20), null and NaN entries left out; 0 for an empty vector."""
     real = F.filter(probabilities, lambda p: p.isNotNull() & ~F.isnan(p))
@@ -39,12 +45,33 @@ def predictions_by_error(df: DataFrame, error: str, share: float = 0.95) -> Data
     return df.crossJoin(F.broadcast(edge)).withColumn("prediction", F.when(F.col(error) < F.col("_t"), 1).otherwise(0)).drop("_t")
 
 
-def threshold(df: DataFrame, score: str = "score", label: str = "label", prediction: str = "prediction") -> float:
-    """With N wrong rows among those whose score isn't 0, the N-th smallest of their scores, or 0.0 if N is 0: there
-    false positives and false negatives balance."""
+def threshold(df: DataFrame, score: str = "score", label: str = "label", prediction: str = "prediction") -> DataFrame:
+    """One row (threshold): with N wrong rows among those whose score isn't 0, the N-th smallest of their scores, or 0.0 if N
+    is 0: there false positives and false negatives balance."""
     rows = df.where(F.col(score) != 0)
-    wrong = rows.where(F.col(label) != F.col(prediction)).count()
-    return nth_smallest(rows, score, wrong) if wrong else 0.0
+    wrong = F.count_if(F.col(label) != F.col(prediction))
+    return nth_smallest(rows, score, wrong).select(F.coalesce("value", F.lit(0.0)).alias("threshold"))
+
+
+def metric(predictions: Sequence[DataFrame], params: Mapping | None = None, score: str = "score") -> DataFrame:
+    """One row (accuracy, sliding_window) of one or two sets (score, label, prediction; pos for a window): the threshold
+    comes from average_atc_threshold in params or else from the first set, the accuracy from the last set. With
+    sliding_window in params it is the accuracy of the latest position; the row recommends a window where none is set.
+    Another number of sets is an error."""
+    params = params or {}
+    if len(predictions) not in (1, 2):
+        raise ValueError(f"one or two sets of predictions are needed, but {len(predictions)} were received")
+    if "average_atc_threshold" in params:
+        limit = predictions[0].sparkSession.createDataFrame([(float(params["average_atc_threshold"]),)], "threshold double")
+    else:
+        limit = threshold(predictions[0], score)
+    target, window = predictions[-1].crossJoin(F.broadcast(limit)), int(params.get("sliding_window", 0))
+    if window:
+        done = windowed_accuracy(target, F.col("threshold"), window, score=score).agg(F.max_by("accuracy", "pos").alias("accuracy"))
+        done = done.select(F.coalesce("accuracy", F.raise_error(F.lit("there are fewer scores than the window needs")).cast("double")).alias("accuracy"))
+    else:
+        done = accuracy(target, F.col("threshold"), score)
+    return done.withColumn("sliding_window", F.lit(window or RECOMMENDED_WINDOW))
 
 
 def accuracy(df: DataFrame, limit: Column, score: str = "score") -> DataFrame:

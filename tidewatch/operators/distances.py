@@ -18,8 +18,15 @@ from ..functions.math import normal_cdf, normal_density
 REACH = 6
 
 
-def density_grid(intervals: DataFrame, start: float, end: float, step: float = 1.0) -> DataFrame:
-    """intervals (interval_idx, aggregated, mean, std_dev) -> (interval_idx, x, p, q, log_ratio: ln p - ln q)."""
+def density_grid(intervals: DataFrame, start: float | None, end: float | None, step: float | None = 1.0, distribution: str = "normal") -> DataFrame:
+    """intervals (interval_idx, aggregated, mean, std_dev) -> (interval_idx, x, p, q, log_ratio: ln p - ln q). A range that
+    isn't given whole, a step that isn't above 0 and another distribution are errors."""
+    if start is None or end is None or step is None:
+        raise ValueError("the range of the grid isn't given whole")
+    if step <= 0 or end <= start:
+        raise ValueError(f"no grid from {start} to {end} in steps of {step}")
+    if distribution != "normal":
+        raise ValueError(f"unsupported distribution {distribution}")
     points = math.ceil((end - start) / step)
     overall = intervals.agg(F.avg("aggregated").alias("_mean"))
     return _densities(intervals, overall, F.sequence(F.lit(0), F.lit(points - 1)), F.lit(float(start)), step)
@@ -46,17 +53,22 @@ def _densities(intervals: DataFrame, overall: DataFrame, steps: Column, start: C
     )
 
 
-def pointwise(grid: DataFrame) -> DataFrame:
-    """(interval_idx, kl, hellinger, tvd, wasserstein): bits; root of the halved squared differences of roots; half the
-    mean and the mean absolute difference. Points where p underflows don't count towards the first two."""
-    some, gap = F.col("p") != 0, F.abs(F.col("p") - F.col("q"))
+def _pointwise(counts: Column) -> list[Column]:
+    """Aggregates over the grid's rows for which counts holds."""
+    some, gap = counts & (F.col("p") != 0), F.when(counts, F.abs(F.col("p") - F.col("q")))
     roots = F.sqrt("p") - F.sqrt("q")
-    return grid.groupBy("interval_idx").agg(
+    return [
         F.sum(F.when(some, F.col("p") * F.col("log_ratio") / math.log(2)).otherwise(0.0)).alias("kl"),
         (F.sqrt(F.sum(F.when(some, roots * roots).otherwise(0.0))) / math.sqrt(2)).alias("hellinger"),
         (F.avg(gap) / 2).alias("tvd"),
         F.avg(gap).alias("wasserstein"),
-    )
+    ]
+
+
+def pointwise(grid: DataFrame) -> DataFrame:
+    """(interval_idx, kl, hellinger, tvd, wasserstein): bits; root of the halved squared differences of roots; half the
+    mean and the mean absolute difference. Points where p underflows don't count towards the first two."""
+    return grid.groupBy("interval_idx").agg(*_pointwise(F.lit(True)))
 
 
 def energy(grid: DataFrame) -> DataFrame:
@@ -69,21 +81,39 @@ def energy(grid: DataFrame) -> DataFrame:
     return rows.groupBy("interval_idx").agg((math.sqrt(2) * F.sqrt(F.sum(F.col("ahead") * F.col("ahead") * F.coalesce("gap", F.lit(0.0))) / (n * n))).alias("energy"))
 
 
+def z_of() -> Column:
+    """The forecast's error in standard deviations; null where it has no spread."""
+    return F.try_divide(F.col("aggregated") - F.col("mean"), F.nullif("std_dev", F.lit(0.0)))
+
+
+def ks_of(z: Column) -> Column:
+    """The one-sample Kolmogorov-Smirnov statistic of a single observation."""
+    phi = normal_cdf(z)
+    return F.greatest(phi, 1 - phi)
+
+
 def z_error(intervals: DataFrame) -> DataFrame:
-    """(interval_idx, z): null where the forecast has no spread."""
-    return intervals.select("interval_idx", F.try_divide(F.col("aggregated") - F.col("mean"), F.nullif("std_dev", F.lit(0.0))).alias("z"))
+    """(interval_idx, z)."""
+    return intervals.select("interval_idx", z_of().alias("z"))
 
 
 def ks_error(intervals: DataFrame) -> DataFrame:
-    """(interval_idx, ks): the one-sample Kolmogorov-Smirnov statistic of a single observation."""
-    phi = normal_cdf(F.col("z"))
-    return z_error(intervals).select("interval_idx", F.greatest(phi, 1 - phi).alias("ks"))
+    """(interval_idx, ks)."""
+    return z_error(intervals).select("interval_idx", ks_of(F.col("z")).alias("ks"))
 
 
 def metrics(intervals: DataFrame, start: float | None = None, end: float | None = None, step: float = 1.0) -> DataFrame:
-    """All distances and errors, one row an interval; without bounds over the spanning grid."""
+    """All distances and errors, one row an interval; without bounds over the spanning grid. The grid is made once: its two
+    densities are merged for the energy distance, and the pointwise distances read the rows of the first."""
+    plain = intervals.withColumn("z", z_of()).withColumn("ks", ks_of(F.col("z"))).select("interval_idx", "interval", "z", "ks")
     grid = spanning_grid(intervals, step) if start is None or end is None else density_grid(intervals, start, end, step)
-    return intervals.select("interval_idx", "interval").join(pointwise(grid), "interval_idx").join(energy(grid), "interval_idx").join(z_error(intervals), "interval_idx").join(ks_error(intervals), "interval_idx")
+    one = lambda v, s: F.struct(F.col(v).alias("v"), F.lit(s).alias("s"))
+    both = grid.withColumn("e", F.explode(F.array(one("p", 1), one("q", -1))))
+    order = Window.partitionBy("interval_idx").orderBy("e.v", "e.s")
+    both = both.withColumn("gap", F.coalesce(F.lead("e.v").over(order) - F.col("e.v"), F.lit(0.0))).withColumn("ahead", F.sum("e.s").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    first, n = F.col("e.s") == 1, F.count("*") / 2
+    area = math.sqrt(2) * F.sqrt(F.sum(F.col("ahead") * F.col("ahead") * F.col("gap")) / (n * n))
+    return both.groupBy("interval_idx").agg(*_pointwise(first), area.alias("energy")).join(plain, "interval_idx")
 
 
 def long_form(wide: DataFrame, *names: str) -> DataFrame:

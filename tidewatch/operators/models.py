@@ -6,22 +6,24 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.math import hashed
+from . import classify, confidence, distances
 
 
 class Metric(Protocol):
-    """A metric turns a dataset into a one-row or per-interval frame."""
+    """A metric turns the sets of predictions it is given, and parameters, into a frame with a row an interval or one row."""
 
-    def __call__(self, df: DataFrame, **params) -> DataFrame: ...
+    def __call__(self, sets: list[DataFrame], **params) -> DataFrame: ...
 
 
 METRICS: dict[str, Metric] = {}
+PREPARATIONS: dict[str, Callable[[DataFrame, dict], DataFrame]] = {}
 MODELS: dict[str, Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]] = {}
 
 
@@ -35,9 +37,76 @@ def registered(registry: dict, name: str):
     return add
 
 
-def calculate(df: DataFrame, configs: list[dict]) -> dict[str, DataFrame]:
-    """A frame per configured metric; unknown names are an error."""
-    return {c["name"]: METRICS[c["metric"]](df, **c.get("params", {})) for c in configs}
+@registered(METRICS, "atc")
+def _atc(sets: list[DataFrame], **params) -> DataFrame:
+    return confidence.metric(sets, params).select(F.col("accuracy").alias("overall"), F.create_map(F.lit("sliding_window"), F.col("sliding_window").cast("string")).alias("data"))
+
+
+@registered(METRICS, "accuracy")
+def _accuracy(sets: list[DataFrame], truth: str = "label", prediction: str = "prediction") -> DataFrame:
+    return classify.confusion(sets[0], truth, prediction).select(F.col("accuracy").alias("overall"))
+
+
+def _series(name: str):
+    """A metric of an interval series (interval_idx, interval, aggregated, mean, std_dev), a row an interval."""
+
+    def run(sets: list[DataFrame], range_start: float | None = None, range_end: float | None = None, range_step: float = 1.0) -> DataFrame:
+        out = distances.metrics(sets[0], range_start, range_end, range_step)
+        return out.select("interval_idx", F.col(name).alias("value"))
+
+    return run
+
+
+for _name in ("kl", "hellinger", "tvd", "wasserstein", "energy", "z", "ks"):
+    METRICS[_name] = _series(_name)
+
+
+@registered(PREPARATIONS, "confidences")
+def _confidences(df: DataFrame, params: dict) -> DataFrame:
+    """Side data with two JSON lists of confidences, a match and an error: the score of the largest ones as they stand, the
+    label by the error and the prediction by its percentile."""
+    top = confidence.top_confidences(F.col("Confidence"), F.col("Confidence Invalid"), int(params.get("top", 50)))
+    df = df.withColumn("score", confidence.entropy_score(top))
+    if "Meters_Error" not in df.columns:
+        return df
+    return confidence.predictions_by_error(confidence.labels_by_error(df, "Meters_Error", "Matched", params.get("distance_error_threshold")), "Meters_Error")
+
+
+def calculate(sets: list[DataFrame], configs: list[dict] | None) -> DataFrame:
+    """(name, metric, results: map of key to value, data: map) of configured metrics (name, metric_class, params with an
+    optional prep): overall of a one-row metric, an interval's index for each of a series. An unknown class and a metric
+    without a name are errors; a metric whose frame can't be planned is one too. Nothing configured gives no rows."""
+    schema = "name string, metric string, results map<string,double>, data map<string,string>"
+    spark, out = sets[0].sparkSession, None
+    for c in configs or []:
+        if not c.get("name"):
+            raise ValueError("a metric must have a name")
+        if c.get("metric_class") not in METRICS:
+            raise ValueError(f"unknown metric {c.get('metric_class')}; known are {sorted(METRICS)}")
+        params = dict(c.get("params", {}))
+        prep = params.pop("prep", None)
+        given = [PREPARATIONS[prep](df, params) for df in sets] if prep else sets
+        frame = METRICS[c["metric_class"]](given, **params)
+        data = F.col("data") if "data" in frame.columns else F.create_map().cast("map<string,string>")
+        if "overall" in frame.columns:
+            row = frame.select(F.create_map(F.lit("overall"), F.col("overall").cast("double")).alias("results"), data.alias("data"))
+        else:  # a row an interval: as many as the series is long
+            pair = F.struct(F.col("interval_idx").cast("string"), F.col("value").cast("double"))
+            row = frame.agg(F.map_from_entries(F.sort_array(F.collect_list(pair))).alias("results")).withColumn("data", F.create_map().cast("map<string,string>"))
+        row = row.select(F.lit(c["name"]).alias("name"), F.lit(c["metric_class"]).alias("metric"), "results", "data")
+        out = row if out is None else out.unionByName(row)
+    return out if out is not None else spark.createDataFrame([], schema)
+
+
+def with_time(run: Callable[[], DataFrame]) -> DataFrame:
+    """The rows of a frame of configured metrics, calculated now, with total_in_ms: how long that took for all of them."""
+    import time
+
+    began = time.perf_counter()
+    made = run()
+    rows = made.collect()  # a row a configured metric
+    taken = 1000 * (time.perf_counter() - began)
+    return made.sparkSession.createDataFrame(rows, made.schema).withColumn("total_in_ms", F.lit(taken))
 
 
 def split(id_col: str, validation_percent: float, seed: int = 42) -> Column:
@@ -71,3 +140,8 @@ def cross_validate(df: DataFrame, features: list[str], label: str, id_col: str,
         out = model.transform(marked.where(F.col("_fold") == k))
         scores.append(out.agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0])
     return scores
+
+
+def load_model(path: str):
+    """A model that train_logistic saved."""
+    return PipelineModel.load(path)

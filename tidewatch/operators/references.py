@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def reconstruct(refs: DataFrame, base: DataFrame, id_col: str, ts: str | None = None, order: str | None = None) -> DataFrame:
+def reconstruct(refs: DataFrame, base: DataFrame, id_col: str, ts: str | None = None, *, order: str) -> DataFrame:
     """base rows in the order of refs (pos, original_id, timestamp), each with its reference's timestamp. Of base rows
-    that share an id the first counts; a reference to none is an error."""
-    first = Window.partitionBy(id_col).orderBy(order or id_col)
+    that share an id the first in `order` counts; a reference to none is an error."""
+    first = Window.partitionBy(id_col).orderBy(order)
     once = base.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r").withColumn("_found", F.lit(True))
     kept = refs.select("pos", F.col("original_id").alias("_o"), F.col("timestamp").alias("_t"))
     out = kept.join(once, F.col("_o") == F.col(id_col), "left")

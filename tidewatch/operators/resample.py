@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.math import hashed
+from ..functions.math import hashed, permuted
 from .ordering import WIDTH, ranked
 
 
@@ -102,12 +102,16 @@ def shuffled(df: DataFrame, id_col: str, seed: int, key: str = "bin_idx", width:
     return ranked(rows, [key], F.floor(F.col("_h") / width), ["_h", id_col], "slot").drop("_h")
 
 
-def draw(draws: DataFrame, base: DataFrame, id_col: str) -> DataFrame:
+def draw(draws: DataFrame, base: DataFrame, id_col: str, seed: int | None = None) -> DataFrame:
     """draws (pos, sample_group_id, i, bin_idx) with the ids drawn: (pos, sample_group_id, bin_idx, original_id). base
-    has (bin_idx, slot, id). The k-th draw of a bin with n rows takes slot k mod n; an empty bin gives null."""
+    has (bin_idx, slot, id). The k-th draw of a bin with n rows takes slot k mod n, in the order of the slots; with a seed
+    each pass over the bin has an order of its own. An empty bin gives null."""
     taken = ranked(draws, ["bin_idx"], F.col("sample_group_id"), ["i"], "k")
     sizes = base.groupBy("bin_idx").agg(F.count("*").alias("n"))
     taken = taken.join(F.broadcast(sizes), "bin_idx", "left").withColumn("slot", F.expr("try_mod(k, n)"))
+    if seed is not None:
+        turn = permuted(F.col("slot"), F.col("n"), F.lit(seed), F.col("bin_idx"), F.expr("k div n"))
+        taken = taken.withColumn("slot", F.when(F.col("n") > 0, turn))
     out = taken.join(base.select("bin_idx", "slot", F.col(id_col).alias("original_id")), ["bin_idx", "slot"], "left")
     return out.select("pos", "sample_group_id", "bin_idx", "original_id")
 
@@ -141,3 +145,32 @@ def group_sizes(refs: DataFrame) -> DataFrame:
     """One row: num_groups and the size of the first group."""
     counts = refs.groupBy("sample_group_id").agg(F.count("*").alias("n"))
     return counts.agg(F.count("*").alias("num_groups"), F.min_by("n", "sample_group_id").alias("group_size"))
+
+
+#: Drift policies by name: functions of draws, the number of bins, the group size and parameters.
+POLICIES = {
+    "none": lambda draws, bins, size, p: policy_none(draws, bins),
+    "random": lambda draws, bins, size, p: policy_random(draws, bins, p.get("seed", 0)),
+    "math": lambda draws, bins, size, p: policy_math(draws, bins),
+    "prevalence": lambda draws, bins, size, p: policy_prevalence(draws, bins, size, p["targets"], p.get("seed", 0)),
+}
+
+
+def apply_drift(base: DataFrame, id_col: str, output: str, pos: str, params: Mapping) -> DataFrame:
+    """The references of a drifted dataset by configuration: submodule (a name in POLICIES), bins (name, value), bin_value,
+    max_num_samples, sample_group_size, seed; bin_shuffle and sample_group_shuffle default to true. Without a submodule,
+    or with an unknown one, it is an error."""
+    name = params.get("submodule")
+    if name not in POLICIES:
+        raise ValueError(f"unknown drift policy {name}; known are {sorted(POLICIES)}")
+    size, seed, spark = params.get("sample_group_size", 1), params.get("seed", 0), base.sparkSession
+    bins = list(params.get("bins", []))
+    kind = params.get("bin_value", "results")
+    table = bins_table(spark, bins)
+    value = all_or_results(kind, output)
+    rows = assign_bins(base, value, table)
+    mixed = params.get("bin_shuffle", True)
+    rows = shuffled(rows, id_col, seed) if mixed else numbered(rows, pos)
+    draws = POLICIES[name](schedule(spark, params.get("max_num_samples", 1), size), len(bins), size, params)
+    out = draw(draws, rows, id_col, seed if mixed else None)
+    return shuffled_groups(out, seed) if params.get("sample_group_shuffle", True) else out

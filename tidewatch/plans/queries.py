@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, math, pixels
@@ -19,7 +19,6 @@ ORACLES: dict[str, str] = {}
 
 START, THRESHOLD = 1704067200, 35.0  # 2024-01-01, near the median of events.value
 BINS = [("view", "view"), ("click", "click"), ("purchase", "purchase"), ("signup", "signup"), ("error", "error")]
-GRID = (0.0, 400.0)
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -86,9 +85,10 @@ def events_daily_agg(spark, sf_dir):
     return daily(spark, sf_dir)
 
 
-@query("with s as (select event_id // 500 as interval_idx, sum(value) as aggregated, count(*) as num_samples from events group by 1), g as (select unnest(generate_series(0, (select max(interval_idx) from s))) as interval_idx) select interval_idx, 1704067200 + interval_idx * 86400 as interval, round(coalesce(aggregated, 0), 4) as aggregated, coalesce(num_samples, 0) as num_samples from g left join s using (interval_idx)")
+@query("with r as (select value, row_number() over (order by event_id) - 1 as pos from events), s as (select pos // 500 as interval_idx, sum(value) as aggregated, count(*) as num_samples from r group by 1), g as (select unnest(generate_series(0, (select max(interval_idx) from s))) as interval_idx) select interval_idx, 1704067200 + interval_idx * 86400 as interval, round(coalesce(aggregated, 0), 4) as aggregated, coalesce(num_samples, 0) as num_samples from g left join s using (interval_idx)")
 def events_sample_buckets(spark, sf_dir):
-    return buckets.by_samples(table(spark, sf_dir, "events"), "event_id", "value", 500, "day", START).withColumn("aggregated", F.round("aggregated", 4))
+    rows = ordering.with_position(table(spark, sf_dir, "events"), "event_id")
+    return buckets.by_samples(rows, "pos", "value", 500, "day", START).withColumn("aggregated", F.round("aggregated", 4))
 
 
 @query(f"with {DAYS}, a as (select interval_idx, round(avg((truth = prediction)::int), 9) as accuracy from i group by 1) select g.interval_idx, accuracy from g left join a using (interval_idx)")
@@ -109,69 +109,44 @@ def drift_daily_ztest(spark, sf_dir):
     return days.select("interval_idx", "interval", "aggregated").join(distances.z_error(days), "interval_idx").withColumn("z", F.round("z", 6))
 
 
-GRIDDED = f"""{DAYS}, o as (select avg(aggregated) as m from fc),
-x as (select interval_idx, k::double as x, (k - m) / std_dev as zp, (k - mean) / std_dev as zq, std_dev from fc, o, (select unnest(generate_series(0, 399)) as k)),
+GRIDDED = f"""{DAYS}, o as (select avg(aggregated) as m, floor(least(min(mean - 6 * std_dev), avg(aggregated) - 6 * max(std_dev)))::bigint as low, ceil(greatest(max(mean + 6 * std_dev), avg(aggregated) + 6 * max(std_dev)))::bigint as high from fc),
+x as (select interval_idx, k::double as x, (k - m) / std_dev as zp, (k - mean) / std_dev as zq, std_dev from fc, o, (select unnest(generate_series((select low from o), (select high from o))) as k)),
 y as (select interval_idx, x, exp(-0.5 * zp * zp) / (std_dev * sqrt(2 * pi())) as p, exp(-0.5 * zq * zq) / (std_dev * sqrt(2 * pi())) as q, 0.5 * (zq * zq - zp * zp) as log_ratio from x)"""
 
 
-@query(f"with {GRIDDED} select interval_idx, x, round(p, 10) as p, round(q, 10) as q from y where x % 20 = 0")
+@query(f"with {GRIDDED} select interval_idx, x, round(p, 10) as p, round(q, 10) as q from y")
 def density_grid(spark, sf_dir):
-    grid = distances.density_grid(forecasts(spark, sf_dir), *GRID)
-    return grid.where(F.col("x") % 20 == 0).select("interval_idx", "x", F.round("p", 10).alias("p"), F.round("q", 10).alias("q"))
+    grid = distances.spanning_grid(forecasts(spark, sf_dir))
+    return grid.select("interval_idx", "x", F.round("p", 10).alias("p"), F.round("q", 10).alias("q"))
 
 
-# The queries over GRID see what lies in it and keep their SQL; those named _whole see all of both densities.
-SPANNED = GRIDDED.replace("o as (select avg(aggregated) as m from fc)", "o as (select avg(aggregated) as m, floor(least(min(mean - 6 * std_dev), avg(aggregated) - 6 * max(std_dev)))::bigint as low, ceil(greatest(max(mean + 6 * std_dev), avg(aggregated) + 6 * max(std_dev)))::bigint as high from fc)")
-SPANNED = SPANNED.replace("generate_series(0, 399)", "generate_series((select low from o), (select high from o))")
+POINTWISE = {
+    "kl": ("sum(case when p <> 0 then p * log_ratio / ln(2) else 0 end)", 6),
+    "hellinger": ("sqrt(sum(case when p <> 0 then (sqrt(p) - sqrt(q)) * (sqrt(p) - sqrt(q)) else 0 end)) / sqrt(2)", 6),
+    "tvd": ("avg(abs(p - q)) / 2", 10),
+    "wasserstein": ("avg(abs(p - q))", 10),
+}
 
 
 def _pointwise(name: str, sql: str, digits: int) -> None:
     def run(spark, sf_dir):
-        out = distances.pointwise(distances.density_grid(forecasts(spark, sf_dir), *GRID))
+        out = distances.pointwise(distances.spanning_grid(forecasts(spark, sf_dir)))
         return out.select("interval_idx", F.round(name, digits).alias(name))
 
     run.__name__ = f"{name}_daily"
     query(f"with {GRIDDED} select interval_idx, round({sql}, {digits}) as {name} from y group by 1")(run)
 
-    def whole(spark, sf_dir):
-        out = distances.pointwise(distances.spanning_grid(forecasts(spark, sf_dir)))
-        return out.select("interval_idx", F.round(name, digits).alias(name))
-
-    whole.__name__ = f"{name}_daily_whole"
-    query(f"with {SPANNED} select interval_idx, round({sql}, {digits}) as {name} from y group by 1")(whole)
 
+for _name, (_sql, _digits) in POINTWISE.items():
+    _pointwise(_name, _sql, _digits)
 
-_pointwise("kl", "sum(case when p <> 0 then p * log_ratio / ln(2) else 0 end)", 6)
-_pointwise("hellinger", "sqrt(sum(case when p <> 0 then (sqrt(p) - sqrt(q)) * (sqrt(p) - sqrt(q)) else 0 end)) / sqrt(2)", 6)
-_pointwise("tvd", "avg(abs(p - q)) / 2", 10)
-_pointwise("wasserstein", "avg(abs(p - q))", 10)
+ENERGY = """b as (select interval_idx, p as v, 1 as s from y union all select interval_idx, q, -1 from y),
+c as (select interval_idx, lead(v) over w - v as gap, sum(s) over (w rows between unbounded preceding and current row) as ahead from b window w as (partition by interval_idx order by v, s)),
+en as (select interval_idx, round(sqrt(2) * sqrt(sum(ahead * ahead * coalesce(gap, 0)) / ((count(*) / 2.0) * (count(*) / 2.0))), 7) as energy from c group by 1)"""
 
 
-@query(
-    f"""with {GRIDDED.replace("generate_series(0, 399)", "generate_series(0, 149)")},
-b as (select interval_idx, p as v, 1 as s from y union all select interval_idx, q, -1 from y),
-c as (select interval_idx, lead(v) over w - v as gap, sum(s) over (w rows between unbounded preceding and current row) as ahead from b window w as (partition by interval_idx order by v, s))
-select interval_idx, round(sqrt(2) * sqrt(sum(ahead * ahead * coalesce(gap, 0)) / ((count(*) / 2.0) * (count(*) / 2.0))), 7) as energy from c group by 1"""
-)
+@query(f"with {GRIDDED}, {ENERGY} select interval_idx, energy from en")
 def energy_daily(spark, sf_dir):
-    grid = distances.density_grid(forecasts(spark, sf_dir), 0.0, 150.0)
-    return distances.energy(grid).withColumn("energy", F.round("energy", 7))
-
-
-@query(f"with {SPANNED} select interval_idx, x, round(p, 10) as p, round(q, 10) as q from y")
-def density_grid_whole(spark, sf_dir):
-    """Every point of the spanning grid; the SQL of density_grid holds every twentieth of GRID."""
-    grid = distances.spanning_grid(forecasts(spark, sf_dir))
-    return grid.select("interval_idx", "x", F.round("p", 10).alias("p"), F.round("q", 10).alias("q"))
-
-
-@query(
-    f"""with {SPANNED},
-b as (select interval_idx, p as v, 1 as s from y union all select interval_idx, q, -1 from y),
-c as (select interval_idx, lead(v) over w - v as gap, sum(s) over (w rows between unbounded preceding and current row) as ahead from b window w as (partition by interval_idx order by v, s))
-select interval_idx, round(sqrt(2) * sqrt(sum(ahead * ahead * coalesce(gap, 0)) / ((count(*) / 2.0) * (count(*) / 2.0))), 7) as energy from c group by 1"""
-)
-def energy_daily_whole(spark, sf_dir):
     return distances.energy(distances.spanning_grid(forecasts(spark, sf_dir))).withColumn("energy", F.round("energy", 7))
 
 
@@ -184,24 +159,40 @@ def ks_daily(spark, sf_dir):
     return distances.ks_error(forecasts(spark, sf_dir)).withColumn("ks", F.round("ks", 6))
 
 
-@query()
+@query(
+    f"""with {GRIDDED}, {ENERGY}, pw as (select interval_idx, {", ".join(f"round({e}, {d}) as {n}" for n, (e, d) in POINTWISE.items())} from y group by 1),
+z as (select interval_idx, interval, (aggregated - mean) / nullif(std_dev, 0) as z from fc), e as (select *, abs(z) / sqrt(2) as x, 1 / (1 + 0.3275911::double * (abs(z) / sqrt(2))) as t from z),
+zk as (select interval_idx, interval, round(z, 6) as z, round(greatest(0.5 * (1 + {PHI}), 1 - 0.5 * (1 + {PHI})), 6) as ks from e),
+a as (select interval_idx, round(avg((truth = prediction)::int), 9) as accuracy from i group by 1)
+select * from pw join en using (interval_idx) join zk using (interval_idx) left join a using (interval_idx)"""
+)
 def ts_metrics(spark, sf_dir):
     """Every metric and the accuracy of each interval in one frame."""
     days = distances.metrics(forecasts(spark, sf_dir))
-    return days.join(events_daily_accuracy(spark, sf_dir), "interval_idx")
+    digits = {**{n: d for n, (_, d) in POINTWISE.items()}, "energy": 7, "z": 6, "ks": 6}
+    days = days.withColumns({n: F.round(n, d) for n, d in digits.items()})
+    rows = buckets.indexed(predictions(spark, sf_dir), "ts", "day")
+    right = classify.confusion(rows, "truth", "prediction", "interval_idx").select("interval_idx", F.round("accuracy", 9).alias("accuracy"))
+    return days.join(right, "interval_idx", "left")
 
 
 # confidence
 
 
+def probabilities() -> Column:
+    """Ten class probabilities: the softmax of ten sums of an embedding's components, by their place modulo ten."""
+    e = F.col("embedding").cast("array<double>")
+    own = lambda k: F.filter(e, lambda x, i: i % 10 == k)
+    return classify.softmax(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.aggregate(own(k), F.lit(0.0), lambda a, x: a + x)))
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(vec_id, label, prediction, probs, score) of embeddings: the softmax of the first ten components."""
-    rows = table(spark, sf_dir, "embeddings")
-    rows = rows.withColumn("probs", classify.softmax(F.slice(F.col("embedding").cast("array<double>"), 1, 10)))
+    """(vec_id, label, prediction, probs, score) of embeddings."""
+    rows = table(spark, sf_dir, "embeddings").withColumn("probs", probabilities())
     return rows.select("vec_id", "label", classify.arg_max(F.col("probs")).alias("prediction"), "probs", confidence.entropy_score(F.col("probs")).alias("score"))
 
 
-PROBS = """e as (select vec_id, label, list_transform(embedding[1:10], lambda x: exp(x::double)) as e from embeddings),
+PROBS = """e as (select vec_id, label, list_transform(generate_series(0, 9), lambda k: exp(list_sum(list_transform(generate_series(k + 1, len(embedding), 10), lambda i: embedding[i]::double)))) as e from embeddings),
 b as (select vec_id, label, list_transform(e, lambda x: x / list_sum(e)) as probs from e),
 s as (select vec_id, label, list_position(probs, list_max(probs)) - 1 as prediction, probs, list_sum(list_transform(probs, lambda x: x * ln(x + 1e-20))) as score from b)"""
 THR = "t as (select coalesce((select score from (select score, row_number() over (order by score) as r from s where score <> 0) where r = (select count(*) from s where score <> 0 and label <> prediction)), 0) as thr)"
@@ -217,38 +208,59 @@ def emb_max_confidence(spark, sf_dir):
     return scored(spark, sf_dir).select("vec_id", "prediction", F.round(confidence.max_confidence(F.col("probs")), 9).alias("confidence"))
 
 
-@query("with t as (select vec_id, list_sort(list_transform(embedding, lambda x: abs(x::double)), 'DESC')[1:5] as v from embeddings) select vec_id, round(v[1], 6) as first, round(v[5], 6) as fifth from t")
+@query("with t as (select vec_id, list_sort(list_transform(embedding, lambda x: abs(x::double)), 'DESC')[1:5] as v from embeddings) select vec_id, unnest([1, 2, 3, 4, 5]) as place, round(unnest(v), 6) as confidence from t")
 def emb_top_confidences(spark, sf_dir):
     size = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.abs(x))
     half = lambda k: F.to_json(F.filter(size, lambda x, i: i % 2 == k))
     rows = table(spark, sf_dir, "embeddings").select("vec_id", confidence.top_confidences(half(0), half(1), 5).alias("v"))
-    return rows.select("vec_id", F.round(F.col("v")[0], 6).alias("first"), F.round(F.col("v")[4], 6).alias("fifth"))
+    return rows.select("vec_id", F.posexplode("v").alias("i", "x")).select("vec_id", (F.col("i") + 1).alias("place"), F.round("x", 6).alias("confidence"))
 
 
 @query(f"with {PROBS}, {THR} select round(thr, 9) as threshold from t")
 def atc_threshold(spark, sf_dir):
-    return spark.createDataFrame([(confidence.threshold(scored(spark, sf_dir)),)], "threshold double").select(F.round("threshold", 9).alias("threshold"))
+    return confidence.threshold(scored(spark, sf_dir)).select(F.round("threshold", 9).alias("threshold"))
 
 
 @query(f"with {PROBS}, {THR} select round(avg(case when score >= thr then 100.0 else 0 end), 6) as accuracy from s, t where score <> 0")
 def atc_accuracy(spark, sf_dir):
-    rows = scored(spark, sf_dir)
-    return confidence.accuracy(rows, F.lit(confidence.threshold(rows))).select(F.round("accuracy", 6).alias("accuracy"))
+    return confidence.metric([scored(spark, sf_dir)]).select(F.round("accuracy", 6).alias("accuracy"))
 
 
-@query(f"""with {PROBS.replace("from embeddings)", "from embeddings)", 1)}, r as (select * from s where vec_id % 2 = 0),
+@query(f"""with {PROBS}, r as (select * from s where vec_id % 2 = 0),
 t as (select coalesce((select score from (select score, row_number() over (order by score) as n from r where score <> 0) where n = (select count(*) from r where score <> 0 and label <> prediction)), 0) as thr)
 select round(avg(case when score >= thr then 100.0 else 0 end), 6) as accuracy from s, t where score <> 0 and vec_id % 2 = 1""")
 def atc_ref_target(spark, sf_dir):
     rows = scored(spark, sf_dir)
-    limit = confidence.threshold(rows.where(F.col("vec_id") % 2 == 0))
-    return confidence.accuracy(rows.where(F.col("vec_id") % 2 == 1), F.lit(limit)).select(F.round("accuracy", 6).alias("accuracy"))
+    sets = [rows.where(F.col("vec_id") % 2 == 0), rows.where(F.col("vec_id") % 2 == 1)]
+    return confidence.metric(sets).select(F.round("accuracy", 6).alias("accuracy"))
+
 
+@query(f"""with {PROBS}, {THR} select 'atc' as name, 'overall' as key, round(avg(case when score >= thr then 100.0 else 0 end), 6) as value from s, t where score <> 0
+union all select 'atc-set', 'overall', round(avg(case when score >= -2.2 then 100.0 else 0 end), 6) from s where score <> 0
+union all select 'right', 'overall', round(avg((label = prediction)::int), 6) from s""")
+def configured_metrics(spark, sf_dir):
+    """Metrics by configuration, in one frame."""
+    configs = [
+        {"name": "atc", "metric_class": "atc"},
+        {"name": "atc-set", "metric_class": "atc", "params": {"average_atc_threshold": -2.2}},
+        {"name": "right", "metric_class": "accuracy"},
+    ]
+    out = models.calculate([scored(spark, sf_dir)], configs)
+    return out.select("name", F.explode("results").alias("key", "value")).withColumn("value", F.round("value", 6))
 
-@query(f"""with {PROBS}, w as (select vec_id, avg(case when score <> 0 then case when score >= -2.29 then 100.0 else 0 end end) over o as accuracy, count(*) over o as n from s window o as (order by vec_id rows between 6 preceding and current row))
+
+@query(f"with {GRIDDED} select interval_idx::varchar as key, round({POINTWISE['kl'][0]}, 6) as value from y group by 1")
+def configured_series(spark, sf_dir):
+    """A time-series metric by configuration."""
+    out = models.calculate([forecasts(spark, sf_dir)], [{"name": "drift", "metric_class": "kl"}])
+    return out.select(F.explode("results").alias("key", "value")).withColumn("value", F.round("value", 6))
+
+
+@query(f"""with {PROBS}, w as (select vec_id, avg(case when score <> 0 then case when score >= -2.2 then 100.0 else 0 end end) over o as accuracy, count(*) over o as n from s window o as (order by vec_id rows between 6 preceding and current row))
 select vec_id, round(accuracy, 6) as accuracy from w where n = 7""")
 def atc_window7(spark, sf_dir):
-    rows = confidence.windowed_accuracy(scored(spark, sf_dir).select("vec_id", "score"), F.lit(-2.29), 7, pos="vec_id")
+    rows = ordering.with_position(scored(spark, sf_dir).select("vec_id", "score"), "vec_id")
+    rows = confidence.windowed_accuracy(rows, F.lit(-2.2), 7)
     return rows.select("vec_id", F.round("accuracy", 6).alias("accuracy"))
 
 
@@ -261,8 +273,8 @@ def error_percentile_labels(spark, sf_dir):
 
 # resampling
 
-GROUPS, SIZE = 20, 100
-DRAWS = "d as (select k as pos, k // 100 as sample_group_id, k % 100 as i from (select unnest(generate_series(0, 1999)) as k))"
+SIZE = 100  # samples a group; there are as many draws as events, in whole groups
+DRAWS = "d as (select k as pos, k // 100 as sample_group_id, k % 100 as i from (select unnest(generate_series(0, (select ceil(count(*) / 100.0)::bigint * 100 - 1 from events))) as k))"
 BASE = "b as (select event_id, case event_type when 'view' then 0 when 'click' then 1 when 'purchase' then 2 when 'signup' then 3 when 'error' then 4 end as bin_idx, row_number() over (partition by event_type order by event_id) - 1 as slot from events where event_type in ('view', 'click', 'purchase', 'signup', 'error'))"
 DRAWN = "n as (select bin_idx, count(*) as n from b group by 1), k as (select *, row_number() over (partition by bin_idx order by pos) - 1 as k from a), r as (select pos, sample_group_id, k.bin_idx, event_id as original_id from k left join n on k.bin_idx = n.bin_idx left join b on b.bin_idx = k.bin_idx and b.slot = k.k % n.n)"
 HASH = "(('0x' || substr(md5('0:' || pos), 1, 8))::bigint)"
@@ -274,41 +286,45 @@ def base_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.numbered(binned, "event_id")
 
 
+def schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.schedule(spark, table(spark, sf_dir, "events").count(), SIZE)
+
+
 def drawn(spark: SparkSession, sf_dir: str, draws: DataFrame) -> DataFrame:
     return resample.draw(draws, base_bins(spark, sf_dir), "event_id")
 
 
 @query(f"with {DRAWS}, {BASE}, a as (select *, sample_group_id % 5 as bin_idx from d), {DRAWN} select pos, sample_group_id, bin_idx::int as bin_idx, original_id from r")
 def drift_none(spark, sf_dir):
-    return drawn(spark, sf_dir, resample.policy_none(resample.schedule(spark, GROUPS * SIZE, SIZE), len(BINS)))
+    return drawn(spark, sf_dir, resample.policy_none(schedule(spark, sf_dir), len(BINS)))
 
 
 @query(f"with {DRAWS}, {BASE}, a as (select *, (sample_group_id + case when floor(sin(i)) = 0 then 0 else 1 end) % 5 as bin_idx from d), {DRAWN} select pos, sample_group_id, bin_idx::int as bin_idx, original_id from r")
 def drift_math(spark, sf_dir):
-    return drawn(spark, sf_dir, resample.policy_math(resample.schedule(spark, GROUPS * SIZE, SIZE), len(BINS)))
+    return drawn(spark, sf_dir, resample.policy_math(schedule(spark, sf_dir), len(BINS)))
 
 
 @query(f"with {DRAWS}, {BASE}, a as (select *, {HASH} % 5 as bin_idx from d), {DRAWN} select pos, sample_group_id, bin_idx::int as bin_idx, original_id from r")
 def drift_random(spark, sf_dir):
-    return drawn(spark, sf_dir, resample.policy_random(resample.schedule(spark, GROUPS * SIZE, SIZE), len(BINS)))
+    return drawn(spark, sf_dir, resample.policy_random(schedule(spark, sf_dir), len(BINS)))
 
 
 PREV = {0: [10, 20, 35], 2: [5, 40]}
 PREVALENCE = f"a as (select *, case when i < [10, 20, 35][sample_group_id % 3 + 1] then 0 when i < [10, 20, 35][sample_group_id % 3 + 1] + [5, 40][sample_group_id % 2 + 1] then 2 else [1, 3, 4][{HASH} % 3 + 1] end as bin_idx from d)"
 
 
-def prevalence_draws(spark: SparkSession) -> DataFrame:
-    return resample.policy_prevalence(resample.schedule(spark, GROUPS * SIZE, SIZE), len(BINS), SIZE, PREV)
+def prevalence_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.policy_prevalence(schedule(spark, sf_dir), len(BINS), SIZE, PREV)
 
 
 @query(f"with {DRAWS}, {BASE}, {PREVALENCE}, {DRAWN} select pos, sample_group_id, bin_idx::int as bin_idx, original_id from r")
 def drift_prevalence(spark, sf_dir):
-    return drawn(spark, sf_dir, prevalence_draws(spark))
+    return drawn(spark, sf_dir, prevalence_draws(spark, sf_dir))
 
 
 @query(f"with {DRAWS}, {BASE}, {PREVALENCE} select sample_group_id, bin_idx::int as bin_idx, round(100.0 * count(*) / 100, 2)::double as percent from a group by 1, 2")
 def prevalence_check(spark, sf_dir):
-    return resample.prevalence(prevalence_draws(spark), "pos", SIZE, "bin_idx")
+    return resample.prevalence(prevalence_draws(spark, sf_dir), "pos", SIZE, "bin_idx")
 
 
 @query(f"with {DRAWS}, {BASE}, a as (select *, sample_group_id % 5 as bin_idx from d), {DRAWN} select substr(sha256('7:' || pos), 1, 20) as id, 1704067200 + pos * 3600 as timestamp, original_id, sample_group_id from r")
@@ -321,12 +337,19 @@ def drift_references(spark, sf_dir):
 def ref_reconstruct(spark, sf_dir):
     refs = resample.reference_rows(resample.timestamps(drift_none(spark, sf_dir), START, 3600))
     base = table(spark, sf_dir, "events").select("event_id", "event_type", "value", F.lit(0).cast("long").alias("stamp"))
-    return references.reconstruct(refs, base, "event_id", "stamp", "event_id")
+    return references.reconstruct(refs, base, "event_id", "stamp", order="event_id")
+
 
+@query(f"with {DRAWS}, {BASE}, {PREVALENCE}, {DRAWN} select pos, sample_group_id, bin_idx::int as bin_idx, original_id from r")
+def configured_drift(spark, sf_dir):
+    """A drift by configuration, without its shuffles."""
+    params = {"submodule": "prevalence", "bins": BINS, "max_num_samples": table(spark, sf_dir, "events").count(), "sample_group_size": SIZE, "targets": PREV, "bin_shuffle": False, "sample_group_shuffle": False}
+    return resample.apply_drift(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id", "event_type", "event_id", params)
 
-@query("select 20::bigint as num_groups, 100::bigint as group_size")
+
+@query(f"with {DRAWS} select count(distinct sample_group_id) as num_groups, count(*) filter (sample_group_id = 0) as group_size from d")
 def group_sizes(spark, sf_dir):
-    return resample.group_sizes(resample.schedule(spark, GROUPS * SIZE, SIZE))
+    return resample.group_sizes(schedule(spark, sf_dir))
 
 
 @query("with o as (select o_orderkey, o_orderstatus, row_number() over (partition by o_orderstatus order by o_orderkey) - 1 as slot from orders) select o_orderkey, case o_orderstatus when 'O' then 0 else 1 end as bin_idx, slot from o where o_orderstatus in ('O', 'F')")
@@ -375,8 +398,7 @@ def dense_positions(spark, sf_dir):
 @query("select percentile_disc(0.5) within group (order by o_totalprice) as middle from orders")
 def order_statistic(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(F.col("o_totalprice").alias("v"))
-    n = (rows.count() + 1) // 2
-    return spark.createDataFrame([(ordering.nth_smallest(rows, "v", n),)], "middle double")
+    return ordering.nth_smallest(rows, "v", F.ceil(F.count("v") / 2)).withColumnRenamed("value", "middle")
 
 
 # experiments and alerts: a run is a day, a drift case an event type
@@ -488,23 +510,14 @@ def map_resolution(spark, sf_dir):
     return rows.select("event_id", F.round(geo.ground_resolution(F.col("lat"), F.col("z")), 4).alias("resolution"), F.round(geo.map_scale(F.col("lat"), F.col("z"), 96), 2).alias("scale"))
 
 
-@query(f"with {GEO} select event_id, 'https://mt.google.com/vt/lyrs=s&x=' || tx || '&y=' || ty || '&z=' || z as url from t")
+@query(f"with {GEO} select event_id, 'https://server.arcgisonline.com/ArcGIS/rest/services/World_Imagery/MapServer/tile/' || z || '/' || ty || '/' || tx as arcgis, 'https://mt1.google.com/vt/lyrs=s&x=' || tx || '&y=' || ty || '&z=' || z as google, 'http://ecn.t1.tiles.virtualearth.net/tiles/a' || array_to_string(list_transform(generate_series(z, 1, -1), lambda i: ((tx >> (i - 1)) & 1) + 2 * ((ty >> (i - 1)) & 1)), '') || '.png?g=441&mkt=en-us&n=z' as bing from t")
 def tile_urls(spark, sf_dir):
-    return located(spark, sf_dir).select("event_id", geo.tile_url("google", F.col("tx"), F.col("ty"), F.col("z")).alias("url"))
-
-
-@query(f"with {GEO}, o as (select unnest([-1, 0, 1]) as d) select event_id, tx + a.d as tx, ty + b.d as ty from t, o a, o b where event_id < 500")
-def tile_neighbours(spark, sf_dir):
-    around = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)).alias(c)
-    rows = located(spark, sf_dir).where("event_id < 500")
-    return rows.select("event_id", around("tx"), "ty").select("event_id", "tx", around("ty"))
+    return located(spark, sf_dir).select("event_id", *(geo.tile_url(p, F.col("tx"), F.col("ty"), F.col("z")).alias(p) for p in ("arcgis", "google", "bing")))
 
 
 @query(f"with {GEO}, o as (select unnest([-1, 0, 1]) as d) select event_id, tx + a.d as tx, ty + b.d as ty from t, o a, o b")
-def tile_neighbours_whole(spark, sf_dir):
-    """The neighbours of every event; the SQL of tile_neighbours holds those below id 500."""
-    around = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)).alias(c)
-    return located(spark, sf_dir).select("event_id", around("tx"), "ty").select("event_id", "tx", around("ty"))
+def tile_neighbours(spark, sf_dir):
+    return geo.neighbours(located(spark, sf_dir).select("event_id", "tx", "ty"))
 
 
 @query("with g as (select event_id, (event_id * 37) % 160 - 80 + (event_id % 97) / 97.0::double as lat from events), w as (select event_id, lat, round(abs(lat) * 360000)::bigint as w from g) select event_id, w // 360000 as degrees, w // 6000 % 60 as minutes, w % 6000 as centiseconds, case when lat < 0 then 'S' else 'N' end as ref, round(case when lat < 0 then -1 else 1 end * (w / 360000.0::double), 8) as back from w")
@@ -544,34 +557,73 @@ def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.col("embedding").cast("array<double>"), level).alias("px"))
 
 
-def _summed(rows: DataFrame, digits: int = 4) -> DataFrame:
-    total = F.aggregate("px", F.lit(0.0), lambda a, x: a + x)
-    return rows.select("vec_id", F.round(total, digits).alias("total"), F.round(F.col("px")[0], digits).alias("first"))
+def _whole(rows: DataFrame, digits: int = 6, *keys: str) -> DataFrame:
+    """A row a pixel."""
+    return rows.select("vec_id", *keys, F.posexplode("px").alias("i", "pixel")).withColumn("pixel", F.round(F.col("pixel").cast("double"), digits))
+
 
+EACH = "unnest(generate_series(0, 63))::int as i, round(unnest(px)::double, 6) as pixel"
 
-@query(f"with {PIXELS}, y as (select vec_id, list_transform(px, lambda v: least(greatest(255 * 0.8::double * 0.4::double + v * (1 - 0.4::double), 0), 255)) as px from x) select vec_id, round(list_sum(px), 4) as total, round(px[1], 4) as first from y")
+
+@query(f"with {PIXELS}, y as (select vec_id, list_transform(px, lambda v: least(greatest(255 * 0.8::double * 0.4::double + v * (1 - 0.4::double), 0), 255)) as px from x) select vec_id, {EACH} from y")
 def fog_blend(spark, sf_dir):
-    return _summed(pictures(spark, sf_dir).withColumn("px", pixels.fog(F.col("px"), 0.8, 0.4)))
+    return _whole(pictures(spark, sf_dir).withColumn("px", pixels.fog(F.col("px"), 0.8, 0.4)))
+
+
+@query(f"with {PIXELS}, y as (select vec_id, list_transform(generate_series(1, 64), lambda i: least(greatest(255 * 0.3::double * 0.5::double + px[i] * 0.5::double + (px[65 - i] / 127.5::double - 1) * (255 * 0.2::double), 0), 255)) as px from x) select vec_id, {EACH} from y")
+def fog_noise(spark, sf_dir):
+    noise = F.transform(F.reverse("px"), lambda v: v / 127.5 - 1)
+    return _whole(pictures(spark, sf_dir).withColumn("px", pixels.fog(F.col("px"), 0.3, 0.5, noise, 0.2)))
+
+
+@query(f"with {PIXELS}, y as (select vec_id, list_transform(px, lambda v: 255 * 0.3::double * 0.5::double + v * 0.5::double) as px from x) select vec_id, {EACH} from y")
+def configured_picture_drift(spark, sf_dir):
+    """An image drift by name, with default parameters."""
+    return _whole(pictures(spark, sf_dir).withColumn("px", pixels.drift("fog", F.col("px"), 0, 8, 8)))
 
 
 @query(f"""with {PIXELS}, y as (select vec_id, list_transform(generate_series(1, 64), lambda i: case when (i - 20 - 10) / 20.0::double < 0 then 90 when (i - 20 - 10) / 20.0::double > 1 then px[i] else floor(90 + (i - 20 - 10) / 20.0::double * (px[i] - 90)) end) as px from x)
-select vec_id, list_sum(px)::double as total, px[35]::double as mid from y""")
+select vec_id, {EACH} from y""")
 def flood_blend(spark, sf_dir):
     rows = pictures(spark, sf_dir)
     heights = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: i.cast("double"))
-    rows = rows.withColumn("px", pixels.flood(F.array_repeat(F.lit(90.0), 64), F.col("px"), heights, 20, 10).cast("array<double>"))
-    return rows.select("vec_id", F.aggregate("px", F.lit(0.0), lambda a, x: a + x).alias("total"), F.col("px")[34].alias("mid"))
+    return _whole(rows.withColumn("px", pixels.flood(F.array_repeat(F.lit(90.0), 64), F.col("px"), heights, 20, 10)))
 
 
-@query(f"""with {PIXELS}, d as (select exp(-(3.912::double / 450 * (32.2::double * 100 / 98.2::double) + 3.912::double / 300 * (36.0::double * 100 / 98.2::double))) as t), y as (select vec_id, list_transform(px, lambda v: v * t + (1 - t) * 201) as px from x, d)
-select vec_id, round(list_sum(px), 4) as total, round(px[1], 4) as first from y""")
+# 3.912 / visibility is the rate a metre; the ray rises 98.2 m from the camera at 1.8 m, over 100 m
+@query(f"""with {PIXELS}, c as (select unnest([0, 1, 2]) as channel, unnest([225, 225, 201]) as air),
+y as (select vec_id, channel, list_transform(generate_series(1, 64), lambda i: px[i] * exp(-(3.912::double / 450 * ((34 - 1.8::double) * 100 / 98.2::double) + 3.912::double / 450 * px[65 - i] / 255 * (36.0::double * 100 / 98.2::double)))
+  + (1 - exp(-(3.912::double / 450 * ((34 - 1.8::double) * 100 / 98.2::double) + 3.912::double / 450 * px[65 - i] / 255 * (36.0::double * 100 / 98.2::double)))) * air) as px from x, c)
+select vec_id, channel, {EACH} from y""")
 def haze_layers(spark, sf_dir):
-    return _summed(pictures(spark, sf_dir).withColumn("px", pixels.haze(F.col("px"), 2, 450.0, 300.0)))
-
-
-@query()
+    """Three channels of the default scene, with a noise array: the picture's own pixels in reverse."""
+    rows, noise = pictures(spark, sf_dir), F.reverse("px")
+    made = F.array(*(F.struct(F.lit(c).alias("channel"), pixels.haze(F.col("px"), c, perlin=noise).alias("px")) for c in range(3)))
+    return _whole(rows.select("vec_id", F.inline(made)), 6, "channel")
+
+
+@query(f"""with {PIXELS}, l as (select 'haze only' as layout, 3.912::double / 450 * (32.2::double * 100 / 98.2::double) + 3.912::double / 12 * (66.0::double * 100 / 98.2::double) as a
+  union all select 'fog below haze', 3.912::double / 450 * (30.0::double * 100 / 98.2::double) + 3.912::double / 12 * (18.2::double * 100 / 98.2::double)
+  union all select 'point in the fog', 3.912::double / 450 * (32.2::double * 50 / 48.2::double) + (3.912::double / 12 * (1 - 50 / 70.00001::double) + 3.912::double / 450 * (50 / 70.00001::double)) * (16.0::double * 50 / 48.2::double)),
+y as (select vec_id, layout, list_transform(px, lambda v: v * exp(-a) + (1 - exp(-a)) * 201) as px from x, l) select vec_id, layout, {EACH} from y""")
+def haze_layouts(spark, sf_dir):
+    """Scenes without fog, with the fog below the haze, and of a point inside the fog."""
+    px = F.col("px")
+    scenes = {
+        "haze only": pixels.haze(px, 2, fog_top=0.0),
+        "fog below haze": pixels.haze(px, 2, fog_top=20.0, haze_top=50.0),
+        "point in the fog": pixels.haze(px, 2, elevation=50.0, distance=50.0),
+    }
+    made = F.array(*(F.struct(F.lit(n).alias("layout"), c.alias("px")) for n, c in scenes.items()))
+    return _whole(pictures(spark, sf_dir).select("vec_id", F.inline(made)), 6, "layout")
+
+
+@query(f"""with {PIXELS}, i as (select unnest(generate_series(0, 63)) as i), d as (select unnest([-1, 0, 1]) as d),
+n as (select i, abs(i // 8 + a.d) as r, abs(i % 8 + b.d) as c, case when a.d = 0 and b.d = 0 then 1.0 else 0.5 end / 5.0::double as w from i, d a, d b),
+m as (select i, case when r > 7 then 14 - r else r end * 8 + case when c > 7 then 14 - c else c end + 1 as place, w from n)
+select vec_id, i::int as i, round(sum(px[place] * w), 6) as pixel from x, m group by vec_id, i""")
 def fog_blur(spark, sf_dir):
-    return _summed(pictures(spark, sf_dir).withColumn("px", pixels.blur(F.col("px"), 8, 8, 2, 0.5)))
+    return _whole(pictures(spark, sf_dir).withColumn("px", pixels.blur(F.col("px"), 8, 8, 2, 0.5)))
 
 
 @query(f"""with {PIXELS}, i as (select unnest(generate_series(0, 63)) as i)
@@ -589,30 +641,22 @@ def drifted_names(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", pixels.drifted_name(F.col("vec_id"), stem).alias("name"))
 
 
-@query("select vec_id, round(list_sum(list_transform(generate_series(1, 32), lambda i: (embedding[i]::double + embedding[i + 32]::double) / 2)), 6) as total from embeddings")
+@query("select vec_id, unnest(generate_series(0, 31))::int as i, round(unnest(list_transform(generate_series(1, 32), lambda i: (embedding[i]::double + embedding[i + 32]::double) / 2)), 6) as pixel from embeddings")
 def band_average(spark, sf_dir):
     e = F.col("embedding").cast("array<double>")
     rows = table(spark, sf_dir, "embeddings").select("vec_id", pixels.average_band(F.slice(e, 1, 32), F.slice(e, 33, 32)).alias("px"))
-    return rows.select("vec_id", F.round(F.aggregate("px", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+    return _whole(rows)
 
 
 @query("select page_id as id, url as image_path, 'web' as kind from pages where regexp_matches(url, '(?i)\\.(html)$')")
 def image_scan(spark, sf_dir):
-    rows = datasets.image_paths(table(spark, sf_dir, "pages").select("page_id", "url"), [".HTML"], {"kind": "web"}, "url").select("image_path", "kind")
-    ids = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("image_path"))
-    return ids.join(rows.distinct(), "image_path").select("id", "image_path", "kind")
-
-
-@query("with t as (select unnest(generate_series(0, 119)) as k) select 'img' || k || '.png' as name, row_number() over (order by k) as place from t")
-def natural_order(spark, sf_dir):
-    names = spark.range(120).select(F.format_string("img%d.png", "id").alias("name"))
-    return names.withColumn("place", F.row_number().over(Window.orderBy(datasets.natural_key(F.col("name")))).cast("long"))
+    rows = datasets.image_paths(table(spark, sf_dir, "pages").select("page_id", "url"), [".HTML"], {"kind": "web"}, "url", id_col="page_id")
+    return rows.select("id", "image_path", "kind")
 
 
 @query("""with k as (select page_id, url, array_to_string(list_transform(regexp_extract_all(url, '[0-9]+|[^0-9]+'), lambda p: case when regexp_matches(p, '^[0-9]') then lpad(p, 20, '0') else p end), '') as key from pages)
 select page_id, url, row_number() over (order by key, page_id) as place from k""")
-def natural_order_whole(spark, sf_dir):
-    """The natural order of a whole table's names; natural_order and its SQL have 120 made ones."""
+def natural_order(spark, sf_dir):
     names = table(spark, sf_dir, "pages").select("page_id", "url", datasets.natural_key(F.col("url")).alias("key"))
     order = ["key", "page_id"]
     rows = ordering.ranked(names, [], ordering.range_bucket(names, order), order)
@@ -654,9 +698,8 @@ def stream_monitor(spark, sf_dir):
     place = f"{sf_dir}/embeddings.parquet"
     # a pattern, as the source takes a folder or a pattern but no single file
     stream = spark.readStream.schema(spark.read.parquet(place).schema).parquet(place.replace(".parquet", "[.]parquet"))
-    probs = classify.softmax(F.slice(F.col("embedding").cast("array<double>"), 1, 10))
-    scores = stream.select((F.col("vec_id") % 10).alias("key"), F.col("vec_id").alias("pos"), confidence.entropy_score(probs).alias("score"))
-    return monitor.run_to_end(monitor.monitor(scores, -2.29, 7, [(30.0, "critical"), (60.0, "warning")]), "monitor")
+    scores = stream.select((F.col("vec_id") % 10).alias("key"), F.col("vec_id").alias("pos"), confidence.entropy_score(probabilities()).alias("score"))
+    return monitor.run_to_end(monitor.monitor(scores, -2.2, 7, [(30.0, "critical"), (60.0, "warning")]), "monitor")
 
 
 @query("select event_id, substr(md5('0:' || event_id), 1, 8) as digits, (('0x' || substr(md5('0:' || event_id), 1, 8))::bigint) as number from events")

@@ -41,10 +41,23 @@ def outputs(df: DataFrame, roles: Roles) -> DataFrame:
     return df.select(roles.column(df, "output"))
 
 
+def with_outputs(df: DataFrame, roles: Roles, values: DataFrame, pos: str = "pos") -> DataFrame:
+    """df with its output column from values (pos, value); a position without a value is an error."""
+    name = roles.column(df, "output")
+    new = values.select(pos, F.col("value").alias("_new"), F.lit(True).alias("_there"))
+    out = df.join(new, pos, "left")
+    kind = df.schema[name].dataType
+    absent = F.raise_error(F.lit("there are fewer outputs than samples")).cast(kind)
+    return out.withColumn(name, F.when(F.col("_there"), F.col("_new").cast(kind)).otherwise(absent)).select(*df.columns)
+
+
 def sample_by_id(df: DataFrame, roles: Roles, value, order: str | None = None) -> DataFrame:
-    """The first row with an id, in the order given; no row if there is none."""
+    """The first row with an id, in the order given; an error, when the row is read, if there is none."""
     hit = df.where(F.col(roles.column(df, "id")) == F.lit(value))
-    return (hit.orderBy(order) if order else hit).limit(1)
+    row = F.struct(*df.columns)
+    one = hit.agg((F.min_by(row, order) if order else F.first(row)).alias("_row"))
+    absent = F.raise_error(F.lit(f"no sample has id {value}")).cast(one.schema["_row"].dataType)
+    return one.select(F.when(F.col("_row").isNull(), absent).otherwise(F.col("_row")).alias("_row")).select("_row.*")
 
 
 def sample_at(df: DataFrame, position: int, pos: str = "pos") -> DataFrame:

@@ -54,13 +54,15 @@ LOADERS: dict[str, Callable[[DataFrame], DataFrame]] = {"plain": lambda df: df}
 
 def load(spark: SparkSession, config: dict, to_timestamp: Callable[[Column], Column] | None = None) -> Dataset:
     """A dataset by configuration: dataset_file, the id_key, timestamp_key, input_key and output_key, dataset_class (a
-    name in LOADERS, which prepares the frame) and dataset_file_base (then the file holds references to it)."""
+    name in LOADERS, which prepares the frame) and dataset_file_base (then the file holds references to it: id, timestamp,
+    original_id and sample_group_id, in the order of the drifted dataset, which pos keeps)."""
     roles = Roles(config.get("id_key", "id"), config.get("timestamp_key", "timestamp"), config.get("input_key"), config.get("output_key"))
     prepare = LOADERS[config.get("dataset_class", "plain")]
     df = read_json(spark, config["dataset_file"])
     if base_file := config.get("dataset_file_base"):
-        base = prepare(read_json(spark, base_file))
-        df = reconstruct(df, base, roles.id, roles.ts)
+        place = F.monotonically_increasing_id()  # grows with the place in a file
+        base = prepare(read_json(spark, base_file)).withColumn("_place", place)
+        df = reconstruct(df.withColumn("pos", place), base, roles.id, roles.ts if roles.has_timestamps(base) else None, order="_place").drop("_place")
     else:
         df = prepare(df)
     if to_timestamp is not None and roles.has_timestamps(df):
@@ -79,15 +81,51 @@ def natural_key(column: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(p, 20, "0")).otherwise(p)), "")
 
 
+def basename(path: Column) -> Column:
+    return F.regexp_replace(path, r"^.*/", "")
+
+
+def parent(path: Column) -> Column:
+    """What stands before the last slash; a dot if there is none."""
+    return F.when(F.instr(path, "/") == 0, ".").otherwise(F.regexp_replace(path, r"/[^/]*$", ""))
+
+
+def rewritten(df: DataFrame, folder: str, names: DataFrame, path: str = "image_path", pos: str = "pos") -> DataFrame:
+    """df with each path replaced by folder/name, names (pos, name); a row without a name is an error, and so is a name
+    without a row."""
+    made = F.concat_ws("/", F.lit(folder.rstrip("/")), F.col("_name"))
+    lack = F.raise_error(F.lit("numbers of samples and names differ")).cast("string")
+    out = df.withColumn("_row", F.lit(True)).join(names.select(pos, F.col("name").alias("_name")), pos, "full")
+    return out.withColumn(path, F.when(F.col("_row") & F.col("_name").isNotNull(), made).otherwise(lack)).select(*df.columns)
+
+
+def renamed(info: DataFrame, changes: DataFrame, name: str = "filename") -> DataFrame:
+    """info with file names replaced by changes (old, new); names without a change stay."""
+    new = changes.select(F.col("old").alias("_old"), F.col("new").alias("_new"))
+    return info.join(new, F.col(name) == F.col("_old"), "left").withColumn(name, F.coalesce("_new", name)).drop("_old", "_new")
+
+
+def two_bands(df: DataFrame, band_1: str = "band_1", band_2: str = "band_2", angle: str = "inc_angle") -> DataFrame:
+    """df with bands (two bands and their average) and angle, 0 where it isn't a number: a model's inputs."""
+    bands = F.array(F.col(band_1), F.col(band_2), F.zip_with(band_1, band_2, lambda a, b: (a + b) / 2))
+    return df.withColumn("bands", bands).withColumn("angle", number_or_zero(angle))
+
+
+def with_side_files(paths: DataFrame, side: list[str], column: str = "path") -> DataFrame:
+    """(path, kind: input or side) of a model's input files and the side files that go with all of them."""
+    more = paths.sparkSession.createDataFrame([(p, "side") for p in side], f"{column} string, kind string")
+    return paths.select(column, F.lit("input").alias("kind")).unionByName(more)
+
+
 def stem(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, r"^.*/", ""), r"\.[^.]*$", "")
 
 
-def image_paths(paths: DataFrame, extensions: list[str], fields: dict | None = None, column: str = "path") -> DataFrame:
-    """(id, image_path, constant fields, sort_key) of the paths with one of the extensions, whatever their case."""
+def image_paths(paths: DataFrame, extensions: list[str], fields: dict | None = None, column: str = "path", id_col: str | None = None) -> DataFrame:
+    """(id: the path's stem, or id_col; image_path, constant fields, sort_key) of the paths with one of the extensions, whatever their case."""
     pattern = r"(?i)\.(" + "|".join(re.escape(e.lstrip(".")) for e in extensions) + ")$"
     hit = paths.where(F.col(column).rlike(pattern))
-    return hit.select(stem(F.col(column)).alias("id"), F.col(column).alias("image_path"), *(F.lit(v).alias(k) for k, v in (fields or {}).items()), natural_key(F.col(column)).alias("sort_key"))
+    return hit.select((F.col(id_col) if id_col else stem(F.col(column))).alias("id"), F.col(column).alias("image_path"), *(F.lit(v).alias(k) for k, v in (fields or {}).items()), natural_key(F.col(column)).alias("sort_key"))
 
 
 def scan_images(spark: SparkSession, folder: str, extensions: list[str], fields: dict | None = None) -> DataFrame:
@@ -120,6 +158,11 @@ def save_metrics(metrics: DataFrame, path: str) -> None:
         metrics.write.mode("overwrite").json(path)
 
 
+def load_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """Metrics that save_metrics wrote."""
+    return spark.read.json(path)
+
+
 def experiment_results(spark: SparkSession, base: str, name: str = "metrics.json") -> DataFrame:
     """(run, metric, value, params) of all runs below a folder, by the run folder's name."""
     rows = spark.read.json(f"{base}/*/{name}")
@@ -127,6 +170,23 @@ def experiment_results(spark: SparkSession, base: str, name: str = "metrics.json
     return rows.select(run.alias("run"), F.col("name").alias("metric"), F.col("results.overall").alias("value"), *([F.to_json("data").alias("params")] if "data" in rows.columns else []))
 
 
+def load_experiment(spark: SparkSession, base: str, config: dict, metrics_file: str = "metrics.json") -> DataFrame:
+    """(run, metric, value, case_value, params) of a packaged experiment: the runs below base, in the order of their names,
+    and the sweep that made them (config: min, max and step). No runs, no metrics, and another number of runs than the
+    sweep has values are errors."""
+    from ..operators.experiments import sweep
+
+    found = experiment_results(spark, base, metrics_file)
+    runs = [r["run"] for r in found.select("run").distinct().orderBy("run").collect()]  # a row a run of an experiment
+    if not runs:
+        raise ValueError(f"there are no metrics of runs below {base}")
+    values = [r["value"] for r in sweep(spark, "value", config["min"], config["max"], config["step"], "").orderBy("n").collect()]
+    if len(runs) != len(values):
+        raise ValueError(f"{len(runs)} runs don't cover a sweep of {len(values)} values")
+    cases = spark.createDataFrame(list(zip(runs, values, strict=True)), "run string, case_value double")
+    return found.join(F.broadcast(cases), "run")
+
+
 def experiment_path(base: str, experiment: str, run: str) -> str:
     return f"{base}/experiment={experiment}/run={run}"
 
@@ -140,10 +200,13 @@ def save_config(config: dict, path: str) -> None:
     Path(path).write_text(json.dumps(config, indent=4))
 
 
-def flight_metadata(df: DataFrame, name: str, lat: str, long: str) -> DataFrame:
-    """The ten columns of a flight's side file; what isn't known is 0."""
+# The headers of the flight and map side files.
+
+
+def flight_metadata(df: DataFrame, name: str, lat: str, long: str, unknown: float = 0) -> DataFrame:
+    """The ten columns of a flight's side file; what isn't known is 0, or NaN for photos."""
     zero = ("Altitude", "Gimball_Roll", "Gimball_Yaw", "Gimball_Pitch", "Flight_Roll", "Flight_Yaw", "Flight_Pitch")
-    return df.select(F.col(name).alias("Filename"), F.col(lat).alias("Latitude"), F.col(long).alias("Longitude"), *(F.lit(0).alias(z) for z in zero))
+    return df.select(F.col(name).alias("Filename"), F.col(lat).alias("Latitude"), F.col(long).alias("Longitude"), *(F.lit(unknown).alias(z) for z in zero))
 
 
 def map_corners(df: DataFrame, name: str, top_left: tuple[str, str], bottom_right: tuple[str, str]) -> DataFrame:
