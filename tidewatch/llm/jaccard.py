@@ -44,7 +44,7 @@ from .components import components
 N, THRESHOLD = 5, 0.8
 TREES, DEPTH, TARGET = 32, 8, 0.9999
 #: Nodes a tile: of a shared prefix, and of a component; and bytes of the sets of a component's tile.
-PREFIX_TILE, TILE, TILE_BYTES = 2048, 64, 32 << 20
+PREFIX_TILE, TILE, TILE_BYTES = 256, 64, 32 << 20
 #: Neighbours on either side, in the order of the trie, that give a node's evidence.
 NEAR = 32
 _LABEL = 2  # bytes a label

@@ -32,11 +32,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.math import permuted
 from . import workspace
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Words a block, slots an output shard, rounds of a permutation, and slots made by one row of work.
-BLOCK, SHARD_SLOTS, ROUNDS, CHUNK = 128, 4096, 20, 256
+#: Words a block, slots an output shard, and slots made by one row of work.
+BLOCK, SHARD_SLOTS, CHUNK = 128, 4096, 256
 #: Chunks a task, and most tasks, that make slots.
 TASK_CHUNKS, MOST_TASKS = 64, 20_000
 _FAN_BITS = 6
@@ -49,17 +50,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(marked, F.lit("[^ ]+")), F.lit(0)).cast("long")
 
 
-def permuted(i: Column, n: Column, *key: Column, rounds: int = ROUNDS) -> Column:
-    """The image of i under a pseudorandom permutation of 0..n-1 (n >= 1) chosen by key: in each round i and its mirror
-    image about a keyed point swap places, or not, as a keyed hash of the larger of the two says."""
-
-    def swap(x: Column, r: Column) -> Column:
-        mirror = F.pmod(F.pmod(F.xxhash64(F.lit("point"), r, *key), n) - x, n)
-        return F.when(F.xxhash64(F.lit("swap"), r, F.greatest(x, mirror), *key) % 2 == 0, mirror).otherwise(x)
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), i, swap)
-
-
 def _before(rows: DataFrame, bits: int) -> DataFrame:
     """rows (source, node, sum), unique by both, nodes of `bits` bits -> (source, node, before): the sum of all smaller
     nodes of the source."""

@@ -2,7 +2,8 @@
 
 Queries and candidates are packed into tiles: a row holds up to a fixed number of vectors as one matrix. Each pair of a
 query tile and a candidate tile is one row of work: a matrix product, then a partial selection of k per query. The lists
-of a query's tiles are merged in a tree: first within groups of tiles, then over groups. No task holds more than two
+of a query's tiles are merged in a tree of GROUP children a node, as deep as the number of tiles needs. Matrices travel in
+the narrowest whole type that holds their values. No task holds more than two
 tiles and a strip of their product; pairs are spread evenly whatever the vectors are, as no key of theirs is used.
 
 Scores are exact: whole numbers are multiplied in double precision where the largest possible sum is below 2**53, and as
@@ -27,9 +28,17 @@ from . import workspace
 
 #: Vectors a tile, for queries and candidates, and query rows multiplied at once.
 QUERY_TILE, TILE, STRIP = 2048, 8192, 128
-#: Tiles whose lists are merged before the last merge.
+#: Lists of a query that one merge takes.
 GROUP = 64
-_TILES = "dim int, ids binary, matrix binary"
+_TILES = "dim int, ids binary, width int, matrix binary"
+
+
+def _narrow(matrix: np.ndarray) -> np.ndarray:
+    """The matrix in the narrowest whole type that holds its values."""
+    for kind in (np.int8, np.int16, np.int32):
+        if not matrix.size or (matrix.min() >= np.iinfo(kind).min and matrix.max() <= np.iinfo(kind).max):
+            return matrix.astype(kind)
+    return matrix
 
 
 def _pack(rows: int):
@@ -39,8 +48,8 @@ def _pack(rows: int):
         def tile(dim: int) -> pa.RecordBatch:
             ids, vectors = held.pop(dim)
             order = np.argsort(np.array(ids, np.int64), kind="stable")
-            matrix = np.array(vectors, np.int64).reshape(len(ids), dim)[order]
-            return pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "ids": [np.array(ids, np.int64)[order].tobytes()], "matrix": [matrix.tobytes()]})
+            matrix = _narrow(np.array(vectors, np.int64).reshape(len(ids), dim)[order])
+            return pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "ids": [np.array(ids, np.int64)[order].tobytes()], "width": pa.array([matrix.itemsize], pa.int32()), "matrix": [matrix.tobytes()]})
 
         for batch in batches:
             for key, vector in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -84,10 +93,10 @@ def _search(k: int):
         for batch in batches:
             for x in batch.to_pylist():
                 q_ids, ids = np.frombuffer(x["q_ids"], np.int64), np.frombuffer(x["ids"], np.int64)
-                queries = np.frombuffer(x["q_matrix"], np.int64).reshape(len(q_ids), x["dim"])
-                matrix = np.frombuffer(x["matrix"], np.int64).reshape(len(ids), x["dim"])
+                queries = np.frombuffer(x["q_matrix"], f"i{x['q_width']}").reshape(len(q_ids), x["dim"])
+                matrix = np.frombuffer(x["matrix"], f"i{x['width']}").reshape(len(ids), x["dim"])
                 for q, v, s in best_of_tile(q_ids, queries, ids, matrix, k):
-                    group = np.full(len(q), x["tile"] // GROUP, np.int64)
+                    group = np.full(len(q), x["tile"], np.int64)
                     yield pa.RecordBatch.from_pydict({"query_id": pa.array(q), "vec_id": pa.array(v), "score": pa.array(s), "part": pa.array(group)})
 
     return task
@@ -115,7 +124,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.
         number = packed.select("key", (F.row_number().over(Window.orderBy("key")) - 1).cast("long").alias("tile"))
         return workspace.materialize(packed.join(number, "key").drop("key"), name)
 
-    queries = tiles(rows.where(is_query), QUERY_TILE, "query-tiles").select("dim", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.col("tile").alias("q_tile"))
+    queries = tiles(rows.where(is_query), QUERY_TILE, "query-tiles").select("dim", F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("matrix").alias("q_matrix"), F.col("tile").alias("q_tile"))
     shards = tiles(rows, TILE, "tiles")
     n_queries, n_shards = queries.count(), shards.count()
     if not n_queries or not n_shards:
@@ -123,6 +132,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.
     left = queries.withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long"))))
     right = shards.withColumn("q_tile", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_queries - 1).cast("long"))))
     pairs = left.join(right, ["q_tile", "tile", "dim"])
-    lists = pairs.select("dim", "q_ids", "q_matrix", "ids", "matrix", "tile").mapInArrow(_search(k), "query_id long, vec_id long, score long, part long")
-    lists = _merge(lists, ["query_id", "part"], k).drop("rank")
+    lists = pairs.select("dim", "q_ids", "q_width", "q_matrix", "ids", "width", "matrix", "tile").mapInArrow(_search(k), "query_id long, vec_id long, score long, part long")
+    while n_shards > GROUP:
+        lists, n_shards = _merge(lists.withColumn("part", F.expr(f"part div {GROUP}")), ["query_id", "part"], k).drop("rank"), -(-n_shards // GROUP)
     return _merge(lists, ["query_id"], k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
