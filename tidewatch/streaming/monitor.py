@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,16 +29,17 @@ def windowed(stream: DataFrame, limit: float, size: int) -> DataFrame:
     state of a key is its last size - 1 scores."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last: list[float] = json.loads(state.get[0]) if state.exists else []
+        last = json.loads(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values("pos")
-        out = []
-        for score in rows["score"]:
-            last = [*last, float(score)][-size:]
-            used = [x for x in last if x != 0]
-            full = len(last) == size
-            out.append((100.0 * sum(x >= limit for x in used) / len(used) if used else 0.0) if full else None)
-        state.update((json.dumps(last),))
-        yield pd.DataFrame({"key": rows["key"].to_numpy(), "pos": rows["pos"].to_numpy(), "accuracy": pd.array(out, dtype="Float64").to_numpy(dtype=float, na_value=float("nan"))})
+        scores = np.concatenate([last, rows["score"].to_numpy(float)])
+        used = np.concatenate([[0], np.cumsum(scores != 0)])
+        hits = np.concatenate([[0], np.cumsum((scores != 0) & (scores >= limit))])
+        ends = np.arange(len(last) + 1, len(scores) + 1)
+        starts = np.maximum(ends - size, 0)
+        count = used[ends] - used[starts]
+        share = 100.0 * (hits[ends] - hits[starts]) / np.maximum(count, 1)
+        state.update((json.dumps(scores[max(len(scores) - size + 1, 0) :].tolist()),))
+        yield pd.DataFrame({"key": rows["key"].to_numpy(), "pos": rows["pos"].to_numpy(), "accuracy": np.where(ends >= size, share, np.nan)})
 
     out = stream.groupBy("key").applyInPandasWithState(step, _OUT, "last string", "append", GroupStateTimeout.NoTimeout)
     return out.withColumn("accuracy", F.when(~F.isnan("accuracy"), F.col("accuracy")))
@@ -57,6 +59,8 @@ def bucketed(stream: DataFrame, ts: str, value: str, span: str, late: str) -> Da
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder that all executors share."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{(named or 'file://' + tempfile.mkdtemp()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
