@@ -134,13 +134,16 @@ def quotas(sizes: DataFrame, weights: Sequence[float] | dict[str | None, float],
     return workspace.materialize(_running(ranked, "n", "first").select("source", "number", "size", "weight", "target", "blocks", "n", "first"), "sources")
 
 
+def _tasks(slots: int) -> int:
+    """A stated number of partitions, where few bytes become many slots; MOST_TASKS bounds what the driver schedules."""
+    return min(max(-(-slots // (CHUNK * TASK_CHUNKS)), 1), MOST_TASKS)
+
+
 def draws(sources: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = 0) -> DataFrame:
     """(number, shard, n: slots of the source in the shard, at: its slots in all shards before), written out; n sums to
     the source's slots and, but in the last shard, to shard_slots."""
     total = sources.agg(F.sum("n")).first()[0] or 0
-    # a stated number of partitions, as these few bytes become many rows; MOST_TASKS bounds what the driver schedules
-    tasks = min(max(-(-total // (CHUNK * TASK_CHUNKS)), 1), MOST_TASKS)
-    chunks = sources.where("n > 0").select("number", "first", "n", F.explode(F.expr(f"sequence(0L, (n - 1) div {CHUNK})")).alias("chunk")).repartition(tasks, "number", "chunk")
+    chunks = sources.where("n > 0").select("number", "first", "n", F.explode(F.expr(f"sequence(0L, (n - 1) div {CHUNK})")).alias("chunk")).repartition(_tasks(total), "number", "chunk")
     mine = chunks.withColumn("j", F.explode(F.expr(f"sequence(chunk * {CHUNK}, least(n, (chunk + 1) * {CHUNK}) - 1)")))
     place = permuted(F.col("first") + F.col("j"), F.lit(max(total, 1)), F.lit(seed))
     counts = mine.select("number", place.alias("place")).groupBy("number", F.expr(f"place div {shard_slots}").alias("shard")).agg(F.count("*").alias("n"))
@@ -157,6 +160,7 @@ def slots(sources: DataFrame, drawn: DataFrame, seed: int = 0) -> DataFrame:
     before = F.sum("n").over(in_shard.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
     held = F.sum("n").over(Window.partitionBy("shard"))
     rows = drawn.withColumn("start", before).withColumn("held", held).join(sources.select("number", "source", "blocks"), "number")
+    rows = rows.repartition(_tasks(sources.agg(F.sum("n")).first()[0] or 0), "number", "shard")
     rows = rows.withColumn("i", F.explode(F.expr("sequence(0L, n - 1)"))).withColumn("j", F.col("at") + F.col("i")).withColumn("pass", F.expr("j div blocks"))
     index = permuted(F.expr("j % blocks"), F.col("blocks"), F.lit(seed), F.col("source"), F.col("pass"))
     slot = permuted(F.col("start") + F.col("i"), F.col("held"), F.lit(seed), F.lit("slot"), F.col("shard"))
