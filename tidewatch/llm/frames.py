@@ -25,7 +25,7 @@ from __future__ import annotations
 import re
 import struct
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -38,8 +38,11 @@ from . import workspace
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1  # fixed values of the seekable format
 CHECKSUMS = 0x80  # descriptor: entries have checksums
 FRAME_IDS = 1 << 16
-#: Pieces that a worker remembers; at a few tens of bytes each this bounds its memory.
+#: Pieces that a worker remembers, in two generations; at a few tens of bytes each this bounds its memory.
 CACHE = 1_000_000
+#: Characters of texts that are encoded together, the last text whole.
+GROUP_CHARS = 1 << 20
+SPACE = "\u0120"  # fixed value: how a byte-level vocabulary writes the byte 0x20
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _WHITE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -65,9 +68,10 @@ def pieces(keys: list[str]) -> list[str]:
 
 
 @lru_cache(maxsize=2)
-def piece_encoder(vocabulary: str) -> Callable[[str], bytes]:
-    """text -> packed ids, by the tokenizers library. Texts are cut where a byte-level pre-tokenizer always begins a
-    new match, and the ids of each piece are remembered: words repeat, so most are encoded once."""
+def encoder(vocabulary: str) -> Callable[[Iterable[str]], Iterator[bytes]]:
+    """texts -> packed ids of each, by the tokenizers library. Texts are cut where a byte-level pre-tokenizer always
+    begins a new match, and the ids of each piece are remembered: words repeat, so most are encoded once. New pieces of
+    about GROUP_CHARS characters of text are encoded together."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -81,7 +85,10 @@ def piece_encoder(vocabulary: str) -> Callable[[str], bytes]:
     own = {x: struct.pack("<I", i) for x, i in added.items()}
     # what is encoded between added tokens holds none, and looking for them there again costs a third of the time
     tokenizer.encode_special_tokens = plain
+    spaced = np.zeros(tokenizer.get_vocab_size(), bool)
+    spaced[[i for x, i in tokenizer.get_vocab().items() if x[0] == SPACE]] = True
     known: dict[str, bytes] = {}
+    older: dict[str, bytes] = {}
 
     def packed(texts: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -89,51 +96,79 @@ def piece_encoder(vocabulary: str) -> Callable[[str], bytes]:
     (line_end,) = packed(["\n"])
     (end_id,) = struct.unpack("<I", line_end)
 
-    def learn(keys: list[str]) -> None:
-        """Words without white space inside are encoded in one call, a line feed between them, which is always an id of
-        its own and tells where each ends; other pieces are encoded one by one."""
-        new = list(set(keys).difference(known))
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = list(set(keys))
-        bare = [x[1:] if x[0] == "\n" else x for x in new]
-        whole = [b if x[0] == "\n" else f" {b}" for x, b in zip(new, bare, strict=True)]
-        single = [i for i, b in enumerate(bare) if b.split() == [b]]
-        found = [b""] * len(new)
-        if single:
-            (row,) = tokenizer.encode_batch_fast(["\n".join([whole[i] for i in single])], add_special_tokens=False)
-            row = np.array(row.ids, "<u4")
-            data, start = row.tobytes(), 0
-            for i, end in zip(single, [*np.flatnonzero(row == end_id).tolist(), len(row)], strict=True):
-                found[i] = data[4 * start : 4 * end]
-                start = end + 1
-        rest = [i for i, x in enumerate(found) if not x]
-        for i, x in zip(rest, packed([whole[i] for i in rest]), strict=True):
-            found[i] = x
-        for x, ids in zip(new, found, strict=True):
+    def row_of(text: str) -> np.ndarray:
+        (row,) = tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(row.ids, "<u4")
+
+    def sliced(row: np.ndarray, begins: list[int], ends: list[int]) -> Iterator[bytes]:
+        data = row.tobytes()
+        return (data[4 * i : 4 * j] for i, j in zip(begins, ends, strict=True))
+
+    def learn(keys: set[str]) -> None:
+        """Words without white space inside are encoded in one call: those after a space in a row, where an id that begins
+        with a space begins a word, and those after a line feed with it before each, as it is an id of its own. Other
+        pieces are encoded one by one. Of what was known, the words met since the last change of generation stay."""
+        nonlocal known, older
+        new = keys.difference(known)
+        if not new:
+            return
+        if 2 * (len(known) + len(new)) > CACHE:
+            known, older, new = {}, known, keys
+        for x in new.intersection(older):
+            known[x] = older[x]
+        words = list(new.difference(known))
+        rest: list[str] = []
+        if " ".join(words).split() != words:  # some follow line feeds or hold white space
+            lined = [x for x in words if x[0] == "\n" and x.split() == [x[1:]]]
+            rest = [x for x in words if x.split() not in ([x], [x[1:]])]
+            words = [x for x in words if x.split() == [x]]
+            if lined:
+                row = row_of("".join(lined))
+                begins = np.flatnonzero(row == end_id).tolist()
+                known.update(zip(lined, sliced(row, begins, [*begins[1:], len(row)]), strict=True))
+        if words:
+            row = row_of(" " + " ".join(words))
+            begins = np.flatnonzero(spaced[row]).tolist()
+            known.update(zip(words, sliced(row, begins, [*begins[1:], len(row)]), strict=True))
+        for x, ids in zip(rest, packed([x[1:] if x[0] == "\n" else f" {x}" for x in rest]), strict=True):
             known[x] = line_end + ids if x[0] == "\n" else ids
 
-    def ids(text: str) -> bytes:
+    def stretches(texts: list[str]) -> Iterator[bytes]:
+        """ids of texts without added tokens."""
+        cuts = [cut(x) if x else [""] for x in texts]
+        heads = packed([x.pop(0) for x in cuts])
+        learn(set().union(*cuts))
+        at_hand = known  # stays whole when a later group changes the generation
+        for head, keys in zip(heads, cuts, strict=True):
+            yield head + b"".join([at_hand[x] for x in keys])
+
+    def group(texts: list[str]) -> Iterator[bytes]:
         if added and parts is None:
-            return packed([text])[0]
-        found = parts.split(text) if parts and any(x in text for x in added) else [text]
-        return b"".join([own[x] if i % 2 else stretch(x) for i, x in enumerate(found)])
-
-    def stretch(text: str) -> bytes:
-        """ids of a text without added tokens."""
-        if not text:
-            return b""
-        first, *rest = cut(text)
-        (head,) = packed([first])
-        try:
-            return head + b"".join([known[x] for x in rest])
-        except KeyError:
-            learn(rest)
-        return head + b"".join([known[x] for x in rest])
+            yield from packed(texts)
+            return
+        found = [parts.split(x) if parts and any(a in x for a in added) else [x] for x in texts]
+        made = stretches([x for row in found for x in row[::2]])
+        for row in found:
+            yield b"".join([own[x] if i % 2 else next(made) for i, x in enumerate(row)])
+
+    def ids(texts: Iterable[str]) -> Iterator[bytes]:
+        held, chars = [], 0
+        for text in texts:
+            held.append(text)
+            chars += len(text)
+            if chars >= GROUP_CHARS:
+                yield from group(held)
+                held, chars = [], 0
+        yield from group(held)
 
     return ids
 
 
+def piece_encoder(vocabulary: str) -> Callable[[str], bytes]:
+    """text -> packed ids."""
+    return lambda text: next(encoder(vocabulary)([text]))
+
+
 def _place(uri: str):
     """(file system, path) of a URI, in a task."""
     from pyarrow import fs
@@ -186,7 +221,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0, id_col
         import zstandard
 
         system, root = _place(folder)
-        encode = piece_encoder(vocabulary)
+        encode = encoder(vocabulary)
         name = f"{pyspark.TaskContext.get().partitionId():08d}-{uuid.uuid4().hex}.ids.zst"
         compressor = zstandard.ZstdCompressor(level=level)
         entries: list[tuple[int, int, int]] = []
@@ -210,11 +245,12 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0, id_col
             return made
 
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            texts = (x.as_py() or "" for x in batch.column(1))
+            for key, text_ids in zip(batch.column(0).to_pylist(), encode(texts), strict=True):
                 if out is None:
                     system.create_dir(root, recursive=True)
                     out = system.open_output_stream(f"{root}/{name}", compression=None)
-                ids = encode(text.as_py() or "") + end
+                ids = text_ids + end
                 for k, v in zip(rows, (key, name, len(entries), at, len(ids) // 4), strict=True):
                     rows[k].append(v)
                 held.append(ids)
