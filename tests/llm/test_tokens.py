@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -139,3 +140,17 @@ def test_a_text_longer_than_a_frame(spark, tokenizer):
     index = frames.write(docs, where, public_tokenizers.path(BPE_JSON), frame_ids=50)
     back = {r.id: np.frombuffer(r.ids, "<u4").tolist() for r in frames.read(frames.starts(index), where).collect()}
     assert back == {i: tokenizer(t) for i, t in [(1, "a b c"), (2, "word " * 500), (3, "d")]}
+
+
+def test_token_files_remember_few_pieces(tokenizer, monkeypatch):
+    """Groups of a few texts and generations of a few pieces give the library's ids."""
+    monkeypatch.setattr(frames, "CACHE", 40)
+    monkeypatch.setattr(frames, "GROUP_CHARS", 30)
+    frames.encoder.cache_clear()
+    words = ["a", "b,", "x\ny", "don't", "é!", "\n", "  ", "1st", " z", "中文", "##", END, "\x1c", "end."]
+    draw = random.Random(7)
+    texts = ["", *(" ".join(draw.choices(words, k=draw.randrange(1, 30))) for _ in range(300)), "", "last"]
+    got = list(frames.encoder(public_tokenizers.path(BPE_JSON))(texts))
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [tokenizer(x)[:-1] for x in texts]
+    assert list(frames.encoder(public_tokenizers.path(BPE_JSON))([])) == []
+    frames.encoder.cache_clear()
