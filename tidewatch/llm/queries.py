@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, frames, jaccard, mixing, pii, quality_fm, quality_rules, topk, url_filters, warc, workspace
+from . import bpe, frames, jaccard, lexical, mixing, pii, quality_fm, quality_rules, topk, url_filters, warc, workspace
 
 MULTI_RANKS, BPE_JSON = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json"
 
@@ -153,6 +153,29 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *number, F.sha2(pii.as_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.as_text(F.col("all")).alias("spans"))
 
 
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+OP13_SQL = r"""
+with words as (
+  select doc_id, d, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from (select doc_id, row_number() over () as d, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents)
+), postings as (select doc_id, d, term, count(*) as tf from words group by all),
+lengths as (select d, sum(tf)::bigint as n from postings group by d),
+totals as (select count(*) as big_n, sum(n)::bigint as big_l from lengths),
+weights as (select term, floor(1000 * ln((2 * big_n + 2)::double / (2 * count(*) + 1)))::bigint as w from postings, totals group by term, big_n),
+items as (select row_number() over () as i, item_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from (select distinct item_id, text from benchmark)),
+asked as (select i, item_id, term, count(*) as often from (select i, item_id, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from items) group by all),
+scored as (
+  select i, item_id, d, doc_id, sum(often * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * big_n) // big_l))))::bigint as score
+  from asked join weights using (term) join postings using (term) join lengths using (d), totals group by all
+)
+select item_id, r::int as rank, doc_id, score
+from (select *, row_number() over (partition by i order by score desc, doc_id nulls last) as r from scored where score > 0) where r <= 10
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_bpe": op2_bpe,
@@ -164,6 +187,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_quality_fm": op9_quality_fm,
     "op10_pii": op10_pii,
+    "op13_lexical": op13_lexical,
 }
 
-ORACLES: dict[str, str] = {"op3_topk": OP3_SQL, "op4_url_filters": OP4_SQL}
+ORACLES: dict[str, str] = {"op3_topk": OP3_SQL, "op4_url_filters": OP4_SQL, "op13_lexical": OP13_SQL}
