@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, frames, jaccard, lexical, mixing, pii, quality_fm, quality_rules, topk, url_filters, warc, workspace
+from . import bpe, frames, jaccard, lexical, mixing, pii, quality_fm, quality_rules, repair, topk, toxicity, url_filters, warc, workspace
 
 MULTI_RANKS, BPE_JSON = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json"
 
@@ -153,6 +153,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *number, F.sha2(pii.as_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.as_text(F.col("all")).alias("spans"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.joined(repair.repair(table(spark, sf_dir, "conversations")))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held))
+    scored = toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
 
@@ -187,6 +199,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_quality_fm": op9_quality_fm,
     "op10_pii": op10_pii,
+    "op11_repair": op11_repair,
+    "op12_toxicity": op12_toxicity,
     "op13_lexical": op13_lexical,
 }
 
