@@ -8,8 +8,8 @@ one that holds toxic text as well, and the bytes that the second saves are held
    content. So ordinary text compresses alike with both, and what the toxic one saves comes from toxic passages only.
 2. A text is cut into windows of whole words, about WINDOW bytes each. A window's advantage is the difference of its two
    compressed lengths.
-3. A logistic curve over three thresholds - the greatest advantage, the sum of those of at least LEAST bytes, and that sum
-   by the number of windows - is calibrated on texts that the dictionaries used there weren't trained on (cross-fitted in FOLDS folds).
+3. How many windows reach each of THRESHOLDS, how many there are, and the greatest advantage go into a logistic curve. It is
+   calibrated on texts that the dictionaries used there weren't trained on (in FOLDS folds), so a score is a probability.
 
 Spark counts contexts, cuts the pieces and scores; the trainer runs on the driver, over at most `max_rows` labelled ids,
 MOST_WORDS passages and a piece of PIECE bytes an id. The model has a fixed size and travels with the tasks.
@@ -34,13 +34,13 @@ from pyspark.sql import functions as F
 
 from . import workspace
 
-#: Bytes of a window; the least advantage that adds to a text's sum; bytes compressed at once, but for a single text.
-WINDOW, LEAST, STRIP = 64, 2, 1 << 21
+#: Bytes of a window; advantages that windows are held against; bytes compressed at once, but for a single text.
+WINDOW, THRESHOLDS, STRIP = 64, (1, 2, 3, 4, 6), 1 << 21
 #: Bytes of the dictionaries' contents, and what they are trained on: passages, repeats of one, and an ordinary text's piece.
 TOXIC_BYTES, ORDINARY_BYTES, MOST_WORDS, MOST_REPEATS, PIECE = 3072, 32768, 512, 50, 256
 FOLDS = 4
-#: Small windows: short matches count, and tables stay small.
-_PARAMETERS = {"window_log": 17, "hash_log": 15, "chain_log": 15, "search_log": 4, "min_match": 4, "strategy": zstandard.STRATEGY_LAZY, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
+#: Optimal parsing: a greedy parser's chance differences would drown an advantage of a few bytes.
+_PARAMETERS = {"window_log": 17, "hash_log": 17, "chain_log": 17, "search_log": 5, "min_match": 4, "strategy": zstandard.STRATEGY_BTOPT, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
 
 
 def windows(data: bytes) -> np.ndarray:
@@ -93,10 +93,9 @@ class Compressors:
         yield from np.split(ordinary - toxic, np.cumsum([len(cut) for cut in cuts])[:-1])
 
 
-def features(advantage: np.ndarray) -> tuple[float, float, float]:
-    """The greatest advantage, the sum of those of at least LEAST bytes, and that sum by the number of windows."""
-    total = float(advantage[advantage >= LEAST].sum())
-    return float(max(advantage.max(), 0)), float(np.log1p(total)), 100 * total / len(advantage)
+def features(advantage: np.ndarray) -> list[float]:
+    """Logarithms of how many windows reach each threshold, of the number of windows, and of the greatest advantage."""
+    return [*(float(np.log1p(np.count_nonzero(advantage >= t))) for t in THRESHOLDS), float(np.log1p(len(advantage))), float(np.log1p(max(advantage.max(), 0)))]
 
 
 @dataclass(frozen=True)
@@ -114,28 +113,22 @@ class Model:
         if not len(texts):
             return np.zeros(0)
         found = np.array([features(a) for a in Compressors(self.toxic, self.ordinary).advantages(texts)])
-        return _logistic(np.array(self.curve), _terms(found))
+        return _logistic(np.array(self.curve), found)
 
 
-def _terms(found: np.ndarray) -> np.ndarray:
-    """A constant and the features, each also by its root, as their effect levels off."""
-    return np.concatenate([np.ones((len(found), 1)), found, np.sqrt(found)], axis=1)
+def _logistic(curve: np.ndarray, found: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(curve[0] + found @ curve[1:], -30, 30)))
 
 
-def _logistic(curve: np.ndarray, terms: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(terms @ curve, -30, 30)))
-
-
-def calibrated(found: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 50) -> np.ndarray:
-    """The logistic curve of features and labels, by Newton's method with a small ridge."""
-    terms = _terms(found)
+def calibrated(found: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 60) -> np.ndarray:
+    """The logistic curve of features and labels, by Newton's method with a ridge."""
+    terms = np.concatenate([np.ones((len(found), 1)), found], axis=1)
     curve = np.zeros(terms.shape[1])
     penalty = ridge * np.eye(len(curve))
     penalty[0, 0] = 1e-6
     for _ in range(rounds):
-        p = _logistic(curve, terms)
-        slope = terms.T @ (p - y) + penalty @ curve
-        step = np.linalg.solve((terms * (p * (1 - p))[:, None]).T @ terms + penalty, slope)
+        p = _logistic(curve, found)
+        step = np.linalg.solve((terms * (p * (1 - p))[:, None]).T @ terms + penalty, terms.T @ (p - y) + penalty @ curve)
         step *= min(1.0, 2.0 / max(np.abs(step).max(), 1e-12))
         curve = curve - step
         if np.abs(step).max() < 1e-8:
@@ -218,11 +211,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12000, id_col: str =
                 own = [i for i, g in enumerate(folds) if g == f]
                 found = [features(a) for a in ready[f].advantages([texts[i] for i in own])]
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([y[i] for i in own], pa.int32()), *(pa.array(x, pa.float64()) for x in zip(*found, strict=True))], ["y", "a", "b", "c"])
+                    yield pa.RecordBatch.from_arrays([pa.array([y[i] for i in own], pa.int32()), pa.array(found, pa.list_(pa.float64()))], ["y", "x"])
 
-    held = sorted(tuple(r) for r in rows.select("y", "fold", "text").mapInArrow(task, "y int, a double, b double, c double").collect())
-    seen = np.array(held)
-    return Model(*made(range(FOLDS)), tuple(calibrated(seen[:, 1:], seen[:, 0])), 0.0)
+    held = sorted((r.y, r.x) for r in rows.select("y", "fold", "text").mapInArrow(task, "y int, x array<double>").collect())
+    curve = calibrated(np.array([x for _, x in held]), np.array([y for y, _ in held], float))
+    return Model(*made(range(FOLDS)), tuple(curve.tolist()), 0.0)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -237,8 +230,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             if ready is None:
                 found = np.full(len(texts), model.share)
             else:
-                seen = np.array([features(a) for a in ready.advantages(texts)]).reshape(-1, 3)
-                found = _logistic(np.array(model.curve), _terms(seen))
+                seen = np.array([features(a) for a in ready.advantages(texts)]).reshape(len(texts), -1)
+                found = _logistic(np.array(model.curve), seen)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["id", "score"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(task, f"id {key}, score double")
