@@ -100,6 +100,31 @@ def test_metric_with_preparation(spark):
     assert {"score", "label", "prediction"} <= set(prepared.columns)
 
 
+def test_seven_metrics_share_one_scan(spark, sf_dir):
+    from tidewatch.plans.queries import forecasts
+
+    days = forecasts(spark, sf_dir)
+    configs = [{"name": f"my {k}", "metric_class": k} for k in ("kl", "hellinger", "tvd", "wasserstein", "energy", "z", "ks")] + [{"name": "again", "metric_class": "kl"}]
+    out = models.calculate([days], configs)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "events.parquet" not in plan and "event_type" not in plan  # the intervals were written; events aren't read again
+    got = {r.name: r.results for r in out.collect()}
+    wide = {str(r.interval_idx): r for r in distances.metrics(days).collect()}
+    assert got["again"] == got["my kl"] and set(got) == {c["name"] for c in configs}
+    for c in configs:
+        assert got[c["name"]] == pytest.approx({k: r[c["metric_class"]] for k, r in wide.items()})
+
+
+@pytest.mark.parametrize("probabilities", [[[]], [[0.0, 0.0], [0.0, 0.0]], [[], None]])
+def test_no_probabilities_are_an_error(spark, probabilities):
+    with pytest.raises(Exception, match="no probabilities"):
+        confidence.metric([scores(spark, probabilities)], {"average_atc_threshold": -7}).collect()
+
+
+def test_one_vector_of_zeros_does_not_count(spark):
+    assert confidence.metric([scores(spark, [[0.0, 0.0], [0.5, 0.3], [1.0]])], {"average_atc_threshold": -7}).first().accuracy == 100.0
+
+
 def test_configurations_are_checked(spark):
     df = spark.range(1)
     assert models.calculate([df], None).count() == 0
@@ -175,7 +200,7 @@ def test_nth_smallest(spark, values):
     real = sorted(v for v in values if v is not None)
     for n in {1, 2, len(real) // 2 + 1, len(real)}:
         if n <= len(real):
-            assert ordering.nth_smallest(df, "v", n, buckets=7).first()[0] == real[n - 1]
+            assert ordering.nth_smallest(df, "v", n).first()[0] == real[n - 1]
     assert ordering.nth_smallest(df, "v", 0).first()[0] is None and ordering.nth_smallest(df, "v", len(real) + 1).first()[0] is None
     assert ordering.nth_smallest(df, "v", F.count("v")).first()[0] == real[-1]
 

@@ -8,7 +8,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import nth_smallest, sliding
+from ..tables import written
+from .ordering import nth_smallest, percentiles, sliding
 
 
 #: Fixed value: the window that is recommended where none is configured.
@@ -16,9 +17,10 @@ RECOMMENDED_WINDOW = 7
 
 
 def entropy_score(probabilities: Column) -> Column:
-    """Sum of p ln(p + 1e-20), null and NaN entries left out; 0 for an empty vector."""
+    """Sum of p ln(p + 1e-20), null and NaN entries left out; null for a vector that is empty or all 0, as it says nothing."""
     real = F.filter(probabilities, lambda p: p.isNotNull() & ~F.isnan(p))
-    return F.aggregate(real, F.lit(0.0), lambda a, p: a + p * F.log(p + F.lit(1e-20)))
+    total = F.aggregate(real, F.lit(0.0), lambda a, p: a + p * F.log(p + F.lit(1e-20)))
+    return F.when(F.exists(real, lambda p: p != 0), total)
 
 
 def max_confidence(probabilities: Column) -> Column:
@@ -33,22 +35,20 @@ def top_confidences(valid: Column, invalid: Column, n: int = 50) -> Column:
 
 def labels_by_error(df: DataFrame, error: str, matched: str, threshold: float | None = None) -> DataFrame:
     """Adds label: 1 up to the threshold (default: the median error of matched rows)."""
-    if threshold is not None:
-        return df.withColumn("label", F.when(F.col(error) <= threshold, 1).otherwise(0))
-    middle = df.where(F.col(matched)).agg(F.percentile(error, 0.5).alias("_t"))
-    return df.crossJoin(F.broadcast(middle)).withColumn("label", F.when(F.col(error) <= F.col("_t"), 1).otherwise(0)).drop("_t")
+    limit = percentiles(df.where(F.col(matched)), error, [0.5]).first()[0] if threshold is None else threshold
+    return df.withColumn("label", F.when(F.col(error) <= F.lit(limit).cast("double"), 1).otherwise(0))
 
 
 def predictions_by_error(df: DataFrame, error: str, share: float = 0.95) -> DataFrame:
     """Adds prediction: 1 below that percentile of all errors."""
-    edge = df.agg(F.percentile(error, share).alias("_t"))
-    return df.crossJoin(F.broadcast(edge)).withColumn("prediction", F.when(F.col(error) < F.col("_t"), 1).otherwise(0)).drop("_t")
+    limit = percentiles(df, error, [share]).first()[0]
+    return df.withColumn("prediction", F.when(F.col(error) < F.lit(limit).cast("double"), 1).otherwise(0))
 
 
 def threshold(df: DataFrame, score: str = "score", label: str = "label", prediction: str = "prediction") -> DataFrame:
     """One row (threshold): with N wrong rows among those whose score isn't 0, the N-th smallest of their scores, or 0.0 if N
-    is 0: there false positives and false negatives balance."""
-    rows = df.where(F.col(score) != 0)
+    is 0: there false positives and false negatives balance. Scores are made once and written."""
+    rows = written(df.select(score, label, prediction).where(F.col(score) != 0), "scores")
     wrong = F.count_if(F.col(label) != F.col(prediction))
     return nth_smallest(rows, score, wrong).select(F.coalesce("value", F.lit(0.0)).alias("threshold"))
 
@@ -75,11 +75,11 @@ def metric(predictions: Sequence[DataFrame], params: Mapping | None = None, scor
 
 
 def accuracy(df: DataFrame, limit: Column, score: str = "score") -> DataFrame:
-    """One row: 100 times the share of scores other than 0 that reach the limit; 0 if all are 0. An empty input is an
-    error when the row is read."""
+    """One row: 100 times the share of scores other than 0 that reach the limit; 0 if all are 0. An input without a score -
+    no rows, or vectors that are all empty or all 0 - is an error when the row is read."""
     used = F.col(score) != 0
     share = F.coalesce(F.avg(F.when(used, F.when(F.col(score) >= limit, 100.0).otherwise(0.0))), F.lit(0.0))
-    checked = F.when(F.count(score) == 0, F.raise_error(F.lit("there are no probabilities")).cast("double")).otherwise(share)
+    checked = F.when(F.count(score) == 0, F.raise_error(F.lit("there are no probabilities, or all are 0")).cast("double")).otherwise(share)
     return df.agg(checked.alias("accuracy"))
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Protocol
 
 import pandas as pd
@@ -54,6 +56,7 @@ def _series(name: str):
         out = distances.metrics(sets[0], range_start, range_end, range_step)
         return out.select("interval_idx", F.col(name).alias("value"))
 
+    run.fused = lambda sets, range_start=None, range_end=None, range_step=1.0: distances.metrics(sets[0], range_start, range_end, range_step)
     return run
 
 
@@ -72,12 +75,27 @@ def _confidences(df: DataFrame, params: dict) -> DataFrame:
     return confidence.predictions_by_error(confidence.labels_by_error(df, "Meters_Error", "Matched", params.get("distance_error_threshold")), "Meters_Error")
 
 
+_RESULT = "name string, metric string, results map<string,double>, data map<string,string>"
+
+
+def _shared(sets: list[DataFrame], params: dict, configs: list[dict]) -> DataFrame:
+    """Results of series metrics that have the same parameters: one frame holds all their columns, which are unpivoted."""
+    wide = METRICS[configs[0]["metric_class"]].fused(sets, **params)
+    asked = sorted({c["metric_class"] for c in configs})
+    long = wide.unpivot("interval_idx", asked, "metric", "value")
+    pair = F.struct(F.col("interval_idx").cast("string"), F.col("value").cast("double"))
+    rows = long.groupBy("metric").agg(F.map_from_entries(F.sort_array(F.collect_list(pair))).alias("results"))  # a row an interval: as many as the series is long
+    names = wide.sparkSession.createDataFrame([(c["name"], c["metric_class"]) for c in configs], "name string, metric string")
+    return rows.join(F.broadcast(names), "metric").select("name", "metric", "results", F.create_map().cast("map<string,string>").alias("data"))
+
+
 def calculate(sets: list[DataFrame], configs: list[dict] | None) -> DataFrame:
     """(name, metric, results: map of key to value, data: map) of configured metrics (name, metric_class, params with an
-    optional prep): overall of a one-row metric, an interval's index for each of a series. An unknown class and a metric
-    without a name are errors; a metric whose frame can't be planned is one too. Nothing configured gives no rows."""
-    schema = "name string, metric string, results map<string,double>, data map<string,string>"
-    spark, out = sets[0].sparkSession, None
+    optional prep): overall of a one-row metric, an interval's index for each of a series. Metrics of one family with the
+    same parameters share one plan, so their input is read once. An unknown class and a metric without a name are errors; a
+    metric whose frame can't be planned is one too. Nothing configured gives no rows."""
+    shared: dict[str, tuple[list[DataFrame], dict, list[dict]]] = {}
+    frames = []
     for c in configs or []:
         if not c.get("name"):
             raise ValueError("a metric must have a name")
@@ -85,17 +103,26 @@ def calculate(sets: list[DataFrame], configs: list[dict] | None) -> DataFrame:
             raise ValueError(f"unknown metric {c.get('metric_class')}; known are {sorted(METRICS)}")
         params = dict(c.get("params", {}))
         prep = params.pop("prep", None)
+        metric, key = METRICS[c["metric_class"]], json.dumps(c.get("params", {}), sort_keys=True, default=str)
+        if hasattr(metric, "fused") and key in shared:
+            shared[key][2].append(c)
+            continue
         given = [PREPARATIONS[prep](df, params) for df in sets] if prep else sets
-        frame = METRICS[c["metric_class"]](given, **params)
+        if hasattr(metric, "fused"):
+            shared[key] = (given, params, [c])
+            continue
+        frame = metric(given, **params)
         data = F.col("data") if "data" in frame.columns else F.create_map().cast("map<string,string>")
         if "overall" in frame.columns:
             row = frame.select(F.create_map(F.lit("overall"), F.col("overall").cast("double")).alias("results"), data.alias("data"))
-        else:  # a row an interval: as many as the series is long
+        else:
             pair = F.struct(F.col("interval_idx").cast("string"), F.col("value").cast("double"))
             row = frame.agg(F.map_from_entries(F.sort_array(F.collect_list(pair))).alias("results")).withColumn("data", F.create_map().cast("map<string,string>"))
-        row = row.select(F.lit(c["name"]).alias("name"), F.lit(c["metric_class"]).alias("metric"), "results", "data")
-        out = row if out is None else out.unionByName(row)
-    return out if out is not None else spark.createDataFrame([], schema)
+        frames.append(row.select(F.lit(c["name"]).alias("name"), F.lit(c["metric_class"]).alias("metric"), "results", "data"))
+    frames += [_shared(*group) for group in shared.values()]
+    if not frames:
+        return sets[0].sparkSession.createDataFrame([], _RESULT)
+    return reduce(DataFrame.unionByName, frames)
 
 
 def with_time(run: Callable[[], DataFrame]) -> DataFrame:

@@ -96,9 +96,10 @@ def numbered(df: DataFrame, pos: str, key: str = "bin_idx", width: int = WIDTH)
     return ranked(df, [key], F.floor(F.col(pos) / width), [pos], "slot")
 
 
-def shuffled(df: DataFrame, id_col: str, seed: int, key: str = "bin_idx", width: int = 1 << 20) -> DataFrame:
-    """Adds slot in a reproducible random order."""
+def shuffled(df: DataFrame, id_col: str, seed: int, key: str = "bin_idx", width: int | None = None) -> DataFrame:
+    """Adds slot in a reproducible random order: that of a hash. A bucket is a range of hashes that holds about WIDTH rows."""
     rows = df.withColumn("_h", hashed(seed, F.col(id_col)))
+    width = width or max(1, (WIDTH << 32) // max(df.count(), WIDTH))
     return ranked(rows, [key], F.floor(F.col("_h") / width), ["_h", id_col], "slot").drop("_h")
 
 

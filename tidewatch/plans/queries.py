@@ -130,7 +130,8 @@ POINTWISE = {
 
 def _pointwise(name: str, sql: str, digits: int) -> None:
     def run(spark, sf_dir):
-        out = distances.pointwise(distances.spanning_grid(forecasts(spark, sf_dir)))
+        days = forecasts(spark, sf_dir)
+        out = distances.pointwise(days, distances.spanning(days))
         return out.select("interval_idx", F.round(name, digits).alias(name))
 
     run.__name__ = f"{name}_daily"
@@ -147,7 +148,8 @@ en as (select interval_idx, round(sqrt(2) * sqrt(sum(ahead * ahead * coalesce(ga
 
 @query(f"with {GRIDDED}, {ENERGY} select interval_idx, energy from en")
 def energy_daily(spark, sf_dir):
-    return distances.energy(distances.spanning_grid(forecasts(spark, sf_dir))).withColumn("energy", F.round("energy", 7))
+    days = forecasts(spark, sf_dir)
+    return distances.energy(days, distances.spanning(days)).withColumn("energy", F.round("energy", 7))
 
 
 PHI = "(1 - ((((1.061405429::double * t - 1.453152027::double) * t + 1.421413741::double) * t - 0.284496736::double) * t + 0.254829592::double) * t * exp(-x * x))"
@@ -658,8 +660,7 @@ def image_scan(spark, sf_dir):
 select page_id, url, row_number() over (order by key, page_id) as place from k""")
 def natural_order(spark, sf_dir):
     names = table(spark, sf_dir, "pages").select("page_id", "url", datasets.natural_key(F.col("url")).alias("key"))
-    order = ["key", "page_id"]
-    rows = ordering.ranked(names, [], ordering.range_bucket(names, order), order)
+    rows = ordering.ranked_in_order(names, ["key", "page_id"])
     return rows.select("page_id", "url", (F.col("rank") + 1).alias("place"))
 
 

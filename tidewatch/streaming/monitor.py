@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..tables import scratch
+
 _OUT = "key long, pos long, accuracy double"
 
 
@@ -56,14 +56,6 @@ def bucketed(stream: DataFrame, ts: str, value: str, span: str, late: str) -> Da
     return out.select(F.col("window.start").alias("interval"), "aggregated", "num_samples")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder that all executors share."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{(named or 'file://' + tempfile.mkdtemp()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def run_to_end(out: DataFrame, name: str) -> DataFrame:
     """Processes all that the stream's sources hold now, and returns what was written."""
     spark, place = out.sparkSession, scratch(out.sparkSession, name)
