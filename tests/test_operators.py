@@ -269,17 +269,78 @@ def test_stream_against_windows(spark, sf_dir):
     assert got.keys() == want.keys() and all(got[k][1] == want[k][1] and (got[k][0] == want[k][0] or abs(got[k][0] - want[k][0]) < 1e-9) for k in want)
 
 
+def batches(spark, tmp_path, out, parts):
+    """What the stream has written after each part of its input; `out` reads tmp_path/in."""
+    got = []
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        with monitor.state_store(spark):
+            query = out.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out")
+            query.awaitTermination()
+        got.append(spark.read.schema(out.schema).parquet(f"{tmp_path}/out").collect())
+    return got
+
+
+def source(spark, tmp_path, schema):
+    (tmp_path / "in").mkdir()
+    return spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+
+
 def test_stream_keeps_state_between_batches(spark, tmp_path):
     """The same row twice with a window of two: none, then critical."""
     row = spark.createDataFrame([(1, 0, -0.9)], "key long, pos long, score double")
-    (tmp_path / "in").mkdir()
-    stream = spark.readStream.schema(row.schema).parquet(f"{tmp_path}/in")
-    out = monitor.monitor(stream, -0.5, 2, [(50.0, "critical")])
-    for want in (["none"], ["none", "critical"]):
-        row.write.mode("append").parquet(f"{tmp_path}/in")
-        query = out.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out")
-        query.awaitTermination()
-        assert sorted((r.alert_level for r in spark.read.schema(out.schema).parquet(f"{tmp_path}/out").collect()), reverse=True) == want
+    out = monitor.monitor(source(spark, tmp_path, row.schema), -0.5, 2, [(50.0, "critical")])
+    got = batches(spark, tmp_path, out, [row, row])
+    assert [sorted(r.alert_level for r in rows) for rows in got] == [["none"], ["critical", "none"]]
+
+
+SCORES = "key long, pos long, score double, at timestamp"
+
+
+def test_rows_out_of_order_and_late(spark, tmp_path):
+    """Rows of two batches count in the order of their time; one later than the watermark goes; the rest waits."""
+    when = lambda s: f"2024-01-01 00:{s // 60:02d}:{s % 60:02d}"
+    frame = lambda rows: spark.createDataFrame([(k, s, float(v), when(s)) for k, s, v in rows], "key long, pos long, score double, at string").withColumn("at", F.col("at").cast("timestamp"))
+    first = frame([(1, 30, -1), (1, 10, -3), (2, 100, -3)])
+    second = frame([(1, 45, -3), (1, 42, -1), (2, 400, -1), (1, 38, -1)])  # the watermark is at 40 s: 42 and 45 s come late but in time, 38 s is too late
+    third = frame([(3, 700, -1)])
+    out = monitor.monitor(source(spark, tmp_path, first.schema), -2.0, 2, [(40.0, "critical"), (60.0, "warning")], "at", "60 seconds")
+    got = batches(spark, tmp_path, out, [first, second, third])
+    plain = [sorted((r.key, r.pos, r.accuracy, r.alert_level) for r in rows) for rows in got]
+    assert [r[:2] for r in plain[0]] == [(1, 10), (1, 30)]
+    assert plain[-1] == [(1, 10, None, "none"), (1, 30, 50.0, "warning"), (1, 42, 100.0, "none"), (1, 45, 50.0, "warning"), (2, 100, None, "none"), (2, 400, 50.0, "warning")]
+
+
+def test_idle_keys_begin_anew(spark, tmp_path):
+    frame = lambda rows: spark.createDataFrame(rows, "key long, pos long, score double, s long").select("key", "pos", "score", F.timestamp_seconds(F.col("s") + 10**9).alias("at"))
+    out = monitor.windowed(source(spark, tmp_path, frame([(1, 0, 0.5, 0)]).schema), 0.0, 2, "at", "0 seconds", idle_s=100)
+    got = batches(spark, tmp_path, out, [frame([(1, 1, 0.5, 10), (1, 2, 0.5, 20)]), frame([(2, 3, 0.5, 500)]), frame([(1, 4, 0.5, 600)])])
+    assert {r.pos: r.accuracy for r in got[-1]} == {1: None, 2: 100.0, 3: None, 4: None}
+
+
+def test_dense_stream_equals_the_table(spark, tmp_path, sf_dir):
+    """Several batches with rows out of order, and empty intervals: every interval that the watermark has passed."""
+    events = table(spark, sf_dir, "events").where("event_id % 17 = 0").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    parts = [events.where(F.col("event_id") % 3 == k).drop("event_id") for k in range(3)]
+    out = monitor.dense(source(spark, tmp_path, parts[0].schema), "event_type", "ts", "value", START, buckets.UNITS["hour"], "40 days")
+    last = spark.sql("select timestamp '2024-04-01 00:00:00' as ts, 'view' as event_type, 1.0D as value")
+    got = {(r.key, r.interval_idx): (r.interval, round(r.aggregated, 6), r.num_samples) for r in batches(spark, tmp_path, out, [*parts, last])[-1]}
+    rows: dict = {}
+    for r in events.collect():
+        rows.setdefault((r.event_type, int((r.ts.timestamp() - START) // 3600)), []).append(r.value)
+    kinds, reach = {k for k, _ in rows}, max(k for _, k in got)
+    assert reach >= max(k for _, k in rows) - 24 * 10
+    want = {(t, k): (START + 3600 * k, round(sum(rows.get((t, k), [])), 6), len(rows.get((t, k), []))) for t in kinds for k in range(reach + 1)}
+    assert got == want and any(v[2] == 0 for v in got.values())
+
+
+def test_stream_series_query(spark, sf_dir):
+    got = {(r.event_type, r.interval_idx): (r.aggregated, r.num_samples) for r in QUERIES["stream_series"](spark, sf_dir).collect()}
+    rows = table(spark, sf_dir, "events").withColumn("over", F.when(F.col("value") > 35, 1).otherwise(0))
+    rows = rows.withColumn("h", F.floor((F.unix_timestamp(F.col("ts").cast("timestamp")) - START) / 3600)).groupBy("event_type", "h").agg(F.sum("over").alias("s"), F.count("*").alias("n")).collect()
+    want, reach = {(r.event_type, r.h): (float(r.s), r.n) for r in rows}, max(k for _, k in got)
+    assert len(got) == 5 * (reach + 1) and reach >= max(k for _, k in want) - 1
+    assert all(got[k] == want.get(k, (0.0, 0)) for k in got)
 
 
 def test_stream_buckets(spark, tmp_path):

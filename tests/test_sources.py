@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.roles import Roles, ids, inputs, outputs, sample_at, sample_by_id, samples_between, with_outputs
+from tidewatch.operators import references
 from tidewatch.sources import datasets
 
 
@@ -174,3 +176,23 @@ def test_samples(spark):
     with pytest.raises(Exception, match="fewer outputs"):
         with_outputs(df, roles, values.limit(3)).collect()
     assert roles.having(id="k").id == "k"
+
+
+def test_natural_order_of_long_numbers(spark):
+    names = ["a12345678901234567890", "a123456789012345678901234", "a2", "a10", "a010", "a0", "a00b", "a", "b1", "a2b3", "a2b20", "", "9" * 60 + "x", "1" + "0" * 60 + "x"]
+    rows = spark.createDataFrame([(n,) for n in names], "n string").select("n", datasets.natural_key(F.col("n")).alias("k")).collect()
+    key = {r.n: r.k for r in rows}
+    plain = lambda n: [(0, int(p), "") if p.isdigit() else (1, 0, p) for p in re.findall(r"[0-9]+|[^0-9]+", n)]
+    for a in names:
+        for b in names:
+            assert (key[a] < key[b]) == (plain(a) < plain(b)) and (key[a] == key[b]) == (plain(a) == plain(b)), (a, b)
+
+
+def test_enrichment_and_labels_of_repeated_ids(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, kind string")
+    known = spark.createDataFrame([(1, "z", 5.0, 2), (1, "y", 7.0, 1), (3, None, 1.0, 1)], "id long, kind string, extra double, at long")
+    got = {r.id: (r.kind, r.extra) for r in references.enrich(df, known, "id", "at").collect()}
+    assert got == {1: ("y", 7.0), 2: ("b", None), 3: ("c", 1.0)}
+    assert {r.id: r.kind for r in references.enrich(df, known.repartition(3), "id").collect()} == {1: "y", 2: "b", 3: "c"}
+    with pytest.raises(Exception, match="no prediction for row 3"):
+        references.relabel(df, spark.createDataFrame([(1, 1), (2, 0)], "id long, prediction int"), "kind", "id").collect()

@@ -185,18 +185,26 @@ def average_band(band_1: Column, band_2: Column) -> Column:
     return F.zip_with(band_1, band_2, lambda a, b: (a + b) / 2)
 
 
-def split_grid(width: int, height: int, part: int) -> Column:
-    """array<struct<row, col, x, y, w, h>> of the parts of a picture; the last row and column may be smaller."""
-    rows, cols = math.ceil(height / part), math.ceil(width / part)
+def split_grid(width: int, height: int, part: int, part_height: int | None = None) -> Column:
+    """array<struct<row, col, x, y, w, h>> of the parts of a picture, square unless a height is given; the last row and
+    column may be smaller."""
+    tall = part_height or part
+    rows, cols = math.ceil(height / tall), math.ceil(width / part)
     cells = F.sequence(F.lit(0), F.lit(rows * cols - 1))
 
     def cell(i: Column) -> Column:
         r, c = F.floor(i / cols).cast("int"), (i % cols).cast("int")
-        return F.struct(r.alias("row"), c.alias("col"), (c * part).alias("x"), (r * part).alias("y"), F.least(F.lit(part), width - c * part).alias("w"), F.least(F.lit(part), height - r * part).alias("h"))
+        return F.struct(r.alias("row"), c.alias("col"), (c * part).alias("x"), (r * tall).alias("y"), F.least(F.lit(part), width - c * part).alias("w"), F.least(F.lit(tall), height - r * tall).alias("h"))
 
     return F.transform(cells, cell)
 
 
+def cut(pixels: Column, width: int, part: Column) -> Column:
+    """The pixels of a part (struct with x, y, w and h) of a row-major picture."""
+    lines = F.transform(F.sequence(F.lit(0), part["h"] - 1), lambda r: F.slice(pixels, ((part["y"] + r) * width + part["x"] + 1).cast("int"), part["w"]))
+    return F.flatten(lines)
+
+
 def mosaic(tiles: Column, cols: int, width: int, height: int) -> Column:
     """The pixels of one picture, row by row, from row-major tiles of equal size in row-major order."""
     count = (F.size(tiles) * (width * height)).cast("int")

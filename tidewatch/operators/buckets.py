@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import each, written
+
 #: Microseconds of interval units, by name.
 UNITS = {"second": 10**6, "minute": 60 * 10**6, "hour": 3600 * 10**6, "day": 86400 * 10**6, "week": 7 * 86400 * 10**6}
 
@@ -37,6 +39,19 @@ def by_time(df: DataFrame, ts: str, value: str, unit: str, start_s: int) -> Data
     return dense(sums, start_s, unit, "aggregated", "num_samples")
 
 
+def by_key(df: DataFrame, ts: str, value: str, unit: str, start_s: int, *keys: str) -> DataFrame:
+    """(keys, interval_idx, interval, aggregated, num_samples): a series for each key, all of them from the earliest to the
+    latest interval of the whole table."""
+    rows = indexed(df, ts, unit)
+    sums = written(rows.groupBy(*keys, "interval_idx").agg(F.sum(F.col(value).cast("double")).alias("aggregated"), F.count("*").alias("num_samples")), "key-sums")
+    last = sums.agg(F.max("interval_idx").alias("_last"))
+    grid = each(sums.select(*keys).distinct().crossJoin(F.broadcast(last)), F.lit(0), F.col("_last"), "interval_idx").drop("_last")
+    same = [F.col(f"g.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
+    filled = grid.alias("g").join(sums.alias("s"), [*same, F.col("g.interval_idx") == F.col("s.interval_idx")], "left")
+    label = (F.lit(start_s) + F.col("g.interval_idx") * (UNITS[unit] // 10**6)).alias("interval")
+    return filled.select("g.*", label, F.coalesce("aggregated", F.lit(0.0)).alias("aggregated"), F.coalesce("num_samples", F.lit(0)).alias("num_samples"))
+
+
 def by_samples(df: DataFrame, pos: str, value: str, samples: int, unit: str, start_s: int) -> DataFrame:
     """The same over runs of `samples` positions."""
     rows = df.withColumn("interval_idx", F.floor(F.col(pos) / samples))

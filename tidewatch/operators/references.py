@@ -25,10 +25,12 @@ def merge(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.unionByName(second, allowMissingColumns=True)
 
 
-def enrich(df: DataFrame, existing: DataFrame, id_col: str) -> DataFrame:
-    """df with the fields that existing rows of the same id have; df's stay where existing has none."""
+def enrich(df: DataFrame, existing: DataFrame, id_col: str, order: str | None = None) -> DataFrame:
+    """df with the fields that existing rows of the same id have; df's stay where existing has none. Of existing rows that
+    share an id the first in `order` counts, or without one the one whose fields are least."""
     fields = [c for c in existing.columns if c != id_col]
-    other = existing.select(id_col, *(F.col(c).alias(f"_new_{c}") for c in fields)).dropDuplicates([id_col])
+    row = F.struct(*(F.col(c).alias(f"_new_{c}") for c in fields))
+    other = existing.groupBy(id_col).agg(F.min_by(row, F.struct(order, row) if order else row).alias("_row")).select(id_col, "_row.*")
     out = df.join(other, id_col, "left")
     for c in fields:
         out = out.withColumn(c, F.coalesce(f"_new_{c}", c) if c in df.columns else F.col(f"_new_{c}"))
@@ -36,5 +38,10 @@ def enrich(df: DataFrame, existing: DataFrame, id_col: str) -> DataFrame:
 
 
 def relabel(df: DataFrame, predictions: DataFrame, output: str, pos: str = "pos") -> DataFrame:
-    """df with its output column overwritten by predictions (pos, prediction)."""
-    return df.drop(output).join(predictions.select(pos, F.col("prediction").alias(output)), pos)
+    """df with its output column overwritten by predictions (pos, prediction); a row without one is an error when it is
+    read."""
+    made = predictions.select(pos, F.col("prediction").alias("_made"), F.lit(True).alias("_there"))
+    kind = predictions.schema["prediction"].dataType
+    lack = F.raise_error(F.concat(F.lit("there is no prediction for row "), F.col(pos).cast("string"))).cast(kind)
+    out = df.join(made, pos, "left").withColumn(output, F.when(F.col("_there"), F.col("_made")).otherwise(lack))
+    return out.drop("_made", "_there")

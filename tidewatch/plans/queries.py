@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, math, pixels
-from ..operators import alerts, buckets, classify, confidence, distances, experiments, models, ordering, references, resample
+from ..operators import alerts, buckets, classify, confidence, distances, experiments, forecast, models, ordering, references, resample
 from ..roles import Roles, sample_at, sample_by_id, samples_between
 from ..sources import datasets
 from ..streaming import monitor
@@ -178,6 +178,43 @@ def ts_metrics(spark, sf_dir):
     return days.join(right, "interval_idx", "left")
 
 
+HOURS = f"""{PRED}, k as (select event_type, (epoch_us(ts) - min(epoch_us(ts)) over ()) // 3600000000 as interval_idx, value from events),
+s as (select event_type, interval_idx, sum((value > 35)::int)::double as aggregated from k group by 1, 2),
+g as (select event_type, unnest(generate_series(0, (select max(interval_idx) from s))) as interval_idx from (select distinct event_type from s)),
+x as (select event_type, interval_idx, coalesce(aggregated, 0) as x from g left join s using (event_type, interval_idx))"""
+#: Two regressions on two terms each, in closed form.
+ARIMA = f"""{HOURS}, y as (select *, x - lag(x) over (partition by event_type order by interval_idx) as y from x),
+l as (select *, lag(y) over w as y1, lag(y, 2) over w as y2 from y window w as (partition by event_type order by interval_idx)),
+f as (select event_type, avg(y) as my, avg(y1) as m1, avg(y2) as m2, var_pop(y1) as v1, var_pop(y2) as v2, covar_pop(y1, y2) as v12, covar_pop(y1, y) as c1, covar_pop(y2, y) as c2 from l where y2 is not null group by 1),
+fb as (select *, (v2 * c1 - v12 * c2) / (v1 * v2 - v12 * v12) as b1, (v1 * c2 - v12 * c1) / (v1 * v2 - v12 * v12) as b2 from f),
+e as (select l.event_type, interval_idx, x, y, y1, y - (my - b1 * m1 - b2 * m2) - b1 * y1 - b2 * y2 as e from l join fb using (event_type) where y2 is not null),
+m as (select *, lag(e) over (partition by event_type order by interval_idx) as e1 from e),
+h as (select event_type, avg(y) as my, avg(y1) as m1, avg(e1) as m2, var_pop(y1) as v1, var_pop(e1) as v2, covar_pop(y1, e1) as v12, covar_pop(y1, y) as c1, covar_pop(e1, y) as c2, count(*) as n from m where e1 is not null group by 1),
+hb as (select *, (v2 * c1 - v12 * c2) / (v1 * v2 - v12 * v12) as ar, (v1 * c2 - v12 * c1) / (v1 * v2 - v12 * v12) as ma from h),
+hc as (select event_type, n, ar, ma, my - ar * m1 - ma * m2 as constant from hb),
+o as (select m.event_type, interval_idx, x, constant + ar * y1 + ma * e1 + x - y as mean, y - constant - ar * y1 - ma * e1 as wrong from m join hc using (event_type) where e1 is not null),
+sg as (select event_type, sqrt(avg(wrong * wrong)) as sigma from o group by 1)"""
+
+
+def arima(spark: SparkSession, sf_dir: str) -> forecast.Fitted:
+    """A model of each event type's hourly series."""
+    rows = table(spark, sf_dir, "events").withColumn("over", classify.binarize(F.col("value"), THRESHOLD))
+    return forecast.fit(buckets.by_key(rows, "ts", "over", "hour", START, "event_type"), 1, 1, 1, ["event_type"], long=2)
+
+
+@query(f"with {ARIMA} select event_type, n, round(constant, 6) as constant, round(ar, 6) as ar, round(ma, 6) as ma, round(sigma, 6) as sigma from hc join sg using (event_type)")
+def arima_models(spark, sf_dir):
+    rows = arima(spark, sf_dir).coefficients
+    return rows.select("event_type", "n", *(F.round(c, 6).alias(a) for c, a in ((F.col("constant"), "constant"), (F.col("ar")[0], "ar"), (F.col("ma")[0], "ma"), (F.col("sigma"), "sigma"))))
+
+
+@query(f"with {ARIMA} select event_type, interval_idx, 1704067200 + interval_idx * 3600 as interval, x as aggregated, round(mean, 5) as mean, round(wrong / (0.994457883209753::double * sigma), 5) as z from o join sg using (event_type)")
+def arima_ztest(spark, sf_dir):
+    """Hours against the forecasts of fitted models."""
+    rows = forecast.one_step(arima(spark, sf_dir))
+    return rows.select("event_type", "interval_idx", "interval", "aggregated", F.round("mean", 5).alias("mean"), F.round(distances.z_of(), 5).alias("z"))
+
+
 # confidence
 
 
@@ -324,9 +361,11 @@ def drift_prevalence(spark, sf_dir):
     return drawn(spark, sf_dir, prevalence_draws(spark, sf_dir))
 
 
-@query(f"with {DRAWS}, {BASE}, {PREVALENCE} select sample_group_id, bin_idx::int as bin_idx, round(100.0 * count(*) / 100, 2)::double as percent from a group by 1, 2")
+@query(f"with {DRAWS}, {BASE}, {PREVALENCE}, {DRAWN} select sample_group_id, b.event_type, round(100.0 * count(*) / 100, 2)::double as percent from r join events b on b.event_id = r.original_id group by 1, 2")
 def prevalence_check(spark, sf_dir):
-    return resample.prevalence(prevalence_draws(spark, sf_dir), "pos", SIZE, "bin_idx")
+    """What the drawn samples of each group are, by their own rows' type."""
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("original_id"), "event_type")
+    return resample.prevalence(drift_prevalence(spark, sf_dir).join(events, "original_id"), "pos", SIZE, "event_type")
 
 
 @query(f"with {DRAWS}, {BASE}, a as (select *, sample_group_id % 5 as bin_idx from d), {DRAWN} select substr(sha256('7:' || pos), 1, 20) as id, 1704067200 + pos * 3600 as timestamp, original_id, sample_group_id from r")
@@ -349,9 +388,11 @@ def configured_drift(spark, sf_dir):
     return resample.apply_drift(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id", "event_type", "event_id", params)
 
 
-@query(f"with {DRAWS} select count(distinct sample_group_id) as num_groups, count(*) filter (sample_group_id = 0) as group_size from d")
+@query(f"with {DRAWS}, {BASE}, a as (select *, sample_group_id % 5 as bin_idx from d), {DRAWN}, e as (select sample_group_id, r.original_id from r join events on event_id = r.original_id) select count(distinct sample_group_id) as num_groups, count(*) filter (sample_group_id = 0) as group_size from e")
 def group_sizes(spark, sf_dir):
-    return resample.group_sizes(schedule(spark, sf_dir))
+    """Groups of the references that meet a base row."""
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("original_id"))
+    return resample.group_sizes(drift_references(spark, sf_dir).join(events, "original_id"))
 
 
 @query("with o as (select o_orderkey, o_orderstatus, row_number() over (partition by o_orderstatus order by o_orderkey) - 1 as slot from orders) select o_orderkey, case o_orderstatus when 'O' then 0 else 1 end as bin_idx, slot from o where o_orderstatus in ('O', 'F')")
@@ -460,9 +501,12 @@ def metric_parameters(spark, sf_dir):
     return alerts.with_parameters(found.select("metric").distinct(), found)
 
 
-@query("select k as n, (100 + k * 100)::double as value, lpad(k::varchar, 3, '0') || '-drift--level-' || (100 + k * 100) || '.0.json' as file_name from (select unnest(generate_series(0, 4)) as k)")
+@query("select k as n, (100 + k * 100)::double as value, lpad(k::varchar, 3, '0') || '-drift--level-' || (100 + k * 100) || '.0.json' as file_name, count(*) filter (value * 10 >= 100 + k * 100) as reached from (select unnest(generate_series(0, 4)) as k), events group by k")
 def param_sweep(spark, sf_dir):
-    return experiments.sweep(spark, "params.level", 100, 500, 100, "drift")
+    """Each configuration of a sweep, with how many events reach its level."""
+    levels = experiments.sweep(spark, "params.level", 100, 500, 100, "drift")
+    events = table(spark, sf_dir, "events").select((F.col("value") * 10).alias("size"))
+    return experiments.run_sweep(events, levels, (F.col("size") >= F.col("value")).cast("long")).groupBy("n", "value", "file_name").agg(F.sum("drifted").alias("reached"))
 
 
 @query("with v as (select unnest([100.0, 200.0, 300.0, 400.0, 500.0]) as level) select level::double as value, round(avg(least(value, level / 5)), 6)::double as metric from events, v group by 1")
@@ -535,9 +579,22 @@ def affine_pixels(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
 
 
-@query("with c as (select unnest(generate_series(0, 5)) as i) select (i // 3)::int as row, (i % 3)::int as col, (i % 3 * 1000)::int as x, (i // 3 * 1000)::int as y, least(1000, 2300 - i % 3 * 1000)::int as w, least(1000, 1400 - i // 3 * 1000)::int as h from c")
+PIXELS = "x as (select vec_id, list_transform(embedding, lambda v: least(greatest(round((v::double + 1) * 127.5), 0), 255)) as px from embeddings)"
+
+
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, px: 64 pixels) of embeddings."""
+    level = lambda v: F.least(F.greatest(F.round((v + 1) * 127.5), F.lit(0.0)), F.lit(255.0))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.col("embedding").cast("array<double>"), level).alias("px"))
+
+
+@query(f"""with {PIXELS}, c as (select unnest(generate_series(0, 5)) as i), g as (select (i // 3)::int as row, (i % 3)::int as col, i % 3 * 3 as x, i // 3 * 4 as y, least(3, 8 - i % 3 * 3) as w, least(4, 8 - i // 3 * 4) as h from c)
+select vec_id, row, col, w::int as w, h::int as h, round(list_sum(list_transform(generate_series(0, w * h - 1), lambda j: px[(y + j // w) * 8 + x + j % w + 1])), 6) as total from x, g""")
 def grid_split(spark, sf_dir):
-    return spark.range(1).select(F.inline(pixels.split_grid(2300, 1400, 1000)))
+    """The parts of every picture of 8 x 8 pixels, with the sum of each part's pixels."""
+    rows = pictures(spark, sf_dir).select("vec_id", "px", F.explode(pixels.split_grid(8, 8, 3, 4)).alias("part"))
+    inside = pixels.cut(F.col("px"), 8, F.col("part"))
+    return rows.select("vec_id", "part.row", "part.col", "part.w", "part.h", F.round(F.aggregate(inside, F.lit(0.0), lambda a, v: a + v), 6).alias("total"))
 
 
 @query(f"""with {GEO}, c as (select unnest(generate_series(0, 5)) as i), r as (select i, i % 3 * 1000 as x, i // 3 * 1000 as y, least(1000, 2300 - i % 3 * 1000) as w, least(1000, 1400 - i // 3 * 1000) as h from c),
@@ -550,15 +607,6 @@ def part_corners(spark, sf_dir):
     return rows.select("event_id", "part.row", "part.col", *(F.round(c, 7).alias(n) for n, c in corners.items()))
 
 
-PIXELS = "x as (select vec_id, list_transform(embedding, lambda v: least(greatest(round((v::double + 1) * 127.5), 0), 255)) as px from embeddings)"
-
-
-def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(vec_id, px: 64 pixels) of embeddings."""
-    level = lambda v: F.least(F.greatest(F.round((v + 1) * 127.5), F.lit(0.0)), F.lit(255.0))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.col("embedding").cast("array<double>"), level).alias("px"))
-
-
 def _whole(rows: DataFrame, digits: int = 6, *keys: str) -> DataFrame:
     """A row a pixel."""
     return rows.select("vec_id", *keys, F.posexplode("px").alias("i", "pixel")).withColumn("pixel", F.round(F.col("pixel").cast("double"), digits))
@@ -656,7 +704,7 @@ def image_scan(spark, sf_dir):
     return rows.select("id", "image_path", "kind")
 
 
-@query("""with k as (select page_id, url, array_to_string(list_transform(regexp_extract_all(url, '[0-9]+|[^0-9]+'), lambda p: case when regexp_matches(p, '^[0-9]') then lpad(p, 20, '0') else p end), '') as key from pages)
+@query("""with k as (select page_id, url, array_to_string(list_transform(regexp_extract_all(url, '[0-9]+|[^0-9]+'), lambda p: case when regexp_matches(p, '^[0-9]') then lpad(length(ltrim(p, '0'))::varchar, 10, '0') || ltrim(p, '0') else p end), '') as key from pages)
 select page_id, url, row_number() over (order by key, page_id) as place from k""")
 def natural_order(spark, sf_dir):
     names = table(spark, sf_dir, "pages").select("page_id", "url", datasets.natural_key(F.col("url")).alias("key"))
@@ -695,12 +743,22 @@ def logistic_predictions(spark, sf_dir):
 
 @query()
 def stream_monitor(spark, sf_dir):
-    """Scores of embeddings as a stream of ten keys: accuracy over the latest seven and alert levels."""
+    """Scores of embeddings as a stream of ten keys, in order of their event time: accuracy over the latest seven and alert levels."""
     place = f"{sf_dir}/embeddings.parquet"
     # a pattern, as the source takes a folder or a pattern but no single file
     stream = spark.readStream.schema(spark.read.parquet(place).schema).parquet(place.replace(".parquet", "[.]parquet"))
-    scores = stream.select((F.col("vec_id") % 10).alias("key"), F.col("vec_id").alias("pos"), confidence.entropy_score(probabilities()).alias("score"))
-    return monitor.run_to_end(monitor.monitor(scores, -2.2, 7, [(30.0, "critical"), (60.0, "warning")]), "monitor")
+    scores = stream.select((F.col("vec_id") % 10).alias("key"), F.col("vec_id").alias("pos"), confidence.entropy_score(probabilities()).alias("score"), F.timestamp_seconds(F.col("vec_id") + START).alias("at_time"))
+    return monitor.run_to_end(monitor.monitor(scores, -2.2, 7, [(30.0, "critical"), (60.0, "warning")], "at_time"), "monitor")
+
+
+@query()
+def stream_series(spark, sf_dir):
+    """Hourly sums of each event type as a stream: dense up to the last whole hour."""
+    place = f"{sf_dir}/events.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(place).schema).parquet(place.replace(".parquet", "[.]parquet"))
+    rows = stream.select("event_type", F.col("ts").cast("timestamp").alias("at_time"), classify.binarize(F.col("value"), THRESHOLD).alias("over"))
+    out = monitor.dense(rows, "event_type", "at_time", "over", START, buckets.UNITS["hour"], "0 seconds")
+    return monitor.run_to_end(out, "series").withColumnRenamed("key", "event_type")
 
 
 @query("select event_id, substr(md5('0:' || event_id), 1, 8) as digits, (('0x' || substr(md5('0:' || event_id), 1, 8))::bigint) as number from events")

@@ -76,9 +76,12 @@ def number_or_zero(column: str) -> Column:
 
 
 def natural_key(column: Column) -> Column:
-    """Sorts names by the value of the numbers in them: digit runs padded to 20 places."""
+    """Sorts names by the value of the numbers in them, of any length: a run of digits becomes the count of its digits, leading
+    zeros aside, in ten places, and then these digits."""
     parts = F.regexp_extract_all(column, F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(p, 20, "0")).otherwise(p)), "")
+    digits = lambda p: F.regexp_replace(p, "^0+", "")
+    value = lambda p: F.concat(F.lpad(F.length(digits(p)).cast("string"), 10, "0"), digits(p))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), value(p)).otherwise(p)), "")
 
 
 def basename(path: Column) -> Column:
