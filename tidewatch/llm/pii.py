@@ -1,7 +1,7 @@
 """Personal data: format rules, and bootstrapped contextual extraction on top, with DataFrame functions only.
 
-1. One narrow pass finds, per text, the matches of each format rule and candidates - tokens with digits - with the two
-   whole words on either side. No text leaves this pass, only its digest. Copies of a text are looked at once from here on.
+1. One narrow pass finds, per text, the matches of each format rule and candidates - whole tokens with a digit or a mark
+   inside, whatever they look like otherwise - with the two whole words on either side. No text leaves this pass, only its digest. Copies of a text are looked at once from here on.
 2. Offsets are prefix sums over a text's own matches; invalid matches and candidates inside valid ones go.
 3. Seeds (valid matches) and candidates form a bipartite graph with lexical patterns: the word or the two words before
    them, the word after, and the words on both sides. Spark scores it in rounds: a pattern is as good as the share of its
@@ -14,7 +14,7 @@ no text takes quadratic time or deep recursion; they match what the plain ones i
 
 Defined cases: a null text counts as empty (no spans); a very long text is searched whole, and its words of context are
 whole however long; repeated rows get equal spans and count once as evidence; of equal confidences for two kinds of an
-instance the kind that sorts last wins; spans that overlap all count, and are redacted as one; an empty table gives an
+instance the kind that sorts last wins; a discovered span is a whole token, without the punctuation around it; spans that overlap all count, and are redacted as one; an empty table gives an
 empty result; common patterns are aggregated before they are shuffled; only the named columns are read, so others never
 clash.
 """
@@ -39,9 +39,13 @@ RULES = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: What a text must hold for the rule to be tried.
-NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]", "candidate": "[0-9]"}
-#: Candidates: runs of letters, digits and joining marks with at least 4 digits.
-CANDIDATE = r"(?<![A-Za-z0-9_.+/@-])[A-Za-z_.+/@-]*+(?:[0-9][A-Za-z_.+/@-]*+){4,}+"
+MARKED = r"[0-9@_/+=~]|[\p{L}][.:][\p{L}]"
+NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]", "candidate": MARKED}
+#: Candidates: tokens between white space that hold a digit, one of @ _ / + = ~, or a full stop or colon between letters.
+#: Words of letters alone are none, as every word of every text would be one.
+CANDIDATE = rf"(?<!\S)(?=\S*?(?:{MARKED}))\S++"
+#: Punctuation around a token that is no part of it.
+BEFORE, AFTER = r"^[\[({<\"'*#|]+", r"[\])}>\"'*#|.,;:!?]+$"
 #: The two nearest words of context at the start of a text.
 CONTEXT = r"\A\s*+(\S++(?:\s++\S++)?)"
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -87,7 +91,7 @@ def occurrences(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(key: the text's digest, kind, start, end, value, left, right) of every valid match and of every candidate that
     touches none, once per distinct text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(text_key(F.col(text_col)).alias("key"), text.alias("text")).where(F.col("text").rlike("[0-9@]"))
+    rows = docs.select(text_key(F.col(text_col)).alias("key"), text.alias("text")).where(F.col("text").rlike(MARKED))
     hits = F.concat(*(_matches(F.col("text"), k, p) for k, p in [*RULES.items(), ("candidate", CANDIDATE)]))
     rows = rows.select("key", hits.alias("hits")).where(F.size("hits") > 0)
     rows = workspace.materialize(rows, "matches").groupBy("key").agg(F.first("hits").alias("hits"))
@@ -97,6 +101,11 @@ def occurrences(docs: DataFrame, text_col: str = "text") -> DataFrame:
     end = F.sum(F.col("gap") + F.length("value")).over(order).cast("long")
     rows = rows.withColumn("end", end).withColumn("start", F.col("end") - F.length("value")).where(_valid(F.col("kind"), F.col("value")))
     base = F.col("kind") != "candidate"
+    # a candidate without the punctuation around it
+    bare = F.regexp_replace(F.regexp_replace("value", BEFORE, ""), AFTER, "")
+    rows = rows.withColumn("start", F.when(base, F.col("start")).otherwise(F.col("start") + F.length("value") - F.length(F.regexp_replace("value", BEFORE, ""))))
+    rows = rows.withColumn("value", F.when(base, F.col("value")).otherwise(bare)).where(base | F.col("value").rlike(r"[\p{L}0-9]"))
+    rows = rows.withColumn("end", F.col("start") + F.length("value"))
     before = Window.partitionBy("key").orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy("key").orderBy("start", "end", "kind").rowsBetween(1, Window.unboundedFollowing)
     rows = rows.withColumn("reach", F.max(F.when(base, F.col("end"))).over(before)).withColumn("next", F.min(F.when(base, F.col("start"))).over(after))
@@ -201,11 +210,11 @@ def redacted(text: Column, found: Column) -> Column:
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with personal data in text_col replaced; all columns and rows stay. Texts without a digit or an at sign
-    hold none, and go past the join."""
+    """docs with personal data in text_col replaced; all columns and rows stay. Texts without a digit or a mark hold none, and
+    go past the join."""
     key, marks = workspace.fresh(docs, "pii_key"), workspace.fresh(docs, "pii_spans")
     found = spans(docs, text_col).select(F.col("key").alias(key), F.col("all").alias(marks))
-    some = F.coalesce(F.col(text_col).rlike("[0-9@]"), F.lit(False))
+    some = F.coalesce(F.col(text_col).rlike(MARKED), F.lit(False))
     joined = docs.where(some).withColumn(key, text_key(F.col(text_col))).join(found.hint("merge"), key, "left")
     changed = joined.withColumn(text_col, redacted(F.col(text_col), F.col(marks))).select(*docs.columns)
     return changed.unionByName(docs.where(~some))
