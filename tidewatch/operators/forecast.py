@@ -47,6 +47,7 @@ def _sums(df: DataFrame, keys: Sequence[str], terms: Sequence[Column]) -> DataFr
     named = df.withColumns({f"_t{i}": t.cast("double") for i, t in enumerate(terms)})
     pairs = [(i, j) for i in range(len(terms)) for j in range(i, len(terms))]
     out = named.groupBy(*keys).agg(*(F.sum(F.col(f"_t{i}") * F.col(f"_t{j}")).alias(f"_s{i}_{j}") for i, j in pairs), F.count("*").alias("n"))
+    out = out.where("n > 0")  # without keys there is a row of no rows
     return out.select(*keys, "n", F.array(*(f"_s{i}_{j}" for i, j in pairs)).alias("sums"))
 
 
