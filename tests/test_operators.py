@@ -375,15 +375,52 @@ def test_rays(spark):
     assert np.allclose(pixels.ray_lengths(0, 34), (32.2 / 98.2 * 100, 0, 66 / 98.2 * 100))
 
 
-def test_noise_is_smooth_and_bounded(spark):
-    rows = spark.range(4000).select((F.col("id") / 97.0).alias("x"), (F.col("id") % 61 / 13.0).alias("y"))
-    near = rows.select(pixels.gradient_noise(F.col("x"), F.col("y"), F.lit(0.3)).alias("a"), pixels.gradient_noise(F.col("x") + 1e-4, F.col("y"), F.lit(0.3)).alias("b")).collect()
-    a, b = np.array([r.a for r in near]), np.array([r.b for r in near])
-    assert abs(a).max() <= 1.1 and a.std() > 0.1 and abs(a - b).max() < 1e-3
-    corner = spark.range(50).select(pixels.gradient_noise(F.col("id").cast("double"), F.col("id") * 3.0, F.lit(2.0)).alias("v")).collect()
-    assert all(r.v == 0 for r in corner)
-    levels = spark.range(1).select(pixels.layered_noise(4, 3)).first()[0]
-    assert len(levels) == 12 and all(0 <= x <= 255 for x in levels)
+def plain_noise(x, y, z, p):
+    """Gradient noise of one point from its definition: twelve directions to the edges of a cube, four of them twice."""
+    edges = [(1, 1, 0), (-1, 1, 0), (1, -1, 0), (-1, -1, 0), (1, 0, 1), (-1, 0, 1), (1, 0, -1), (-1, 0, -1), (0, 1, 1), (0, -1, 1), (0, 1, -1), (0, -1, -1), (1, 1, 0), (0, -1, 1), (-1, 1, 0), (0, -1, -1)]
+    cell = [int(np.floor(v)) for v in (x, y, z)]
+    total = 0.0
+    for corner in np.ndindex(2, 2, 2):
+        at = [(c + d) % 256 for c, d in zip(cell, corner)]
+        edge = edges[p[(p[(p[at[0]] + at[1]) % 256] + at[2]) % 256] % 16]
+        away = [v - c - d for v, c, d in zip((x, y, z), cell, corner)]
+        fade = [6 * t**5 - 15 * t**4 + 10 * t**3 for t in (v - c for v, c in zip((x, y, z), cell))]
+        total += sum(e * a for e, a in zip(edge, away)) * np.prod([f if d else 1 - f for f, d in zip(fade, corner)])
+    return total
+
+
+def test_noise_by_definition(spark):
+    rng = np.random.default_rng(3)
+    table = [int(v) for v in rng.permutation(256)]
+    x, y, z = rng.uniform(-300, 600, (3, 200))
+    got = pixels.lattice_noise(x, y, z, table)
+    assert np.allclose(got, [plain_noise(*at, table) for at in zip(x, y, z)], atol=1e-9) and np.abs(got).max() <= 1.1
+    assert np.allclose(pixels.lattice_noise(np.arange(9.0), np.arange(9.0) * 3, np.full(9, 2.0), table), 0)
+    with pytest.raises(ValueError, match="permutation"):
+        pixels.lattice_noise(x, y, z, [0] * 256)
+    depths = [[3.0 + k for k in range(12)], None]
+    out = [r[0] for r in spark.createDataFrame([(d,) for d in depths], "d array<double>").coalesce(1).select(pixels.layered_noise(F.col("d"), 4, 3, table)).collect()]
+    want = [sum(np.trunc((plain_noise(k % 4 * s, k // 4 * s, depths[0][k] * s, table) + add) * 128) * w for s, add, w in pixels.NOISE_FIELDS) / 3 for k in range(12)]
+    assert np.allclose(out[0], want) and out[1] is None
+
+
+@pytest.mark.parametrize(("radius", "side"), [(2, 64), (5, 64), (20, 64), (9, 5), (4, 1)])
+def test_blur_by_convolution(spark, radius, side):
+    """Against a plain sum over the kernel; the reach may be larger than the picture."""
+    rng, wide = np.random.default_rng(radius), side + (side > 1)
+    picture = rng.uniform(0, 255, (side, wide))
+    kernel, reach = np.array(pixels.box_kernel(radius, 0.3)), radius - 1
+
+    def place(v, n):
+        while not 0 <= v < n:
+            v = 0 if n == 1 else -v if v < 0 else 2 * (n - 1) - v
+        return v
+
+    padded = np.array([[picture[place(r, side), place(c, wide)] for c in range(-reach, wide + reach)] for r in range(-reach, side + reach)])
+    want = np.array([[np.sum(padded[r : r + 2 * reach + 1, c : c + 2 * reach + 1] * kernel) for c in range(wide)] for r in range(side)])
+    rows = spark.createDataFrame([(1, picture.ravel().tolist()), (2, None)], "id int, px array<double>").withColumn("px", pixels.blur(F.col("px"), wide, side, radius, 0.3)).collect()
+    got = {r.id: r.px for r in rows}
+    assert np.allclose(got[1], want.ravel(), atol=1e-9) and got[2] is None
 
 
 def test_tile_points(spark):

@@ -6,6 +6,7 @@ import math
 import struct
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.sources import datasets, pictures
@@ -74,3 +75,64 @@ def test_pictures_round_trip(spark, tmp_path):
     got = {r.name: (r.height, r.width, r.channels, bytes(r.data)) for r in found.collect()}
     assert got == {r[0]: (r[1], r[2], r[3], bytes(r[4])) for r in rows}
     pictures.write_images(df.limit(0), str(tmp_path / "nothing"))
+
+
+def test_a_failing_task_leaves_nothing(spark, tmp_path):
+    """The job fails after other tasks, and this one, have written pictures."""
+    pixels = bytes(range(12))
+    rows = spark.range(40).repartition(4).withColumn("name", F.concat(F.lit("p"), F.col("id").cast("string"), F.lit(".png")))
+
+    @F.udf("binary")
+    def data(i):
+        if i == 33:
+            raise ValueError("a broken picture")
+        return pixels
+
+    @F.udf("binary")
+    def whole(i):
+        return pixels
+
+    shape = {"height": F.lit(2), "width": F.lit(2), "channels": F.lit(3)}
+    folder = tmp_path / "out"
+    with pytest.raises(Exception, match="a broken picture"):
+        pictures.write_images(rows.withColumns({**shape, "data": data("id")}), str(folder))
+    assert not folder.exists() or not list(folder.rglob("*"))
+    pictures.write_images(rows.withColumns({**shape, "data": whole("id")}), str(folder))
+    pictures.write_images(rows.limit(1).withColumns({**shape, "data": whole("id"), "name": F.lit("more.png")}), str(folder))
+    assert sorted(p.name for p in folder.rglob("*")) == sorted([*(f"p{k}.png" for k in range(40)), "more.png"])
+    assert (folder / "p7.png").read_bytes() == pictures.png(pixels, 2, 2, 3)
+
+
+def geotiff(order, width, height, model, projection, matrix=None, padding=200_000):
+    """A TIFF file with pixels before its directory, and values after it."""
+    doubles = {33550: (2.0, 3.0, 0.0), 33922: (10.0, 20.0, 0.0, 500.0, 900.0, 0.0)} if matrix is None else {34264: matrix}
+    keys = [1, 1, 0, 1 + bool(projection), 1024, 0, 1, model] + ([3072, 0, 1, projection] if projection else [])
+    entries, at = [(256, 3, 1, struct.pack(order + "HH", width, 0)), (257, 3, 1, struct.pack(order + "HH", height, 0))], 8 + padding
+    after = at + 2 + 12 * (3 + len(doubles)) + 4
+    tail = b""
+    for tag, values in doubles.items():
+        entries.append((tag, 12, len(values), struct.pack(order + "I", after + len(tail))))
+        tail += struct.pack(order + f"{len(values)}d", *values)
+    entries.append((34735, 3, len(keys), struct.pack(order + "I", after + len(tail))))
+    tail += struct.pack(order + f"{len(keys)}H", *keys)
+    head = (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "I", at) + b"\7" * padding
+    return head + struct.pack(order + "H", len(entries)) + b"".join(struct.pack(order + "HHI", *e[:3]) + e[3] for e in entries) + struct.pack(order + "I", 0) + tail
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_corners_of_geotiffs_by_byte_ranges(spark, tmp_path, order):
+    matrix = (0.5, 0.25, 0.0, 7.0, 0.125, -0.5, 0.0, 50.0, *(0.0,) * 7, 1.0)
+    x, y = 1_000_000.0, 6_000_000.0
+    mercator = (2.0, 0.0, 0.0, x, 0.0, -2.0, 0.0, y, *(0.0,) * 7, 1.0)
+    files = {"scaled": geotiff(order, 100, 50, 2, 0), "turned": geotiff(order, 40, 20, 2, 0, matrix), "mercator": geotiff(order, 100, 50, 1, 3857, mercator), "other": geotiff(order, 100, 50, 1, 32633), "cut": geotiff(order, 100, 50, 2, 0)[:-40], "none": b"", "text": b"hello" * 3000}
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    paths = spark.createDataFrame([(f"file://{tmp_path}/{n}",) for n in files], "path string")
+    got = {r.path.rsplit("/", 1)[1]: r for r in pictures.headers(paths).collect()}
+    assert got["scaled"].affine == [2.0, 0.0, 480.0, 0.0, -3.0, 960.0] and got["scaled"].corners == [960.0, 480.0, 810.0, 680.0] and (got["scaled"].width, got["scaled"].height) == (100, 50)
+    assert got["turned"].corners == [50.0, 7.0, 50 + 40 * 0.125 - 20 * 0.5, 7 + 40 * 0.5 + 20 * 0.25]
+    lat = lambda v: math.degrees(2 * math.atan(math.exp(v / 6378137.0)) - math.pi / 2)
+    assert got["mercator"].corners == pytest.approx([lat(y), math.degrees(x / 6378137), lat(y - 100), math.degrees((x + 200) / 6378137)])
+    assert got["other"].affine is not None and got["other"].corners is None
+    assert all(got[n].affine is None and got[n].corners is None and got[n].lat is None for n in ("cut", "none", "text"))
+    assert all(0 < got[n].bytes_read <= 4 * pictures.RANGE < len(files[n]) for n in ("scaled", "turned", "mercator"))

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import each
+
 #: Fixed values of the projection.
 EARTH_RADIUS, MIN_LAT, MAX_LAT, MIN_LONG, MAX_LONG = 6378137.0, -85.05112878, 85.05112878, -180.0, 180.0
 TILE = 256
@@ -65,6 +67,40 @@ def part_corners(lat: Column, long: Column, level: Column, part: Column) -> dict
     return {f"{name}_{axis}": value for name, (a, b) in at.items() for axis, value in zip(("lat", "long"), lat_long(a, b, level), strict=True)}
 
 
+def maps_from_tiles(maps: DataFrame, tiles: DataFrame, part: int = 1000, tile: int = TILE) -> DataFrame:
+    """Maps put together from tiles and split again: maps (map_id, lat, long, z, radius) and tiles (z, tx, ty, px: tile * tile
+    pixels, row by row) give (map_id, row, col, x, y, w, h, px, and coordinates of the centre, the top left and the bottom right
+    of each part) of the square of tiles around each map's point.
+
+    No picture is ever whole: a tile is cut along the parts that it touches into runs of pixels of one line, and a part is the
+    runs of its lines in order, so the largest group is one part. A tile that is missing is black, beyond the map's edge too;
+    of tiles that share a place the one with the least pixels' hash counts; maps with one id are one map of each point."""
+    px, py = pixel_xy(F.col("lat"), F.col("long"), F.col("z"))
+    cx, cy = tile_xy(px, py)
+    around = maps.select("map_id", "z", (cx - F.col("radius")).alias("_x0"), (cy - F.col("radius")).alias("_y0"), (2 * F.col("radius") + 1).cast("long").alias("_n")).distinct()
+    places = each(each(around, F.col("_x0"), F.col("_x0") + F.col("_n") - 1, "tx"), F.col("_y0"), F.col("_y0") + F.col("_n") - 1, "ty")
+    once = tiles.groupBy("z", "tx", "ty").agg(F.min_by("px", F.xxhash64("px")).alias("px"))
+    black = F.array_repeat(F.lit(0.0), tile * tile)
+    cut = places.join(once, ["z", "tx", "ty"], "left").withColumn("px", F.coalesce(F.col("px").cast("array<double>"), black))
+    cut = cut.withColumn("_ox", (F.col("tx") - F.col("_x0")) * tile).withColumn("_oy", (F.col("ty") - F.col("_y0")) * tile)
+    parts = lambda o: F.sequence(F.floor(F.col(o) / part), F.floor((F.col(o) + (tile - 1)) / part))
+    cut = cut.withColumn("col", F.explode(parts("_ox"))).withColumn("row", F.explode(parts("_oy")))
+    left, right = F.greatest(F.col("col") * part, F.col("_ox")), F.least((F.col("col") + 1) * part, F.col("_ox") + tile)
+    top, bottom = F.greatest(F.col("row") * part, F.col("_oy")), F.least((F.col("row") + 1) * part, F.col("_oy") + tile)
+    cut = cut.withColumn("_l", left).withColumn("_w", right - left).withColumn("_line", F.explode(F.sequence(top, bottom - 1)))
+    run = F.slice("px", ((F.col("_line") - F.col("_oy")) * tile + F.col("_l") - F.col("_ox") + 1).cast("int"), F.col("_w").cast("int"))
+    lines = F.array_sort(F.collect_list(F.struct(F.col("_line").alias("y"), F.col("_l").alias("x"), run.alias("run"))))
+    made = cut.groupBy("map_id", "z", "_x0", "_y0", "_n", "row", "col").agg(F.flatten(F.transform(lines, lambda v: v["run"])).alias("px"))
+    side = F.col("_n") * tile
+    own = F.struct((F.col("col") * part).alias("x"), (F.col("row") * part).alias("y"), F.least(F.lit(part), side - F.col("col") * part).alias("w"), F.least(F.lit(part), side - F.col("row") * part).alias("h"))
+    made = made.withColumn("part", own)
+    scale = TILE // tile  # coordinates count pixels of the projection
+    full = F.struct(*((F.col("part")[k] * scale).alias(k) for k in ("x", "y", "w", "h")))
+    lat, long = tile_corner(F.col("_x0"), F.col("_y0"), F.col("z"))
+    corners = part_corners(lat, long, F.col("z"), full)
+    return made.select("map_id", "row", "col", "part.*", "px", *(c.alias(n) for n, c in corners.items()))
+
+
 def _spread(x: Column) -> Column:
     """The low 31 bits of x, a zero above each."""
     x = x.cast("long")

@@ -1,9 +1,13 @@
-"""Image drift on rows of pixels (arrays of values from 0 to 255), as array expressions."""
+"""Image drift on rows of pixels (arrays of values from 0 to 255): array expressions, and NumPy over Arrow batches of pictures
+where a pixel depends on many others (blur) or on a table (noise)."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,39 +77,56 @@ def haze(pixels: Column, channel: int, visibility_aerosol: float = 450.0, visibi
 NOISE_FIELDS = ((1 / 130.0, 1.0, 1.0), (1 / 60.0, 0.5, 0.5), (1 / 10.0, 1.2, 0.25))
 
 
-def gradient_noise(x: Column, y: Column, z: Column, seed: int = 0) -> Column:
-    """Gradient noise at a point, from about -1 to 1 and 0 at lattice points: slopes of the eight corners around it, blended
-    by a quintic. A corner's slope is one of twelve, by a hash of the corner and the seed instead of a printed table."""
-    fade = lambda t: t * t * t * (t * (t * 6 - 15) + 10)
-    lattice = [(F.floor(v), v - F.floor(v)) for v in (x, y, z)]
-    weight = [fade(f) for _, f in lattice]
-
-    def slope(corner: tuple[int, int, int]) -> Column:
-        k = F.pmod(F.xxhash64(F.lit(seed), *(c + d for (c, _), d in zip(lattice, corner, strict=True))), F.lit(12))
-        a, b, c = (f - d for (_, f), d in zip(lattice, corner, strict=True))
-        first, second = F.when(k < 8, a).otherwise(b), F.when(k < 4, b).otherwise(c)
-        return F.when(k % 2 == 0, first).otherwise(-first) + F.when(F.floor(k / 2) % 2 == 0, second).otherwise(-second)
-
-    values = {(i, j, k): slope((i, j, k)) for i in (0, 1) for j in (0, 1) for k in (0, 1)}
+def permutation(seed: int = 0) -> tuple[int, ...]:
+    """A table of 256 numbers in a pseudorandom order, for noise that isn't to equal another program's."""
+    return tuple(int(x) for x in np.random.default_rng(seed).permutation(256))
+
+
+def lattice_noise(x: np.ndarray, y: np.ndarray, z: np.ndarray, table: Sequence[int]) -> np.ndarray:
+    """Gradient noise at points, from about -1 to 1 and 0 at lattice points: the slopes of the eight corners around a point,
+    blended by a quintic. The table, a permutation of 0..255, gives a corner's number by three look-ups, and its low four
+    bits one of sixteen slopes (the twelve edges of a cube, four of them twice). With the table that is printed for this
+    noise the values are the known ones; the lattice repeats every 256."""
+    if sorted(table) != list(range(256)):
+        raise ValueError("the table isn't a permutation of 0 to 255")
+    p = np.array(list(table) * 2)
+    cells, parts = [], []
+    for v in (x, y, z):
+        low = np.floor(v)
+        cells.append(low.astype(np.int64) & 255)
+        parts.append(v - low)
+    weight = [t * t * t * (t * (t * 6 - 15) + 10) for t in parts]
+    corners = {}
+    for i in (0, 1):
+        for j in (0, 1):
+            for k in (0, 1):
+                number = p[(p[(p[(cells[0] + i) & 255] + cells[1] + j) & 255] + cells[2] + k) & 255] & 15
+                a, b, c = parts[0] - i, parts[1] - j, parts[2] - k
+                first = np.where(number < 8, a, b)
+                second = np.where(number < 4, b, np.where((number == 12) | (number == 14), a, c))
+                corners[i, j, k] = np.where(number & 1, -first, first) + np.where(number & 2, -second, second)
     for axis in range(3):
-        values = {key[1:]: low + weight[axis] * (values[(1, *key[1:])] - low) for key, low in values.items() if key[0] == 0}
-    return values[()]
+        corners = {key[1:]: low + weight[axis] * (corners[(1, *key[1:])] - low) for key, low in corners.items() if key[0] == 0}
+    return corners[()]
 
 
-def noise_levels(*fields: Column) -> Column:
+def noise_levels(fields: Sequence[np.ndarray]) -> np.ndarray:
     """One noise value from those of the three fields, each brought to whole levels first."""
-    parts = [F.floor((v + add) * 128) * weight for v, (_, add, weight) in zip(fields, NOISE_FIELDS, strict=True)]
+    parts = [np.trunc((v + add) * 128) * weight for v, (_, add, weight) in zip(fields, NOISE_FIELDS, strict=True)]
     return (parts[0] + parts[1] + parts[2]) / 3
 
 
-def layered_noise(width: int, height: int, depth: float = 3.0, seed: int = 0) -> Column:
-    """The noise of a picture, row by row, of one depth."""
+def layered_noise(depths: Column, width: int, height: int, table: Sequence[int] | None = None) -> Column:
+    """The noise of pictures, row by row, from the depth of each pixel: three fields of lattice noise, of all pictures of a
+    batch at once."""
+    numbers = tuple(table or permutation())
 
-    def at(i: Column) -> Column:
-        x, y = (i % width).cast("double"), F.floor(i / width).cast("double")
-        return noise_levels(*(gradient_noise(x * s, y * s, F.lit(depth * s), seed) for s, _, _ in NOISE_FIELDS))
+    @F.pandas_udf("array<double>")
+    def noise(batch: pd.Series) -> pd.Series:
+        row, col = np.divmod(np.arange(width * height, dtype=float), width)
+        return _pictures(batch, width * height, lambda d: noise_levels([lattice_noise(np.broadcast_to(col * s, d.shape), np.broadcast_to(row * s, d.shape), d * s, numbers) for s, _, _ in NOISE_FIELDS]))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), at)
+    return noise(depths)
 
 
 def box_kernel(radius: int, alpha: float) -> list[list[float]]:
@@ -115,26 +136,48 @@ def box_kernel(radius: int, alpha: float) -> list[list[float]]:
     return [[(1.0 if i == j == radius - 1 else alpha) / total for j in range(size)] for i in range(size)]
 
 
+def mirrored(places: np.ndarray, n: int) -> np.ndarray:
+    """Places inside 0..n - 1 of places anywhere on the line, which is mirrored at both ends without repeating the edge, as
+    often as it takes."""
+    if n == 1:
+        return np.zeros_like(places)
+    inside = np.abs(places) % (2 * n - 2)
+    return np.where(inside >= n, 2 * n - 2 - inside, inside)
+
+
+def box_blurred(pictures: np.ndarray, radius: int, alpha: float) -> np.ndarray:
+    """Pictures (number, height, width) convolved with the kernel of `box_kernel`. It is a box plus a centre, so running sums
+    over both axes and four look-ups a pixel do, whatever the radius."""
+    n, height, width = pictures.shape
+    reach, size = radius - 1, 2 * radius - 1
+    wide = pictures[:, mirrored(np.arange(-reach, height + reach), height)][:, :, mirrored(np.arange(-reach, width + reach), width)]
+    area = np.zeros((n, wide.shape[1] + 1, wide.shape[2] + 1))
+    np.cumsum(np.cumsum(wide, axis=1), axis=2, out=area[:, 1:, 1:])
+    box = area[:, size:, size:] - area[:, :-size, size:] - area[:, size:, :-size] + area[:, :-size, :-size]
+    return (alpha * box + (1 - alpha) * pictures) / (alpha * (size * size - 1) + 1)
+
+
+def _pictures(batch: pd.Series, size: int, change: Callable[[np.ndarray], np.ndarray]) -> pd.Series:
+    """A change of all pictures of a batch at once; a null stays, and pixels of another number than `size` are an error."""
+    there = batch.notna().to_numpy()
+    if wrong := {len(x) for x in batch[there]} - {size}:
+        raise ValueError(f"a picture has {wrong.pop()} pixels, not {size}")
+    out = pd.Series([None] * len(batch), dtype=object)
+    if there.any():
+        out[there] = pd.Series(list(change(np.array(list(batch[there]), dtype=float))), index=np.flatnonzero(there))
+    return out
+
+
 def blur(pixels: Column, width: int, height: int, radius: int, alpha: float) -> Column:
-    """Convolution of a small row-major picture with the box kernel; borders mirror without repeating the edge."""
+    """Convolution of a row-major picture with the box kernel; borders mirror without repeating the edge."""
     if radius <= 1:
         return pixels
-    weights = box_kernel(radius, alpha)
-    reach = radius - 1
 
-    def mirrored(v: Column, n: int) -> Column:
-        inside = F.abs(v)
-        return F.when(inside >= n, 2 * (n - 1) - inside).otherwise(inside)
-
-    def at(i: Column) -> Column:
-        row, col = F.floor(i / width), i % width
-        parts = [F.element_at(pixels, (mirrored(row + dy, height) * width + mirrored(col + dx, width) + 1).cast("int")) * weights[dy + reach][dx + reach] for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1)]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out + p
-        return out
+    @F.pandas_udf("array<double>")
+    def blurred(batch: pd.Series) -> pd.Series:
+        return _pictures(batch, width * height, lambda x: box_blurred(x.reshape(-1, height, width), radius, alpha).reshape(len(x), -1))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), at)
+    return blurred(pixels)
 
 
 #: Forms of the keys that stand for drift parameters in names and caches, and default parameters.
@@ -163,7 +206,8 @@ def _fog(px: Column, channel: int, width: int, height: int, p: dict) -> Column:
 
 
 def _haze(px: Column, channel: int, width: int, height: int, p: dict) -> Column:
-    return haze(px, channel, p["vra"], p["vrm"], p["ft"], p["ht"], layered_noise(width, height))
+    depths = F.array_repeat(F.lit(3.0), width * height)
+    return haze(px, channel, p["vra"], p["vrm"], p["ft"], p["ht"], layered_noise(depths, width, height))
 
 
 #: Image drifts by name: functions of a channel's pixels, the channel, the picture's width and height, and parameters.

@@ -685,6 +685,33 @@ def tile_mosaic(spark, sf_dir):
     return rows
 
 
+SITES = """m as (select s_suppkey as map_id, (s_suppkey * 37) % 160 - 80.0::double as lat, (s_suppkey * 53) % 360 - 180.0::double as long, (s_suppkey % 12 + 6)::int as z from supplier),
+ms as (select *, 256 * (1::bigint << z) as size, sin(radians(least(greatest(lat, -85.05112878::double), 85.05112878::double))) as sn from m),
+mp as (select map_id, z, size, floor(least(greatest((long + 180) / 360 * size + 0.5, 0), size - 1))::bigint // 256 - 1 as x0, floor(least(greatest((0.5 - ln((1 + sn) / (1 - sn)) / (4 * pi())) * size + 0.5, 0), size - 1))::bigint // 256 - 1 as y0 from ms)"""
+
+
+@query(f"""with {PIXELS}, {SITES}, n as (select count(*) as n from embeddings), w as (select *, row_number() over (order by vec_id) - 1 as k from x),
+g as (select unnest(generate_series(0, 23)) as v), h as (select a.v as gx, b.v as gy, a.v // 10 as col, b.v // 10 as row, (b.v % 10) * least(10, 24 - a.v // 10 * 10) + a.v % 10 as i from g a, g b),
+e as (select map_id, z, size, x0, y0, row, col, sum((i + 1) * px[(gy % 8) * 8 + gx % 8 + 1]) as checksum, count(*) as pixels from mp, h, n, w where w.k = ((x0 + gx // 8) * 31 + (y0 + gy // 8) * 17 + z) % n.n group by all),
+q as (select *, least(greatest(floor(x0 * 256 + 0.5), 0), size - 1)::bigint + col * 320 as ax, least(greatest(floor(y0 * 256 + 0.5), 0), size - 1)::bigint + row * 320 as ay, least(10, 24 - col * 10) * 32 as pw, least(10, 24 - row * 10) * 32 as ph from e)
+select map_id, row, col, round(checksum, 3) as checksum, pixels, round(90 - 360 * atan(exp(-(0.5 - least(ay, size - 1) / size::double) * 2 * pi())) / pi(), 6) as top_left_lat, round(360 * (least(ax, size - 1) / size::double - 0.5), 6) as top_left_long,
+round(90 - 360 * atan(exp(-(0.5 - least(ay + ph, size - 1) / size::double) * 2 * pi())) / pi(), 6) as bottom_right_lat, round(360 * (least(ax + pw, size - 1) / size::double - 0.5), 6) as bottom_right_long from q""")
+def maps_from_tiles(spark, sf_dir):
+    """A map of 3 x 3 tiles around each supplier's place, in parts of 10 x 10 pixels with corners; tiles are pictures."""
+    key = F.col("s_suppkey")
+    maps = table(spark, sf_dir, "supplier").select(key.alias("map_id"), (F.pmod(key * 37, F.lit(160)) - 80.0).alias("lat"), (F.pmod(key * 53, F.lit(360)) - 180.0).alias("long"), (key % 12 + 6).cast("int").alias("z"), F.lit(1).alias("radius"))
+    px, py = geo.pixel_xy(F.col("lat"), F.col("long"), F.col("z"))
+    tx, ty = geo.tile_xy(px, py)
+    wanted = geo.neighbours(maps.select("z", tx.alias("tx"), ty.alias("ty"))).distinct()
+    shown = ordering.with_position(pictures(spark, sf_dir), "vec_id", "k").select("k", "px")
+    n = table(spark, sf_dir, "embeddings").count()
+    tiles = wanted.withColumn("k", F.pmod(F.col("tx") * 31 + F.col("ty") * 17 + F.col("z"), F.lit(n))).join(shown, "k").drop("k")
+    parts = geo.maps_from_tiles(maps, tiles, 10, 8)
+    checksum = F.aggregate(F.transform("px", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+    corners = [F.round(c, 6).alias(c) for c in ("top_left_lat", "top_left_long", "bottom_right_lat", "bottom_right_long")]
+    return parts.select("map_id", "row", "col", F.round(checksum, 3).alias("checksum"), F.size("px").cast("long").alias("pixels"), *corners)
+
+
 @query("select vec_id, 'img-' || vec_id || '-v' || (vec_id % 10) || '-drifted.png' as name from embeddings")
 def drifted_names(spark, sf_dir):
     stem = F.concat(F.lit("v"), (F.col("vec_id") % 10).cast("string"))

@@ -62,9 +62,9 @@ def each(df: DataFrame, first: Column, last: Column, name: str) -> DataFrame:
     """df with a row for each whole number of first..last (none if last < first), through arrays of at most FAN elements
     for up to FAN**3 numbers a row."""
     n = (last - first + 1).cast("long")
-    rows = df.withColumn("_each", first.cast("long")).withColumn("_n", n).where("_n > 0")
+    rows = df.withColumn("_each", first.cast("long")).withColumn("_each_left", n).where("_each_left > 0")
     for width in (FAN * FAN, FAN, 1):
-        parts = F.sequence(F.lit(0).cast("long"), F.expr(f"(_n - 1) div {width}"))
-        rows = rows.withColumn("_at", F.explode(parts)).withColumn("_at", F.col("_at") * width)
-        rows = rows.withColumn("_each", F.col("_each") + F.col("_at")).withColumn("_n", F.least(F.col("_n") - F.col("_at"), F.lit(width)))
-    return rows.withColumn(name, F.col("_each")).drop("_each", "_n", "_at")
+        parts = F.sequence(F.lit(0).cast("long"), F.expr(f"(_each_left - 1) div {width}"))
+        rows = rows.withColumn("_each_at", F.explode(parts)).withColumn("_each_at", F.col("_each_at") * width)
+        rows = rows.withColumn("_each", F.col("_each") + F.col("_each_at")).withColumn("_each_left", F.least(F.col("_each_left") - F.col("_each_at"), F.lit(width)))
+    return rows.withColumn(name, F.col("_each")).drop("_each", "_each_left", "_each_at")
