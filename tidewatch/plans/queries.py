@@ -791,3 +791,6 @@ def stream_series(spark, sf_dir):
 @query("select event_id, substr(md5('0:' || event_id), 1, 8) as digits, (('0x' || substr(md5('0:' || event_id), 1, 8))::bigint) as number from events")
 def hashed_numbers(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.substring(F.md5(F.concat(F.lit("0:"), F.col("event_id").cast("string"))), 1, 8).alias("digits"), math.hashed(0, F.col("event_id")).alias("number"))
+
+
+from . import files  # noqa: E402, F401  adds the queries that go through files

@@ -27,8 +27,10 @@ class Dataset:
 
 
 def read_json(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """A JSON array of records, or a record a line; an error if the path is missing."""
-    reader = spark.read.option("multiLine", True)
+    """A JSON array of records, or a record a line; an error if the path is missing. An array, which begins with a bracket, is
+    one document of its file; records in lines are split over tasks."""
+    first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
+    reader = spark.read.option("multiLine", bool(first) and first[0][0].lstrip()[:1] == "[")
     return (reader.schema(schema) if schema else reader).json(path)
 
 
@@ -55,14 +57,14 @@ LOADERS: dict[str, Callable[[DataFrame], DataFrame]] = {"plain": lambda df: df}
 def load(spark: SparkSession, config: dict, to_timestamp: Callable[[Column], Column] | None = None) -> Dataset:
     """A dataset by configuration: dataset_file, the id_key, timestamp_key, input_key and output_key, dataset_class (a
     name in LOADERS, which prepares the frame) and dataset_file_base (then the file holds references to it: id, timestamp,
-    original_id and sample_group_id, in the order of the drifted dataset, which pos keeps)."""
+    original_id and sample_group_id, in the order of the drifted dataset; pos is that order, from the file if it has one)."""
     roles = Roles(config.get("id_key", "id"), config.get("timestamp_key", "timestamp"), config.get("input_key"), config.get("output_key"))
     prepare = LOADERS[config.get("dataset_class", "plain")]
     df = read_json(spark, config["dataset_file"])
     if base_file := config.get("dataset_file_base"):
         place = F.monotonically_increasing_id()  # grows with the place in a file
         base = prepare(read_json(spark, base_file)).withColumn("_place", place)
-        df = reconstruct(df.withColumn("pos", place), base, roles.id, roles.ts if roles.has_timestamps(base) else None, order="_place").drop("_place")
+        df = reconstruct(df if "pos" in df.columns else df.withColumn("pos", place), base, roles.id, roles.ts if roles.has_timestamps(base) else None, order="_place").drop("_place")
     else:
         df = prepare(df)
     if to_timestamp is not None and roles.has_timestamps(df):
@@ -166,6 +168,15 @@ def load_metrics(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path)
 
 
+#: The file of metrics in a run's folder, as save_experiment writes it.
+EXPERIMENT_FILE = "file=metrics.json"
+
+
+def save_experiment(metrics: DataFrame, base: str) -> None:
+    """metrics (run, name, results map) of many runs in one job: base/run=.../file=metrics.json of each."""
+    metrics.withColumn("file", F.lit("metrics.json")).write.mode("overwrite").partitionBy("run", "file").json(base)
+
+
 def experiment_results(spark: SparkSession, base: str, name: str = "metrics.json") -> DataFrame:
     """(run, metric, value, params) of all runs below a folder, by the run folder's name."""
     rows = spark.read.json(f"{base}/*/{name}")
