@@ -101,11 +101,11 @@ def test_prefixes_are_shortened_only_where_recall_needs_it(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     signed = jaccard.workspace.materialize(jaccard.signatures(docs), "signed")
     ids = {r.row: r.id for r in signed.select("row", "id").collect()}
-    edges = jaccard.candidate_edges(signed.select("row", "paths")).collect()
+    edges = jaccard.candidate_edges(signed.select("row", "paths", "sketch")).collect()
     deep = {r.depth for r in edges if ids[r.u] < 100}
     assert deep == {jaccard.DEPTH} and {i for r in edges if ids[r.u] < 100 for i in (ids[r.u], ids[r.v])} == set(range(60))
     assert any({ids[r.u], ids[r.v]} == {100, 101} for r in edges)
-    every = jaccard.candidate_edges(signed.select("row", "paths"), target=0.99)  # one whose floor is the full depth
+    every = jaccard.candidate_edges(signed.select("row", "paths", "sketch"), target=0.99)  # one whose floor is the full depth
     assert {r.depth for r in every.collect()} == {jaccard.DEPTH}
 
 

@@ -48,6 +48,8 @@ PREFIX_TILE, TILE, TILE_BYTES = 256, 64, 32 << 20
 #: Neighbours on either side, in the order of the trie, that give a node's evidence.
 NEAR = 32
 _LABEL = 2  # bytes a label
+#: Bits of each label in a sketch: unequal labels agree in them by chance once in 2 ** BITS, which comparisons allow for.
+BITS = 4
 
 
 def meets(similarity, depth: int, trees: int = TREES):
@@ -55,14 +57,21 @@ def meets(similarity, depth: int, trees: int = TREES):
     return 1 - (1 - similarity**depth) ** trees
 
 
+def agreement(similarity):
+    """The share of labels of a pair of this similarity that agree in a sketch."""
+    return similarity + (1 - similarity) / 2**BITS
+
+
 def least_matches(threshold: float, size: int) -> int:
-    """Labels of `size` that must agree: five standard errors below the threshold."""
-    return max(0, math.floor(size * (threshold - 5 * (threshold * (1 - threshold) / size) ** 0.5)))
+    """Labels of `size` that must agree in a sketch: five standard errors below what pairs at the threshold have."""
+    share = agreement(threshold)
+    return max(0, math.floor(size * (share - 5 * (share * (1 - share) / size) ** 0.5)))
 
 
 def sketch_loss(threshold: float, size: int) -> float:
     """The probability that fewer labels than that agree for a pair at the threshold."""
-    log = lambda k: math.lgamma(size + 1) - math.lgamma(k + 1) - math.lgamma(size - k + 1) + k * math.log(threshold) + (size - k) * math.log1p(-threshold)
+    share = agreement(threshold)
+    log = lambda k: math.lgamma(size + 1) - math.lgamma(k + 1) - math.lgamma(size - k + 1) + k * math.log(share) + (size - k) * math.log1p(-share)
     return math.fsum(math.exp(log(k)) for k in range(least_matches(threshold, size))) if 0 < threshold < 1 else 0.0
 
 
@@ -126,24 +135,37 @@ def labels_of(grams: np.ndarray, first: np.ndarray, second: np.ndarray) -> bytes
     return ((min_hashes(grams, first, second) * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(">u2").tobytes()
 
 
+def sketch_of(labels: bytes) -> bytes:
+    """BITS of each label, two labels a byte."""
+    low = np.frombuffer(labels, ">u2").astype(np.uint8) & (2**BITS - 1)
+    return (low[::2] << BITS | low[1::2]).tobytes()
+
+
+def unpacked(sketches: list[bytes]) -> np.ndarray:
+    """A row a sketch, a number a label."""
+    packed = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
+    return np.concatenate([packed >> BITS, packed & (2**BITS - 1)], axis=1)
+
+
 def signatures(docs: DataFrame, trees: int = TREES, depth: int = DEPTH, n: int = N, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, id, seen: a digest of the text, node: digest of the n-gram set or null without words, size: its n-grams, paths:
-    the labels of every tree). row numbers the rows of docs."""
+    the labels of every tree, sketch: BITS of each). row numbers the rows of docs."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second = _seeds(trees * depth)
         for batch in batches:
-            nodes, sizes, paths = [], [], []
+            nodes, sizes, paths, sketches = [], [], [], []
             for text in batch.column(3):
                 grams = ngrams(text.as_py(), n)
                 nodes.append(hashlib.md5(grams.tobytes()).hexdigest() if len(grams) else None)
                 sizes.append(len(grams))
                 paths.append(labels_of(grams, first, second) if len(grams) else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(nodes, pa.string()), pa.array(sizes, pa.int64()), pa.array(paths, pa.binary())], ["row", "id", "seen", "node", "size", "paths"])
+                sketches.append(sketch_of(paths[-1]) if len(grams) else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(nodes, pa.string()), pa.array(sizes, pa.int64()), pa.array(paths, pa.binary()), pa.array(sketches, pa.binary())], ["row", "id", "seen", "node", "size", "paths", "sketch"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("seen"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(task, f"row long, id {kind}, seen long, node string, size long, paths binary")
+    return rows.mapInArrow(task, f"row long, id {kind}, seen long, node string, size long, paths binary, sketch binary")
 
 
 def _tiles(rows: DataFrame, group: list[str], tiles: Column, *order: str) -> DataFrame:
@@ -183,15 +205,15 @@ def spanning(linked, n: int) -> Iterator[tuple[int, int]]:
 
 
 def trie(nodes: DataFrame, floor: int, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
-    """nodes (row, paths) -> (tree, path, row, sketch) of the leaves that share a prefix of the floor depth with another.
+    """nodes (row, paths, sketch) -> (tree, path, row, sketch) of the leaves that share a prefix of the floor depth with another.
     The joins are merge joins at every size: what they match grows with the input, so it is never broadcast."""
     width = _LABEL * depth
     tree = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.substring("paths", t * width + 1, F.lit(_LABEL * floor)))).alias("tree", "prefix")
     keys = nodes.select("row", tree).select("row", "tree", F.xxhash64("tree", "prefix").alias("key"))
     shared = workspace.materialize(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "prefixes")
     live = keys.join(shared.hint("merge"), "key", "left_semi").groupBy("row").agg(F.collect_list("tree").alias("trees"))  # at most `trees` of them
-    live = live.join(nodes.select("row", "paths").hint("merge"), "row").select("row", "paths", F.explode("trees").alias("tree"))
-    return workspace.materialize(live.select("tree", F.expr(f"substring(paths, tree * {width} + 1, {width})").alias("path"), "row", F.col("paths").alias("sketch")), "trie")
+    live = live.join(nodes.select("row", "paths", "sketch").hint("merge"), "row").select("row", "paths", "sketch", F.explode("trees").alias("tree"))
+    return workspace.materialize(live.select("tree", F.expr(f"substring(paths, tree * {width} + 1, {width})").alias("path"), "row", "sketch"), "trie")
 
 
 def _compare(p: int, least: int, threshold: float, trees: int):
@@ -208,14 +230,14 @@ def _compare(p: int, least: int, threshold: float, trees: int):
             if len(rows) < 2:
                 continue
             names, n = [r[4] for r in rows], len(rows)
-            sketches = np.frombuffer(b"".join(r[5] for r in rows), ">u2").reshape(n, -1)
+            sketches = unpacked([r[5] for r in rows])
             size = sketches.shape[1]
             for i, j in spanning(lambda i, rest, s=sketches: np.count_nonzero(s[rest] == s[i], axis=1) >= least, n):
                 for k, x in enumerate((names[i], names[j], None, None)):
                     out[k].append(x)
             found, expected = np.zeros(n, np.int64), np.zeros(n)
             for gap in range(1, min(NEAR, n - 1) + 1):
-                share = np.count_nonzero(sketches[gap:] == sketches[:-gap], axis=1) / size
+                share = (np.count_nonzero(sketches[gap:] == sketches[:-gap], axis=1) / size - 2.0**-BITS) / (1 - 2.0**-BITS)  # without chance
                 hit = share >= threshold
                 weight = np.where(hit, 1 / meets(np.maximum(share, threshold), p, trees), 0.0)
                 for part in (slice(gap, None), slice(None, -gap)):
@@ -233,7 +255,7 @@ def _compare(p: int, least: int, threshold: float, trees: int):
 
 
 def candidate_edges(nodes: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, target: float = TARGET) -> DataFrame:
-    """nodes (row, paths) -> edges (u, v) that connect what the forest finds, with the depth they were found at."""
+    """nodes (row, paths, sketch) -> edges (u, v) that connect what the forest finds, with the depth they were found at."""
     floor, least = floor_depth(threshold, trees, depth, target), least_matches(threshold, trees * depth)
     leaves = trie(nodes, floor, trees, depth)
     edges, seen, closed = None, None, None
@@ -342,7 +364,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, trees: int =
     near-duplicate class)."""
     workspace.small_batches(docs.sparkSession)
     signed = workspace.materialize(signatures(docs, trees, depth, n, id_col, text_col), "signatures")
-    nodes = signed.where("node is not null").groupBy("node").agg(F.min("row").alias("row"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("paths").alias("paths"))
+    nodes = signed.where("node is not null").groupBy("node").agg(F.min("row").alias("row"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch"))
     nodes = workspace.materialize(nodes, "nodes")
     groups = components(candidate_edges(nodes, threshold, trees, depth, target)).withColumnRenamed("node", "row")
     checked = verify(docs, nodes, groups, threshold, n, text_col)
