@@ -78,7 +78,7 @@ def maps_from_tiles(maps: DataFrame, tiles: DataFrame, part: int = 1000, tile: i
     px, py = pixel_xy(F.col("lat"), F.col("long"), F.col("z"))
     cx, cy = tile_xy(px, py)
     around = maps.select("map_id", "z", (cx - F.col("radius")).alias("_x0"), (cy - F.col("radius")).alias("_y0"), (2 * F.col("radius") + 1).cast("long").alias("_n")).distinct()
-    places = each(each(around, F.col("_x0"), F.col("_x0") + F.col("_n") - 1, "tx"), F.col("_y0"), F.col("_y0") + F.col("_n") - 1, "ty")
+    places = each(each(around, F.col("_x0"), F.col("_x0") + F.col("_n") - 1, "tx", 1), F.col("_y0"), F.col("_y0") + F.col("_n") - 1, "ty", 1)
     once = tiles.groupBy("z", "tx", "ty").agg(F.min_by("px", F.xxhash64("px")).alias("px"))
     black = F.array_repeat(F.lit(0.0), tile * tile)
     cut = places.join(once, ["z", "tx", "ty"], "left").withColumn("px", F.coalesce(F.col("px").cast("array<double>"), black))

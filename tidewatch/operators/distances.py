@@ -92,21 +92,19 @@ def _core(grid: Grid, mean: str) -> tuple[Column, Column]:
     return F.greatest(F.ceil(low).cast("long"), F.col("_low")), F.least(F.floor(high).cast("long"), F.col("_high"))
 
 
-def _blocks(rows: DataFrame, first: Column, last: Column) -> DataFrame:
-    """rows with _block, for the blocks of the grid that first..last touches."""
-    return each(rows.withColumn("_a", first).withColumn("_b", last).where("_b >= _a"), F.expr(f"_a div {BLOCK}") - F.when(F.col("_a") % BLOCK < 0, 1).otherwise(0), F.expr(f"_b div {BLOCK}") - F.when(F.col("_b") % BLOCK < 0, 1).otherwise(0), "_block").drop("_a", "_b")
-
-
 def core_points(intervals: DataFrame, grid: Grid) -> DataFrame:
     """(interval_idx, n: points of the grid, x, p, q, log_ratio) in the blocks where either density isn't as good as 0, each
-    point once."""
-    rows = _with(intervals, grid).where("std_dev > 0").withColumn("n", F.col("_high") - F.col("_low") + 1)
-    around = [_blocks(rows, *_core(grid, m)) for m in ("_mean", "mean")]
-    a, b = (F.expr(f"{e} div {BLOCK}") - F.when(F.expr(f"{e} % {BLOCK}") < 0, 1).otherwise(0) for e in ("_pa", "_pb"))
-    first, last = _core(grid, "_mean")
-    second = around[1].withColumn("_pa", first).withColumn("_pb", last)
-    second = second.where((F.col("_pb") < F.col("_pa")) | (F.col("_block") < a) | (F.col("_block") > b)).drop("_pa", "_pb")
-    blocks = around[0].unionByName(second)
+    point once: the blocks around one mean, and those around the other that lie before or behind them."""
+    rows = _with(intervals, grid).where("std_dev > 0")
+    (pa, pb), (qa, qb) = _core(grid, "_mean"), _core(grid, "mean")
+    rows = rows.select("*", (F.col("_high") - F.col("_low") + 1).alias("n"), pa.alias("_pa"), pb.alias("_pb"), qa.alias("_qa"), qb.alias("_qb"))
+    block = lambda k: F.floor(F.col(k) / BLOCK)
+    some_p, some_q = F.col("_pb") >= F.col("_pa"), F.col("_qb") >= F.col("_qa")
+    first, last = F.when(some_p, block("_pa")).otherwise(block("_qb") + 1), F.when(some_p, block("_pb")).otherwise(block("_qb"))
+    span = lambda there, a, b: F.when(there, F.struct(a.alias("a"), b.alias("b")))
+    spans = F.array(span(some_p, first, last), span(some_q, block("_qa"), F.least(block("_qb"), first - 1)), span(some_q, F.greatest(block("_qa"), last + 1), block("_qb")))
+    rows = rows.select("interval_idx", "mean", "std_dev", "_mean", "_low", "_high", "n", F.explode(spans).alias("_span")).where("_span.b >= _span.a")
+    blocks = each(rows, F.col("_span.a"), F.col("_span.b"), "_block", 2)
     low, high = F.greatest(F.col("_block") * BLOCK, F.col("_low")), F.least(F.col("_block") * BLOCK + BLOCK - 1, F.col("_high"))
     inside = blocks.withColumn("_k", F.explode(F.sequence(low, high)))  # at most BLOCK numbers, and no fewer than one
     return _densities(inside, grid, "n")
@@ -135,7 +133,7 @@ def energy(intervals: DataFrame, grid: Grid) -> DataFrame:
     points, and the parts are added. Beyond CORE standard deviations values and their gaps are as good as 0."""
     width = grid.step * BLOCK
     rows = _with(intervals, grid).where("std_dev > 0").withColumn("n", F.col("_high") - F.col("_low") + 1)
-    rows = each(rows, F.lit(0), F.ceil(CORE * F.col("std_dev") / width).cast("long") - 1, "_block")
+    rows = each(rows, F.lit(0), F.ceil(CORE * F.col("std_dev") / width).cast("long") - 1, "_block", 2)
     near, far = F.col("_block") * width, (F.col("_block") + 1) * width
 
     def place(x: Column, up: bool) -> Column:

@@ -221,8 +221,8 @@ def arima_ztest(spark, sf_dir):
 def probabilities() -> Column:
     """Ten class probabilities: the softmax of ten sums of an embedding's components, by their place modulo ten."""
     e = F.col("embedding").cast("array<double>")
-    own = lambda k: F.filter(e, lambda x, i: i % 10 == k)
-    return classify.softmax(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.aggregate(own(k), F.lit(0.0), lambda a, x: a + x)))
+    own = lambda k: F.when(k < F.size(e), F.aggregate(F.sequence(k, F.size(e) - 1, F.lit(10)), F.lit(0.0), lambda a, i: a + F.get(e, i))).otherwise(0.0)
+    return classify.softmax(F.transform(F.sequence(F.lit(0), F.lit(9)), own))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,6 +295,24 @@ def configured_series(spark, sf_dir):
     return out.select(F.explode("results").alias("key", "value")).withColumn("value", F.round("value", 6))
 
 
+SERIES = {**{n: d for n, (_, d) in POINTWISE.items()}, "energy": 7, "z": 6, "ks": 6}
+
+
+@query(
+    f"""with {GRIDDED}, {ENERGY}, pw as (select interval_idx, {", ".join(f"{e} as {n}" for n, (e, _) in POINTWISE.items())} from y group by 1),
+z as (select interval_idx, (aggregated - mean) / nullif(std_dev, 0) as z from fc), e as (select *, abs(z) / sqrt(2) as x, 1 / (1 + 0.3275911::double * (abs(z) / sqrt(2))) as t from z),
+zk as (select interval_idx, z, greatest(0.5 * (1 + {PHI}), 1 - 0.5 * (1 + {PHI})) as ks from e), w as (select * from pw join en using (interval_idx) join zk using (interval_idx))
+"""
+    + " union all ".join(f"select 'daily {n}' as name, '{n}' as metric, interval_idx::varchar as key, round({n}, {d}) as value from w" for n, d in SERIES.items())
+)
+def configured_all_series(spark, sf_dir):
+    """Every time-series metric by configuration, in one plan."""
+    out = models.calculate([forecasts(spark, sf_dir)], [{"name": f"daily {n}", "metric_class": n} for n in SERIES])
+    rows = out.select("name", "metric", F.explode("results").alias("key", "value"))
+    rounded = F.coalesce(*(F.when(F.col("metric") == n, F.round("value", d)) for n, d in SERIES.items()))
+    return rows.select("name", "metric", "key", rounded.alias("value"))
+
+
 @query(f"""with {PROBS}, w as (select vec_id, avg(case when score <> 0 then case when score >= -2.2 then 100.0 else 0 end end) over o as accuracy, count(*) over o as n from s window o as (order by vec_id rows between 6 preceding and current row))
 select vec_id, round(accuracy, 6) as accuracy from w where n = 7""")
 def atc_window7(spark, sf_dir):

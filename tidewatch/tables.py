@@ -58,13 +58,13 @@ def clear() -> None:
             return
 
 
-def each(df: DataFrame, first: Column, last: Column, name: str) -> DataFrame:
+def each(df: DataFrame, first: Column, last: Column, name: str, levels: int = 3) -> DataFrame:
     """df with a row for each whole number of first..last (none if last < first), through arrays of at most FAN elements
-    for up to FAN**3 numbers a row."""
-    n = (last - first + 1).cast("long")
-    rows = df.withColumn("_each", first.cast("long")).withColumn("_each_left", n).where("_each_left > 0")
-    for width in (FAN * FAN, FAN, 1):
-        parts = F.sequence(F.lit(0).cast("long"), F.expr(f"(_each_left - 1) div {width}"))
-        rows = rows.withColumn("_each_at", F.explode(parts)).withColumn("_each_at", F.col("_each_at") * width)
-        rows = rows.withColumn("_each", F.col("_each") + F.col("_each_at")).withColumn("_each_left", F.least(F.col("_each_left") - F.col("_each_at"), F.lit(width)))
-    return rows.withColumn(name, F.col("_each")).drop("_each", "_each_left", "_each_at")
+    for up to FAN**levels numbers a row."""
+    own, start, left = df.columns, F.col("_each"), F.col("_each_left")
+    rows = df.select("*", first.cast("long").alias("_each"), (last - first + 1).cast("long").alias("_each_left")).where("_each_left > 0")
+    for width in (FAN**k for k in range(levels - 1, -1, -1)):
+        rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_each_left - 1) div {width}"))).alias("_each_at"))
+        gone = F.col("_each_at") * width
+        rows = rows.select(*own, (start + gone).alias("_each"), F.least(left - gone, F.lit(width)).alias("_each_left"))
+    return rows.select(*own, start.alias(name))
