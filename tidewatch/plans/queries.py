@@ -202,17 +202,17 @@ def arima(spark: SparkSession, sf_dir: str) -> forecast.Fitted:
     return forecast.fit(buckets.by_key(rows, "ts", "over", "hour", START, "event_type"), 1, 1, 1, ["event_type"], long=2)
 
 
-@query(f"with {ARIMA} select event_type, n, round(constant, 6) as constant, round(ar, 6) as ar, round(ma, 6) as ma, round(sigma, 6) as sigma from hc join sg using (event_type)")
+@query(f"with {ARIMA} select event_type, n, round(constant, 6) + 0.0 as constant, round(ar, 6) + 0.0 as ar, round(ma, 6) + 0.0 as ma, round(sigma, 6) as sigma from hc join sg using (event_type)")
 def arima_models(spark, sf_dir):
     rows = arima(spark, sf_dir).coefficients
-    return rows.select("event_type", "n", *(F.round(c, 6).alias(a) for c, a in ((F.col("constant"), "constant"), (F.col("ar")[0], "ar"), (F.col("ma")[0], "ma"), (F.col("sigma"), "sigma"))))
+    return rows.select("event_type", "n", *((F.round(c, 6) + F.lit(0.0)).alias(a) for c, a in ((F.col("constant"), "constant"), (F.col("ar")[0], "ar"), (F.col("ma")[0], "ma"), (F.col("sigma"), "sigma"))))
 
 
-@query(f"with {ARIMA} select event_type, interval_idx, 1704067200 + interval_idx * 3600 as interval, x as aggregated, round(mean, 5) as mean, round(wrong / (0.994457883209753::double * sigma), 5) as z from o join sg using (event_type)")
+@query(f"with {ARIMA} select event_type, interval_idx, 1704067200 + interval_idx * 3600 as interval, x as aggregated, round(mean, 5) + 0.0 as mean, round(wrong / (0.994457883209753::double * sigma), 5) + 0.0 as z from o join sg using (event_type)")
 def arima_ztest(spark, sf_dir):
     """Hours against the forecasts of fitted models."""
     rows = forecast.one_step(arima(spark, sf_dir))
-    return rows.select("event_type", "interval_idx", "interval", "aggregated", F.round("mean", 5).alias("mean"), F.round(distances.z_of(), 5).alias("z"))
+    return rows.select("event_type", "interval_idx", "interval", "aggregated", (F.round("mean", 5) + F.lit(0.0)).alias("mean"), (F.round(distances.z_of(), 5) + F.lit(0.0)).alias("z"))
 
 
 # confidence
