@@ -196,3 +196,15 @@ def test_enrichment_and_labels_of_repeated_ids(spark):
     assert {r.id: r.kind for r in references.enrich(df, known.repartition(3), "id").collect()} == {1: "y", 2: "b", 3: "c"}
     with pytest.raises(Exception, match="no prediction for row 3"):
         references.relabel(df, spark.createDataFrame([(1, 1), (2, 0)], "id long, prediction int"), "kind", "id").collect()
+
+
+def test_dates_as_the_nearest_milliseconds(spark, duck, sf_dir, tmp_path):
+    """Halves away from zero, before 1970 too, as SQL's epoch_ms has them; compared digit by digit."""
+    from tidewatch.plans.queries import ORACLES, QUERIES
+
+    micros = [400, 500, 1_704_067_200_000_501, -499, -500, -501, -1499, -1500, -1501, -2000, None]
+    datasets.write_json(spark.createDataFrame(list(enumerate(micros)), "n long, us long").select("n", F.timestamp_micros("us").alias("ts")), f"{tmp_path}/dated")
+    got = {r.n: r.ts for r in datasets.read_json(spark, f"{tmp_path}/dated", "n long, ts long").collect()}
+    assert [got[n] for n in range(len(micros))] == [0, 1, 1_704_067_200_001, 0, -1, -1, -1, -2, -2, -2, None]
+    events = {r.event_id: r.millis for r in QUERIES["dataset_files"](spark, sf_dir).collect()}
+    assert events == dict(duck.execute(f"select event_id, millis from ({ORACLES['dataset_files']})").fetchall())

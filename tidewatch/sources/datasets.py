@@ -35,8 +35,8 @@ def read_json(spark: SparkSession, path: str, schema=None) -> DataFrame:
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    """A record a line; dates as milliseconds since 1970."""
-    dated = {c: F.unix_millis(F.col(c).cast("timestamp")) for c, t in df.dtypes if t in ("timestamp", "timestamp_ntz", "date")}
+    """A record a line; dates as the nearest milliseconds since 1970, halves away from zero."""
+    dated = {c: F.round(F.unix_micros(F.col(c).cast("timestamp")) / F.lit(1000).cast("decimal(4,0)")).cast("long") for c, t in df.dtypes if t in ("timestamp", "timestamp_ntz", "date")}
     df.withColumns(dated).write.mode("overwrite").json(path)
 
 
