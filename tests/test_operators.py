@@ -431,3 +431,64 @@ def test_tile_points(spark):
     bottom, right = geo.tile_corner(df.x, df.y, df.z, 1, 1)
     r = df.select(top.alias("t"), left.alias("l"), middle[0].alias("m"), middle[1].alias("n"), bottom.alias("b"), right.alias("r")).first()
     assert r.t > r.m > r.b and abs((r.l + r.r) / 2 - r.n) < 1e-9
+
+
+class Held:
+    """A state variable and a handle of a processor, counting what is read and registered."""
+
+    def __init__(self):
+        self.value, self.read, self.timers, self.made = [], 0, [], {}
+
+    def getListState(self, name, schema):  # noqa: N802
+        return self.made.setdefault(name, Held())
+
+    getValueState = getListState  # noqa: N815
+
+    def registerTimer(self, time):  # noqa: N802
+        self.timers.append(time)
+
+    def exists(self):
+        return bool(self.value)
+
+    def get(self):
+        self.read += len(self.value)
+        return iter(self.value) if isinstance(self.value, list) else self.value
+
+    def put(self, value):
+        self.value = list(value)
+
+    def appendList(self, value):  # noqa: N802
+        self.value += value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = []
+
+
+def test_work_of_waiting_rows_grows_with_their_number():
+    """A row a second: one timer a key, at which all that the watermark has passed is read and comes out; one for the rest."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    n, handle = 1000, Held()
+    key = monitor.Sliding(-2.0, 2, True, None)
+    key.init(handle)
+    rows = pd.DataFrame({"pos": range(n), "score": -1.0, "at_us": [k * 10**6 for k in reversed(range(n))]})
+    assert not list(key.handleInputRows((1,), iter([rows[:600], rows[600:]]), None)) and handle.timers == [0]
+    fire = lambda time, mark: list(key.handleExpiredTimer((1,), SimpleNamespace(getCurrentWatermarkInMs=lambda: mark), SimpleNamespace(getExpiryTimeInMs=lambda: time)))
+    out = pd.concat(fire(0, 899_500))
+    assert out["pos"].tolist() == list(range(n - 1, n - 901, -1)) and handle.made["waiting"].read == n and handle.timers == [0, 900_000]
+    assert len(pd.concat(fire(900_000, 10**9))) == 100 and handle.made["waiting"].read == n + 100 and not handle.made["waiting"].exists()
+    assert not fire(10**9, 10**9) and len(handle.timers) == 2
+
+
+def test_scores_work_out_an_embedding_once(spark, sf_dir):
+    from tidewatch.operators import confidence
+    from tidewatch.plans.queries import probabilities
+
+    made = table(spark, sf_dir, "embeddings").select(confidence.entropy_score(probabilities()).alias("score"))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.split("Relation")[0].count("cast(embedding#") == 1

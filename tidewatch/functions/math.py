@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,6 +28,11 @@ def normal_density(x: Column, mean: Column, sd: Column) -> Column:
     return F.exp(-0.5 * z * z) / (sd * math.sqrt(2 * math.pi))
 
 
+def let(value: Column, make: Callable[[Column], Column]) -> Column:
+    """make(value), value worked out once: what an array function's lambda or several places use is else worked out at each use."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
 def hashed(seed: int, *parts: Column) -> Column:
     """A whole number from 0 to 2**32 - 1 that any SQL engine with md5 computes alike."""
     text = F.concat_ws(":", F.lit(str(seed)), *(p.cast("string") for p in parts))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.math import let
+
 
 def binarize(raw: Column, threshold: float = 0.5) -> Column:
     """1 above the threshold, else 0."""
@@ -32,9 +34,8 @@ def align(truth: DataFrame, prediction: DataFrame, pos: str = "pos") -> DataFram
 
 
 def softmax(values: Column) -> Column:
-    exp = F.transform(values, lambda x: F.exp(x))
-    total = F.aggregate(exp, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(exp, lambda x: x / total)
+    total = lambda exp: F.aggregate(exp, F.lit(0.0), lambda a, x: a + x)
+    return let(F.transform(values, lambda x: F.exp(x)), lambda exp: let(total(exp), lambda t: F.transform(exp, lambda x: x / t)))
 
 
 def arg_max(values: Column) -> Column:

@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.math import let
 from ..tables import written
 from .ordering import nth_smallest, percentiles, sliding
 
@@ -18,9 +19,8 @@ RECOMMENDED_WINDOW = 7
 
 def entropy_score(probabilities: Column) -> Column:
     """Sum of p ln(p + 1e-20), null and NaN entries left out; null for a vector that is empty or all 0, as it says nothing."""
-    real = F.filter(probabilities, lambda p: p.isNotNull() & ~F.isnan(p))
-    total = F.aggregate(real, F.lit(0.0), lambda a, p: a + p * F.log(p + F.lit(1e-20)))
-    return F.when(F.exists(real, lambda p: p != 0), total)
+    total = lambda real: F.aggregate(real, F.lit(0.0), lambda a, p: a + p * F.log(p + F.lit(1e-20)))
+    return let(F.filter(probabilities, lambda p: p.isNotNull() & ~F.isnan(p)), lambda real: F.when(F.exists(real, lambda p: p != 0), total(real)))
 
 
 def max_confidence(probabilities: Column) -> Column:

@@ -220,9 +220,8 @@ def arima_ztest(spark, sf_dir):
 
 def probabilities() -> Column:
     """Ten class probabilities: the softmax of ten sums of an embedding's components, by their place modulo ten."""
-    e = F.col("embedding").cast("array<double>")
-    own = lambda k: F.when(k < F.size(e), F.aggregate(F.sequence(k, F.size(e) - 1, F.lit(10)), F.lit(0.0), lambda a, i: a + F.get(e, i))).otherwise(0.0)
-    return classify.softmax(F.transform(F.sequence(F.lit(0), F.lit(9)), own))
+    own = lambda e: lambda k: F.when(k < F.size(e), F.aggregate(F.sequence(k, F.size(e) - 1, F.lit(10)), F.lit(0.0), lambda a, i: a + F.get(e, i))).otherwise(0.0)
+    return classify.softmax(math.let(F.col("embedding").cast("array<double>"), lambda e: F.transform(F.sequence(F.lit(0), F.lit(9)), own(e))))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,14 @@
 """Monitoring as a stream, by Spark's arbitrary state: sliding accuracy per key with alert levels, and dense interval series.
 
 With event time, rows wait in a key's list state until the watermark has passed them, and then count in order of (time, pos),
-whatever batch they came in; what comes later than the watermark goes. Timers release them, so a key that falls silent is
-finished all the same. Rows reach a processor in chunks; none holds a micro-batch of a key. The state of a key is what waits
+whatever batch they came in; what comes later than the watermark goes. A key has one timer, for the first row that waits, which
+releases all that the watermark has passed, so a key that falls silent is finished all the same and work grows with the rows. Rows reach a processor in chunks; none holds a micro-batch of a key. The state of a key is what waits
 (as many rows as come within the delay) and its last size - 1 scores, which an idle time can end.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
@@ -21,8 +22,8 @@ from ..tables import scratch
 
 _OUT = "key long, pos long, accuracy double"
 _SERIES = "key string, interval_idx long, interval long, aggregated double, num_samples long"
-#: Milliseconds that rows are released together; rows of an output frame.
-TICK, ROWS = 1000, 4096
+#: Milliseconds that rows are released together; rows of an output frame, of a series and of scores.
+TICK, ROWS, CHUNK = 1000, 4096, 1 << 16
 _STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
@@ -45,6 +46,13 @@ class Sliding(StatefulProcessor):
         self.last = handle.getListState("last", "score double")
         self.waiting = handle.getListState("waiting", "at long, pos long, score double")
         self.seen = handle.getValueState("seen", "at long")
+        self.due = handle.getValueState("due", "at long")
+
+    def _await(self, at: int) -> None:
+        """A timer for the first row that waits, of this many microseconds."""
+        time = -(-at // (1000 * TICK)) * TICK
+        self.handle.registerTimer(time)
+        self.due.update((time,))
 
     def _through(self, key: tuple, pos: np.ndarray, own: np.ndarray) -> pd.DataFrame:
         """Accuracy of scores in order; the last ones become the state."""
@@ -61,33 +69,41 @@ class Sliding(StatefulProcessor):
         return pd.DataFrame({"key": np.full(len(own), key[0], np.int64), "pos": pos, "accuracy": np.where(ends >= self.size, share, np.nan)})
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        due: set[int] = set()
+        first, last = None, None
         for pdf in rows:
             if not self.ordered:
                 pdf = pdf.sort_values("pos", kind="stable")
                 yield self._through(key, pdf["pos"].to_numpy(np.int64), pdf["score"].to_numpy(float))
                 continue
+            if not len(pdf):
+                continue
             at = pdf["at_us"].to_numpy(np.int64)
             self.waiting.appendList([(int(a), int(p), None if pd.isna(s) else float(s)) for a, p, s in zip(at, pdf["pos"], pdf["score"], strict=True)])
-            due |= set((-(-at // (1000 * TICK)) * TICK).tolist())
-        for time in due:
-            self.handle.registerTimer(time)
-        if due and self.idle_ms is not None:
-            latest = max(due)
+            first, last = int(at.min()) if first is None else min(first, int(at.min())), int(at.max()) if last is None else max(last, int(at.max()))
+        if first is None:
+            return
+        if not self.due.exists() or -(-first // (1000 * TICK)) * TICK < self.due.get()[0]:
+            self._await(first)
+        if self.idle_ms is not None:
+            latest = -(-last // (1000 * TICK)) * TICK
             if not self.seen.exists() or self.seen.get()[0] < latest:
                 self.seen.update((latest,))
             self.handle.registerTimer(latest + self.idle_ms)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        rows = sorted(self.waiting.get(), key=lambda r: (r[0], r[1])) if self.waiting.exists() else []
-        ready = [r for r in rows if r[0] <= 1000 * now]
-        if ready:
-            if len(ready) < len(rows):
-                self.waiting.put(rows[len(ready) :])
+        now, done = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+        if not (self.due.exists() and self.due.get()[0] > done) and self.waiting.exists():
+            rows = sorted(self.waiting.get(), key=lambda r: (r[0], r[1]))
+            ready = bisect_right(rows, 1000 * done, key=lambda r: r[0])
+            if ready < len(rows):
+                self.waiting.put(rows[ready:])
+                self._await(rows[ready][0])
             else:
                 self.waiting.clear()
-            yield self._through(key, np.array([r[1] for r in ready], np.int64), np.array([np.nan if r[2] is None else r[2] for r in ready], float))
+                self.due.clear()
+            for k in range(0, ready, CHUNK):
+                part = rows[k : min(k + CHUNK, ready)]
+                yield self._through(key, np.array([r[1] for r in part], np.int64), np.array([np.nan if r[2] is None else r[2] for r in part], float))
         if self.idle_ms is not None and self.seen.exists() and now >= self.seen.get()[0] + self.idle_ms:
             self.last.clear()
             self.seen.clear()
