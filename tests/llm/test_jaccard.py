@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pytest
 
 from tidewatch.llm import components, jaccard
@@ -141,3 +142,42 @@ def test_components(spark):
     star = spark.createDataFrame([(i, 7) for i in range(8, 30)], "u long, v long")
     assert {r.component for r in components.components(star).collect()} == {7}
     assert components.components(star.limit(0)).count() == 0
+
+
+def connected(edges, n):
+    """The smallest node that each of 0..n-1 is connected to."""
+    part = list(range(n))
+    for i, j in edges:
+        part = [min(part[i], part[j]) if p in (part[i], part[j]) else p for p in part]
+    return part
+
+
+def test_two_tiles_are_joined_by_few_edges():
+    """Spanning edges of each tile and those that join the tiles connect what all links connect."""
+    rng = np.random.default_rng(3)
+    for share in (0.01, 0.03, 0.1, 1.0):
+        n, own = 60, rng.integers(4, 6, 60)
+        m = np.triu(rng.random((n, n)) < share, 1)
+        m |= m.T
+        hits = lambda i, rest, m=m: m[i, rest]
+        edges = list(jaccard.joining(hits, own))
+        assert all(m[i, j] and own[i] != own[j] for i, j in edges)
+        alone = [(t[i], t[j]) for t in (np.flatnonzero(own == x) for x in (4, 5)) for i, j in jaccard.spanning(lambda i, rest, t=t: m[t[i], t[rest]], len(t))]
+        assert connected(edges + alone, n) == connected(np.argwhere(m), n)
+        assert len(edges) + len(alone) == n - len(set(connected(np.argwhere(m), n)))  # no edge too many
+        assert share < 1 or len(edges) == 1
+
+
+def test_rows_of_a_large_group_grow_with_its_size():
+    """Four tiles of near copies under one prefix: a row of evidence and an edge a node, and an edge for two tiles."""
+    import pyarrow as pa
+
+    tiles, size = 4, 50
+    sketch = bytes(jaccard.TREES * jaccard.DEPTH // 2)
+    rows = [(0, b"p", a, b, own, 1000 * own + k, sketch) for a in range(tiles) for b in range(a, tiles) for own in {a, b} for k in range(size)]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["tree", "prefix", "a", "b", "own", "row", "sketch"])
+    made = pa.Table.from_batches(list(jaccard._compare(8, 200, 0.8, jaccard.TREES)(iter([batch]))))
+    edges = [(u, v) for u, v in zip(made["u"].to_pylist(), made["v"].to_pylist(), strict=True) if v is not None]
+    assert len(edges) == tiles * (size - 1) + tiles * (tiles - 1) // 2 and made.num_rows - len(edges) == tiles * size
+    names = sorted({r[5] for r in rows})
+    assert set(connected([(names.index(u), names.index(v)) for u, v in edges], len(names))) == {0}

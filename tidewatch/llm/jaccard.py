@@ -204,6 +204,31 @@ def spanning(linked, n: int) -> Iterator[tuple[int, int]]:
             rest = rest[~hit]
 
 
+def joining(linked, own: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Edges between two tiles (own: which of the two a node is in) that connect what stays apart with the spanning edges of
+    each tile, which its own task gives. A dense group has one edge for two tiles, not one for each node."""
+    part = np.arange(len(own))
+    for tile in np.unique(own):
+        members = np.flatnonzero(own == tile)
+        for i, j in spanning(lambda i, others, m=members: linked(m[i], m[others]), len(members)):
+            part[members[j]] = part[members[i]]
+    rest = np.arange(len(own))
+    while len(rest):
+        queue = [part[rest[0]]]
+        rest = rest[part[rest] != queue[0]]
+        while queue and len(rest):
+            for i in np.flatnonzero(part == queue.pop()):
+                others = rest[own[rest] != own[i]]
+                if not len(others):
+                    break
+                hit = others[linked(i, others)]
+                found, first = np.unique(part[hit], return_index=True)
+                for j in hit[first]:
+                    yield int(i), int(j)
+                queue.extend(found)
+                rest = rest[~np.isin(part[rest], found)]
+
+
 def trie(nodes: DataFrame, floor: int, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
     """nodes (row, paths, sketch) -> (tree, path, row, sketch) of the leaves that share a prefix of the floor depth with another.
     The joins are merge joins at every size: what they match grows with the input, so it is never broadcast."""
@@ -217,8 +242,10 @@ def trie(nodes: DataFrame, floor: int, trees: int = TREES, depth: int = DEPTH) -
 
 
 def _compare(p: int, least: int, threshold: float, trees: int):
-    """Rows (tree, prefix, a, b, row, sketch) in the order of the trie -> (u, v) edges of a spanning forest of what the
-    sketches let pass, and (u, null, found, expected): what a node's neighbours in the trie say of its recall."""
+    """Rows (tree, prefix, a, b, own, row, sketch) in the order of the trie -> (u, v) edges of a spanning forest of what the
+    sketches let pass, and (u, null, found, expected): what a node's neighbours in the trie say of its recall. A tile's own
+    edges and evidence come from the task that has it alone; tasks of two tiles give what joins them. Fewer neighbours
+    seen lower a node's estimate, so tiles lose no recall."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: tuple[list, list, list, list] = ([], [], [], [])
@@ -229,14 +256,15 @@ def _compare(p: int, least: int, threshold: float, trees: int):
         for rows in _groups(batches, 4):
             if len(rows) < 2:
                 continue
-            names, n = [r[4] for r in rows], len(rows)
-            sketches = unpacked([r[5] for r in rows])
+            names, n, same = [r[5] for r in rows], len(rows), rows[0][2] == rows[0][3]
+            sketches = unpacked([r[6] for r in rows])
             size = sketches.shape[1]
-            for i, j in spanning(lambda i, rest, s=sketches: np.count_nonzero(s[rest] == s[i], axis=1) >= least, n):
+            linked = lambda i, rest, s=sketches: np.count_nonzero(s[rest] == s[i], axis=1) >= least
+            for i, j in spanning(linked, n) if same else joining(linked, np.array([r[4] for r in rows])):
                 for k, x in enumerate((names[i], names[j], None, None)):
                     out[k].append(x)
             found, expected = np.zeros(n, np.int64), np.zeros(n)
-            for gap in range(1, min(NEAR, n - 1) + 1):
+            for gap in range(1, min(NEAR, n - 1) + 1) if same else ():
                 share = (np.count_nonzero(sketches[gap:] == sketches[:-gap], axis=1) / size - 2.0**-BITS) / (1 - 2.0**-BITS)  # without chance
                 hit = share >= threshold
                 weight = np.where(hit, 1 / meets(np.maximum(share, threshold), p, trees), 0.0)
@@ -265,7 +293,7 @@ def candidate_edges(nodes: DataFrame, threshold: float = THRESHOLD, trees: int =
         groups = rows.groupBy("tree", "prefix").agg(F.count("*").alias("n"), F.max("open").alias("any"), (F.min("child") != F.max("child")).alias("joins"))
         groups = groups.where("n > 1 and any" + ("" if p == depth else " and joins")).select("tree", "prefix", "n")
         members = rows.join(groups.hint("merge"), ["tree", "prefix"])
-        tiled = _tiles(members, ["tree", "prefix"], F.ceil(F.col("n") / PREFIX_TILE), "path", "row").select("tree", "prefix", "a", "b", "row", "sketch")
+        tiled = _tiles(members, ["tree", "prefix"], F.ceil(F.col("n") / PREFIX_TILE), "path", "row").select("tree", "prefix", "a", "b", "own", "row", "sketch")
         made = workspace.materialize(tiled.mapInArrow(_compare(p, least, threshold, trees), "u long, v long, found long, expected double"), f"depth-{p}")
         new = made.where("v is not null").select("u", "v", F.lit(p).alias("depth"))
         edges = new if edges is None else edges.unionByName(new)
@@ -282,7 +310,7 @@ def candidate_edges(nodes: DataFrame, threshold: float = THRESHOLD, trees: int =
     return edges.groupBy("u", "v").agg(F.max("depth").alias("depth"))
 
 
-def _exact(threshold: float):
+def _exact(threshold: float, counts: bool):
     ratio = Fraction(str(threshold))
 
     def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -318,9 +346,10 @@ def _exact(threshold: float):
             linked = ratio.denominator * both >= ratio.numerator * union
             np.fill_diagonal(linked, False)
             counted = linked if same else linked & (own[:, None] != own)
-            links, texts = counted @ copies, counted.sum(1)
+            links, texts = counted @ copies, counted.sum(1) * counts
             u = [names[i] for i in np.flatnonzero(texts)]
-            edges = list(spanning(lambda i, rest, m=linked: m[i, rest], len(names)))
+            hits = lambda i, rest, m=linked: m[i, rest]
+            edges = list(spanning(hits, len(names)) if same else joining(hits, own))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(u + [names[i] for i, _ in edges], pa.int64()),
@@ -334,9 +363,10 @@ def _exact(threshold: float):
     return task
 
 
-def verify(docs: DataFrame, nodes: DataFrame, groups: DataFrame, threshold: float, n: int, text_col: str = "text") -> DataFrame:
+def verify(docs: DataFrame, nodes: DataFrame, groups: DataFrame, threshold: float, n: int, text_col: str = "text", counts: bool = True) -> DataFrame:
     """Intersects all pairs within each component. nodes (node, row: of a document that has the set, copies, size), groups
-    (row, component) -> rows (u, v null, links, texts): u's links by copies and by texts; and (u, v): spanning links."""
+    (row, component) -> (u, v): spanning links; and, if counts are asked for, rows (u, v null, links, texts): u's links by
+    copies and by texts."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -355,23 +385,23 @@ def verify(docs: DataFrame, nodes: DataFrame, groups: DataFrame, threshold: floa
     packed = rows.select("component", "tiles", "row", "copies", "text", "node").mapInArrow(sets, "component long, tiles long, row long, copies long, grams binary")
     tiled = _tiles(packed, ["component"], F.col("tiles"), "row")
     picked = tiled.select("component", "a", "b", "own", "row", "copies", "grams")
-    return workspace.materialize(picked.mapInArrow(_exact(threshold), "u long, v long, links long, texts long"), "verified")
+    return workspace.materialize(picked.mapInArrow(_exact(threshold, counts), "u long, v long, links long, texts long"), "verified")
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, trees: int = TREES, depth: int = DEPTH, target: float = TARGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, trees: int = TREES, depth: int = DEPTH, target: float = TARGET, id_col: str = "doc_id", text_col: str = "text", counts: bool = True) -> DataFrame:
     """Per row of docs: row, id, seen (a digest of the text), node (copy class), copies (rows of the class), links (rows of
     other classes with a similarity of at least threshold), texts (such classes), class_row (the first row of the
-    near-duplicate class)."""
+    near-duplicate class). links and texts are 0 if counts aren't asked for."""
     workspace.small_batches(docs.sparkSession)
     signed = workspace.materialize(signatures(docs, trees, depth, n, id_col, text_col), "signatures")
     nodes = signed.where("node is not null").groupBy("node").agg(F.min("row").alias("row"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch"))
     nodes = workspace.materialize(nodes, "nodes")
     groups = components(candidate_edges(nodes, threshold, trees, depth, target)).withColumnRenamed("node", "row")
-    checked = verify(docs, nodes, groups, threshold, n, text_col)
+    checked = verify(docs, nodes, groups, threshold, n, text_col, counts)
     # a node is its smallest row and a component its smallest node, so a component is the first row of its class
     found = components(checked.where("v is not null").select("u", "v")).select(F.col("node").alias("row"), F.col("component").alias("class_row"))
-    counts = checked.where("v is null").groupBy(F.col("u").alias("row")).agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
-    more = nodes.select("node", "copies", "row").join(counts, "row", "left").join(found, "row", "left")
+    linked = checked.where("v is null").groupBy(F.col("u").alias("row")).agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
+    more = nodes.select("node", "copies", "row").join(linked, "row", "left").join(found, "row", "left")
     more = more.where("copies > 1 or class_row is not null").select("node", "copies", "links", "texts", F.coalesce("class_row", "row").alias("class_row"))
     more = workspace.materialize(more, "classes")
     workspace.discard(nodes, groups, checked)
@@ -393,6 +423,6 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def keep_first(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """docs with one row of each near-duplicate class: the first of them in the table."""
     row, seen = workspace.fresh(docs, "jaccard_row"), workspace.fresh(docs, "jaccard_seen")
-    stay = workspace.materialize(join(docs, id_col=id_col, text_col=text_col).where("row = class_row").select(F.col("row").alias(row), F.col("seen").alias(seen)), "kept")
+    stay = workspace.materialize(join(docs, id_col=id_col, text_col=text_col, counts=False).where("row = class_row").select(F.col("row").alias(row), F.col("seen").alias(seen)), "kept")
     joined = docs.withColumn(row, F.monotonically_increasing_id()).join(stay.hint("merge"), row)
     return joined.where(workspace.same_row(F.col(seen), F.col(text_col))).select(*docs.columns)
