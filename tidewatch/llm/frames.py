@@ -25,6 +25,7 @@ from __future__ import annotations
 import re
 import struct
 import uuid
+from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
@@ -38,40 +39,62 @@ from . import workspace
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1  # fixed values of the seekable format
 CHECKSUMS = 0x80  # descriptor: entries have checksums
 FRAME_IDS = 1 << 16
-#: Pieces that a worker remembers, in two generations; at a few tens of bytes each this bounds its memory.
-CACHE = 1_000_000
+#: Keys that a worker remembers, in two generations, and the bytes of the longest one; together they bound its memory.
+CACHE, KEY_BYTES = 1_000_000, 64
 #: Characters of texts that are encoded together, the last text whole.
 GROUP_CHARS = 1 << 20
 SPACE = "\u0120"  # fixed value: how a byte-level vocabulary writes the byte 0x20
-_SAFE = re.compile(r"(?<=\S) (?=\S)")
-_WHITE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_WHITE, _LETTER, _MARK, _LEAD = np.zeros((4, 256), bool)  # of bytes
+_WHITE[[*range(9, 14), *range(28, 33)]] = True
+_LETTER[[x for x in range(128) if chr(x).isalpha()]] = True
+_MARK[[x for x in range(33, 127) if not chr(x).isalnum() and chr(x) != "'"]] = True
+#: White space of two and three bytes, and the bytes that it begins with.
+_WHITE_2, _WHITE_3 = (
+    np.array([int.from_bytes(x.encode()) for x in row], np.int32)
+    for row in ("\x85\u00a0", "\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+)
+_LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
+def cuts(data: np.ndarray) -> np.ndarray:
+    """Places in UTF-8 bytes, the first and last aside, where the pre-tokenizer begins a new match whatever surrounds them:
+    before a single space or line feed between characters that aren't white space, and before an ASCII mark other than an
+    apostrophe that follows an ASCII letter."""
+
+    def wide(at: np.ndarray) -> np.ndarray:
+        """Whether white space of two or three bytes begins there; beyond the end are zeros."""
+        a, b, c = (np.where(at + k < len(data), data[np.minimum(at + k, len(data) - 1)], 0).astype(np.int32) for k in range(3))
+        return np.isin(a << 8 | b, _WHITE_2) | np.isin(a << 16 | b << 8 | c, _WHITE_3)
+
+    at = np.flatnonzero((data[1:-1] == 32) | (data[1:-1] == 10)) + 1
+    at = at[~(_WHITE[data[at - 1]] | _WHITE[data[at + 1]])]
+    bad = np.zeros(len(at), bool)
+    after = np.flatnonzero(_LEAD[data[at + 1]])
+    bad[after] = wide(at[after] + 1)
+    before = np.flatnonzero(data[at - 1] >= 128)
+    for k in (2, 3):  # where no character begins k bytes before, there is a continuation byte, which begins no white space
+        bad[before] |= wide(np.maximum(at[before] - k, 0))
+    marks = np.flatnonzero(_MARK[data[1:]] & _LETTER[data[:-1]]) + 1
+    return np.concatenate([at[~bad], marks])
 
 
 def cut(text: str) -> list[str]:
-    """The first piece of text, then keys of the others: a key stands for itself after a space or, if it begins with a
-    line feed, for that and what follows as two pieces. Every cut is one where the pre-tokenizer begins a new match
-    whatever surrounds it: before a single space, or around a single line feed, between characters that aren't white
-    space."""
-    if "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " " or _WHITE.search(text):
-        return _SAFE.split(text)
-    if "\n\n" not in text and text[0] != "\n" and text[-1] != "\n":
-        text = text.replace("\n", " \n")
-    return text.split(" ")
+    """The keys of a text: what lies between its cuts."""
+    data = text.encode()
+    at = [0, *np.sort(cuts(np.frombuffer(data, np.uint8))).tolist(), len(data)]
+    return [data[i:j].decode() for i, j in zip(at, at[1:])]
 
 
 def pieces(keys: list[str]) -> list[str]:
-    """The pieces that `cut` gave, in full."""
-    out = keys[:1]
-    for x in keys[1:]:
-        out += ("\n", x[1:]) if x[0] == "\n" else (f" {x}",)
-    return out
+    """The keys that `cut` gave, a line feed before a word as a piece of its own."""
+    return [p for x in keys for p in (("\n", x[1:]) if x[:1] == "\n" and x[1:] else (x,))]
 
 
 @lru_cache(maxsize=2)
 def encoder(vocabulary: str) -> Callable[[Iterable[str]], Iterator[bytes]]:
     """texts -> packed ids of each, by the tokenizers library. Texts are cut where a byte-level pre-tokenizer always
-    begins a new match, and the ids of each piece are remembered: words repeat, so most are encoded once. New pieces of
-    about GROUP_CHARS characters of text are encoded together."""
+    begins a new match, and the ids of each short key between cuts are remembered: words repeat, so most are encoded once.
+    New keys of about GROUP_CHARS characters of text are encoded together."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -87,8 +110,8 @@ def encoder(vocabulary: str) -> Callable[[Iterable[str]], Iterator[bytes]]:
     tokenizer.encode_special_tokens = plain
     spaced = np.zeros(tokenizer.get_vocab_size(), bool)
     spaced[[i for x, i in tokenizer.get_vocab().items() if x[0] == SPACE]] = True
-    known: dict[str, bytes] = {}
-    older: dict[str, bytes] = {}
+    known: dict[bytes, bytes] = {}
+    older: dict[bytes, bytes] = {}
 
     def packed(texts: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -100,47 +123,63 @@ def encoder(vocabulary: str) -> Callable[[Iterable[str]], Iterator[bytes]]:
         (row,) = tokenizer.encode_batch_fast([text], add_special_tokens=False)
         return np.array(row.ids, "<u4")
 
-    def sliced(row: np.ndarray, begins: list[int], ends: list[int]) -> Iterator[bytes]:
+    def sliced(row: np.ndarray, begins: list[int]) -> Iterator[bytes]:
         data = row.tobytes()
-        return (data[4 * i : 4 * j] for i, j in zip(begins, ends, strict=True))
+        return (data[4 * i : 4 * j] for i, j in zip(begins, [*begins[1:], len(row)], strict=True))
+
+    def one_word(x: bytes) -> bool:
+        text = x.decode()
+        return text.split() == [text[1:]]
 
-    def learn(keys: set[str]) -> None:
+    def learn(new: list[bytes]) -> dict[bytes, bytes]:
         """Words without white space inside are encoded in one call: those after a space in a row, where an id that begins
-        with a space begins a word, and those after a line feed with it before each, as it is an id of its own. Other
-        pieces are encoded one by one. Of what was known, the words met since the last change of generation stay."""
+        with a space begins a word, and those after a line feed in a row of their own, where it is an id of its own. Other
+        keys are encoded one by one."""
+        made: dict[bytes, bytes] = {}
+        words, lined = ([x for x in new if x[0] == y] for y in b" \n")
+        text = b"".join(words).decode()
+        if text.split(" ")[1:] != text.split():  # some hold white space
+            words = [x for x in words if one_word(x)]
+            text = b"".join(words).decode()
+        if words:
+            row = row_of(text)
+            made.update(zip(words, sliced(row, np.flatnonzero(spaced[row]).tolist()), strict=True))
+        lined = [x for x in lined if one_word(x)]
+        if lined:
+            row = row_of(b"".join(lined).decode())
+            made.update(zip(lined, sliced(row, np.flatnonzero(row == end_id).tolist()), strict=True))
+        rest = [x for x in new if x not in made]
+        made.update(zip(rest, packed([x.decode() for x in rest]), strict=True))
+        return made
+
+    def ids_of(keys: list[bytes]) -> list[bytes]:
+        """ids of different keys. Of what was known, the keys met since the last change of generation stay."""
         nonlocal known, older
-        new = keys.difference(known)
-        if not new:
-            return
-        if 2 * (len(known) + len(new)) > CACHE:
+        new = [x for x in keys if x not in known]
+        if new and 2 * (len(known) + len(new)) > CACHE:
             known, older, new = {}, known, keys
-        for x in new.intersection(older):
-            known[x] = older[x]
-        words = list(new.difference(known))
-        rest: list[str] = []
-        if " ".join(words).split() != words:  # some follow line feeds or hold white space
-            lined = [x for x in words if x[0] == "\n" and x.split() == [x[1:]]]
-            rest = [x for x in words if x.split() not in ([x], [x[1:]])]
-            words = [x for x in words if x.split() == [x]]
-            if lined:
-                row = row_of("".join(lined))
-                begins = np.flatnonzero(row == end_id).tolist()
-                known.update(zip(lined, sliced(row, begins, [*begins[1:], len(row)]), strict=True))
-        if words:
-            row = row_of(" " + " ".join(words))
-            begins = np.flatnonzero(spaced[row]).tolist()
-            known.update(zip(words, sliced(row, begins, [*begins[1:], len(row)]), strict=True))
-        for x, ids in zip(rest, packed([x[1:] if x[0] == "\n" else f" {x}" for x in rest]), strict=True):
-            known[x] = line_end + ids if x[0] == "\n" else ids
+        known.update((x, older[x]) for x in new if x in older)
+        made = learn([x for x in new if x not in known])
+        known.update((x, ids) for x, ids in made.items() if len(x) <= KEY_BYTES)
+        return [made[x] if x in made else known[x] for x in keys]
 
     def stretches(texts: list[str]) -> Iterator[bytes]:
-        """ids of texts without added tokens."""
-        cuts = [cut(x) if x else [""] for x in texts]
-        heads = packed([x.pop(0) for x in cuts])
-        learn(set().union(*cuts))
-        at_hand = known  # stays whole when a later group changes the generation
-        for head, keys in zip(heads, cuts, strict=True):
-            yield head + b"".join([at_hand[x] for x in keys])
+        """ids of texts without added tokens. The texts' bytes, a line feed between, are cut into keys; different keys get
+        their ids once, and Arrow lays these out in the order of the texts."""
+        parts = [x.encode() for x in texts]
+        data = b"\n".join(parts)
+        sizes = np.array([len(x) for x in parts], np.int64)
+        ends = np.cumsum(sizes + 1) - 1
+        mark = np.zeros(len(data) + 1, bool)
+        mark[cuts(np.frombuffer(data, np.uint8))] = True
+        mark[ends] = mark[ends - sizes] = True
+        begins = np.flatnonzero(mark)
+        keys = pa.Array.from_buffers(pa.large_binary(), len(begins) - 1, [None, pa.py_buffer(begins), pa.py_buffer(data)]).dictionary_encode()
+        made = pa.array(ids_of(keys.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(keys.indices)
+        _, places, body = made.buffers()
+        at = np.frombuffer(places, np.int64)
+        for i, j in zip(*(at[np.searchsorted(begins, x)].tolist() for x in (ends - sizes, ends)), strict=True):
+            yield body[i:j].to_pybytes() if j > i else b""
 
     def group(texts: list[str]) -> Iterator[bytes]:
         if added and parts is None:
@@ -244,19 +283,25 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0, id_col
             at = 0
             return made
 
-        for batch in batches:
-            texts = (x.as_py() or "" for x in batch.column(1))
-            for key, text_ids in zip(batch.column(0).to_pylist(), encode(texts), strict=True):
-                if out is None:
-                    system.create_dir(root, recursive=True)
-                    out = system.open_output_stream(f"{root}/{name}", compression=None)
-                ids = text_ids + end
-                for k, v in zip(rows, (key, name, len(entries), at, len(ids) // 4), strict=True):
-                    rows[k].append(v)
-                held.append(ids)
-                at += len(ids) // 4
-                if at >= frame_ids:
-                    yield flush()
+        keys: deque[int | None] = deque()  # of the texts that are being encoded
+
+        def texts() -> Iterator[str]:
+            for batch in batches:
+                for key, text in zip(batch.column(0), batch.column(1), strict=True):
+                    keys.append(key.as_py())
+                    yield text.as_py() or ""
+
+        for text_ids in encode(texts()):
+            if out is None:
+                system.create_dir(root, recursive=True)
+                out = system.open_output_stream(f"{root}/{name}", compression=None)
+            ids = text_ids + end
+            for k, v in zip(rows, (keys.popleft(), name, len(entries), at, len(ids) // 4), strict=True):
+                rows[k].append(v)
+            held.append(ids)
+            at += len(ids) // 4
+            if at >= frame_ids:
+                yield flush()
         if out is not None:
             if held:
                 yield flush()
